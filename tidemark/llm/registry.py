@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op10_query
 from .exact_dedup import OP2_SQL, op2_query
 from .mixing import MIX_SQL, op5_query
 
 QUERIES = {
     "op2_exact_dedup": op2_query,
     "op5_source_mix": op5_query,
+    "op10_byte_bpe": op10_query,
 }
 
 ORACLES = {
