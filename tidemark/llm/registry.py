@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op10_query
 from .exact_dedup import OP2_SQL, op2_query
+from .hmm import op9_query
 from .jaccard import op7_query
 from .mixing import MIX_SQL, op5_query
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op2_exact_dedup": op2_query,
     "op5_source_mix": op5_query,
     "op7_ngram_jaccard": op7_query,
+    "op9_hmm_lm": op9_query,
     "op10_byte_bpe": op10_query,
 }
 
