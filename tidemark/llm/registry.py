@@ -7,11 +7,13 @@ from .exact_dedup import OP2_SQL, op2_query
 from .hmm import op9_query
 from .jaccard import op7_query
 from .mixing import MIX_SQL, op5_query
+from .secrets import op3_query
 from .suffix_dedup import op1_query
 
 QUERIES = {
     "op1_suffix_dedup": op1_query,
     "op2_exact_dedup": op2_query,
+    "op3_secrets": op3_query,
     "op5_source_mix": op5_query,
     "op7_ngram_jaccard": op7_query,
     "op9_hmm_lm": op9_query,
