@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op4_query
 from .bpe import op10_query
 from .exact_dedup import OP2_SQL, op2_query
 from .hmm import op9_query
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_query,
     "op2_exact_dedup": op2_query,
     "op3_secrets": op3_query,
+    "op4_ann_forest": op4_query,
     "op5_source_mix": op5_query,
     "op7_ngram_jaccard": op7_query,
     "op9_hmm_lm": op9_query,
