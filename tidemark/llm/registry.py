@@ -10,6 +10,7 @@ from .jaccard import op7_query
 from .mixing import MIX_SQL, op5_query
 from .secrets import op3_query
 from .suffix_dedup import op1_query
+from .toxicity import op8_query
 
 QUERIES = {
     "op1_suffix_dedup": op1_query,
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_ann_forest": op4_query,
     "op5_source_mix": op5_query,
     "op7_ngram_jaccard": op7_query,
+    "op8_toxicity": op8_query,
     "op9_hmm_lm": op9_query,
     "op10_byte_bpe": op10_query,
 }
