@@ -203,7 +203,7 @@ class Network:
         return doc, out
 
 
-def train(texts: list[str], toxic: np.ndarray, most_windows: int = 60_000, rounds: int = 4, seed: int = 5, rate: float = 0.01, decay: float = 1e-4) -> Network:
+def train(texts: list[str], toxic: np.ndarray, most_windows: int = 60_000, least_passes: int = 30_000, seed: int = 5, rate: float = 0.01, decay: float = 1e-4) -> Network:
     """A network fitted to windows labelled as their texts are."""
     raw, offsets = textkit.columns_bytes(pa.array(texts, pa.large_string()))
     raw, starts, ends, per = tokens(raw, offsets)
@@ -215,6 +215,7 @@ def train(texts: list[str], toxic: np.ndarray, most_windows: int = 60_000, round
     doc, begin, n = window_index(per)
     rng = np.random.default_rng(seed)
     chosen = rng.permutation(len(doc))[:most_windows]
+    rounds = max(4, min(16, -(-least_passes // max(len(chosen), 1))))
     place = net.places(words.hash)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step, total = 0, rounds * -(-len(chosen) // 256)
