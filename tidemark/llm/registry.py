@@ -8,6 +8,7 @@ from .exact_dedup import OP2_SQL, op2_query
 from .hmm import op9_query
 from .jaccard import op7_query
 from .mixing import MIX_SQL, op5_query
+from .pii import op6_query
 from .secrets import op3_query
 from .suffix_dedup import op1_query
 from .toxicity import op8_query
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_secrets": op3_query,
     "op4_ann_forest": op4_query,
     "op5_source_mix": op5_query,
+    "op6_pii": op6_query,
     "op7_ngram_jaccard": op7_query,
     "op8_toxicity": op8_query,
     "op9_hmm_lm": op9_query,
