@@ -51,12 +51,13 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_TIMES) -> DataFr
             "total_w": F.sum("weight").over(whole),
         }
     )
+    # rates only fall after the first source that is not capped, whose rate is the one that holds;
     # sources up to a ratio are capped while their cap is below the rate that the ones before it leave
     w = w.withColumn("prev_cut", F.col("cut") - F.sum("cap").over(Window.partitionBy("ratio")))
     w = w.withColumn("prev_w", F.col("cut_w") - F.sum("weight").over(Window.partitionBy("ratio")))
     rate_here = (F.col("total") - F.col("prev_cut")).cast("double") / (F.col("total_w") - F.col("prev_w"))
     w = w.withColumn("rate_here", rate_here).withColumn("capped", F.col("ratio") <= F.col("rate_here"))
-    w = w.withColumn("rate", F.min(F.when(~F.col("capped"), F.col("rate_here"))).over(whole))
+    w = w.withColumn("rate", F.max(F.when(~F.col("capped"), F.col("rate_here"))).over(whole))
     target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("rate"))
     return w.select("source", "source_size", target.alias("target"))
 
@@ -136,7 +137,7 @@ w2 AS (SELECT *, sum(cap) OVER (ORDER BY ratio RANGE BETWEEN UNBOUNDED PRECEDING
          sum(weight) OVER (ORDER BY ratio RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - sum(weight) OVER (PARTITION BY ratio)::BIGINT AS prev_w,
          sum(source_size) OVER ()::BIGINT AS total, sum(weight) OVER ()::BIGINT AS total_w FROM w1),
 w3 AS (SELECT *, (total - prev_cut)::DOUBLE / (total_w - prev_w)::DOUBLE AS rate_here FROM w2),
-w4 AS (SELECT *, min(CASE WHEN ratio > rate_here THEN rate_here END) OVER () AS rate FROM w3),
+w4 AS (SELECT *, max(CASE WHEN ratio > rate_here THEN rate_here END) OVER () AS rate FROM w3),
 t AS (SELECT source, source_size, CASE WHEN ratio <= rate_here THEN cap::DOUBLE ELSE weight::DOUBLE * rate END AS target FROM w4),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size::DOUBLE)::BIGINT ELSE 0 END AS passes FROM t),
 r AS (SELECT *, greatest(0.0::DOUBLE, target - (passes * source_size)::DOUBLE) AS rest FROM p),
