@@ -2,5 +2,654 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemark.functions import scalars as S
+from tidemark.operators import asof, folds, metrics, windows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(x: Column) -> Column:
+    return F.round(x, 6)
+
+
+# ---------------------------------------------------------------- scalars
+
+#: Events with every seventh value missing: the series most queries run on.
+SERIES = "s AS (SELECT event_id, event_type, user_id, ts, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS x FROM events)"
+
+
+def series(spark, d) -> DataFrame:
+    return table(spark, d, "events").select("event_id", "event_type", "user_id", "ts", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("x"))
+
+
+@query(
+    "p1_p7_scalars",
+    f"""WITH {SERIES} SELECT event_id, round(CASE WHEN x > 0 THEN ln(x) END, 6) AS log_x, round(asinh(x), 6) AS asinh_x,
+    round(CASE WHEN x IS NOT NULL THEN 1 / (1 + exp(-least(greatest(x, -40.0), 40.0))) END, 6) AS sig,
+    CASE WHEN x IS NOT NULL THEN least(greatest(x, 10.0), 50.0) END AS clipped,
+    round(CASE WHEN abs(x) > 1 THEN 100 / x END, 6) AS ratio FROM s""",
+)
+def scalars(spark, d):
+    x = F.col("x")
+    return series(spark, d).select("event_id", r6(S.safe_log(x)).alias("log_x"), r6(F.asinh(x)).alias("asinh_x"), r6(S.sigmoid(x)).alias("sig"), S.clip(x, 10.0, 50.0).alias("clipped"), r6(S.ratio(F.lit(100.0), x)).alias("ratio"))
+
+
+@query(
+    "p8_train_winsor",
+    f"""WITH {SERIES}, q AS (SELECT event_type, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM s WHERE ts < TIMESTAMP '2024-01-20' GROUP BY event_type)
+    SELECT s.event_id, round(CASE WHEN x IS NOT NULL THEN least(greatest(x, lo), hi) END, 6) AS w FROM s JOIN q USING (event_type)""",
+)
+def winsor(spark, d):
+    s = series(spark, d)
+    q = s.filter(F.col("ts") < F.lit("2024-01-20").cast("timestamp")).groupBy("event_type").agg(F.percentile("x", F.lit(0.01)).alias("lo"), F.percentile("x", F.lit(0.99)).alias("hi"))
+    x = F.col("x")
+    return s.join(q, "event_type").select("event_id", r6(F.when(x.isNotNull(), F.least(F.greatest(x, "lo"), "hi"))).alias("w"))
+
+
+_PROB = "p AS (SELECT o_orderkey, (o_orderkey % 7)::DOUBLE AS a, (o_custkey % 5)::DOUBLE AS b, (o_orderkey % 3)::DOUBLE AS c, (o_orderkey % 3)::INT AS t FROM orders), n AS (SELECT *, CASE WHEN a + b + c > 0 THEN greatest(a, 0.01) / (greatest(a, 0.01) + greatest(b, 0.01) + greatest(c, 0.01)) END AS pa, CASE WHEN a + b + c > 0 THEN greatest(b, 0.01) / (greatest(a, 0.01) + greatest(b, 0.01) + greatest(c, 0.01)) END AS pb, CASE WHEN a + b + c > 0 THEN greatest(c, 0.01) / (greatest(a, 0.01) + greatest(b, 0.01) + greatest(c, 0.01)) END AS pc FROM p)"
+
+
+def _probabilities(spark, d):
+    o = table(spark, d, "orders")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    p = o.select("o_orderkey", (key % 7).cast("double").alias("a"), (cust % 5).cast("double").alias("b"), (key % 3).cast("double").alias("c"), (key % 3).cast("int").alias("t"))
+    some = F.col("a") + F.col("b") + F.col("c") > 0
+    parts = S.simplex([F.col("a"), F.col("b"), F.col("c")], 0.01)
+    return p.select("*", *[F.when(some, x).alias(n) for x, n in zip(parts, ("pa", "pb", "pc"))])
+
+
+@query(
+    "p9_p11_p22_probabilities",
+    f"""WITH {_PROB} SELECT o_orderkey, round(pa, 6) AS pa, round(-(pa * ln(pa) + pb * ln(pb) + pc * ln(pc)) / ln(3), 6) AS entropy,
+    CASE WHEN pa IS NULL THEN 'UNKNOWN' WHEN pa = greatest(pa, pb, pc) THEN 'BEAR' WHEN pb = greatest(pa, pb, pc) THEN 'SIDE' ELSE 'BULL' END AS label,
+    round(-ln(CASE t WHEN 0 THEN pa WHEN 1 THEN pb ELSE pc END), 6) AS log_loss,
+    round((pa - CASE WHEN t = 0 THEN 1 ELSE 0 END) ^ 2 + (pb - CASE WHEN t = 1 THEN 1 ELSE 0 END) ^ 2 + (pc - CASE WHEN t = 2 THEN 1 ELSE 0 END) ^ 2, 6) AS brier FROM n""",
+)
+def probabilities(spark, d):
+    parts = [F.col("pa"), F.col("pb"), F.col("pc")]
+    return _probabilities(spark, d).select("o_orderkey", r6(F.col("pa")).alias("pa"), r6(S.entropy(parts)).alias("entropy"), S.argmax_label(parts, ["BEAR", "SIDE", "BULL"]).alias("label"), r6(S.log_loss(parts, F.col("t"))).alias("log_loss"), r6(S.brier(parts, F.col("t"))).alias("brier"))
+
+
+@query(
+    "p12_p13_geometric_blend",
+    """WITH b AS (SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN l_partkey % 9 <> 0 THEN l_extendedprice END AS a, CASE WHEN l_suppkey % 4 <> 0 THEN l_extendedprice * (1 - l_discount) END AS c, l_tax AS w FROM lineitem)
+    SELECT l_orderkey, l_partkey, l_suppkey, round(CASE WHEN a IS NULL THEN c WHEN c IS NULL THEN a ELSE exp((1 - w) * ln(a) + w * ln(c)) END, 4) AS blend FROM b""",
+)
+def blend(spark, d):
+    li = table(spark, d, "lineitem")
+    a = F.when(F.col("l_partkey") % 9 != 0, F.col("l_extendedprice"))
+    c = F.when(F.col("l_suppkey") % 4 != 0, F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return li.select("l_orderkey", "l_partkey", "l_suppkey", F.round(S.geometric_blend(a, c, F.col("l_tax")), 4).alias("blend"))
+
+
+@query(
+    "p36_gate_codes",
+    """SELECT o_orderkey, concat_ws('|', CASE WHEN o_totalprice <= 0 THEN 'NO_PRICE' END, CASE WHEN o_totalprice > 200000 THEN 'TOO_LARGE' END, CASE WHEN o_orderstatus <> 'F' THEN 'NOT_FINAL' END, CASE WHEN o_orderpriority LIKE '1%' THEN 'URGENT' END) AS codes FROM orders""",
+)
+def gate_codes(spark, d):
+    c = S.codes((F.col("o_totalprice") <= 0, "NO_PRICE"), (F.col("o_totalprice") > 200000, "TOO_LARGE"), (F.col("o_orderstatus") != "F", "NOT_FINAL"), (F.col("o_orderpriority").startswith("1"), "URGENT"))
+    return table(spark, d, "orders").select("o_orderkey", F.concat_ws("|", c).alias("codes"))
+
+
+_Q5 = "q AS (SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice AS y, l_extendedprice * 0.8 + l_partkey % 50 * 100 AS a, l_extendedprice * 0.9 AS b, l_extendedprice * 1.0 + l_suppkey % 7 * 50 AS c, l_extendedprice * 1.1 AS d, l_extendedprice * 1.2 - l_partkey % 11 * 100 AS e FROM lineitem)"
+
+
+def _quantiles(spark, d):
+    y, pk, sk = F.col("l_extendedprice"), F.col("l_partkey"), F.col("l_suppkey")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", y.alias("y"), (y * 0.8 + pk % 50 * 100).alias("a"), (y * 0.9).alias("b"), (y * 1.0 + sk % 7 * 50).alias("c"), (y * 1.1).alias("d"), (y * 1.2 - pk % 11 * 100).alias("e"))
+
+
+@query(
+    "p38_p39_quantile_rearrangement",
+    f"""WITH {_Q5}, z AS (SELECT *, list_sort([a, b, c, d, e]) AS s, (a > b)::INT + (b > c)::INT + (c > d)::INT + (d > e)::INT AS crossings FROM q)
+    SELECT l_orderkey, l_partkey, l_suppkey, crossings, round(s[3], 4) AS p50, round(s[4] - s[2], 4) AS iqr, round(CASE WHEN s[1] > 0 THEN s[5] / s[1] END, 4) AS spread FROM z""",
+)
+def quantiles(spark, d):
+    q = [F.col(c) for c in "abcde"]
+    z = _quantiles(spark, d).withColumn("s", S.rearranged(q)).withColumn("crossings", S.crossings(q))
+    return z.select("l_orderkey", "l_partkey", "l_suppkey", "crossings", F.round(F.col("s")[2], 4).alias("p50"), F.round(F.col("s")[3] - F.col("s")[1], 4).alias("iqr"), F.round(F.when(F.col("s")[0] > 0, F.col("s")[4] / F.col("s")[0]), 4).alias("spread"))
+
+
+@query(
+    "p40_laplace_crps",
+    """SELECT l_suppkey, round(avg((l_quantity / 10.0) * (abs(l_extendedprice / 1000 - 30) / (l_quantity / 10.0) + exp(-abs(l_extendedprice / 1000 - 30) / (l_quantity / 10.0)) - 0.75)), 6) AS crps FROM lineitem GROUP BY l_suppkey""",
+)
+def crps(spark, d):
+    v = S.laplace_crps(F.col("l_extendedprice") / 1000, F.lit(30.0), F.col("l_quantity") / 10.0)
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(r6(F.avg(v)).alias("crps"))
+
+
+@query(
+    "p29_subgroups",
+    """WITH g AS (SELECT o_orderkey, o_totalprice AS v, unnest(list_filter(['all', CASE WHEN o_totalprice < 1000 THEN 'near_zero' END, CASE WHEN o_totalprice >= 100000 THEN 'high' END, CASE WHEN o_orderstatus = 'F' THEN 'final' END], lambda x: x IS NOT NULL)) AS subgroup FROM orders)
+    SELECT subgroup, count(*) AS n, round(avg(v), 4) AS mean FROM g GROUP BY subgroup""",
+)
+def subgroups(spark, d):
+    v = F.col("o_totalprice")
+    names = S.codes((F.lit(True), "all"), (v < 1000, "near_zero"), (v >= 100000, "high"), (F.col("o_orderstatus") == "F", "final"))
+    return table(spark, d, "orders").select(v, F.explode(names).alias("subgroup")).groupBy("subgroup").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+
+
+# ---------------------------------------------------------------- joins
+
+_HIST = "h AS (SELECT l_partkey AS factor, l_suppkey AS entity, o_orderdate AS observed, l_shipdate AS available, o_orderdate::DATE AS session, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY o_orderdate, o_orderkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) AS revision, CASE WHEN l_linenumber % 5 <> 0 THEN l_extendedprice END AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate)"
+
+
+def _history(spark, d):
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    j = li.join(o, li.l_orderkey == o.o_orderkey).filter("l_shipdate >= o_orderdate")
+    w = Window.partitionBy("l_partkey", "l_suppkey").orderBy("o_orderdate", "o_orderkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    return j.select(F.col("l_partkey").alias("factor"), F.col("l_suppkey").alias("entity"), F.col("o_orderdate").alias("observed"), F.col("l_shipdate").alias("available"), F.to_date("o_orderdate").alias("session"), F.row_number().over(w).alias("revision"), F.when(F.col("l_linenumber") % 5 != 0, F.col("l_extendedprice")).alias("v"))
+
+
+@query(
+    "j1_bitemporal_asof",
+    f"""WITH {_HIST}, e AS (SELECT DISTINCT factor, entity FROM h), dec AS (SELECT factor, entity, d::TIMESTAMP AS at FROM e, (VALUES (DATE '1996-06-30'), (DATE '1998-06-30'), (DATE '2000-06-30')) t(d)),
+    m AS (SELECT dec.factor, dec.entity, dec.at, h.session, h.revision, h.v, row_number() OVER (PARTITION BY dec.factor, dec.entity, dec.at ORDER BY h.session DESC, h.revision DESC) AS n FROM dec JOIN h ON dec.factor = h.factor AND dec.entity = h.entity AND h.observed <= dec.at AND h.available <= dec.at AND h.session <= dec.at::DATE)
+    SELECT dec.factor, dec.entity, dec.at::DATE AS decision, m.revision, m.v FROM dec LEFT JOIN m ON dec.factor = m.factor AND dec.entity = m.entity AND dec.at = m.at AND m.n = 1""",
+)
+def j1(spark, d):
+    h = _history(spark, d)
+    days = F.explode(F.array(*[F.lit(x).cast("timestamp") for x in ("1996-06-30", "1998-06-30", "2000-06-30")]))
+    dec = h.select("factor", "entity").distinct().withColumn("at", days)
+    seen = (F.col("observed") <= F.col("at")) & (F.col("available") <= F.col("at")) & (F.col("session") <= F.to_date("at"))
+    out = asof.bitemporal_asof(dec, h, ["factor", "entity"], ["factor", "entity", "at"], seen, ["session", "revision"], ["revision", "v"])
+    return out.select("factor", "entity", F.to_date("at").alias("decision"), "revision", "v")
+
+
+_ORD = "o AS (SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders)"
+
+
+def _ordered(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice").withColumn("k", F.row_number().over(w))
+
+
+@query(
+    "j2_j3_lags_and_labels",
+    f"""WITH {_ORD} SELECT a.o_orderkey, b.o_totalprice AS lag_1, c.o_totalprice AS y_h1, e.o_totalprice AS y_h2, c.o_orderdate::DATE AS label_asof FROM o a
+    LEFT JOIN o b ON a.o_custkey = b.o_custkey AND b.k = a.k - 1 AND b.o_orderdate <= a.o_orderdate
+    LEFT JOIN o c ON a.o_custkey = c.o_custkey AND c.k = a.k + 1 AND c.o_orderdate > a.o_orderdate
+    LEFT JOIN o e ON a.o_custkey = e.o_custkey AND e.k = a.k + 2 AND e.o_orderdate > a.o_orderdate""",
+)
+def lags_and_labels(spark, d):
+    # slots are contiguous in k, so the slot joins are lags and leads of one sorted pass
+    w = Window.partitionBy("o_custkey").orderBy("k")
+    o = _ordered(spark, d)
+    later = lambda n: F.lead("o_orderdate", n).over(w) > F.col("o_orderdate")
+    return o.select("o_orderkey", F.lag("o_totalprice").over(w).alias("lag_1"), F.when(later(1), F.lead("o_totalprice", 1).over(w)).alias("y_h1"), F.when(later(2), F.lead("o_totalprice", 2).over(w)).alias("y_h2"), F.when(later(1), F.to_date(F.lead("o_orderdate", 1).over(w))).alias("label_asof"))
+
+
+@query(
+    "j4_asof_with_tolerance",
+    """WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY user_id, ts)
+    SELECT l.event_id, CASE WHEN l.ts - r.ts <= INTERVAL 7 DAY THEN r.value END AS last_view FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts""",
+)
+def asof_tolerance(spark, d):
+    e = table(spark, d, "events")
+    left = e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    right = e.filter("event_type = 'view'").select("user_id", F.col("ts").alias("seen"), F.col("value").alias("last_view"))
+    out = asof.asof_backward(left, right, ["user_id"], "ts", "seen", ["last_view"])
+    return out.select("event_id", F.when(F.col("ts") - F.col("matched_seen") <= F.expr("interval 7 days"), F.col("last_view")).alias("last_view"))
+
+
+@query(
+    "j5_c16_split_factors",
+    """WITH e AS (SELECT user_id, ts, event_id, value, CASE WHEN event_id % 13 = 0 THEN 2.0 ELSE 1.0 END AS ratio FROM events),
+    f AS (SELECT event_id, value, coalesce(sum(ln(ratio)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS later FROM e)
+    SELECT event_id, round(exp(later), 6) AS factor, round(value * exp(later), 4) AS unadjusted FROM f""",
+)
+def split_factors(spark, d):
+    later = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(1, Window.unboundedFollowing)
+    e = table(spark, d, "events").withColumn("ratio", F.when(F.col("event_id") % 13 == 0, 2.0).otherwise(1.0))
+    f = F.exp(F.coalesce(F.sum(F.ln("ratio")).over(later), F.lit(0.0)))
+    return e.select("event_id", r6(f).alias("factor"), F.round(F.col("value") * f, 4).alias("unadjusted"))
+
+
+@query(
+    "j6_exact_context",
+    """WITH f AS (SELECT l_suppkey AS cell, l_partkey % 40 AS part, l_linenumber AS tag, CASE WHEN l_linenumber % 3 <> 1 OR l_quantity > 25 THEN round(l_quantity / 20) END AS v FROM lineitem),
+    per AS (SELECT cell, part, tag, count(DISTINCT v) AS n, min(v) AS v FROM f WHERE v IS NOT NULL GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY cell, part ORDER BY tag) AS k FROM per)
+    SELECT cell, part, tag, CASE WHEN n = 1 THEN v END AS v, CASE WHEN n = 1 THEN 'EXACT' ELSE 'CONFLICT' END AS status FROM b WHERE k = 1""",
+)
+def exact_context(spark, d):
+    v = F.when((F.col("l_linenumber") % 3 != 1) | (F.col("l_quantity") > 25), F.round(F.col("l_quantity") / 20))
+    f = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("cell"), (F.col("l_partkey") % 40).alias("part"), F.col("l_linenumber").alias("tag"), v.alias("v"))
+    return asof.exact_context(f, ["cell", "part"], "tag", "v")
+
+
+@query(
+    "j7_quarantine",
+    """SELECT l_suppkey, count(*) FILTER (o_orderkey IS NOT NULL AND l_shipdate >= o_orderdate) AS retained, count(*) FILTER (o_orderkey IS NULL) AS missing, count(*) FILTER (l_shipdate < o_orderdate) AS too_early FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 11 <> 0) o ON l_orderkey = o_orderkey GROUP BY l_suppkey""",
+)
+def quarantine(spark, d):
+    o = table(spark, d, "orders").filter("o_orderkey % 11 != 0").select("o_orderkey", "o_orderdate")
+    j = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return j.groupBy("l_suppkey").agg(F.count_if(F.col("o_orderkey").isNotNull() & (F.col("l_shipdate") >= F.col("o_orderdate"))).alias("retained"), F.count_if(F.col("o_orderkey").isNull()).alias("missing"), F.count_if(F.col("l_shipdate") < F.col("o_orderdate")).alias("too_early"))
+
+
+@query(
+    "j8_next_session",
+    """WITH s AS (SELECT DISTINCT o_orderdate::DATE AS session FROM orders WHERE dayofweek(o_orderdate) BETWEEN 1 AND 5 AND o_orderkey % 3 = 0), e AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders)
+    SELECT o_orderkey, (SELECT min(session) FROM s WHERE session >= o_orderdate::DATE) AS session FROM orders""",
+)
+def sessions(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    s = o.filter(F.weekday("day").between(0, 4) & (F.col("o_orderkey") % 3 == 0)).select(F.col("day").alias("session")).distinct()
+    return asof.next_session(o, s, "day").select("o_orderkey", "session")
+
+
+_PRED = "p AS (SELECT o_orderkey, o_custkey, y, m, CASE WHEN (o_orderkey + length(m)) % 17 = 0 THEN NULL ELSE f END AS f FROM (SELECT o_orderkey, o_custkey, o_totalprice AS y, unnest(['low', 'close', 'highest']) AS m, unnest([o_totalprice * 0.8, o_totalprice * 0.97 + o_custkey % 10 * 100, o_totalprice * 1.1 + o_orderkey % 5 * 1000]) AS f FROM orders))"
+
+
+def _predictions(spark, d):
+    y = F.col("o_totalprice")
+    made = F.array(*[F.struct(F.lit(m).alias("m"), f.alias("f")) for m, f in (("low", y * 0.8), ("close", y * 0.97 + F.col("o_custkey") % 10 * 100), ("highest", y * 1.1 + F.col("o_orderkey") % 5 * 1000))])
+    p = table(spark, d, "orders").select("o_orderkey", "o_custkey", y.alias("y"), F.inline(made))
+    return p.withColumn("f", F.when((F.col("o_orderkey") + F.length("m")) % 17 != 0, F.col("f")))
+
+
+@query(
+    "j11_common_mask_a1_metrics",
+    f"""WITH {_PRED}, ok AS (SELECT o_orderkey FROM p WHERE f IS NOT NULL GROUP BY o_orderkey HAVING count(DISTINCT m) = 3), z AS (SELECT * FROM p WHERE o_orderkey IN (SELECT o_orderkey FROM ok))
+    SELECT m, count(y) AS truth_rows, count(f - y) / count(y) AS coverage, round(avg(abs(f - y)), 4) AS mae, round(sqrt(avg((f - y) * (f - y))), 4) AS rmse, round(quantile_cont(abs(f - y), 0.5), 4) AS median_ae, round(quantile_cont(abs(f - y), 0.9), 4) AS p90_ae, round(avg(f - y), 4) AS bias FROM z GROUP BY m""",
+)
+def common_metrics(spark, d):
+    z = metrics.common_mask(_predictions(spark, d), ["o_orderkey"], "m", "f")
+    out = z.groupBy("m").agg(*metrics.point_metrics(F.col("y"), F.col("f")))
+    return out.select("m", "truth_rows", "coverage", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "median_ae", "p90_ae", "bias")])
+
+
+@query(
+    "j13_a10_a11_pairs",
+    f"""WITH {_PRED}, e AS (SELECT o_orderkey, m, f - y AS e FROM p WHERE f IS NOT NULL)
+    SELECT a.m AS model_a, b.m AS model_b, count(*) AS n, round(corr(a.e, b.e), 6) AS error_corr, round(avg(least(abs(a.e), abs(b.e))), 4) AS oracle_mae, round(avg(abs((a.e + b.e) / 2)), 4) AS equal_mae, round(avg(CASE WHEN abs(a.e) < abs(b.e) THEN 1.0 ELSE 0.0 END), 6) AS win_a
+    FROM e a JOIN e b USING (o_orderkey) WHERE a.m < b.m GROUP BY ALL""",
+)
+def model_pairs(spark, d):
+    p = _predictions(spark, d).withColumn("e", F.col("f") - F.col("y"))
+    out = metrics.pairs(p, ["o_orderkey"], "m", "e")
+    return out.select("model_a", "model_b", "n", r6(F.col("error_corr")).alias("error_corr"), F.round("oracle_mae", 4).alias("oracle_mae"), F.round("equal_mae", 4).alias("equal_mae"), r6(F.col("win_a")).alias("win_a"))
+
+
+@query(
+    "j17_u11_frame_diff",
+    """WITH a AS (SELECT o_orderkey, o_totalprice AS v, o_orderstatus AS s FROM orders WHERE o_orderkey % 10 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS v, o_orderstatus AS s FROM orders WHERE o_orderkey % 9 <> 0)
+    SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' WHEN a.v IS NOT DISTINCT FROM b.v AND a.s IS NOT DISTINCT FROM b.s THEN 'same' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey""",
+)
+def diff(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("v"), F.col("o_orderstatus").alias("s"))
+    b = o.filter("o_orderkey % 9 != 0").withColumn("v", F.when(F.col("o_orderkey") % 7 != 0, F.col("v")))
+    return metrics.frame_diff(o.filter("o_orderkey % 10 != 0"), b, ["o_orderkey"], ["v", "s"])
+
+
+# ---------------------------------------------------------------- periods
+
+@query(
+    "c1_c2_period_context",
+    """WITH f AS (SELECT l_orderkey, l_partkey, l_suppkey, o_orderdate::DATE AS a, l_shipdate::DATE AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+    SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN b - a BETWEEN 65 AND 110 THEN 1 WHEN b - a BETWEEN 150 AND 215 THEN 2 WHEN b - a BETWEEN 235 AND 305 THEN 3 WHEN b - a BETWEEN 330 AND 390 THEN 4 END AS quarters,
+    CASE WHEN abs((b - DATE '1995-01-01') - round_even((b - DATE '1995-01-01') / 365.2425, 0) * 365.2425) <= 21 THEN round_even((b - DATE '1995-01-01') / 365.2425, 0)::INT END AS year_index FROM f""",
+)
+def period_context(spark, d):
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    f = li.join(o, li.l_orderkey == o.o_orderkey)
+    n = F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate"))
+    since = F.datediff(F.to_date("l_shipdate"), F.lit("1995-01-01").cast("date"))
+    year = F.rint(since / 365.2425)
+    quarters = F.when(n.between(65, 110), 1).when(n.between(150, 215), 2).when(n.between(235, 305), 3).when(n.between(330, 390), 4)
+    return f.select("l_orderkey", "l_partkey", "l_suppkey", quarters.alias("quarters"), F.when(F.abs(since - year * 365.2425) <= 21, year.cast("int")).alias("year_index"))
+
+
+@query(
+    "c5_keep_first",
+    """WITH n AS (SELECT o_custkey, o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate, o_orderkey) AS n FROM orders)
+    SELECT o_custkey, o_orderstatus, max(CASE WHEN n = 1 THEN o_orderkey END) AS first_key, count(*) FILTER (n > 1) AS quarantined FROM n GROUP BY ALL""",
+)
+def keep_first(spark, d):
+    first, rest = asof.keep_first(table(spark, d, "orders"), ["o_custkey", "o_orderstatus"], ["o_orderdate", "o_orderkey"])
+    key = ["o_custkey", "o_orderstatus"]
+    n = rest.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    return first.join(n, key, "left").select(*key, F.col("o_orderkey").alias("first_key"), F.coalesce("n", F.lit(0)).alias("quarantined"))
+
+
+@query(
+    "c7_c10_causal_fill_and_age",
+    f"""WITH RECURSIVE {SERIES}, p AS (SELECT event_type, event_id, x, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS pos FROM s),
+    seed AS (SELECT *, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS so_far, max(CASE WHEN x IS NOT NULL THEN pos END) OVER (PARTITION BY event_type ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_pos FROM p)
+    SELECT event_id, coalesce(last_value(CASE WHEN pos < 4 THEN so_far ELSE x END IGNORE NULLS) OVER (PARTITION BY event_type, pos % 4 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS filled, least(coalesce(pos - last_pos, 32), 32) AS age FROM seed""",
+)
+def causal_fill(spark, d):
+    w = Window.partitionBy("event_type").orderBy("ts")
+    p = series(spark, d).withColumn("pos", F.row_number().over(w) - 1)
+    last = F.max(F.when(F.col("x").isNotNull(), F.col("pos"))).over(Window.partitionBy("event_type").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    p = p.withColumn("age", F.least(F.coalesce(F.col("pos") - last, F.lit(32)), F.lit(32)))
+    return windows.filled(p, "x", ["event_type"], ["pos"], "pos", "filled").select("event_id", "filled", "age")
+
+
+@query(
+    "c11_contiguous_islands",
+    """WITH b AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 36 HOUR THEN 1 ELSE 0 END AS brk FROM events), g AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM b)
+    SELECT user_id, island::BIGINT AS island, count(*) AS n, min(event_id) AS lo, max(event_id) AS hi FROM g GROUP BY user_id, island HAVING count(*) >= 3""",
+)
+def contiguous(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts")
+    e = table(spark, d, "events").withColumn("gap", F.col("ts") - F.lag("ts").over(w))
+    g = windows.islands(e, ["user_id"], ["ts"], F.col("gap") > F.expr("interval 36 hours"))
+    return g.groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).filter("n >= 3")
+
+
+@query(
+    "c13_w14_lag_features",
+    f"""WITH {_ORD} SELECT o_orderkey, lag(o_totalprice, 1) OVER w AS lag_1, lag(o_totalprice, 4) OVER w AS lag_4, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY k ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 4) AS mean_4, round(stddev_samp(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY k ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 3) AS std_4 FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY k)""",
+)
+def lag_features(spark, d):
+    w, past4 = Window.partitionBy("o_custkey").orderBy("k"), windows.past(["o_custkey"], ["k"], 4)
+    return _ordered(spark, d).select("o_orderkey", F.lag("o_totalprice", 1).over(w).alias("lag_1"), F.lag("o_totalprice", 4).over(w).alias("lag_4"), F.round(F.avg("o_totalprice").over(past4), 4).alias("mean_4"), F.round(F.stddev_samp("o_totalprice").over(past4), 3).alias("std_4"))
+
+
+# ---------------------------------------------------------------- windows
+
+@query(
+    "w1_shifted_median",
+    f"""WITH {SERIES} SELECT event_id, CASE WHEN count(x) OVER w >= 20 THEN round(quantile_cont(CASE WHEN x > 0 THEN ln(x) END, 0.5) OVER w, 6) END AS expected FROM s WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)""",
+)
+def shifted_median(spark, d):
+    spec = windows.past(["event_type"], ["ts"], 60)
+    s = series(spark, d).withColumn("l", S.safe_log(F.col("x")))
+    return s.select("event_id", r6(F.when(F.count("x").over(spec) >= 20, F.percentile("l", F.lit(0.5)).over(spec))).alias("expected"))
+
+
+_GATE = f"""{SERIES}, g AS (SELECT event_id, event_type, ts, x AS t, lag(x, 1) OVER (PARTITION BY event_type ORDER BY ts) AS a, avg(x) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS b FROM s),
+    l AS (SELECT *, CASE WHEN t IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL THEN abs(a - t) END AS la, CASE WHEN t IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL THEN abs(b - t) END AS lb FROM g),
+    m AS (SELECT *, count(la) OVER w AS n, CASE WHEN count(la) OVER w >= 15 THEN avg(la) OVER w END AS ma, CASE WHEN count(la) OVER w >= 15 THEN avg(lb) OVER w END AS mb FROM l WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 31 PRECEDING AND 2 PRECEDING))"""
+
+
+def _gate(spark, d):
+    w = Window.partitionBy("event_type").orderBy("ts")
+    g = series(spark, d).select("event_id", "event_type", "ts", F.col("x").alias("t"), F.lag("x").over(w).alias("a"), F.avg("x").over(windows.past(["event_type"], ["ts"], 5)).alias("b"))
+    n, la, lb = windows.paired_losses(F.col("t"), F.col("a"), F.col("b"), windows.past(["event_type"], ["ts"], 30, 2), 15)
+    return g.withColumn("n", n).withColumn("ma", la).withColumn("mb", lb)
+
+
+@query(
+    "w2_w3_candidate_gate",
+    f"""WITH {_GATE} SELECT event_id, n, round(ma, 9) AS base_loss, round(mb, 9) AS other_loss, round(CASE WHEN a IS NOT NULL AND b IS NOT NULL AND ma - mb > 0.5 THEN 0.8 * (1 - exp(-(ma - mb - 0.5) / 3.0)) ELSE 0 END, 6) AS weight FROM m""",
+)
+def candidate_gate(spark, d):
+    present = F.col("a").isNotNull() & F.col("b").isNotNull()
+    return _gate(spark, d).select("event_id", "n", F.round("ma", 9).alias("base_loss"), F.round("mb", 9).alias("other_loss"), r6(windows.gate_weight(F.col("ma"), F.col("mb"), present, 0.5, 3.0, 0.8)).alias("weight"))
+
+
+@query(
+    "w4_prior_blend",
+    f"""WITH {_GATE} SELECT event_id, round(CASE WHEN ma IS NULL OR mb IS NULL THEN 0.9 ELSE 1 / (1 + exp(ln(0.1 / 0.9) - (ma - mb) / 2.0)) END, 6) AS weight FROM m""",
+)
+def prior_blend(spark, d):
+    return _gate(spark, d).select("event_id", r6(windows.prior_softmax(F.col("ma"), F.col("mb"), 0.1, 0.9, 2.0)).alias("weight"))
+
+
+@query(
+    "w5_matured_forward_median",
+    f"""WITH {SERIES}, f AS (SELECT *, CASE WHEN count(x) OVER w = 5 THEN quantile_cont(x, 0.5) OVER w END AS y FROM s WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))
+    SELECT event_id, round(y, 6) AS forward_median, count(y) OVER v AS matured, round(avg(abs(y - x)) OVER v, 9) AS past_loss FROM f WINDOW v AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 45 PRECEDING AND 6 PRECEDING)""",
+)
+def forward_median(spark, d):
+    ahead = Window.partitionBy("event_type").orderBy("ts").rowsBetween(1, 5)
+    f = series(spark, d).withColumn("y", F.when(F.count("x").over(ahead) == 5, F.percentile("x", F.lit(0.5)).over(ahead)))
+    v = windows.past(["event_type"], ["ts"], 40, 6)
+    return f.select("event_id", r6(F.col("y")).alias("forward_median"), F.count("y").over(v).alias("matured"), F.round(F.avg(F.abs(F.col("y") - F.col("x"))).over(v), 9).alias("past_loss"))
+
+
+@query(
+    "w9_causal_rank",
+    f"""WITH {SERIES}, h AS (SELECT event_id, x, list(x) FILTER (x IS NOT NULL) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS h FROM s), m AS (SELECT *, list_aggregate(h, 'quantile_cont', 0.5) AS mid FROM h)
+    SELECT event_id, round(CASE WHEN len(h) >= 10 AND x IS NOT NULL THEN 100.0 * len(list_filter(h, lambda v: v <= x)) / len(h) END, 6) AS pct, round(CASE WHEN len(h) >= 10 AND x IS NOT NULL THEN (x - mid) / greatest(1.4826 * list_aggregate(list_transform(h, lambda v: abs(v - mid)), 'quantile_cont', 0.5), 1e-8) END, 5) AS z FROM m""",
+)
+def causal_rank(spark, d):
+    pct, z = windows.causal_rank(F.col("x"), windows.past(["event_type"], ["ts"], 30), 10)
+    return series(spark, d).select("event_id", r6(pct).alias("pct"), F.round(z, 5).alias("z"))
+
+
+@query(
+    "w12_weekly_median_shrinkage",
+    f"""WITH {SERIES}, g AS (SELECT *, sum(CASE WHEN x IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM s)
+    SELECT event_id, CASE WHEN x IS NULL THEN 0 ELSE count(x) OVER w END AS n, round(CASE WHEN x > 0 THEN CASE WHEN count(x) OVER w < 5 THEN x ELSE exp(0.75 * ln(x) + 0.25 * quantile_cont(ln(x), 0.5) OVER w) END END, 5) AS smooth FROM g WINDOW w AS (PARTITION BY event_type, island ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
+)
+def shrinkage(spark, d):
+    x = F.col("x")
+    g = windows.islands(series(spark, d), ["event_type"], ["ts"], x.isNull())
+    w = Window.partitionBy("event_type", "island").orderBy("ts").rowsBetween(-4, 0)
+    n = F.count("x").over(w)
+    smooth = F.when(n < 5, x).otherwise(F.exp(0.75 * S.safe_log(x) + 0.25 * F.percentile(S.safe_log(x), F.lit(0.5)).over(w)))
+    return g.select("event_id", F.when(x.isNull(), 0).otherwise(n).alias("n"), F.round(F.when(x > 0, smooth), 5).alias("smooth"))
+
+
+@query(
+    "w15_ar1",
+    f"""WITH {SERIES}, p AS (SELECT event_type, ts, x, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS pos FROM s), l AS (SELECT *, lag(x) OVER (PARTITION BY event_type ORDER BY pos) AS px FROM p)
+    SELECT event_type, count(*) FILTER (px IS NOT NULL AND x IS NOT NULL) AS pairs, round(least(greatest(sum(px * x) / sum(CASE WHEN x IS NOT NULL THEN px * px END), -0.95), 0.95), 6) AS rho FROM l GROUP BY event_type""",
+)
+def ar1(spark, d):
+    p = series(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("event_type").orderBy("ts")))
+    return windows.ar1(p, ["event_type"], "ts", "pos", "x").select("event_type", "pairs", r6(F.col("rho")).alias("rho"))
+
+
+@query(
+    "w20_percent_rank",
+    """SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, round((rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2.0) / count(*) OVER (PARTITION BY l_suppkey), 6) AS pct FROM lineitem""",
+)
+def percent_rank(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", r6(windows.mean_percent_rank(F.col("l_quantity"), ["l_suppkey"])).alias("pct"))
+
+
+@query(
+    "w22_w23_transitions",
+    """WITH t AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS t0 FROM conversations)
+    SELECT conv_id, count(*) AS turns, count(*) FILTER (turn <> t0 + 1) AS gaps, count(*) FILTER (role = before) AS repeats FROM t GROUP BY conv_id""",
+)
+def transitions(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = table(spark, d, "conversations").select("conv_id", "turn", "role", F.lag("role").over(w).alias("before"), F.lag("turn").over(w).alias("t0"))
+    return t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("turn") != F.col("t0") + 1).alias("gaps"), F.count_if(F.col("role") == F.col("before")).alias("repeats"))
+
+
+# ---------------------------------------------------------------- metrics, folds, selection
+
+@query(
+    "a5_grouping_sets",
+    f"""WITH {_PRED}, e AS (SELECT m, (o_custkey % 10)::INT AS g, y > 100000 AS large, abs(f - y) AS ae FROM p)
+    SELECT m, g, large, count(ae) AS n, round(avg(ae), 4) AS mae FROM e GROUP BY GROUPING SETS ((m), (m, g), (m, large))""",
+)
+def grouping_sets(spark, d):
+    _predictions(spark, d).select("m", (F.col("o_custkey") % 10).cast("int").alias("g"), (F.col("y") > 100000).alias("large"), F.abs(F.col("f") - F.col("y")).alias("ae")).createOrReplaceTempView("a5_errors")
+    return spark.sql("SELECT m, g, large, count(ae) AS n, round(avg(ae), 4) AS mae FROM a5_errors GROUP BY GROUPING SETS ((m), (m, g), (m, large))")
+
+
+@query(
+    "a8_classification",
+    f"""WITH {_PROB}, z AS (SELECT t, CASE WHEN pa = greatest(pa, pb, pc) THEN 0 WHEN pb = greatest(pa, pb, pc) THEN 1 ELSE 2 END AS hat, greatest(pa, pb, pc) AS conf FROM n WHERE pa IS NOT NULL)
+    SELECT least(floor(conf * 10), 9)::INT AS bin, count(*) AS n, round(avg(conf), 6) AS confidence, round(avg(CASE WHEN hat = t THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM z GROUP BY bin""",
+)
+def classification(spark, d):
+    z = _probabilities(spark, d).filter("pa is not null").withColumn("conf", F.greatest("pa", "pb", "pc"))
+    hat = F.when(F.col("pa") == F.col("conf"), 0).when(F.col("pb") == F.col("conf"), 1).otherwise(2)
+    return z.withColumn("hit", (hat == F.col("t")).cast("double")).groupBy(F.least(F.floor(F.col("conf") * 10), F.lit(9)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("conf")).alias("confidence"), r6(F.avg("hit")).alias("accuracy"))
+
+
+@query(
+    "a9_precision_recall",
+    """WITH z AS (SELECT d.lang, (n_chars > 1500)::INT AS hat, quality AS t FROM documents d JOIN labels USING (doc_id)), c AS (SELECT lang, count(*) FILTER (hat = 1 AND t = 1) AS tp, count(*) FILTER (hat = 1 AND t = 0) AS fp, count(*) FILTER (hat = 0 AND t = 1) AS fn FROM z GROUP BY lang)
+    SELECT lang, tp, round(tp / nullif(tp + fp, 0), 6) AS prec, round(tp / nullif(tp + fn, 0), 6) AS rec, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c""",
+)
+def precision_recall(spark, d):
+    z = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("lang", (F.col("n_chars") > 1500).cast("int").alias("hat"), F.col("quality").alias("t"))
+    c = z.groupBy("lang").agg(F.expr("count_if(hat = 1 and t = 1)").alias("tp"), F.expr("count_if(hat = 1 and t = 0)").alias("fp"), F.expr("count_if(hat = 0 and t = 1)").alias("fn"))
+    return c.select("lang", "tp", r6(F.expr("try_divide(tp, tp + fp)")).alias("prec"), r6(F.expr("try_divide(tp, tp + fn)")).alias("rec"), r6(F.expr("try_divide(2 * tp, 2 * tp + fp + fn)")).alias("f1"))
+
+
+@query(
+    "a12_wis",
+    f"""WITH {_Q5}, z AS (SELECT l_suppkey, y, list_sort([a, b, c, d, e]) AS s FROM q)
+    SELECT l_suppkey, round(avg((0.5 * abs(y - s[3]) + 0.1 * ((s[5] - s[1]) + 10 * greatest(s[1] - y, 0) + 10 * greatest(y - s[5], 0)) + 0.25 * ((s[4] - s[2]) + 4 * greatest(s[2] - y, 0) + 4 * greatest(y - s[4], 0))) / 2.5), 4) AS wis, round(avg(CASE WHEN y BETWEEN s[1] AND s[5] THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(avg(greatest(0.5 * (y - s[3]), -0.5 * (y - s[3]))), 4) AS pinball_50 FROM z GROUP BY l_suppkey""",
+)
+def wis(spark, d):
+    s, y = F.col("s"), F.col("y")
+    z = _quantiles(spark, d).select("l_suppkey", "y", S.rearranged([F.col(c) for c in "abcde"]).alias("s"))
+    score = (0.5 * F.abs(y - s[2]) + 0.1 * S.interval_score(y, s[0], s[4], 0.2) + 0.25 * S.interval_score(y, s[1], s[3], 0.5)) / 2.5
+    return z.groupBy("l_suppkey").agg(F.round(F.avg(score), 4).alias("wis"), r6(F.avg(y.between(s[0], s[4]).cast("double"))).alias("coverage"), F.round(F.avg(S.pinball(y, s[2], 0.5)), 4).alias("pinball_50"))
+
+
+@query(
+    "a16_weighted_median",
+    """WITH r AS (SELECT l_suppkey, l_extendedprice AS v, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) AS run, sum(l_quantity) OVER (PARTITION BY l_suppkey) / 2 AS half FROM lineitem) SELECT l_suppkey, min(v) AS weighted_median FROM r WHERE run >= half GROUP BY l_suppkey""",
+)
+def weighted_median(spark, d):
+    return metrics.weighted_median(table(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", "l_quantity")
+
+
+@query(
+    "a17_interval_weighted_mean",
+    """WITH g AS (SELECT event_type, value, epoch(lead(ts) OVER (PARTITION BY event_type ORDER BY ts)) - epoch(ts) AS g FROM events), h AS (SELECT event_type, value, least(g, 3600) AS w FROM g WHERE g IS NOT NULL)
+    SELECT event_type, round(sum(value * w) / sum(w), 6) AS mean, count(*) FILTER (w = 3600) AS long_gaps FROM h GROUP BY event_type""",
+)
+def interval_mean(spark, d):
+    seconds = lambda c: c.cast("timestamp").cast("double")
+    gap = seconds(F.lead("ts").over(Window.partitionBy("event_type").orderBy("ts"))) - seconds(F.col("ts"))
+    g = table(spark, d, "events").withColumn("w", F.when(gap.isNotNull(), F.least(gap, F.lit(3600.0)))).filter("w is not null")
+    return g.groupBy("event_type").agg(r6(F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("mean"), F.count_if(F.col("w") == 3600).alias("long_gaps"))
+
+
+@query(
+    "a24_sign_enumeration",
+    """WITH y AS (SELECT year(o_orderdate) AS yr, round(avg(o_totalprice) - 100000, 2) AS delta FROM orders GROUP BY yr), k AS (SELECT row_number() OVER (ORDER BY yr) - 1 AS i, delta, count(*) OVER () AS n FROM y), m AS (SELECT unnest(range(0, (1 << max(n))::BIGINT)) AS mask FROM k),
+    t AS (SELECT mask, sum(CASE WHEN (mask >> i) & 1 = 1 THEN delta ELSE -delta END) AS s FROM m, k GROUP BY mask) SELECT count(*) AS patterns, count(*) FILTER (round(s, 2) >= round((SELECT sum(delta) FROM k), 2)) AS as_large FROM t""",
+)
+def sign_enumeration(spark, d):
+    y = table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("yr")).agg(F.round(F.avg("o_totalprice") - 100000, 2).alias("delta"))
+    one = y.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("yr", "delta"))), lambda s: s.delta).alias("v"))
+    masks = one.select("v", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, size(v)) - 1"))).alias("mask"))
+    s = F.expr("aggregate(sequence(0, size(v) - 1), 0D, (a, i) -> a + if(shiftright(mask, i) % 2 = 1, v[i], -v[i]))")
+    top = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return masks.select(s.alias("s"), top.alias("t")).agg(F.count(F.lit(1)).alias("patterns"), F.count_if(F.round("s", 2) >= F.round("t", 2)).alias("as_large"))
+
+
+@query(
+    "f1_purged_training",
+    f"""WITH {_ORD}, l AS (SELECT o_orderkey, o_orderdate AS origin, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY k) AS label_asof FROM o), c AS (SELECT unnest([TIMESTAMP '1997-01-01', TIMESTAMP '1999-01-01', TIMESTAMP '2001-01-01']) AS cutoff)
+    SELECT cutoff::DATE AS cutoff, count(*) AS rows_used, count(*) FILTER (origin >= cutoff - INTERVAL 1 YEAR) AS last_year FROM c JOIN l ON origin < cutoff AND label_asof < cutoff GROUP BY ALL""",
+)
+def purged(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("k")
+    rows = _ordered(spark, d).select(F.col("o_orderdate").alias("origin"), F.lead("o_orderdate").over(w).alias("label_asof"))
+    cut = spark.createDataFrame([("1997-01-01",), ("1999-01-01",), ("2001-01-01",)], "c string").select(F.col("c").cast("timestamp").alias("cutoff"))
+    out = folds.purged(rows, cut, "origin", "label_asof")
+    return out.groupBy(F.to_date("cutoff").alias("cutoff")).agg(F.count(F.lit(1)).alias("rows_used"), F.count_if(F.col("origin") >= F.add_months("cutoff", -12)).alias("last_year"))
+
+
+@query(
+    "f4_f5_session_folds",
+    """WITH r AS (SELECT o_orderdate::DATE AS s, (o_orderdate::DATE + (o_orderkey % 5)::INT) AS a FROM orders), i AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS i FROM (SELECT DISTINCT s FROM r)), m AS (SELECT max(i) AS m FROM i),
+    g AS (SELECT unnest(range(105, m + 1, 60)) AS first, m FROM m), n AS (SELECT first, t.s AS train_end, b.s AS test_start, e.s AS test_end FROM g JOIN i t ON t.i = first - 6 JOIN i b ON b.i = first JOIN i e ON e.i = first + 19),
+    tr AS (SELECT first, train_end, test_start, test_end, count(*) AS train_rows, min(s) AS train_start, count(DISTINCT s) AS d FROM n JOIN r ON r.s <= train_end AND r.a <= train_end GROUP BY ALL HAVING count(DISTINCT s) >= 100), te AS (SELECT first, count(*) AS test_rows FROM n JOIN r ON r.s BETWEEN test_start AND test_end GROUP BY first)
+    SELECT row_number() OVER (ORDER BY first) AS fold_id, train_start, train_end, test_start, test_end, train_rows, test_rows FROM tr JOIN te USING (first)""",
+)
+def session_folds(spark, d):
+    day = F.to_date("o_orderdate")
+    rows = table(spark, d, "orders").select(day.alias("s"), F.date_add(day, (F.col("o_orderkey") % 5).cast("int")).alias("a"))
+    return folds.session_folds(rows, "s", "a", min_train=100, test=20, step=60, embargo=5)
+
+
+@query(
+    "m14_simplex_weight",
+    f"""WITH {_PRED}, z AS (SELECT o_orderkey, any_value(y) AS y, max(CASE WHEN m = 'low' THEN f END) AS a, max(CASE WHEN m = 'highest' THEN f END) AS b FROM p GROUP BY o_orderkey), l AS (SELECT ln(y) - ln(a) AS q, ln(b) - ln(a) AS d FROM z WHERE a > 0 AND b > 0 AND y > 0)
+    SELECT count(*) AS n, round(CASE WHEN sum(d * d) > 0 THEN least(greatest(sum(d * q) / sum(d * d), 0), 1) ELSE 0.5 END, 6) AS weight FROM l""",
+)
+def simplex_weight(spark, d):
+    z = _predictions(spark, d).groupBy("o_orderkey", "y").pivot("m", ["low", "highest"]).agg(F.first("f"))
+    q, dd = S.safe_log(F.col("y")) - S.safe_log(F.col("low")), S.safe_log(F.col("highest")) - S.safe_log(F.col("low"))
+    l = z.select(q.alias("q"), dd.alias("d")).filter("q is not null and d is not null")
+    w = F.when(F.sum(F.col("d") * F.col("d")) > 0, F.least(F.greatest(F.sum(F.col("d") * F.col("q")) / F.sum(F.col("d") * F.col("d")), F.lit(0.0)), F.lit(1.0))).otherwise(0.5)
+    return l.agg(F.count(F.lit(1)).alias("n"), r6(w).alias("weight"))
+
+
+@query(
+    "m18_conformal",
+    """WITH s AS (SELECT o_orderpriority AS g, greatest(o_totalprice * 0.9 - (o_custkey % 100) * 1500, (o_custkey % 100) * 1500 - o_totalprice * 1.1) AS e FROM orders), r AS (SELECT *, count(*) OVER (PARTITION BY g) AS n, row_number() OVER (PARTITION BY g ORDER BY e) AS k FROM s)
+    SELECT g, round(greatest(max(e), 0), 4) AS correction, max(n) AS n FROM r WHERE k = least(ceil(least(ceil((n + 1) * 0.8) / n, 1) * (n - 1)) + 1, n) GROUP BY g""",
+)
+def conformal(spark, d):
+    y = F.col("o_custkey") % 100 * 1500
+    s = table(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), F.greatest(F.col("o_totalprice") * 0.9 - y, y - F.col("o_totalprice") * 1.1).alias("e"))
+    return metrics.conformal_expansion(s, ["g"], "e").select("g", F.round("correction", 4).alias("correction"), "n")
+
+
+@query(
+    "m26_pareto",
+    """WITH s AS (SELECT l_suppkey AS k, round(avg(l_discount), 6) AS cost, round(avg(l_quantity), 6) AS gain, round(avg(l_tax), 6) AS risk FROM lineitem GROUP BY l_suppkey)
+    SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.cost <= s.cost AND o.risk <= s.risk AND o.gain >= s.gain AND (o.cost < s.cost OR o.risk < s.risk OR o.gain > s.gain))""",
+)
+def pareto(spark, d):
+    s = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(r6(F.avg("l_discount")).alias("cost"), r6(F.avg("l_quantity")).alias("gain"), r6(F.avg("l_tax")).alias("risk"))
+    return metrics.pareto(s, "k", ["cost", "risk"], ["gain"])
+
+
+@query(
+    "w21_m25_leaderboard",
+    f"""WITH {_PRED}, s AS (SELECT m, round(avg(abs(ln(f) - ln(y))), 6) AS log_mae, count(f) / count(y) AS coverage FROM p WHERE y > 0 GROUP BY m) SELECT row_number() OVER (ORDER BY log_mae, m) AS rank, m, log_mae, coverage FROM s""",
+)
+def leaderboard(spark, d):
+    s = _predictions(spark, d).filter("y > 0").groupBy("m").agg(r6(F.avg(F.abs(F.ln("f") - F.ln("y")))).alias("log_mae"), (F.count("f") / F.count("y")).alias("coverage"))
+    return s.select(F.row_number().over(Window.orderBy("log_mae", "m")).alias("rank"), "m", "log_mae", "coverage")
+
+
+@query(
+    "u4_pivot_u9_ensemble",
+    f"""WITH {_PRED}, z AS (SELECT o_orderkey, max(CASE WHEN m = 'low' THEN f END) AS low, max(CASE WHEN m = 'close' THEN f END) AS mid, max(CASE WHEN m = 'highest' THEN f END) AS high FROM p GROUP BY o_orderkey)
+    SELECT o_orderkey, low, mid, high, CASE WHEN low IS NOT NULL AND mid IS NOT NULL AND high IS NOT NULL THEN list_sort([low, mid, high])[2] END AS median FROM z""",
+)
+def pivot(spark, d):
+    z = _predictions(spark, d).groupBy("o_orderkey").pivot("m", ["low", "close", "highest"]).agg(F.first("f"))
+    whole = F.col("low").isNotNull() & F.col("close").isNotNull() & F.col("highest").isNotNull()
+    return z.select("o_orderkey", "low", F.col("close").alias("mid"), F.col("highest").alias("high"), F.when(whole, F.array_sort(F.array("low", "close", "highest"))[1]).alias("median"))
+
+
+@query(
+    "q5_q14_audit_issues",
+    """SELECT 'duplicate_slot' AS issue, count(*) AS n FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'not_available', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate UNION ALL SELECT 'conflicting_truth', count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_quantity) > 1)""",
+)
+def audit(spark, d):
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    slot = li.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("c"), F.count_distinct("l_quantity").alias("v"))
+    issues = slot.agg(F.expr("count_if(c > 1)").alias("duplicate_slot"), F.expr("count_if(v > 1)").alias("conflicting_truth"))
+    late = li.join(o, li.l_orderkey == o.o_orderkey).filter("l_shipdate < o_orderdate").agg(F.count(F.lit(1)).alias("n"))
+    return issues.select(F.expr("stack(2, 'duplicate_slot', duplicate_slot, 'conflicting_truth', conflicting_truth) as (issue, n)")).unionAll(late.select(F.lit("not_available"), "n"))
+
+
+@query(
+    "s6_nested_props",
+    """SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k FROM events GROUP BY event_type""",
+)
+def nested_props(spark, d):
+    e = table(spark, d, "events").select("event_type", F.from_json("props", "k bigint").alias("p"))
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("p.k").alias("k"))
