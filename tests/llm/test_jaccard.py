@@ -49,7 +49,7 @@ def corpus(rng, n=160):
 def test_against_all_pairs(spark, most):
     rows = corpus(random.Random(11)) + [(900, ""), (901, None), (902, " \t\n"), (903, "A b"), (904, "a  B"), (905, "é è"), (905, "é è")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = jaccard.jaccard_components(docs, most_shingles=most, bucket_shingles=500).collect()
+    got = jaccard.jaccard_components(docs, most_shingles=most, bucket_entries=500).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
 
 

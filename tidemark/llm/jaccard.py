@@ -1,21 +1,24 @@
 """Exact Jaccard join of five-word shingle sets, with set-relation skipping.
 
-1. One pass over the texts gives each document's set size and set hash (equal
-   sets are one set from here on) and the shingles that many documents hold.
-2. Prefix filter: in a global order (rare shingles by hash, frequent ones last)
-   two sets that reach the threshold share a shingle of their prefixes of
-   n - ceil(t n) + 1. Prefixes go out packed, by shingle bucket, each bucket of
-   a bounded number of shingles; inside a bucket, sets that share a shingle and
-   whose sizes are compatible are chained. The chains' connected components
-   hold every link there can be.
+1. One pass over the texts gives each document's set size and set hash; equal
+   sets are one set from here on.
+2. Candidates. Sort the union of two sets by hash: the shingles that only one
+   of them holds (at most a quarter at 0.75) cut the common ones into runs, so
+   some runs have three neighbours in both. Triples of neighbours are therefore
+   an exact filter, one that shared passages rarely pass, and a prefix of them
+   is enough (sets under 15 shingles use single shingles). Prefixes go out
+   packed, by bucket, each bucket of a bounded number of entries; inside a
+   bucket, sets that share an entry and whose sizes are compatible are chained.
+   The chains' connected components hold every link there can be.
 3. Each component's sets meet in one task, if they are at most `most_shingles`
-   in all, and are joined there: sets come by size, so an index list is skipped
-   up to the first position of compatible size; a list whose members are all in
-   the current set's class is skipped whole; and where the overlap of a highly
-   similar set with a candidate is known, the candidate's answer is derived from
-   it (bounds on the overlap) and counted only if the bounds leave it open.
-4. Larger components are joined across tasks: each shingle's list first meets
-   its smallest member only, and after their classes are merged only pairs of
+   in all, and are joined there: index lists are ordered by set size, so a list
+   is entered at the position of the first compatible size; a list whose members
+   are all in the current set's class is skipped whole; and where the overlap of
+   a highly similar set with a candidate is known, the candidate's answer is
+   derived from it (bounds on the overlap) and counted only if the bounds leave
+   it open.
+4. Larger components are joined across tasks: each entry's list first meets its
+   smallest member only, and after their classes are merged only pairs of
    different classes are still verified.
 
 Defined results: null or empty texts have no shingles and link with nothing;
@@ -28,8 +31,6 @@ columns are ignored. Shingles are 64-bit hashes; sets of equal hash count as equ
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .components import connected_components
-from .storage import with_row_key, written
+from .storage import bounded_batches, small, with_row_key, written
 
 N, PERCENT = 5, 75
 
@@ -47,8 +48,30 @@ def least_overlap(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def prefix_size(n: int, percent: int) -> int:
-    return n + percent * n // -100 + 1
+#: Sets of at least TRIPLES shingles have triples of neighbours, sets under SINGLES single shingles;
+#: at 0.75 a set under 15 can only link with sets under 20, so any two that may link have one kind in common.
+TRIPLES, SINGLES = 15, 20
+
+
+def common_triples(u: int, percent: int) -> int:
+    """The least number of triples of neighbours that two linking sets with a union of u have in common."""
+    return u - 3 * (u * (100 - percent) // 100) - 2
+
+
+def entries(s: np.ndarray, percent: int, prefix: bool) -> np.ndarray:
+    """The entries of a sorted set in the index: all of them, or the prefix that a link cannot avoid."""
+    n, out = len(s), []
+    triples = percent >= 75 and n >= TRIPLES
+    if not triples or n < SINGLES:
+        out.append(textkit.mix64(s[: n + percent * n // -100 + 1] if prefix else s))
+    if triples:
+        t = textkit.mix64(textkit.mix64(s[:-2] * np.uint64(3) + s[1:-1]) * np.uint64(5) + s[2:])
+        if prefix:
+            sure = min(common_triples(u, percent) for u in range(n, 100 * n // percent + 1)) if n < 200 else -(-n * (3 * percent - 200) // 100) - 3
+            keep = len(t) - max(sure, 1) + 1
+            t = np.partition(t, keep - 1)[:keep] if keep < len(t) else t
+        out.append(t)
+    return np.concatenate(out) if len(out) > 1 else out[0]
 
 
 def document_sets(raw: np.ndarray, offsets: np.ndarray, n: int = N):
@@ -98,30 +121,16 @@ def _each_set(batches, n: int, extra: int = 0):
                 yield tuple(h[a + k] for h in heads), s
 
 
-def set_table(texts: DataFrame, n: int, local_least: int = 8) -> DataFrame:
-    """Rows (rid, size, sid) for documents and (rid null, size, sid) = (documents, shingle)
-    for shingles of at least local_least documents of a partition."""
+def set_table(texts: DataFrame, n: int) -> DataFrame:
+    """(rid, size, sid): each document's set size and set hash, null for no shingles."""
 
     def run(batches):
-        rows, held, total = [], [], 0
-
-        def frequent():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            many = counts >= local_least
-            return [(None, int(c), int(v)) for v, c in zip(values[many].view(np.int64), counts[many])]
-
+        rows = []
         for (rid,), s in _each_set(batches, n):
             rows.append((rid, len(s), set_hash(s) if len(s) else None))
-            held.append(s)
-            total += len(s)
-            if total >= 6_000_000:
-                rows += frequent()
-                held, total = [], 0
             if len(rows) >= 20_000:
                 yield _batch(rows)
                 rows = []
-        if held:
-            rows += frequent()
         if rows:
             yield _batch(rows)
 
@@ -133,42 +142,6 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["rid", "size", "sid"])
 
 
-def frequent_shingles(table: DataFrame, most: int) -> np.ndarray:
-    """At most `most` shingle hashes, by rising number of documents: the last in the global order."""
-    counts = written(table.filter("rid is null").groupBy("sid").agg(F.sum("size").alias("n")), "frequent")
-    left, least = 0, None
-    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).collect():
-        left += r.c
-        if left > most:
-            break
-        least = r.n
-    if least is None:
-        return np.zeros(0, np.uint64)
-    got = counts.filter(F.col("n") >= least).toArrow()
-    h, n = got["sid"].to_numpy().astype(np.int64).view(np.uint64), got["n"].to_numpy()
-    return h[np.lexsort((h, n))]
-
-
-class Order:
-    """The global order of shingles."""
-
-    def __init__(self, frequent: np.ndarray):
-        self.by_hash = np.argsort(frequent)
-        self.sorted = frequent[self.by_hash]
-
-    def prefix(self, s: np.ndarray, percent: int) -> np.ndarray:
-        p = prefix_size(len(s), percent)
-        if not len(self.sorted):
-            return s[:p]
-        at = np.minimum(np.searchsorted(self.sorted, s), len(self.sorted) - 1)
-        known = self.sorted[at] == s
-        rare = s[~known]
-        if len(rare) >= p:
-            return rare[:p]
-        late = s[known][np.argsort(self.by_hash[at[known]])]
-        return np.concatenate([rare, late[: p - len(rare)]])
-
-
 class Classes:
     """Union-find over small integers."""
 
@@ -182,12 +155,9 @@ class Classes:
             x = up[x]
         return x
 
-    def join(self, a: int, b: int) -> int:
+    def join(self, a: int, b: int) -> None:
         a, b = self.find(a), self.find(b)
-        if a != b:
-            a, b = min(a, b), max(a, b)
-            self.up[b] = a
-        return a
+        self.up[max(a, b)] = min(a, b)
 
 
 _MASK = np.uint64((1 << 40) - 1)
@@ -223,12 +193,10 @@ def _unpack(blob: bytes):
     return ids, ns, count, t.reshape(-1).view(np.uint64)
 
 
-def candidate_edges(texts: DataFrame, n: int, percent: int, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """(a, b): chained pairs of set hashes that share a prefix shingle; a bucket's chains as a forest."""
-    order_value = texts.sparkSession.sparkContext.broadcast(frequent)
+def candidate_edges(texts: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """(a, b): chained pairs of set hashes that share an entry; a bucket's chains as a forest."""
 
     def pack(batches):
-        order = Order(order_value.value)
         sids, sizes, prefixes, held, seen = [], [], [], 0, set()
 
         def out():
@@ -241,12 +209,12 @@ def candidate_edges(texts: DataFrame, n: int, percent: int, frequent: np.ndarray
             if not len(s) or (key := set_hash(s)) in seen:
                 continue
             seen.add(key)
-            p = order.prefix(s, percent)
+            p = entries(s, percent, prefix=True)
             sids.append(key)
             sizes.append(len(s))
             prefixes.append(p)
             held += len(p)
-            if held >= 4_000_000:
+            if held >= 2_000_000:
                 yield from out()
                 sids, sizes, prefixes, held, seen = [], [], [], 0, set()
         if sids:
@@ -283,54 +251,90 @@ def candidate_edges(texts: DataFrame, n: int, percent: int, frequent: np.ndarray
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def join_sets(sets: list[np.ndarray], percent: int) -> Classes:
-    """Classes of the sets (ascending in size) under exact links: the in-task join."""
-    classes = Classes(len(sets))
-    index: dict[int, list] = {}  # shingle -> [members by rising size, a member of the class if they all share one, else -1]
-    size = [len(s) for s in sets]
-    known: list[dict[int, int]] = []  # overlaps computed for each set
-    for x, s in enumerate(sets):
-        nx = size[x]
-        least = -(-percent * nx // 100)
-        tried: dict[int, int] = {}
-        similar = None  # (a highly similar earlier set, its overlap)
-        p = prefix_size(nx, percent)
-        for pos, t in enumerate(s[:p].tolist()):
-            entry = index.get(t)
-            if entry is None:
-                continue
-            members, whole = entry
-            if whole >= 0 and classes.find(whole) == classes.find(x):
+def join_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set (ascending in size) the place of its class's first set under exact links."""
+    m = len(sets)
+    size = np.array([len(s) for s in sets])
+    label = np.arange(m)
+    parts = [entries(s, percent, prefix=False) for s in sets]
+    doc = np.repeat(np.arange(m, dtype=np.int32), [len(p) for p in parts])
+    flat = np.concatenate(parts)
+    del parts
+    # only entries that two sets share make a list
+    run = np.sort(flat)
+    again = run[1:] == run[:-1]
+    values = run[1:][again & np.append(~again[1:], True)]
+    del run, again
+    if not len(values):
+        return label
+    lists = np.minimum(np.searchsorted(values, flat), len(values) - 1).astype(np.int32)
+    shared = values[lists] == flat
+    doc, lists = doc[shared], lists[shared]
+    n_lists = len(values)
+    del flat, shared, values
+    own = np.searchsorted(doc, np.arange(m + 1))  # lists of each set
+    key = lists.astype(np.int64) * m + doc
+    key.sort()  # members by list, then by size
+    del doc
+    first = np.full(n_lists, -1)  # a member of each list; mixed: not all are in its class
+    mixed = np.zeros(n_lists, bool)
+    known: list[dict[int, int]] = [{} for _ in range(m)]
+
+    def join(x, y):
+        a, b = sorted((label[x], label[y]))
+        label[label == b] = a
+
+    def answer(x, members, similar, whole):
+        """Verify candidates of x, most shared entries first; the most similar set found so far.
+
+        whole: members come from all of x's lists, so that too few of them rule a candidate out.
+        """
+        nx = int(size[x])
+        seen = np.bincount(members, minlength=1)
+        candidates = np.flatnonzero(seen)
+        if whole and percent >= 75 and nx >= SINGLES:
+            ny = size[candidates]
+            need = -(-percent * (nx + ny) // (100 + percent))
+            fewest = need - 2 * (nx + ny - 2 * need + 1)
+            candidates = candidates[(ny < SINGLES) | (seen[candidates] >= fewest)]
+        for y in candidates[np.argsort(-seen[candidates], kind="stable")].tolist():
+            if label[y] == label[x] or y in known[x]:
                 continue
-            lo = bisect_left(members, least, key=size.__getitem__)
-            for y in members[lo:]:
-                if y in tried or classes.find(y) == classes.find(x):
+            ny = int(size[y])
+            need = least_overlap(nx, ny, percent)
+            if similar is not None and (oz := known[similar[0]].get(y)) is not None:
+                z, o = similar
+                if o + oz - int(size[z]) >= need:
+                    join(x, y)
                     continue
-                need = least_overlap(nx, size[y], percent)
-                if pos + need > nx:  # too late in x to reach the overlap from here; an earlier list had its turn
-                    tried[y] = -1
+                if min(nx, oz + nx - o) < need:
                     continue
-                if similar is not None and (oz := known[similar[0]].get(y, -1)) >= 0:
-                    z, o = similar
-                    if o + oz - size[z] >= need:
-                        classes.join(x, y)
-                        continue
-                    if min(nx, oz + nx - o) < need:
-                        tried[y] = -1
-                        continue
-                o = overlap(s, sets[y])
-                tried[y] = o
-                if o >= need:
-                    classes.join(x, y)
-                    if similar is None or o > similar[1]:
-                        similar = (y, o)
-        known.append({y: o for y, o in tried.items() if o >= 0})
-        for t in s[:p].tolist():
-            entry = index.setdefault(t, [[], x])
-            entry[0].append(x)
-            if entry[1] >= 0 and classes.find(entry[1]) != classes.find(x):
-                entry[1] = -1
-    return classes
+            o = known[x][y] = overlap(sets[x], sets[y])
+            if o >= need:
+                join(x, y)
+                if similar is None or o > similar[1]:
+                    similar = (y, o)
+        return similar
+
+    for x in range(m):
+        mine = lists[own[x] : own[x + 1]]
+        lo = int(np.searchsorted(size, -(-percent * int(size[x]) // 100)))
+        similar = None
+        for whole, part in ((False, mine[:4]), (True, mine)):  # a first link lets most lists be skipped
+            part = part[first[part] >= 0]
+            part = part[mixed[part] | (label[first[part]] != label[x])]
+            if len(part) and lo < x:
+                a, b = np.searchsorted(key, part.astype(np.int64) * m + lo), np.searchsorted(key, part.astype(np.int64) * m + x)
+                n = b - a
+                at = np.arange(int(n.sum())) + np.repeat(a - (np.cumsum(n) - n), n)
+                members = key[at] % m
+                members = members[label[members] != label[x]]
+                if len(members):
+                    similar = answer(x, members, similar, whole)
+        fresh = first[mine] < 0
+        mixed[mine] |= ~fresh & (label[first[mine]] != label[x])
+        first[mine[fresh]] = x
+    return label
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -347,8 +351,8 @@ def _join_components(batches, percent: int):
 
     def flush():
         held.sort(key=lambda r: (len(r[1]), r[0]))
-        classes = join_sets([r[1] for r in held], percent)
-        mine = [(r[0], held[classes.find(k)][0]) for k, r in enumerate(held)]
+        label = join_sets([r[1] for r in held], percent)
+        mine = [(r[0], held[label[k]][0]) for k, r in enumerate(held)]
         return [x for x in mine if x[0] != x[1]]
 
     out = []
@@ -388,7 +392,7 @@ def shipped_sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         if rows:
             yield _sets(rows)
 
-    return texts.join(wanted, "rid").select("comp", "sid", "text").mapInArrow(run, "comp bigint, sid bigint, shingles binary")
+    return texts.join(small(wanted, 1_000_000), "rid").select("comp", "sid", "text").mapInArrow(run, "comp bigint, sid bigint, shingles binary")
 
 
 def _sets(rows):
@@ -396,19 +400,17 @@ def _sets(rows):
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], names=["comp", "sid", "shingles"])
 
 
-def join_large(sets: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame:
+def join_large(sets: DataFrame, percent: int) -> DataFrame:
     """Exact edges among the sets (sid, shingles) of components too large for one task."""
-    order_value = sets.sparkSession.sparkContext.broadcast(frequent)
 
     def post(batches):
-        order = Order(order_value.value)
         for batch in batches:
             for sid, blob in zip(batch.column(0), batch.column(1)):
                 s = np.frombuffer(blob.as_py(), np.uint64)
-                p = order.prefix(s, percent)
-                yield pa.RecordBatch.from_pydict({"t": p.view(np.int64), "sid": np.full(len(p), sid.as_py()), "size": np.full(len(p), len(s)), "pos": np.arange(len(p))})
+                p = entries(s, percent, prefix=True)
+                yield pa.RecordBatch.from_pydict({"t": p.view(np.int64), "sid": np.full(len(p), sid.as_py()), "size": np.full(len(p), len(s))})
 
-    lists = written(sets.select("sid", "shingles").mapInArrow(post, "t bigint, sid bigint, size bigint, pos bigint"), "lists")
+    lists = written(sets.select("sid", "shingles").mapInArrow(post, "t bigint, sid bigint, size bigint"), "lists")
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa"))
@@ -435,24 +437,21 @@ def join_large(sets: DataFrame, percent: int, frequent: np.ndarray) -> DataFrame
     named = lists.join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     mixed = named.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("t")
     named = written(named.join(mixed, "t", "left_semi"), "mixed")
-    a = named.select("t", F.col("sid").alias("a"), F.col("size").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
-    b = named.select("t", F.col("sid").alias("b"), F.col("size").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-    need = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
-    pairs = a.join(b, "t").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sized & (reach >= need)).select("a", "b").distinct()
+    a = named.select("t", F.col("sid").alias("a"), F.col("size").alias("na"), F.col("component").alias("ca"))
+    b = named.select("t", F.col("sid").alias("b"), F.col("size").alias("nb"), F.col("component").alias("cb"))
+    pairs = a.join(b, "t").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sized).select("a", "b").distinct()
     return one.unionAll(verify(pairs))
 
 
-def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, most_shingles: int = 8_000_000, most_frequent: int = 1 << 16, bucket_shingles: int = 2_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, most_shingles: int = 6_000_000, bucket_entries: int = 2_000_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, rid."""
+    bounded_batches(docs.sparkSession)
     keyed = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key="rid")
     texts = keyed.select("rid", "text")
-    table = written(set_table(texts, n), "sets")
-    rows = table.filter("rid is not null")
-    frequent = frequent_shingles(table, most_frequent)
+    rows = written(set_table(texts, n), "sets")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, math.ceil(total * (1 - percent / 100) / bucket_shingles))
-    coarse = connected_components(candidate_edges(texts, n, percent, frequent, buckets)).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
+    buckets = max(1, math.ceil(total / bucket_entries))
+    coarse = connected_components(candidate_edges(texts, n, percent, buckets)).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
     one = rows.filter("sid is not null").groupBy("sid").agg(F.min("rid").alias("rid"), F.first("size").alias("size"))
     wanted = written(one.join(coarse, "sid"), "wanted")
     weight = wanted.groupBy("comp").agg(F.sum("size").alias("w"))
@@ -466,7 +465,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, most
     links = shipped.repartition(parts, "comp").sortWithinPartitions("comp").mapInArrow(lambda it: _join_components(it, percent), "a bigint, b bigint")
     if any_big:
         sets = written(shipped_sets(texts, near.join(big, "comp", "left_semi"), n).select("sid", "shingles"), "large")
-        links = links.unionAll(join_large(sets, percent, frequent))
+        links = links.unionAll(join_large(sets, percent))
         links = connected_components(links).select(F.col("node").alias("a"), F.col("component").alias("b"))
     # b is one class's representative; sets without links stand for themselves
     links = written(links, "links")

@@ -56,3 +56,11 @@ def small(df: DataFrame, most: int = 200_000) -> DataFrame:
     Beyond that Spark joins by shuffle, where adaptive execution splits hot keys.
     """
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def bounded_batches(spark: SparkSession, mb: int = 4) -> None:
+    """Bound the bytes of the Arrow batches that Python workers get in this session.
+
+    Rows hold whole texts, so a bound on rows alone would not bound memory.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
