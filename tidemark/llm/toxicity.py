@@ -203,7 +203,7 @@ class Network:
         return doc, out
 
 
-def train(texts: list[str], toxic: np.ndarray, most_windows: int = 60_000, least_passes: int = 30_000, seed: int = 5, rate: float = 0.01, decay: float = 1e-4) -> Network:
+def train(texts: list[str], toxic: np.ndarray, most_windows: int = 30_000, least_passes: int = 30_000, seed: int = 5, rate: float = 0.01, decay: float = 1e-4) -> Network:
     """A network fitted to windows labelled as their texts are."""
     raw, offsets = textkit.columns_bytes(pa.array(texts, pa.large_string()))
     raw, starts, ends, per = tokens(raw, offsets)
