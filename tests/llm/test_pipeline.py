@@ -108,7 +108,7 @@ def test_empty_and_odd_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert exact_dedup.exact_dedup(docs).collect() == []
     assert mixing.mix(docs).collect() == []
-    odd = spark.createDataFrame([(None, None, "x", None, 1), (None, "a", "x", None, 1), (2, "a", "x", "s", 1), (2, "a", "x", "s", 1)], "doc_id long, text string, keep_id string, source string, size int")
+    odd = spark.createDataFrame([(None, None, "x", None, 1), (None, "a", "x", None, 1), (2, "a", "x", "s", 1), (2, "a", "x", "s", 1)], "doc_id long, text string, keep_id string, source string, size int").selectExpr("*", "1 as digest", "2 as target", "3 as h", "4 as passes", "5 as comp", "6 as sid", "7 as a")
     got = exact_dedup.exact_dedup(odd).collect()
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in got) == [("2", "2", 3, False), ("2", "2", 3, True), ("None", "2", 3, False), ("None", "None", 1, True)]
     assert exact_dedup.kept_rows(odd).count() == 2 and exact_dedup.kept_rows(odd).columns == odd.columns

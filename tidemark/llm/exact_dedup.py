@@ -86,12 +86,12 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     taken = docs.withColumn("_digest", mark).join(F.broadcast(heavy), F.col("_digest") == F.col("_hd"), "left")
     taken = taken.filter(F.col("_hd").isNull() | F.col("_hk").eqNullSafe(F.col("doc_id"))).drop("_hd", "_hk")
     rest = rows.join(F.broadcast(heavy), F.col("digest") == F.col("_hd"), "left_anti")
-    winners = rest.groupBy("digest").agg(F.min(_order()).alias("first")).select("digest", F.col("first.doc_id").alias("_k"))
-    winners = winners.unionAll(heavy.select(F.col("_hd").alias("digest"), F.col("_hk").alias("_k")))
-    out = taken.join(winners.hint("shuffle_hash"), (F.col("_digest") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi")
+    winners = rest.groupBy("digest").agg(F.min(_order()).alias("first")).select(F.col("digest").alias("_wd"), F.col("first.doc_id").alias("_wk"))
+    winners = winners.unionAll(heavy.select("_hd", "_hk"))
+    out = taken.join(winners.hint("shuffle_hash"), (F.col("_digest") == F.col("_wd")) & F.col("doc_id").eqNullSafe(F.col("_wk")), "left_semi")
     repeated = rows.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
     if repeated:
-        out = out.withColumn("_n", F.row_number().over(Window.partitionBy("_digest", "doc_id").orderBy("doc_id"))).filter("_n = 1").drop("_n")
+        out = out.withColumn("_copy", F.row_number().over(Window.partitionBy("_digest", "doc_id").orderBy("doc_id"))).filter("_copy = 1").drop("_copy")
     return out.select(*docs.columns)
 
 

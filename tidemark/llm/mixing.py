@@ -62,11 +62,16 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_TIMES) -> DataFr
     return w.select("source", "source_size", target.alias("target"))
 
 
+def _hash():
+    """48 bits of a hash of id and text."""
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col("text"), F.lit("")))
+    return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, h): h is 48 bits of a hash of id and text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    h = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text)), 1, 12), 16, 10).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), h.alias("h"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), _hash().alias("h"))
 
 
 def plan(rows: DataFrame) -> DataFrame:
@@ -117,10 +122,10 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as the mix takes it."""
-    p = small(plan(written(sized(docs), "sized")).withColumnRenamed("source", "_s"))
-    h = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col("text"), F.lit("")))), 1, 12), 16, 10).cast("long")
+    p = plan(written(sized(docs), "sized"))
+    p = small(p.select(F.col("source").alias("_s"), F.col("passes").alias("_passes"), F.col("threshold").alias("_threshold")))
     out = docs.join(p, F.col("source").cast("string").eqNullSafe(F.col("_s")))
-    copies = F.when(F.col("passes") >= MOST_TIMES, F.lit(MOST_TIMES).cast("long")).otherwise(F.col("passes") + (h <= F.col("threshold")).cast("long"))
+    copies = F.when(F.col("_passes") >= MOST_TIMES, F.lit(MOST_TIMES).cast("long")).otherwise(F.col("_passes") + (_hash() <= F.col("_threshold")).cast("long"))
     out = out.withColumn("_copies", copies.cast("int")).filter("_copies > 0")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
