@@ -105,7 +105,7 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 8, leaves: int = 48, leaf_rows: int = 256, sample: int = 20_000, shard: int = 4096, seed: int = 11, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 8, leaves: int = 112, leaf_rows: int = 512, sample: int = 20_000, shard: int = 4096, seed: int = 11, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by `every`."""
     spark = vectors.sparkSession
     bounded_batches(spark)
