@@ -237,7 +237,7 @@ def _open_block(lens, text, width, seed):
     return raw, offsets, Block(raw, offsets, width, seed)
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED, block_mb: int = 8, bucket_mb: int = 8, digest: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = SEED, block_mb: int = 4, bucket_mb: int = 8, digest: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, and what is kept:
     kept binary, or with digest its kept_sha256."""
     bounded_batches(docs.sparkSession)
