@@ -31,14 +31,13 @@ import json
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .storage import written
+from .storage import bounded_batches, written
 
 BUCKETS = 65536
 NO_RANK = 2147483647
@@ -132,19 +131,56 @@ def heap_encode(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 _BLOCK = "ids array<bigint>, lens binary, codes binary, slots binary, tail array<string>, long_ids binary, long_lens binary, long_text array<string>"
 
 
-def _as_block(rows: list[tuple], hot_hashes: np.ndarray, ranks, long_word: int) -> dict:
-    """One block: word codes of all its documents and the distinct words that the hot table lacks.
+class Block:
+    """Some whole documents: their word codes and where each distinct word first stands.
+
+    Slices are numbered on their own first, so that only distinct words are kept as 64-bit values.
+    """
+
+    def __init__(self):
+        self.ids, self.raw, self.lens, self.codes = [], [], [], []
+        self.starts, self.ends, self.hashes, self.bytes = [], [], [], 0
+
+    def add(self, ids: list, raw: np.ndarray, offsets: np.ndarray) -> None:
+        s, e, per = textkit.pretokens(raw, offsets)
+        h, first, codes = np.unique(textkit.span_hash(raw, s, e), return_index=True, return_inverse=True)
+        self.ids += ids
+        self.raw.append(raw.tobytes())
+        self.lens.append(per.astype(np.int32))
+        self.codes.append(codes.astype(np.int32))
+        self.starts.append((s[first] + self.bytes).astype(np.int32))
+        self.ends.append((e[first] + self.bytes).astype(np.int32))
+        self.hashes.append(h)
+        self.bytes += len(raw)
+
+    def close(self):
+        """(hashes, starts, ends, codes, Latin-1 text): distinct words of the block and all its words."""
+        h, first, inverse = np.unique(np.concatenate(self.hashes), return_index=True, return_inverse=True)
+        inverse, base = inverse.astype(np.int32), np.cumsum([0] + [len(x) for x in self.hashes])
+        codes = np.concatenate([inverse[base[k] + c] for k, c in enumerate(self.codes)])
+        return h, np.concatenate(self.starts)[first], np.concatenate(self.ends)[first], codes, b"".join(self.raw).decode("latin-1")
+
+
+def blocks_of(batches, block_bytes: int):
+    block = Block()
+    for batch in batches:
+        ids = batch.column(0).to_pylist()
+        raw, offsets = textkit.columns_bytes(batch.column(1))
+        for a, b, r, o in textkit.slices(raw, offsets):
+            block.add(ids[a:b], r, o)
+            if block.bytes >= block_bytes:
+                yield block
+                block = Block()
+    if block.ids:
+        yield block
+
+
+def _as_row(block: Block, hot_hashes: np.ndarray, ranks, long_word: int) -> dict:
+    """The block as one row, with the distinct words that the hot table lacks.
 
     slots, by code: a place in the hot table, or below zero -1 - place in tail + long words.
     """
-    raw = np.concatenate([r[1] for r in rows])
-    base = np.cumsum([0] + [len(r[1]) for r in rows])
-    starts = np.concatenate([r[2] + b for r, b in zip(rows, base)])
-    ends = np.concatenate([r[3] + b for r, b in zip(rows, base)])
-    codes, uniq = pd.factorize(np.concatenate([r[4] for r in rows]))
-    first = np.empty(len(uniq), np.int64)
-    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-    starts, ends = starts[first], ends[first]
+    uniq, starts, ends, codes, text = block.close()
     slots = np.full(len(uniq), -1, np.int32)
     if len(hot_hashes) and len(uniq):
         at = np.minimum(np.searchsorted(hot_hashes, uniq), len(hot_hashes) - 1)
@@ -155,13 +191,12 @@ def _as_block(rows: list[tuple], hot_hashes: np.ndarray, ranks, long_word: int)
     big = np.flatnonzero((slots < 0) & (size > long_word))
     slots[tail] = -1 - np.arange(len(tail))
     slots[big] = -1 - len(tail) - np.arange(len(big))
-    text = raw.tobytes().decode("latin-1")
     done = [heap_encode(text[starts[k] : ends[k]].encode("latin-1"), ranks()) for k in big]
     piece = {v: k for k, v in ranks().items()} if done else {}
     return {
-        "ids": [x for r in rows for x in r[0]],
-        "lens": np.concatenate([r[5] for r in rows]).astype(np.int32).tobytes(),
-        "codes": codes.astype(np.int32).tobytes(),
+        "ids": block.ids,
+        "lens": np.concatenate(block.lens).tobytes(),
+        "codes": codes.tobytes(),
         "slots": slots.tobytes(),
         "tail": [text[a:b] for a, b in zip(starts[tail].tolist(), ends[tail].tolist())],
         "long_ids": np.array([x for d in done for x in d], np.int32).tobytes(),
@@ -170,23 +205,6 @@ def _as_block(rows: list[tuple], hot_hashes: np.ndarray, ranks, long_word: int)
     }
 
 
-def blocks_of(batches, block_bytes: int):
-    """Lists of (ids, bytes, starts, ends, hashes, words per document) of about block_bytes each."""
-    rows, held = [], 0
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        raw, offsets = textkit.columns_bytes(batch.column(1))
-        for a, b, r, o in textkit.slices(raw, offsets):
-            s, e, per = textkit.pretokens(r, o)
-            rows.append((ids[a:b], r.copy(), s, e, textkit.span_hash(r, s, e), per))
-            held += len(r)
-            if held >= block_bytes:
-                yield rows
-                rows, held = [], 0
-    if rows:
-        yield rows
-
-
 def _expand(lens: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Indices that replace each code by its run at[code] .. at[code] + lens[code]."""
     n = lens[codes]
@@ -194,12 +212,27 @@ def _expand(lens: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) + np.repeat(at[codes] - first, n)
 
 
+def _dictionary(slots, hot_lens, hot_flat, own_lens, own_flat):
+    """(lengths, flat values) of a block's distinct words, from the hot table and the block's own."""
+    hot = slots >= 0
+    own = -1 - slots[~hot].astype(np.int64)
+    lens = np.empty(len(slots), np.int64)
+    lens[hot], lens[~hot] = hot_lens[slots[hot]], own_lens[own]
+    out = np.empty(int(lens.sum()), hot_flat.dtype)
+    to = np.cumsum(lens) - lens
+    hot_at, own_at = np.cumsum(hot_lens, dtype=np.int64) - hot_lens, np.cumsum(own_lens) - own_lens
+    for sel, take_lens, at, codes, flat in ((hot, hot_lens, hot_at, slots[hot], hot_flat), (~hot, own_lens, own_at, own, own_flat)):
+        if sel.any():
+            out[_expand(lens, to, np.flatnonzero(sel))] = flat[_expand(take_lens, at, codes)]
+    return lens, out
+
+
 def _lens(lists) -> np.ndarray:
     f = pc.utf8_length if pa.types.is_string(lists.type) or pa.types.is_large_string(lists.type) else pc.list_value_length
     return f(lists).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _documents(batches, hot, most_words: int = 400_000):
+def _documents(batches, hot, most_words: int = 200_000):
     """(ids of documents, token ids, their cuts, decoded bytes, their cuts), some documents at a time."""
     hot_lens, hot_ids, hot_blens, hot_bytes = hot
     for batch in batches:
@@ -207,19 +240,17 @@ def _documents(batches, hot, most_words: int = 400_000):
             row = {n: batch.column(i)[k] for i, n in enumerate(batch.schema.names)}
             codes, slots, per, long_lens, long_ids = (np.frombuffer(row[n].as_py(), np.int32) for n in ("codes", "slots", "lens", "long_lens", "long_ids"))
             enc, dec, long_text = row["enc"].values, row["dec"].values, row["long_text"].values
-            lens = np.concatenate([hot_lens, _lens(enc), long_lens.astype(np.int64)])
-            all_ids = np.concatenate([hot_ids, enc.flatten().to_numpy(zero_copy_only=False).astype(np.int32), long_ids])
-            blens = np.concatenate([hot_blens, _lens(dec), _lens(long_text)])
-            raw = "".join([*dec.to_pylist(), *long_text.to_pylist()]).encode("latin-1")
-            all_bytes = np.concatenate([hot_bytes, np.frombuffer(raw, np.uint8)])
+            own_ids = np.concatenate([enc.flatten().to_numpy(zero_copy_only=False).astype(np.int32), long_ids])
+            own_bytes = np.frombuffer("".join([*dec.to_pylist(), *long_text.to_pylist()]).encode("latin-1"), np.uint8)
+            lens, all_ids = _dictionary(slots, hot_lens, hot_ids, np.concatenate([_lens(enc), long_lens.astype(np.int64)]), own_ids)
+            blens, all_bytes = _dictionary(slots, hot_blens, hot_bytes, np.concatenate([_lens(dec), _lens(long_text)]), own_bytes)
             at, bat = np.cumsum(lens) - lens, np.cumsum(blens) - blens
-            word = np.where(slots >= 0, slots, len(hot_lens) - 1 - slots.astype(np.int64))
             ids, ends = row["ids"].as_py(), np.cumsum(per.astype(np.int64))
             a = 0
             while a < len(per):
                 base = int(ends[a] - per[a])
                 b = max(a + 1, int(np.searchsorted(ends, base + most_words, "right")))
-                mine = word[codes[base : ends[b - 1]]]
+                mine = codes[base : ends[b - 1]]
                 ends_in = np.concatenate([[0], ends[a:b] - base])
                 yield (
                     ids[a:b],
@@ -231,21 +262,15 @@ def _documents(batches, hot, most_words: int = 400_000):
                 a = b
 
 
-def hot_table(texts: DataFrame, ranks: dict[bytes, int], ranks_value, most: int, block_mb: int, long_word: int):
+def hot_table(texts: DataFrame, ranks: dict[bytes, int], most: int, block_mb: int, long_word: int):
     """(hashes, (lengths, ids, byte lengths, bytes)): encodings of at most `most` repeated words, by hash."""
     schema = "word string, n bigint"
 
     def count(batches):
-        for rows in blocks_of(batches, block_mb << 20):
-            codes, uniq = pd.factorize(np.concatenate([r[4] for r in rows]))
-            first = np.empty(len(uniq), np.int64)
-            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            n = np.bincount(codes, minlength=len(uniq))
-            base = np.cumsum([0] + [len(r[1]) for r in rows])
-            starts = np.concatenate([r[2] + b for r, b in zip(rows, base)])[first]
-            ends = np.concatenate([r[3] + b for r, b in zip(rows, base)])[first]
-            text = np.concatenate([r[1] for r in rows]).tobytes().decode("latin-1")
-            keep = np.flatnonzero((n >= 2) & (ends - starts <= long_word))
+        for block in blocks_of(batches, block_mb << 20):
+            _, starts, ends, codes, text = block.close()
+            n = np.bincount(codes, minlength=len(starts))
+            keep = np.flatnonzero(ends - starts <= long_word)
             words = [text[a:b] for a, b in zip(starts[keep].tolist(), ends[keep].tolist())]
             for a in range(0, len(keep), 50_000):
                 yield pa.RecordBatch.from_pydict({"word": words[a : a + 50_000], "n": n[keep[a : a + 50_000]]})
@@ -258,39 +283,48 @@ def hot_table(texts: DataFrame, ranks: dict[bytes, int], ranks_value, most: int,
         if left > most:
             break
         least = r.n
-    chosen = counted.filter(F.col("n") >= least).select(F.array("word").alias("w"))
+    chosen = counted.filter(F.col("n") >= max(least, 2)).select(F.array("word").alias("w"))
     made = written(decode_words(encode_words(chosen, "w", "enc", ranks), "enc", "dec", ranks).select(F.col("w")[0].alias("word"), F.col("enc")[0].alias("ids"), F.col("dec")[0].alias("dec")), "hot")
-    got = made.toArrow()
-    empty = np.zeros(0, np.int64)
-    if not got.num_rows:
-        return np.zeros(0, np.uint64), (empty, empty.astype(np.int32), empty, np.zeros(0, np.uint8))
-    words = [w.encode("latin-1") for w in got["word"].to_pylist()]
-    ends = np.cumsum([len(w) for w in words])
-    hashes = textkit.span_hash(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
-    got = got.take(pa.array(order := np.argsort(hashes)))
-    ids, dec = got["ids"].combine_chunks(), got["dec"].combine_chunks()
-    raw = np.frombuffer("".join(dec.to_pylist()).encode("latin-1"), np.uint8)
-    return hashes[order], (_lens(ids), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), _lens(dec), raw)
+
+    def pack(batches):
+        for batch in batches:
+            words, ids, dec = batch.column(0), batch.column(1), batch.column(2)
+            raw = [w.encode("latin-1") for w in words.to_pylist()]
+            ends = np.cumsum([len(w) for w in raw], dtype=np.int64)
+            if not len(raw):
+                continue
+            hashes = textkit.span_hash(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+            parts = (hashes, _lens(ids).astype(np.int32), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), _lens(dec).astype(np.int32))
+            text = "".join(dec.to_pylist()).encode("latin-1")
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (*(p.tobytes() for p in parts), text)], names=["h", "lens", "ids", "blens", "raw"])
+
+    packed = made.select("word", "ids", "dec").mapInArrow(pack, "h binary, lens binary, ids binary, blens binary, raw binary").collect()
+    h, lens, ids, blens, raw = (np.frombuffer(b"".join(bytes(r[k]) for r in packed), t) for k, t in enumerate((np.uint64, np.int32, np.int32, np.int32, np.uint8)))
+    del packed
+    order = np.argsort(h)
+    at, bat = np.cumsum(lens, dtype=np.int64) - lens, np.cumsum(blens, dtype=np.int64) - blens
+    return h[order], (lens[order], ids[_expand(lens, at, order)], blens[order], raw[_expand(blens, bat, order)])
 
 
 def encoded_blocks(docs: DataFrame, ranks: dict[bytes, int], hot_words: int, block_mb: int, long_word: int):
     """(DataFrame of blocks with their words encoded and decoded, broadcast hot table)."""
+    bounded_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     ranks_value = context.broadcast(ranks)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hashes, hot = hot_table(texts, ranks, ranks_value, hot_words, block_mb, long_word)
+    hashes, hot = hot_table(texts, ranks, hot_words, block_mb, long_word)
     hashes_value, hot_value = context.broadcast(hashes), context.broadcast(hot)
 
     def cut(batches):
-        for rows in blocks_of(batches, block_mb << 20):
-            block = _as_block(rows, hashes_value.value, lambda: ranks_value.value, long_word)
-            yield pa.RecordBatch.from_pydict({k: [v] for k, v in block.items()}, schema=_ARROW)
+        for block in blocks_of(batches, block_mb << 20):
+            row = _as_row(block, hashes_value.value, lambda: ranks_value.value, long_word)
+            yield pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()}, schema=_ARROW)
 
     blocks = decode_words(encode_words(texts.mapInArrow(cut, _BLOCK), "tail", "enc", ranks), "enc", "dec", ranks)
     return blocks.drop("tail"), hot_value
 
 
-def encode(docs: DataFrame, ranks_path: str, hot_words: int = 1 << 20, block_mb: int = 24, long_word: int = 256) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, hot_words: int = 1 << 20, block_mb: int = 8, long_word: int = 256) -> DataFrame:
     """doc_id, ids array<int>, decoded binary: one row per document."""
     ranks = load_ranks(ranks_path)
     blocks, hot_value = encoded_blocks(docs, ranks, hot_words, block_mb, long_word)
@@ -308,7 +342,7 @@ def encode(docs: DataFrame, ranks_path: str, hot_words: int = 1 << 20, block_mb:
     return blocks.mapInArrow(emit, "doc_id bigint, ids array<int>, decoded binary")
 
 
-def digests(docs: DataFrame, ranks_path: str, hot_words: int = 1 << 20, block_mb: int = 24, long_word: int = 256) -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str, hot_words: int = 1 << 20, block_mb: int = 8, long_word: int = 256) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode() with digests in place of the arrays."""
     ranks = load_ranks(ranks_path)
     blocks, hot_value = encoded_blocks(docs, ranks, hot_words, block_mb, long_word)
