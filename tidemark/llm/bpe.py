@@ -232,7 +232,7 @@ def _lens(lists) -> np.ndarray:
     return f(lists).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _documents(batches, hot, most_words: int = 200_000):
+def _documents(batches, hot, most_words: int = 100_000):
     """(ids of documents, token ids, their cuts, decoded bytes, their cuts), some documents at a time."""
     hot_lens, hot_ids, hot_blens, hot_bytes = hot
     for batch in batches:
@@ -324,7 +324,7 @@ def encoded_blocks(docs: DataFrame, ranks: dict[bytes, int], hot_words: int, blo
     return blocks.drop("tail"), hot_value
 
 
-def encode(docs: DataFrame, ranks_path: str, hot_words: int = 1 << 20, block_mb: int = 8, long_word: int = 256) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, hot_words: int = 1 << 20, block_mb: int = 6, long_word: int = 256) -> DataFrame:
     """doc_id, ids array<int>, decoded binary: one row per document."""
     ranks = load_ranks(ranks_path)
     blocks, hot_value = encoded_blocks(docs, ranks, hot_words, block_mb, long_word)
@@ -342,7 +342,7 @@ def encode(docs: DataFrame, ranks_path: str, hot_words: int = 1 << 20, block_mb:
     return blocks.mapInArrow(emit, "doc_id bigint, ids array<int>, decoded binary")
 
 
-def digests(docs: DataFrame, ranks_path: str, hot_words: int = 1 << 20, block_mb: int = 8, long_word: int = 256) -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str, hot_words: int = 1 << 20, block_mb: int = 6, long_word: int = 256) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode() with digests in place of the arrays."""
     ranks = load_ranks(ranks_path)
     blocks, hot_value = encoded_blocks(docs, ranks, hot_words, block_mb, long_word)
