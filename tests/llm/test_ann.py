@@ -51,3 +51,30 @@ def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(df).collect()] == [(0, 1, 3, 3.0)]
     assert ann.nearest(df.limit(0)).collect() == []
+
+
+def test_leaves_are_the_least_that_reach_the_recall():
+    x = np.random.default_rng(5).standard_normal((2000, 16))
+    forest = [ann.Tree(x, 10, np.random.default_rng(k)) for k in range(3)]
+    near = [np.argsort(-(x @ x[i]))[1:11] for i in range(40)]
+    leaf = [t.place(x) for t in forest]
+    least = ann.leaves_for(forest, [(x[i], x[near[i]]) for i in range(40)], 0.9, 10**6)
+
+    def recall(n):
+        return np.mean([any(leaf[t][j] == b for t, b in ann.search(forest, x[i], n)) for i in range(40) for j in near[i]])
+
+    assert recall(least) >= 0.9 > recall(least - 1)
+    assert ann.leaves_for(forest, [(x[i], x[near[i]]) for i in range(40)], 0.9, least - 1) is None
+
+
+def test_recall_holds_without_structure(spark):
+    # small leaves stand for a large table: a fixed 112 of them hold a small share of the rows
+    x = np.random.default_rng(6).standard_normal((6000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {}
+    for r in ann.nearest(df, every=20, k=10, leaf_rows=8).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    score = x[::20].astype(float) @ x.T
+    score[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    want = np.argsort(-score, axis=1)[:, :10]
+    assert len(got) == 300 and sum(len(got[20 * i] & set(w.tolist())) for i, w in enumerate(want)) >= 0.9 * want.size

@@ -7,6 +7,13 @@ trees through one priority queue, always opening the branch with the best margin
 anywhere in the forest, until it has `leaves` leaves; the rows of these leaves
 are ranked by their exact inner products in double precision.
 
+`leaves` is measured, not set: the k nearest of `probes` queries, taken by hash,
+are found by comparing them with all rows, and `leaves` is the least number that
+finds the share `recall` of them. If that is more than `most_leaves`, the trees
+are grown again with larger leaves, so that a query stays in few places however
+many rows it must be compared with. The recall holds at every size of table; the
+rows opened follow from it, and are a fixed share of a table without structure.
+
 Of rows with equal vectors only the first `k` + 1 by id can be among anybody's k
 nearest, so only these are indexed, and equal queries are searched once: a
 vector that a third of the rows share costs no more than another one. Leaves
@@ -89,6 +96,21 @@ def search(forest: list[Tree], x: np.ndarray, leaves: int) -> list[tuple[int, in
     return found
 
 
+def leaves_for(forest: list[Tree], probes: list[tuple[np.ndarray, np.ndarray]], recall: float, most: int) -> int | None:
+    """The least number of leaves that finds the share `recall` of the probes' neighbours; None if it is over `most`.
+
+    A probe: its vector and its neighbours'."""
+    needed = [np.zeros(0)]
+    for x, near in probes:
+        place = [np.full(t.leaves, math.inf) for t in forest]
+        for n, (k, leaf) in enumerate(search(forest, x, most)):
+            place[k][leaf] = n + 1
+        needed.append(np.min([p[t.place(near)] for p, t in zip(place, forest)], axis=0))
+    needed = np.sort(np.concatenate(needed))
+    least = needed[math.ceil(recall * len(needed)) - 1] if len(needed) else 1
+    return int(least) if least < math.inf else None
+
+
 def usable(vectors: DataFrame, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """(id long, v array<double>) of the vectors that take part."""
     v = F.transform(F.col(vec), lambda x: x.cast("double"))
@@ -105,8 +127,44 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 8, leaves: int = 112, leaf_rows: int = 512, sample: int = 20_000, shard: int = 4096, seed: int = 11, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by `every`."""
+def _truth(queries: DataFrame, index: DataFrame, probes: int, k: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(vector, its k nearest) of at most `probes` of the queries, by comparing them with every indexed row."""
+    taken = queries.orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(probes).toArrow()
+    if not taken.num_rows:
+        return []
+    own, asked = taken["id"].to_numpy(), _matrix(taken["v"].combine_chunks())
+    value = queries.sparkSession.sparkContext.broadcast((own, asked))
+
+    def compare(batches):
+        own, asked = value.value
+        best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros((0, asked.shape[1])))] * len(own)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, m = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            scores = asked @ m.T
+            for i, (s, j, v) in enumerate(best):
+                near = np.flatnonzero(ids != own[i])
+                if len(near) > k:  # ties at the border stay in
+                    near = near[scores[i, near] >= np.partition(scores[i, near], len(near) - k)[len(near) - k]]
+                s, j, v = np.concatenate([s, scores[i, near]]), np.concatenate([j, ids[near]]), np.concatenate([v, m[near]])
+                first = np.lexsort((j, -s))[:k]
+                best[i] = (s[first], j[first], v[first])
+        for i, (s, j, v) in enumerate(best):
+            if len(s):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(j), pa.array(s), pa.array([r.tobytes() for r in v], pa.binary())], names=["q", "id", "score", "v"])
+
+    by = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    found = index.mapInArrow(compare, "q bigint, id bigint, score double, v binary").withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k).select("q", "v").toArrow()
+    q = found["q"].to_numpy()
+    near = np.frombuffer(b"".join(found["v"].to_pylist()), np.float64).reshape(len(q), asked.shape[1])
+    return [(asked[i], near[q == i]) for i in range(len(asked))]
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 8, leaves: int | None = None, leaf_rows: int = 512, sample: int = 20_000, shard: int = 4096, seed: int = 11, recall: float = 0.95, probes: int = 256, most_leaves: int = 48, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by `every`.
+
+    A number given as leaves is used as it is, and nothing is measured."""
     spark = vectors.sparkSession
     bounded_batches(spark)
     result = "query_id long, rank int, vec_id long, score double"
@@ -129,9 +187,18 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 8, le
     def lifted(m: np.ndarray) -> np.ndarray:
         return np.column_stack([m, np.sqrt(np.maximum(longest - (m * m).sum(1), 0))])
 
-    rng = np.random.default_rng(seed)
-    least = max(4, math.ceil(leaf_rows * len(x) / total))
-    forest = [Tree(lifted(x), least, rng) for _ in range(trees)]
+    def grown(size: int) -> list[Tree]:
+        rng = np.random.default_rng(seed)
+        return [Tree(lifted(x), max(4, math.ceil(size * len(x) / total)), rng) for _ in range(trees)]
+
+    asked = rows.filter(F.pmod("id", F.lit(every)) == 0)
+    distinct = written(asked.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), "queries")
+    forest = grown(leaf_rows)
+    if leaves is None:
+        truth = [(np.append(q, 0.0), lifted(near)) for q, near in _truth(distinct, index, probes, k, seed)]
+        while (leaves := leaves_for(forest, truth, recall, max(most_leaves, trees))) is None:  # ends at the latest when a tree is one leaf
+            leaf_rows *= 2
+            forest = grown(leaf_rows)
     value = spark.sparkContext.broadcast(forest)
 
     def place(batches):
@@ -152,13 +219,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 8, le
                 yield pa.RecordBatch.from_arrays([pa.array([(t << 32) + leaf for t, leaf in found], pa.int64()), pa.array([i] * len(found), pa.int64()), pa.array([row.tobytes()] * len(found), pa.binary())], names=["leaf", "id", "v"])
 
     placed = written(index.mapInArrow(place, _ROW), "leaves")
-    asked = rows.filter(F.pmod("id", F.lit(every)) == 0)
-    distinct = asked.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
     asking = distinct.mapInArrow(open_leaves, _ROW)
-    # leaves are at most a fixed number: trees x sample / leaf size
+    # the forest has at most a fixed number of leaves: trees x sample / leaf size
     shards = placed.groupBy("leaf").count().select(F.col("leaf").alias("l"), F.ceil(F.col("count") / shard).cast("int").alias("n")).filter("n > 1")
     shards = small(written(shards, "shards"))
-    left = placed.join(shards, F.col("leaf") == F.col("l"), "left").withColumn("s", F.pmod(F.xxhash64("id"), F.coalesce("n", F.lit(1))))
+    # s has one type on both sides: cogroup deals by hash, and an int and a long of one value differ in it
+    left = placed.join(shards, F.col("leaf") == F.col("l"), "left").withColumn("s", F.pmod(F.xxhash64("id"), F.coalesce("n", F.lit(1))).cast("int"))
     right = asking.join(shards, F.col("leaf") == F.col("l"), "left").withColumn("s", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)))
 
     schema = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
