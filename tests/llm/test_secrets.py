@@ -43,6 +43,15 @@ def test_layers_map_back():
     assert any(s[0] == "access" and s[3].count("base64") == 2 for s in spans(deep))
 
 
+def test_key_and_value_in_different_tokens():
+    for text, via in (('"password": "\\u0073\\u0033cret9999"', "unicode"), ("token = %61bcdefgh1", "url"), ("\\u0070assword : hunter2hunter2", "unicode")):
+        start = text.startswith('"')  # the quotes around do not belong to the span
+        assert ("assign", 15 + int(start), 15 + len(text) - int(start), via) in spans("say  " * 3 + text)
+    assert any(s[0] == "assign" and s[3].count("/") == 1 for s in spans("\\u0070assword = %61bcdefgh1"))
+    # what stands beside a token with escapes is not found again
+    assert spans("a%20b " + KEY) == {("access", 6, 6 + len(KEY), "")}
+
+
 def test_bombs_and_cycles_end():
     bomb = base64.b64encode(gzip.compress(b"a" * (1 << 20))).decode()
     assert any(s[0] == "oversize" for s in secrets.find("b " + bomb, 1000))

@@ -6,6 +6,9 @@ data) into new layers, until nothing new comes up; a layer whose content and
 place were seen before is dropped, so cycles end. Each layer is scanned by the
 same rules and its spans are mapped back to the characters of the text that
 they came from: escapes map character by character, base64 to its whole token.
+A layer of escapes holds the tokens with escapes and the two before and behind
+each, as far as the assign rule reaches (key, sign and value may be three
+tokens); its spans are those that touch a token with escapes.
 
 Spans are (kind, start, end, via): code points, end exclusive; via is empty for
 the base spans, those in the text itself, and else names the layers, outermost
@@ -62,23 +65,32 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 class Layer:
     """A text and, for each of its characters, the span of the document it came from (None: itself)."""
 
-    __slots__ = ("text", "starts", "ends", "via")
+    __slots__ = ("text", "starts", "ends", "via", "own")
 
-    def __init__(self, text, starts, ends, via):
+    def __init__(self, text, starts, ends, via, own=None):
         self.text, self.starts, self.ends, self.via = text, starts, ends, via
+        self.own = own  # a byte for each character: is it from a token with escapes; None: all are
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         if self.starts is None:
             return a, b
         return min(self.starts[a:b]), max(self.ends[a:b])
 
-    def child(self, text: str, cuts: list[tuple[int, int]] | tuple[int, int], name: str) -> "Layer":
-        """cuts: where each character of text stands in this layer, or one span for all of them."""
+    def new(self, a: int, b: int) -> bool:
+        return self.own is None or any(self.own[a:b])
+
+    def child(self, text: str, cuts: list[tuple[int, int]] | tuple[int, int], name: str, tokens=()) -> "Layer":
+        """cuts: where each character of text stands in this layer, or one span for all of them. tokens: those with escapes."""
         if isinstance(cuts, tuple):
             a, b = self.span(*cuts)
             return Layer(text, [a] * len(text), [b] * len(text), f"{self.via}/{name}" if self.via else name)
         spans = [self.span(*c) for c in cuts]
-        return Layer(text, [s for s, _ in spans], [e for _, e in spans], f"{self.via}/{name}" if self.via else name)
+        own, k = bytearray(len(text)), 0
+        for i, (c, _) in enumerate(cuts):
+            while k < len(tokens) and tokens[k][1] <= c:
+                k += 1
+            own[i] = k < len(tokens) and tokens[k][0] <= c
+        return Layer(text, [s for s, _ in spans], [e for _, e in spans], f"{self.via}/{name}" if self.via else name, own)
 
 
 def _tokens(text: str, pattern: re.Pattern):
@@ -96,6 +108,33 @@ def _tokens(text: str, pattern: re.Pattern):
         yield a, b
 
 
+def _regions(text: str, pattern: re.Pattern):
+    """(a, b, tokens): the tokens that hold a match with two more on both sides over blanks, those that overlap as one."""
+    held = None
+    for token in _tokens(text, pattern):
+        a, b = token
+        for _ in range(2):
+            x, y = a, b
+            while x > 0 and text[x - 1] == " ":
+                x -= 1
+            while x > 0 and not text[x - 1].isspace():
+                x -= 1
+            while y < len(text) and text[y] == " ":
+                y += 1
+            while y < len(text) and not text[y].isspace():
+                y += 1
+            a, b = x, y
+        if held and a < held[1]:
+            held[2].append(token)
+            held = (held[0], max(held[1], b), held[2])
+        else:
+            if held:
+                yield held
+            held = (a, b, [token])
+    if held:
+        yield held
+
+
 def _unescape(text: str, a: int, b: int, pattern: re.Pattern, value):
     """The token with its escapes replaced, and where each character came from. URL escapes are bytes of UTF-8."""
     chars, cuts, at = [], [], a
@@ -182,12 +221,14 @@ def unwrap(layer: Layer, most: int = MOST_UNPACKED):
     """The layers directly below this one, and spans of kind oversize."""
     text = layer.text
     if "%" in text:
-        for a, b in _tokens(text, URL):
-            yield layer.child(*_unescape(text, a, b, URL, lambda x: bytes([int(x[1:], 16)])), "url")
+        for a, b, tokens in _regions(text, URL):
+            yield layer.child(*_unescape(text, a, b, URL, lambda x: bytes([int(x[1:], 16)])), "url", tokens)
     if "\\" in text:
-        for a, b in _tokens(text, UNICODE):
-            yield layer.child(*_unescape(text, a, b, UNICODE, _unicode), "unicode")
+        for a, b, tokens in _regions(text, UNICODE):
+            yield layer.child(*_unescape(text, a, b, UNICODE, _unicode), "unicode", tokens)
     for m in BASE64.finditer(text):
+        if not layer.new(*m.span()):
+            continue
         token = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         if len(token) % 4 == 1:
             continue
@@ -224,7 +265,8 @@ def find(text: str | None, most: int = MOST_UNPACKED) -> list[tuple[str, int, in
             continue
         seen.add(mark)
         for kind, a, b in scan(layer.text):
-            out.add((kind, *layer.span(a, b), layer.via))
+            if layer.new(a, b):
+                out.add((kind, *layer.span(a, b), layer.via))
         for below in unwrap(layer, most):
             if isinstance(below, tuple):
                 out.add(below)
