@@ -52,6 +52,24 @@ def test_key_and_value_in_different_tokens():
     assert spans("a%20b " + KEY) == {("access", 6, 6 + len(KEY), "")}
 
 
+def test_decoded_text_with_odd_characters_and_split_runs():
+    plain = f"la cl\u00e9\u00a0: {KEY} fin " * 3
+    for odd in ("\u00a0", "\u3000", "\ufeff", "\u200b", "\f", "\x1b", "\0"):
+        data = (odd + plain).encode()
+        for packed in (data, gzip.compress(data)):
+            assert any(s[0] == "access" and s[3] for s in spans(base64.b64encode(packed).decode())), repr(odd)
+    b64 = base64.b64encode(f"key {KEY} end".encode()).decode()
+    for text in ("id-" + b64, "/v1/" + b64, "key_" + b64, "/api/v1/" + b64 + "/end"):
+        assert any(s[0] == "access" and s[3] == "base64" for s in spans(text)), text
+    noise = "".join(hashlib.sha256(bytes([k])).hexdigest()[:20].upper() + " " for k in range(40))
+    packed = base64.encodebytes(zlib.compress((noise + KEY).encode())).decode()
+    assert packed.count("\n") > 3 and any(s[0] == "access" and s[3] == "base64/zlib" for s in spans(packed))
+    two = gzip.compress(b"first member ") + gzip.compress(KEY.encode())
+    assert any(s[0] == "access" for s in spans(base64.b64encode(two).decode()))
+    large = base64.b64encode(gzip.compress(b"a " * 5000 + KEY.encode() + b" b" * 5000)).decode()
+    assert {s[0] for s in secrets.find(large, 1000)} >= {"oversize", "access"}
+
+
 def test_bombs_and_cycles_end():
     bomb = base64.b64encode(gzip.compress(b"a" * (1 << 20))).decode()
     assert any(s[0] == "oversize" for s in secrets.find("b " + bomb, 1000))

@@ -12,9 +12,13 @@ tokens); its spans are those that touch a token with escapes.
 
 Spans are (kind, start, end, via): code points, end exclusive; via is empty for
 the base spans, those in the text itself, and else names the layers, outermost
-first. Data that unpacks to more than `most_unpacked` characters gives a span of
-kind "oversize" for its token instead of a layer: memory stays bounded and
-nothing is dropped silently.
+first. A run of base64 is tried from its start and, if that is no text, from
+each `-`, `_` and `/` in it, and lines of base64 also as one. A decoded layer
+may hold up to a tenth of odd characters; unpacked data counts as text always.
+All members of compressed data are read. Data that unpacks to more than
+`most_unpacked` bytes gives a span of kind "oversize" for its token and is
+scanned in pieces that overlap by 4,096 bytes: memory stays bounded. What is
+encoded again in such data is found where it lies within a piece.
 
 Defined results: a null text is empty and has no spans; repeated rows give
 repeated results; a null doc_id is kept; an empty table gives an empty result;
@@ -24,11 +28,11 @@ further columns are ignored.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
 import re
+import unicodedata
 import zlib
 
 import pyarrow as pa
@@ -47,6 +51,8 @@ _HINTS = ("passw", "secret", "token", "api")
 URL = re.compile(r"%[0-9A-Fa-f]{2}")
 UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LINES = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]{2,})+={0,2}")
+PIECE, OVERLAP = 1 << 20, 4096
 MOST_UNPACKED = 16 << 20
 
 
@@ -74,6 +80,8 @@ class Layer:
     def span(self, a: int, b: int) -> tuple[int, int]:
         if self.starts is None:
             return a, b
+        if isinstance(self.starts, tuple):  # one span for all
+            return self.starts
         return min(self.starts[a:b]), max(self.ends[a:b])
 
     def new(self, a: int, b: int) -> bool:
@@ -82,8 +90,7 @@ class Layer:
     def child(self, text: str, cuts: list[tuple[int, int]] | tuple[int, int], name: str, tokens=()) -> "Layer":
         """cuts: where each character of text stands in this layer, or one span for all of them. tokens: those with escapes."""
         if isinstance(cuts, tuple):
-            a, b = self.span(*cuts)
-            return Layer(text, [a] * len(text), [b] * len(text), f"{self.via}/{name}" if self.via else name)
+            return Layer(text, self.span(*cuts), None, f"{self.via}/{name}" if self.via else name)
         spans = [self.span(*c) for c in cuts]
         own, k = bytearray(len(text)), 0
         for i, (c, _) in enumerate(cuts):
@@ -184,12 +191,27 @@ def _unicode(escape: str) -> str:
     return "�" if 0xD800 <= code < 0xE000 else chr(code)
 
 
-class Oversize(Exception):
-    pass
+def _pieces(data: bytes, magic: bytes, make, piece: int):
+    """What compressed data holds, member after member, in pieces; ends where it is broken."""
+    while data.startswith(magic):
+        d = make()
+        try:
+            out = d.decompress(data, piece)
+            while out or not d.eof:
+                yield out
+                rest = getattr(d, "unconsumed_tail", b"")
+                if d.eof or not (rest or len(out) == piece or getattr(d, "needs_input", True) is False):
+                    break
+                out = d.decompress(rest, piece)
+        except (zlib.error, OSError, ValueError, lzma.LZMAError, EOFError):
+            return
+        if not d.eof:
+            return
+        data = d.unused_data.lstrip(b"\0")
 
 
-def _unpack(data: bytes, most: int) -> tuple[bytes, str]:
-    """(content, layer name) of compressed data; ("", "") if it is none."""
+def _unpack(data: bytes, piece: int):
+    """(layer name, pieces) of compressed data; ("", None) if it is none."""
     for magic, name, make in (
         (b"\x1f\x8b", "gzip", lambda: zlib.decompressobj(31)),
         (b"\x78", "zlib", lambda: zlib.decompressobj(15)),
@@ -197,24 +219,66 @@ def _unpack(data: bytes, most: int) -> tuple[bytes, str]:
         (b"\xfd7zXZ\x00", "xz", lzma.LZMADecompressor),
     ):
         if data.startswith(magic):
-            try:
-                out = make().decompress(data, most + 1)
-            except (zlib.error, OSError, ValueError, lzma.LZMAError, EOFError):
-                return b"", ""
-            if len(out) > most:
-                raise Oversize(name)
-            return out, name
-    return b"", ""
-
-
-def _readable(data: bytes) -> str:
-    """The text that the bytes spell, or nothing."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return ""
-    odd = sum(not (c.isprintable() or c in "\t\r\n") for c in text)
-    return text if text and odd == 0 else ""
+            return name, _pieces(data, magic, make, piece)
+    return "", None
+
+
+def _readable(data: bytes, unpacked: bool = False) -> str:
+    """The text that the bytes spell, or nothing if more than a tenth of it is odd."""
+    text = data.decode("utf-8", "replace")
+    odd = sum(c == "\ufffd" or not (c.isprintable() or c.isspace() or unicodedata.category(c) == "Cf") for c in text) if not text.isprintable() or "\ufffd" in text else 0
+    return text if unpacked or odd * 10 <= len(text) else ""
+
+
+def _decoded(data: bytes, most: int):
+    """(names, text) of what decoded base64 holds; text is None before the pieces of content above `most`."""
+    names = ["base64"]
+    while True:
+        name, pieces = _unpack(data, min(PIECE, most + 1))
+        held = bytearray()
+        for p in pieces or ():
+            held += p
+            if len(held) > most:
+                names.append(name)
+                yield names, None
+                while held:
+                    yield names, held.decode("utf-8", "replace")
+                    more = next(pieces, b"")
+                    held = held[-OVERLAP:] + more if more else b""
+                return
+        if not held:
+            break
+        names.append(name)
+        data = bytes(held)
+    if text := _readable(data, len(names) > 1):
+        yield names, text
+
+
+def _base64(run: str) -> bytes:
+    token = run.rstrip("=").replace("-", "+").replace("_", "/")
+    token = token[: len(token) - (len(token) % 4 == 1)]
+    return base64.b64decode(token + "=" * (-len(token) % 4))
+
+
+def _runs(text: str):
+    """(a, b, bytes) of runs of base64: whole, else from or up to the separators in them, and of several lines as one."""
+    for m in LINES.finditer(text):
+        yield *m.span(), _base64("".join(m[0].split()))
+    for m in BASE64.finditer(text):
+        a, b = m.span()
+        whole = _base64(m[0])
+        yield a, b, whole
+        if _readable(whole):
+            continue
+        seps = [a + k for k, c in enumerate(m[0]) if c in "-_/"]
+        for k, s in enumerate(seps):
+            # the head tells whether a start is aligned
+            head = _base64(text[s + 1 : min(b, s + 65, *seps[k + 1 : k + 2])])
+            if b - s > 16 and head and (_readable(head) or _unpack(head, 1)[0]):
+                yield s + 1, b, _base64(text[s + 1 : b])
+        for s, t in zip([a - 1, *seps], [*seps, b]):
+            if t - s > 16 and (s, t) != (a - 1, b):
+                yield s + 1, t, _base64(text[s + 1 : t])
 
 
 def unwrap(layer: Layer, most: int = MOST_UNPACKED):
@@ -226,40 +290,28 @@ def unwrap(layer: Layer, most: int = MOST_UNPACKED):
     if "\\" in text:
         for a, b, tokens in _regions(text, UNICODE):
             yield layer.child(*_unescape(text, a, b, UNICODE, _unicode), "unicode", tokens)
-    for m in BASE64.finditer(text):
-        if not layer.new(*m.span()):
-            continue
-        token = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(token) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(token + "=" * (-len(token) % 4))
-        except (binascii.Error, ValueError):
+    for a, b, data in _runs(text):
+        if not layer.new(a, b):
             continue
-        if found := _readable(data):
-            yield layer.child(found, m.span(), "base64")
-            continue
-        names = ["base64"]
-        try:
-            while True:
-                data, name = _unpack(data, most)
-                if not name:
-                    break
-                names.append(name)
-                if found := _readable(data):
-                    yield layer.child(found, m.span(), "/".join(names))
-                    break
-        except Oversize as e:
-            s, t = layer.span(*m.span())
-            yield "oversize", s, t, "/".join(filter(None, [layer.via, *names, str(e)]))
+        for names, found in _decoded(data, most):
+            if found is None:
+                yield "oversize", *layer.span(a, b), "/".join(filter(None, [layer.via, *names]))
+            else:
+                yield layer.child(found, (a, b), "/".join(names))
 
 
 def find(text: str | None, most: int = MOST_UNPACKED) -> list[tuple[str, int, int, str]]:
     """All spans of a text, ordered by start, kind as listed, via and end."""
-    work, seen, out = [Layer(text or "", None, None, "")], set(), set()
+    work, seen, out = [iter([Layer(text or "", None, None, "")])], set(), set()
     while work:
-        layer = work.pop()
-        place = (layer.starts[0], layer.ends[-1]) if layer.starts else (0, 0)
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if isinstance(layer, tuple):
+            out.add(layer)
+            continue
+        place = layer.span(0, len(layer.text)) if layer.starts else (0, 0)
         mark = (place, hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest())
         if mark in seen:
             continue
@@ -267,11 +319,7 @@ def find(text: str | None, most: int = MOST_UNPACKED) -> list[tuple[str, int, in
         for kind, a, b in scan(layer.text):
             if layer.new(a, b):
                 out.add((kind, *layer.span(a, b), layer.via))
-        for below in unwrap(layer, most):
-            if isinstance(below, tuple):
-                out.add(below)
-            else:
-                work.append(below)
+        work.append(unwrap(layer, most))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[3], s[2]))
 
 
