@@ -58,5 +58,14 @@ def test_loose_phone_is_added(spark):
     assert all(not s.added for s in got[5])
 
 
+def test_loose_forms_that_outnumber_base_ones(spark):
+    forms = ("(499) 555-65{:02d}", "123-45-67{:02d}", "joe{} (at) site.org")
+    rows = [(i, "write " + forms[i % 3].format(i) + " today") for i in range(90)]
+    rows += [(100 + i, f"call +1 (4{i:02d}) 555-0{i:03d} now") for i in range(5)] + [(200, "part 000-12-3456 and X7499-555-6503Q")]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.added] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == [(6, len(rows[i][1]) - 6)] for i in range(90))
+    assert got[200] == []
+
+
 def test_empty(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).collect() == []

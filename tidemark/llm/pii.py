@@ -5,14 +5,17 @@ DataFrame functions only.
    four base patterns, whether or not they pass their rule, and looser forms
    (phone numbers without a plus, number groups like 3-2-4, spelled-out mail
    signs). Spans come with code point positions, from regular expressions alone.
-2. Each candidate gets small integer features of its format and context. The
-   counts of candidates and of those that a base span covers, for every
-   combination of features that occurs, are summed over all documents; there are
-   at most the product of the features' ranges. Gradient boosting of small trees
-   runs on these counts, and the trees become one CASE expression.
-3. For each family a threshold is calibrated on the same counts: the lowest
-   score above which at least `precision` of the candidates are covered. Spans
-   above it that no base span covers are added; base spans always stay.
+2. Each candidate gets small integer features of its format and context.
+   Gradient boosting of small trees runs on counts by combination of features,
+   and the trees become one CASE expression. It learns from made examples
+   (`examples`): loose forms that keep to their format's rules, alone in a
+   sentence, against corrupted ones (broken rules, joined to other characters).
+   Labels so do not depend on base spans, nor on how many a corpus has.
+3. For each family a threshold is calibrated on examples that were not learnt
+   from: the lowest score above which at least `precision` of them are real.
+   Base spans and what they cover are neither learnt from nor counted. Spans
+   above it that no base span covers are added; base spans always stay. That
+   precision is one of the examples: a corpus has no labels to measure it by.
 
 Defined results: a null text is empty and has no spans; repeated rows give
 repeated results; a null doc_id is kept; an empty table gives an empty result;
@@ -22,6 +25,7 @@ further columns are ignored.
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,21 +46,21 @@ LOOSE = (
     (0, r"[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:(?:\x20?(?:\(dot\)|\[dot\])\x20?|\.)[A-Za-z0-9-]++)++", "at"),
 )
 HINTS = r"(?i)(mail|phone|tel|call|fax|card|visa|account|ssn|host|addr|contact|\bip\b)"
-FEATURES = ("family", "digits", "parts", "hint", "joined_left", "joined_right", "uniform", "brackets")
-_CAND = "array<struct<family:int,base:boolean,s:int,e:int,t:string>>"
+FEATURES = ("family", "digits", "parts", "hint", "joined_left", "joined_right", "uniform", "brackets", "form", "valid")
+_CAND = "array<struct<family:int,base:boolean,s:int,e:int,t:string,form:int>>"
 
 
 def _sql_text(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _matches(text: str, pattern: str, family: int, must: str | None) -> str:
-    """SQL: array of (family, base, s, e, t) for the leftmost non-overlapping matches of pattern.
+def _matches(text: str, pattern: str, family: int, must: str | None, form: int = 0) -> str:
+    """SQL: array of (family, base, s, e, t, form) for the leftmost non-overlapping matches of pattern.
 
     The text between matches is captured too; running lengths give positions."""
     hits = f"regexp_extract_all({text}, {_sql_text(pattern)}, 0)"
     gaps = rf"regexp_extract_all({text}, {_sql_text('(?s)' + chr(92) + 'G(.*?)(?:' + pattern + ')')}, 1)"
-    item = f"named_struct('family', {family}, 'base', false, 's', a.p + length(g[i]), 'e', a.p + length(g[i]) + length(h[i]), 't', h[i])"
+    item = f"named_struct('family', {family}, 'base', false, 's', a.p + length(g[i]), 'e', a.p + length(g[i]) + length(h[i]), 't', h[i], 'form', {form})"
     walk = (
         f"aggregate(sequence(0, size(h) - 1), named_struct('p', 0, 'o', cast(array() as {_CAND})),"
         f" (a, i) -> named_struct('p', a.p + length(g[i]) + length(h[i]), 'o', concat(a.o, array({item}))), a -> a.o)"
@@ -80,12 +84,12 @@ def candidates(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     musts = ("@", ".", None, "+")
     for k, (kind, pattern) in enumerate(zip(KINDS, (EMAIL, IP, CARD, PHONE))):
-        base = f"transform({_matches('text', pattern, k, musts[k])}, c -> named_struct('family', c.family, 'base', {RULES[k]}, 's', c.s, 'e', c.e, 't', c.t))"
+        base = f"transform({_matches('text', pattern, k, musts[k])}, c -> named_struct('family', c.family, 'base', {RULES[k]}, 's', c.s, 'e', c.e, 't', c.t, 'form', c.form))"
         rows = rows.withColumn(kind, F.expr(base))
     # most numbers have a few digits only: those that no rule could pass are no candidates
     rows = rows.withColumn("card", F.expr(f"filter(card, c -> length({_DIGITS}) >= 8)"))
     for n, (family, pattern, must) in enumerate(LOOSE):
-        rows = rows.withColumn(f"loose{n}", F.expr(_matches("text", pattern, family, must)))
+        rows = rows.withColumn(f"loose{n}", F.expr(_matches("text", pattern, family, must, n + 1)))
     rows = rows.withColumn("cands", F.concat(*KINDS, *[f"loose{n}" for n in range(len(LOOSE))])).select("doc_id", "text", "cands")
     covered = "exists(cands, b -> b.base and b.s <= c.s and b.e >= c.e)"
     digits = f"length({_DIGITS})"
@@ -99,17 +103,61 @@ def candidates(docs: DataFrame) -> DataFrame:
         "joined_right": "cast(substring(text, c.e + 1, 1) rlike '[A-Za-z0-9]' as int)",
         "uniform": f"cast({_DIGITS} rlike '^([0-9])\\\\1+$' as int)",
         "brackets": "cast(c.t rlike '[()]' as int)",
+        "form": "c.form",
+        "valid": f"case c.form when 1 then cast({_DIGITS} rlike '^[2-9][0-9]{{2}}[2-9]' as int) when 2 then cast(c.t rlike '^(?!000|666|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)' as int) when 3 then cast(c.t rlike '[A-Za-z]{{2,}}$' as int) else 0 end",
     }
     made = ", ".join(f"'{k}', {v}" for k, v in values.items())
     item = f"named_struct('base', c.base, 'covered', {covered}, 's', c.s, 'e', c.e, {made})"
     return rows.select("doc_id", F.expr(f"if(size(cands) = 0, array(), transform(cands, c -> {item}))").alias("cands"))
 
 
-def feature_counts(cands: DataFrame) -> list[tuple[tuple[int, ...], int, int]]:
-    """(features, candidates, covered candidates) of every combination that occurs, over all documents."""
-    rows = cands.select(F.explode("cands").alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES])
-    rows = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c.covered").cast("long")).alias("y")).collect()
-    return sorted((tuple(int(r[f]) for f in FEATURES), r.n, r.y) for r in rows)
+def examples(seed: int = 5, n: int = 600) -> list[tuple[str, str, bool]]:
+    """(text, the part of it that is the candidate, is it real) of made loose forms."""
+    rng, out = random.Random(seed), []
+    d = lambda low, high, w: f"{rng.randint(low, high):0{w}d}"
+    before = ("", "call ", "phone: ", "ssn ", "mail to ", "contact ", "we met and ", "she wrote ", "see ", "account ")
+    after = ("", " please", ", thanks", ". Then", " or later", "\n")
+
+    def local(ok):
+        shape = rng.choice(("({}) {}-{}", "({}){}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}"))
+        return shape.format(d(200, 999, 3) if ok else d(0, 199, 3), d(200, 999, 3) if ok else d(0, 199, 3), d(0, 9999, 4))
+
+    def social(ok):
+        if ok:
+            return f"{d(1, 665, 3)}-{d(1, 99, 2)}-{d(1, 9999, 4)}"
+        return rng.choice((f"{rng.choice(('000', '666', d(900, 999, 3)))}-{d(1, 99, 2)}-{d(1, 9999, 4)}", f"{d(1, 665, 3)}-00-{d(1, 9999, 4)}", f"{d(1, 665, 3)}-{d(1, 99, 2)}-0000"))
+
+    def mail(ok):
+        sign = rng.choice(("(at)", "[at]", " (at) ", " [at] "))
+        end = rng.choice(("org", "com", "net", "de", "co.uk")) if ok else rng.choice(("5", "10", "4b", "x"))
+        return f"{rng.choice(('joe', 'anna.k', 'm_w', 'info'))}{sign}{rng.choice(('site', 'my-host', 'lab'))}{rng.choice(('.', ' (dot) ', '(dot)', '[dot]'))}{end}"
+
+    for k in range(n):
+        make, kind = (local, social, mail)[k % 3], rng.randrange(4)
+        part = make(kind != 2)
+        left, right = ("", "")
+        if kind == 3 and make is not mail:  # a piece of a longer number or name
+            left, right = rng.choice((("X7", ""), ("", "Q"), ("84", "91"), ("ref", "x")))
+        out.append((rng.choice(before) + left + part + right + rng.choice(after), part, kind < 2 or kind == 3 and make is mail))
+    # the base patterns' own matches that fail their rule are never real
+    for k in range(n // 3):
+        part = rng.choice((f"{d(256, 999, 3)}.{d(0, 255, 1)}.{d(0, 255, 1)}.{d(0, 255, 1)}", f"+{d(1, 9, 1)} {d(100, 99999, 3)}", d(10**8, 10**9 - 1, 9), f"{d(0, 999, 3)} {d(0, 999, 3)} {d(0, 999, 3)}"))
+        out.append((rng.choice(before) + part + rng.choice(after), part, False))
+    return out
+
+
+def example_counts(spark, seed: int) -> list[tuple[tuple[int, ...], int, int]]:
+    """(features, candidates, real candidates) of every combination among the examples, without base spans and what they cover."""
+    made = examples(seed)
+    found: dict[tuple[int, ...], list[int]] = {}
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(made)], "doc_id long, text string").coalesce(1)
+    for r in candidates(docs).select("doc_id", F.explode("cands").alias("c")).select("doc_id", "c.*").collect():
+        if not r.covered:
+            text, part, real = made[r.doc_id]
+            cell = found.setdefault(tuple(int(r[f]) for f in FEATURES), [0, 0])
+            cell[0] += 1
+            cell[1] += real and r.form > 0 and text[r.s : r.e] == part
+    return sorted((x, n, y) for x, (n, y) in found.items())
 
 
 def boost(cells, rounds: int = 24, rate: float = 0.3, depth: int = 3, least: float = 1.0):
@@ -123,7 +171,7 @@ def boost(cells, rounds: int = 24, rate: float = 0.3, depth: int = 3, least: flo
         h = sum(rows_h[i] for i in rows)
         best = None
         if level:
-            for f in range(len(FEATURES)):
+            for f in range(len(cells[0][0])):
                 by: dict[int, list[float]] = {}
                 for i in rows:
                     s = by.setdefault(cells[i][0][f], [0.0, 0.0])
@@ -159,7 +207,7 @@ def value(tree, x) -> float:
 
 
 def thresholds(cells, start: float, trees, precision: float) -> list[float]:
-    """For each family the lowest score above which that share of its candidates is covered."""
+    """For each family the lowest score above which that share of its candidates is real."""
     out = []
     for family in range(len(KINDS)):
         ranked = sorted(((start + sum(value(t, x) for t in trees), n, y) for x, n, y in cells if x[0] == family), reverse=True)
@@ -182,9 +230,8 @@ def _tree_sql(tree) -> str:
 def find_pii(docs: DataFrame, precision: float = 0.8) -> DataFrame:
     """One row per document: doc_id, spans array<struct<kind, start, end, base, score>>, base spans and added ones."""
     cands = written(candidates(docs), "candidates")
-    cells = feature_counts(cands)
-    start, trees = boost(cells) if cells else (0.0, [])
-    cut = thresholds(cells, start, trees, precision)
+    start, trees = boost(example_counts(docs.sparkSession, 5))
+    cut = thresholds(example_counts(docs.sparkSession, 6), start, trees, precision)
     score = " + ".join([f"{start!r}D", *map(_tree_sql, trees)])
     above = " or ".join(f"(c.family = {k} and x >= {t - 1e-9!r}D)" for k, t in enumerate(cut) if t < math.inf) or "false"
     kinds = "array(" + ", ".join(_sql_text(k) for k in KINDS) + ")"
