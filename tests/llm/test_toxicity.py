@@ -89,3 +89,64 @@ def test_tokens():
     raw, offsets = textkit.columns_bytes(pa.array(["Ab, c-é 9", "", "x"]))
     raw, s, e, per = toxicity.tokens(raw, offsets)
     assert [bytes(raw[a:b]).decode() for a, b in zip(s, e)] == ["ab", "c", "é", "9", "x"] and list(per) == [4, 0, 1]
+
+
+def _plain_score(scorer, text):
+    """One text's score, token by token in plain Python loops."""
+    import math
+    import re
+
+    net, words = scorer.net, [w.encode() for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text.translate({c: c + 32 for c in range(65, 91)}))]
+    if not words:
+        return scorer.share
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def vector(word):
+        raw = np.frombuffer(word, np.uint8)
+        place = net.places(textkit.span_hash(raw, np.array([0]), np.array([len(raw)])))[0]
+        padded = [1, *raw.tolist(), 2]
+        tri = [int(textkit.mix64(np.array([padded[i] * 65536 + padded[i + 1] * 256 + padded[i + 2]], np.uint64))[0]) % toxicity.TRIGRAMS for i in range(len(raw))]
+        return [*net.p["word"][place].tolist(), *np.mean([net.p["tri"][t] for t in tri], axis=0).tolist()]
+
+    def gru(xs, side):
+        w, u, bias, size = net.p["W" + side], net.p["U" + side], net.p["b" + side], toxicity.HIDDEN
+        h, out = [0.0] * size, []
+        for x in xs:
+            a = [sum(x[i] * float(w[i, j]) for i in range(len(x))) + float(bias[j]) for j in range(3 * size)]
+            b = [sum(h[i] * float(u[i, j]) for i in range(size)) for j in range(3 * size)]
+            r = [sigmoid(a[j] + b[j]) for j in range(size)]
+            z = [sigmoid(a[size + j] + b[size + j]) for j in range(size)]
+            n = [math.tanh(a[2 * size + j] + r[j] * b[2 * size + j]) for j in range(size)]
+            h = [z[j] * h[j] + (1 - z[j]) * n[j] for j in range(size)]
+            out.append(h)
+        return out
+
+    starts = [0] if len(words) <= 32 else [*range(0, len(words) - 32, 16), len(words) - 32]
+    logits = []
+    for s in starts:
+        xs = [vector(w) for w in words[s : s + 32]]
+        states = [f + b for f, b in zip(gru(xs, "f"), gru(xs[::-1], "b")[::-1])]
+        e = [float(np.tanh(np.array(h) @ net.p["A"] + net.p["a"]) @ net.p["v"]) for h in states]
+        weight = [math.exp(x - max(e)) for x in e]
+        pooled = sum(np.array(h) * (x / sum(weight)) for h, x in zip(states, weight))
+        logits.append(float(pooled @ net.p["w"] + net.p["o"][0]))
+    top, count, one = scorer.coef
+    return sigmoid(top * max(logits) + count * math.log(len(logits)) + one)
+
+
+def test_scores_match_plain_loops(spark):
+    rows, labels = corpus(300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    scorer = toxicity.fit_on_sample(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), least_passes=4000)
+    texts = {i: t for i, t in rows[::20]} | {-1: "One éÉ nasty, word1", -2: "vile " * 45, -3: "?", -4: "x" * 500 + " gross"}
+    some = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in toxicity.window_scores(some, scorer).collect():
+        assert abs(r.score - _plain_score(scorer, texts[r.doc_id])) < 1e-4, r.doc_id
+
+
+def test_sample_bounds_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(i, "a" * 100) for i in range(400)] + [(7, "b"), (7, "a")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] * 2, "doc_id long, toxic int")
+    got = toxicity.sample_of(docs, labels, 50, 2000).collect()
+    assert 18 <= len(got) <= 20 and len({r.doc_id for r in got}) == len(got)
+    assert len(toxicity.sample_of(docs, labels, 50, 1 << 20).collect()) == 50

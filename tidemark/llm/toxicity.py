@@ -5,11 +5,12 @@ the embedding of its word, if enough training texts hold it, next to the mean
 embedding of its character trigrams. A bidirectional GRU reads windows of
 `WINDOW` tokens that overlap by half, attention pools its states to one logit a
 window, and a text's score is a logistic function of its highest window logit
-and the number of windows. All of it is trained here, in numpy on the driver, on
-a bounded sample: at most `most_docs` labelled rows that may be learnt from and
-`most_windows` windows of their whole texts; a quarter of the sample is kept
-from the network to fit the final function. Scoring reads whole texts, all
-windows, without a shuffle.
+and the number of windows. All of it is trained here, in numpy in one task, on a
+bounded sample: at most `most_docs` labelled rows that may be learnt from and
+`most_bytes` of their texts, taken by hash of the id, with all windows of their
+whole texts; a quarter of the sample is kept from the network to fit the final
+function. The driver holds the finished network only (under 1 MB). Scoring reads
+whole texts, all windows, without a shuffle.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 4 is not 2.
 Scores never see labels, lang, source or doc_id.
@@ -18,22 +19,24 @@ Defined results: null texts and texts without tokens get the share of toxic rows
 in the sample; without any labelled rows, or with one class only, every score is
 that share (0 for no rows); a null doc_id is not held out; labels that are null
 or contradict each other: nulls are left out and a row is toxic if any of its
-labels is; repeated rows get repeated scores; an empty table gives an empty
-result; further columns are ignored.
+labels is; of rows that repeat a doc_id one text, the least, is learnt from;
+repeated rows get repeated scores; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit
-from .storage import bounded_batches
+from .storage import bounded_batches, written
 
 WINDOW, STEP = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION, TRIGRAMS = 8, 8, 12, 8, 2048
@@ -203,8 +206,8 @@ class Network:
         return doc, out
 
 
-def train(texts: list[str], toxic: np.ndarray, most_windows: int = 30_000, least_passes: int = 30_000, seed: int = 5, rate: float = 0.01, decay: float = 1e-4) -> Network:
-    """A network fitted to windows labelled as their texts are."""
+def train(texts: list[str], toxic: np.ndarray, least_passes: int = 100_000, seed: int = 5, rate: float = 0.01, decay: float = 1e-4) -> Network:
+    """A network fitted to all windows of the texts, labelled as their texts are; 3 to 16 rounds, for at least that many passes."""
     raw, offsets = textkit.columns_bytes(pa.array(texts, pa.large_string()))
     raw, starts, ends, per = tokens(raw, offsets)
     words = Words(raw, starts, ends)
@@ -214,8 +217,8 @@ def train(texts: list[str], toxic: np.ndarray, most_windows: int = 30_000, least
     net = Network(words.hash[in_docs >= max(4, len(texts) // 600)], seed)
     doc, begin, n = window_index(per)
     rng = np.random.default_rng(seed)
-    chosen = rng.permutation(len(doc))[:most_windows]
-    rounds = max(4, min(16, -(-least_passes // max(len(chosen), 1))))
+    chosen = rng.permutation(len(doc))
+    rounds = max(3, min(16, -(-least_passes // max(len(chosen), 1))))
     place = net.places(words.hash)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step, total = 0, rounds * -(-len(chosen) // 256)
@@ -309,15 +312,32 @@ class Scorer:
         return doc, _sigmoid(logit), score
 
 
-def fit_on_sample(docs: DataFrame, labels: DataFrame, most_docs: int = 5000, **options) -> Scorer:
-    """A scorer trained on the labelled rows of least hash, at most most_docs of them."""
+def sample_of(docs: DataFrame, labels: DataFrame, most_docs: int, most_bytes: int) -> DataFrame:
+    """(doc_id, text, toxic) of the labelled rows of least hash: at most most_docs of them, and most_bytes of text."""
     may = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & may)
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = sorted({(r.doc_id, r.text, r.toxic) for r in rows.collect()}, key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
-    return Scorer.fit([r[1] for r in got], np.array([r[2] for r in got], np.int64), **options)
+    rows = written(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "sample")
+    # most_docs numbers in one window
+    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    fits = rows.select("doc_id", F.octet_length("text").alias("size")).withColumn("sum", so_far).filter(F.col("sum") <= most_bytes)
+    return rows.join(F.broadcast(fits.select("doc_id")), "doc_id")
+
+
+def fit_on_sample(docs: DataFrame, labels: DataFrame, most_docs: int = 5000, most_bytes: int = 16 << 20, **options) -> Scorer:
+    """A scorer trained in one task on a sample of labelled rows; a lost executor only repeats that task."""
+
+    def fit(batches):
+        got = [r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+        got.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
+        scorer = Scorer.fit([r[1] for r in got], np.array([r[2] for r in got], np.int64), **options)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(scorer)], pa.binary())})
+
+    rows = sample_of(docs, labels, most_docs, most_bytes).select("doc_id", "text", "toxic").coalesce(1)
+    found = rows.mapInArrow(fit, "model binary").first()
+    return pickle.loads(found.model) if found else Scorer.fit([], np.zeros(0, np.int64))
 
 
 def window_scores(docs: DataFrame, scorer: Scorer) -> DataFrame:
