@@ -84,5 +84,25 @@ def test_training_raises_the_likelihood(spark):
     assert by[8] > by[0]
 
 
+def test_held_out_texts_score_above_single_words(spark):
+    rng = random.Random(5)
+    tongues = [[f"{chr(97 + t)}{i}" for i in range(60)] for t in range(4)]
+    rows = [(i, " ".join(rng.choice(tongues[i % 4])[: rng.choice((2, 3))] for _ in range(60))) for i in range(400)]
+    got = hmm.train_and_score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).filter("held_out").collect()
+    tokens = sum(r.n_tokens for r in got)
+    assert sum(r.score - r.base_score for r in got) / tokens > 0.3  # log10(4) = 0.6 with the four told apart at once
+
+
+def test_hot_words_and_classes_add_up(spark):
+    rows = [(i, " ".join(f"w{j % (i + 2)}" for j in range(300))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    blocks = hmm.block_table(docs, 5)
+    counted = blocks.filter("bucket is not null").select("bucket", "block", "places", "hashes", "counts").groupBy("bucket").applyInArrow(hmm._count_bucket, hmm._COUNTS)
+    v = hmm.Vocabulary.of(counted.filter("block is null"), 3)
+    count = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in t.split())
+    assert v.words == sum(count.values()) + 3 and v.distinct == len(count) + 1
+    assert v.class_words.sum() == 0 and v.class_distinct.sum() == 0 and sorted(v.hot_counts[v.hot_counts > 0]) == sorted(count.values())
+
+
 def test_empty(spark):
     assert hmm.train_and_score(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -3,13 +3,16 @@
 1. One pass cuts texts into blocks of words; each block's distinct words, by
    64-bit hash, go to hash buckets of bounded size with their training counts.
    There every word gets its corpus count c, which goes back to the blocks that
-   hold it. No vocabulary is ever in one place.
+   hold it. No vocabulary is ever in one place: the driver gets the HOT most
+   frequent words, found by a distributed top-k, and the sums of the classes.
 2. The hidden chain emits symbols: the most frequent words are symbols of their
    own, other words share a class by hash and have a smoothed probability within
    it, the end of a text is a symbol too. Baum-Welch: each partition sums the
    expected starts, transitions and emissions of its documents under the present
    model, the sums are added across partitions by position (states x symbols
-   values, a fixed number), and the next model is their normalised form.
+   values, a fixed number), and the next model is their normalised form. States
+   start out inclined to stay, which lets a state take up a language or a topic.
+   Rounds go on until one gains less than `least_gain` a token.
 3. Scaled forward recursion gives each text's exact likelihood. Documents are
    cut into segments whose transfer matrices are multiplied, so that long texts
    cost as much a word as short ones and nothing is approximated.
@@ -17,7 +20,8 @@
 Defined results: a null text has only its end token; a null doc_id hashes as the
 empty string (held out); without training documents every count is 0 and the
 model stays at its start; repeated rows count as often as they stand there; an
-empty table gives an empty result; further columns are ignored.
+empty table gives an empty result; texts of any length are scored whole; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ ADD = 0.1
 HOT, CLASSES = 2048, 1023
 END = HOT + CLASSES
 SYMBOLS = END + 1
+#: Inclination of a state to stay, against moving anywhere, at the start.
+STAY = 9.0
 
 
 def held_out(doc_id) -> bool:
@@ -109,17 +115,17 @@ def block_table(docs: DataFrame, buckets: int, block_mb: int = 12) -> DataFrame:
 
 
 _BLOCK_TYPES = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-_COUNTS = "block bigint, bucket bigint, places binary, counts binary, symbols binary, words bigint, distinct bigint, hot_hash array<bigint>, hot_count array<bigint>, class_words array<bigint>, class_distinct array<bigint>"
+_COUNTS = "block bigint, bucket bigint, places binary, counts binary, symbols binary, listed binary, words bigint, distinct bigint, hot_hash array<bigint>, hot_count array<bigint>, class_words array<bigint>, class_distinct array<bigint>"
 _COUNT_SCHEMA = pa.schema(
-    [("block", pa.int64()), ("bucket", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()), ("symbols", pa.binary()), ("words", pa.int64()), ("distinct", pa.int64())]
+    [("block", pa.int64()), ("bucket", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()), ("symbols", pa.binary()), ("listed", pa.binary()), ("words", pa.int64()), ("distinct", pa.int64())]
     + [(c, pa.list_(pa.int64())) for c in ("hot_hash", "hot_count", "class_words", "class_distinct")]
 )
 
 
 def _count_bucket(table: pa.Table) -> pa.Table:
     """Corpus counts of a bucket's words: a row for each block that holds some of
-    them (counts; symbol: class, or -1 - place in the bucket's list of most
-    frequent words) and one row of the bucket's sums (block null)."""
+    them (counts; symbol: class, or -1 for one of the bucket's HOT most frequent
+    words, whose hashes are in `listed`) and one row of the bucket's sums (block null)."""
     parts = [np.frombuffer(x.as_py(), np.uint64) for x in table["hashes"]]
     counts = [_open(x.as_py(), np.int32) for x in table["counts"]]
     h, inverse = np.unique(np.concatenate(parts), return_inverse=True)
@@ -129,56 +135,61 @@ def _count_bucket(table: pa.Table) -> pa.Table:
     top = np.lexsort((h, -c))[:HOT]
     top = top[c[top] > 0]
     symbol = group.astype(np.int32)
-    symbol[top] = -1 - np.arange(len(top), dtype=np.int32)
+    symbol[top] = -1
     at = np.cumsum([0] + [len(p) for p in parts])
     rows = []
     for k, (block, places) in enumerate(zip(table["block"].to_pylist(), table["places"].to_pylist())):
         mine = inverse[at[k] : at[k + 1]]
-        rows.append((block, bucket, places, _press(c[mine]), _press(symbol[mine]), None, None, None, None, None, None))
+        rows.append((block, bucket, places, _press(c[mine]), _press(symbol[mine]), h[mine][symbol[mine] < 0].tobytes(), None, None, None, None, None, None))
     sums = [np.bincount(group, weights=w, minlength=CLASSES).astype(np.int64).tolist() for w in (c, c > 0)]
-    rows.append((None, bucket, None, None, None, int(c.sum()), int((c > 0).sum()), h[top].view(np.int64).tolist(), c[top].tolist(), *sums))
+    rows.append((None, bucket, None, None, None, None, int(c.sum()), int((c > 0).sum()), h[top].view(np.int64).tolist(), c[top].tolist(), *sums))
     return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _COUNT_SCHEMA.types)], schema=_COUNT_SCHEMA)
 
 
 class Vocabulary:
-    """Bounded corpus statistics: totals, hot words by (bucket, place), class sums."""
+    """Corpus statistics of a fixed size: totals, the hot words by hash, sums of the classes without them."""
 
-    def __init__(self, sums: list, train_docs: int):
-        hot = sorted(((-n, h, r["bucket"], k) for r in sums for k, (h, n) in enumerate(zip(r["hot_hash"], r["hot_count"]))))[:HOT]
-        self.words = sum(r["words"] for r in sums) + train_docs
-        self.distinct = sum(r["distinct"] for r in sums) + (train_docs > 0)
+    def __init__(self, words: int, distinct: int, hot: list, classes: list, train_docs: int):
+        self.words = words + train_docs
+        self.distinct = distinct + (train_docs > 0)
         self.ends = train_docs
-        self.class_words = np.sum([r["class_words"] for r in sums], axis=0, dtype=np.int64) if sums else np.zeros(CLASSES, np.int64)
-        self.class_distinct = np.sum([r["class_distinct"] for r in sums], axis=0, dtype=np.int64) if sums else np.zeros(CLASSES, np.int64)
-        self.place: dict[tuple[int, int], int] = {}
+        self.class_words, self.class_distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+        for group, n, d in classes:
+            self.class_words[group], self.class_distinct[group] = n, d
+        hashes = np.array([h for h, _ in hot], np.int64).view(np.uint64)
+        counts = np.array([n for _, n in hot], np.int64)
+        group = (hashes % np.uint64(CLASSES)).astype(np.int64)
+        np.subtract.at(self.class_words, group, counts)
+        np.subtract.at(self.class_distinct, group, 1)
         self.hot_counts = np.zeros(HOT)
-        self.group_of: dict[tuple[int, int], int] = {}
-        for s, (n, h, bucket, k) in enumerate(hot):
-            g = int(np.array([h], np.int64).view(np.uint64)[0] % np.uint64(CLASSES))
-            self.class_words[g] += n  # n is minus the count
-            self.class_distinct[g] -= 1
-            self.place[bucket, k] = s
-            self.hot_counts[s] = -n
-        for r in sums:  # listed words that are not hot overall go to their class
-            for k, h in enumerate(r["hot_hash"]):
-                if (r["bucket"], k) not in self.place:
-                    self.group_of[r["bucket"], k] = int(np.array([h], np.int64).view(np.uint64)[0] % np.uint64(CLASSES))
-
-    def lookup(self, bucket: int) -> np.ndarray:
-        """Symbols of a bucket's listed words, by place."""
-        found = {k: s for (b, k), s in self.place.items() if b == bucket}
-        found |= {k: HOT + g for (b, k), g in self.group_of.items() if b == bucket}
-        out = np.zeros(len(found), np.int64)
-        for k, s in found.items():
-            out[k] = s
-        return out
+        self.hot_counts[: len(counts)] = counts
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+
+    @classmethod
+    def of(cls, sums: DataFrame, train_docs: int) -> "Vocabulary":
+        """From the buckets' sums: the hot words by a top-k, all else added up in tasks."""
+        total = sums.agg(F.sum("words").alias("w"), F.sum("distinct").alias("d")).first()
+        listed = sums.select(F.inline(F.arrays_zip(F.col("hot_hash").alias("h"), F.col("hot_count").alias("n"))))
+        hot = listed.orderBy(F.desc("n"), "h").limit(HOT).collect()
+        groups = sums.select(F.posexplode(F.arrays_zip(F.col("class_words").alias("n"), F.col("class_distinct").alias("d"))).alias("g", "x"))
+        classes = groups.groupBy("g").agg(F.sum("x.n").alias("n"), F.sum("x.d").alias("d")).collect()
+        return cls(total.w or 0, total.d or 0, [tuple(r) for r in hot], [tuple(r) for r in classes], train_docs)
+
+    def symbols(self, hashes: np.ndarray) -> np.ndarray:
+        """Symbols of words by hash."""
+        group = HOT + (hashes % np.uint64(CLASSES)).astype(np.int64)
+        if not len(self.hashes):
+            return group
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.order[at], group)
 
 
 _ENCODED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, within double, symbols binary"
 _ENCODED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("within", pa.float64()), ("symbols", pa.binary())])
 
 
-def _encode_block(docs: pa.Table, counts: pa.Table, vocabulary: Vocabulary, lookups: dict) -> pa.Table:
+def _encode_block(docs: pa.Table, counts: pa.Table, vocabulary: Vocabulary) -> pa.Table:
     """A block's documents with the base score, the probability within classes and their symbols."""
     if not docs.num_rows:
         return _ENCODED_SCHEMA.empty_table()
@@ -186,14 +197,12 @@ def _encode_block(docs: pa.Table, counts: pa.Table, vocabulary: Vocabulary, look
     codes = _open(docs["codes"][0].as_py(), np.int32)
     n = sum(len(_open(x.as_py(), np.int32)) for x in counts["places"])
     c, sym = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for bucket, p, k, s in zip(counts["bucket"].to_pylist(), counts["places"], counts["counts"], counts["symbols"]):
+    for p, k, s, words in zip(counts["places"], counts["counts"], counts["symbols"], counts["listed"]):
         at, own = _open(p.as_py(), np.int32), _open(s.as_py(), np.int32).astype(np.int64)
-        if bucket not in lookups:
-            lookups[bucket] = vocabulary.lookup(bucket)
         c[at] = _open(k.as_py(), np.int64)
         listed = own < 0
         own[~listed] += HOT
-        own[listed] = lookups[bucket][-1 - own[listed]]
+        own[listed] = vocabulary.symbols(np.frombuffer(words.as_py(), np.uint64))
         sym[at] = own
     v = vocabulary
     scale = v.words + ADD * (v.distinct + 1)
@@ -238,7 +247,7 @@ class Model:
         """A seeded disturbance of the symbol frequencies for each state."""
         rng = np.random.default_rng(seed)
         emit = (weights + 1.0) * rng.uniform(0.2, 1.8, (states, len(weights)))
-        move = rng.uniform(0.5, 1.5, (states, states))
+        move = rng.uniform(0.5, 1.5, (states, states)) + STAY * states * np.eye(states)
         return cls(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
     @classmethod
@@ -373,8 +382,9 @@ def _sequences(batches, column: int, most: int = 400_000):
         yield rows, held
 
 
-def baum_welch(encoded: DataFrame, model: Model, weights: np.ndarray, rounds: int) -> tuple[Model, list[float]]:
-    """Rounds of expectation over all training documents; the log-likelihood before each."""
+def baum_welch(encoded: DataFrame, model: Model, weights: np.ndarray, rounds: int, least_gain: float, least_rounds: int = 4) -> tuple[Model, list[float]]:
+    """Rounds of expectation over all training documents, until one gains less than least_gain a token
+    or there were `rounds`; the log-likelihood before each."""
     k, m = model.emit.shape
     seen = []
     context = encoded.sparkSession.sparkContext
@@ -398,11 +408,14 @@ def baum_welch(encoded: DataFrame, model: Model, weights: np.ndarray, rounds: in
         for r in rows:
             v[r.i] = r.x
         seen.append(float(v[0]))
+        tokens = v[1 + k + k * k :].sum()
         model = Model.of_counts(v[1 : 1 + k], v[1 + k : 1 + k + k * k].reshape(k, k), v[1 + k + k * k :].reshape(k, m), weights)
+        if len(seen) >= least_rounds and seen[-1] - seen[-2] < least_gain * tokens:
+            break
     return model, seen
 
 
-def train_and_score(docs: DataFrame, states: int = 4, rounds: int = 3, seed: int = 7, bucket_mb: int = 48) -> DataFrame:
+def train_and_score(docs: DataFrame, states: int = 8, rounds: int = 30, least_gain: float = 0.01, seed: int = 7, bucket_mb: int = 48) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     bounded_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
@@ -415,14 +428,13 @@ def train_and_score(docs: DataFrame, states: int = 4, rounds: int = 3, seed: int
     ids = blocks.filter("bucket is null")
     is_out = F.pmod(F.crc32(F.coalesce(F.col("i").cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
     train_docs = ids.select(F.explode("ids").alias("i")).filter(~is_out).count()
-    sums = [r.asDict() for r in counted.filter("block is null").select("bucket", "words", "distinct", "hot_hash", "hot_count", "class_words", "class_distinct").collect()]
-    vocabulary = Vocabulary(sums, train_docs)
+    vocabulary = Vocabulary.of(counted.filter("block is null"), train_docs)
     value = context.broadcast(vocabulary)
     left = ids.select("block", "ids", "lens", "codes").groupBy("block")
-    right = counted.filter("block is not null").select("block", "bucket", "places", "counts", "symbols").groupBy("block")
-    encoded = written(left.cogroup(right).applyInArrow(lambda d, c: _encode_block(d, c, value.value, {}), _ENCODED), "encoded")
+    right = counted.filter("block is not null").select("block", "places", "counts", "symbols", "listed").groupBy("block")
+    encoded = written(left.cogroup(right).applyInArrow(lambda d, c: _encode_block(d, c, value.value), _ENCODED), "encoded")
     weights = np.concatenate([vocabulary.hot_counts, vocabulary.class_words, [train_docs]]).astype(float)
-    model, _ = baum_welch(encoded, Model.first(states, weights, seed), weights, rounds)
+    model, _ = baum_welch(encoded, Model.first(states, weights, seed), weights, rounds, least_gain)
     model_value = context.broadcast(model)
 
     def score(batches):
