@@ -7,10 +7,10 @@ literal map (an array of small maps by checksum, so that a lookup does not walk
 50,000 entries). Decoding concatenates the pieces of the ids. Bytes travel as
 Latin-1 characters, one character a byte.
 
-A document never leaves its partition. The first Arrow pass cuts the texts of a
-block (about `block_mb` of whole documents) into words and numbers the distinct
-ones; the fold encodes those of the block; the second pass writes each
-document's ids in order. A table of at most `hot_words` encodings of words that
+The first Arrow pass cuts the texts of a block (about `block_mb` of whole
+documents) into words and numbers the distinct ones; the blocks are written; the
+fold encodes the distinct words of each; the second pass puts each document's ids
+in order. A table of at most `hot_words` encodings of words that
 repeat, itself made by the same fold, is broadcast so that common words are
 folded once and not once a block; what it holds changes no result.
 
@@ -322,11 +322,12 @@ def encoded_blocks(docs: DataFrame, ranks: dict[bytes, int], hot_words: int, blo
             row = _as_row(block, hashes_value.value, lambda: ranks_value.value, long_word)
             yield pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()}, schema=_ARROW)
 
-    blocks = decode_words(encode_words(texts.mapInArrow(cut, _BLOCK), "tail", "enc", ranks), "enc", "dec", ranks)
+    # written, so that a task has one Python worker at a time and a lost executor does not cut its texts again
+    blocks = decode_words(encode_words(written(texts.mapInArrow(cut, _BLOCK), "blocks"), "tail", "enc", ranks), "enc", "dec", ranks)
     return blocks.drop("tail"), hot_value
 
 
-def encode(docs: DataFrame, ranks_path: str, hot_words: int = HOT_WORDS, block_mb: int = 6, long_word: int = 256) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, hot_words: int = HOT_WORDS, block_mb: int = 4, long_word: int = 256) -> DataFrame:
     """doc_id, ids array<int>, decoded binary: one row per document."""
     ranks = load_ranks(ranks_path)
     blocks, hot_value = encoded_blocks(docs, ranks, hot_words, block_mb, long_word)
@@ -344,7 +345,7 @@ def encode(docs: DataFrame, ranks_path: str, hot_words: int = HOT_WORDS, block_m
     return blocks.mapInArrow(emit, "doc_id bigint, ids array<int>, decoded binary")
 
 
-def digests(docs: DataFrame, ranks_path: str, hot_words: int = HOT_WORDS, block_mb: int = 6, long_word: int = 256) -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str, hot_words: int = HOT_WORDS, block_mb: int = 4, long_word: int = 256) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode() with digests in place of the arrays."""
     ranks = load_ranks(ranks_path)
     blocks, hot_value = encoded_blocks(docs, ranks, hot_words, block_mb, long_word)
