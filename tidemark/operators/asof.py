@@ -65,3 +65,34 @@ def exact_context(facts: DataFrame, cell: list[str], rank: str, value: str) -> D
     per = ok.groupBy(*cell, rank).agg(F.count_distinct(value).alias("n_values"), F.min(value).alias("v"))
     best = per.groupBy(*cell).agg(F.min_by(F.struct("n_values", "v", rank), rank).alias("b"))
     return best.select(*cell, F.col(f"b.{rank}").alias(rank), F.when(F.col("b.n_values") == 1, F.col("b.v")).alias(value), F.when(F.col("b.n_values") == 1, "EXACT").otherwise("CONFLICT").alias("status"))
+
+
+def earliest_context(facts: DataFrame, cell: list[str], rank: str, start: str, value: str) -> DataFrame:
+    """For each cell the first-ranked tag that has any row, finite or not, and its value at the earliest
+    start, null if that is not unique: the older rule, kept for comparison with exact_context."""
+    per = facts.groupBy(*cell, rank, start).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"), F.count(F.lit(1)).alias("_c"))
+    best = per.groupBy(*cell).agg(F.min_by(F.struct(rank, start, "_lo", "_hi", "_n", "_c"), F.struct(rank, start)).alias("b"))
+    one = (F.col("b._lo") == F.col("b._hi")) & (F.col("b._n") == F.col("b._c"))
+    return best.select(*cell, F.col(f"b.{rank}").alias(rank), F.col(f"b.{start}").alias(start), F.when(one, F.col("b._lo")).alias(value))
+
+
+def first_observable_session(rows: DataFrame, sessions: DataFrame, at: str, cutoff: str = "16:15:00", session: str = "session") -> DataFrame:
+    """The first session in which what became known at the timestamp `at` can be used: its own day up to the cutoff, else a later one."""
+    day = F.to_date(at)
+    late = F.date_format(at, "HH:mm:ss") > cutoff
+    usable = rows.withColumn("_day", F.when(late, F.date_add(day, 1)).otherwise(day))
+    return next_session(usable, sessions, "_day", session).drop("_day")
+
+
+def asof_rescaled(left: DataFrame, prices: DataFrame, by: list[str], left_time: str, price_time: str, price: str, ratio: str, days: int) -> DataFrame:
+    """left with the last price at or before its time, at most `days` old, times the ratios that
+    took effect after the price and up to the time: two sorted passes, no range join."""
+    w = Window.partitionBy(*by).orderBy(price_time).rowsBetween(Window.unboundedPreceding, 0)
+    logs = prices.withColumn("_c", F.sum(F.ln(ratio)).over(w))
+    # the running factor at the price, and the one at the row's own time
+    priced = logs.filter(F.col(price).isNotNull()).select(*by, F.col(price_time).alias("_pt"), F.col(price).alias("_p"), F.col("_c").alias("_cp"))
+    out = asof_backward(left, priced, by, left_time, "_pt", ["_p", "_cp"])
+    out = asof_backward(out, logs.select(*by, F.col(price_time).alias("_ct"), F.col("_c").alias("_ca")), by, left_time, "_ct", ["_ca"])
+    fresh = F.datediff(F.to_date(left_time), F.to_date("matched__pt")) <= days
+    value = F.when(fresh, F.col("_p") * F.exp(F.col("_ca") - F.col("_cp")))
+    return out.select(*left.columns, value.alias(price))
