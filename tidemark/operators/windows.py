@@ -88,3 +88,61 @@ def mean_percent_rank(x: Column, by: list[str]) -> Column:
     """Rank as a share of the group, equal values sharing the mean of their ranks."""
     w = Window.partitionBy(*by)
     return (F.rank().over(w.orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, x)) - 1) / 2) / F.count(x).over(w)
+
+
+def matured_gate(rows: DataFrame, by: list[str], order: list[str], base: list[str], other: list[str], label: str, horizon: int, window: int, least: int, margin: float, temperature: float, most: float, classwise: bool = False) -> DataFrame:
+    """rows with blended probabilities mix_0.. and for each gate its weight_, gain_ and count_.
+
+    base and other are class probabilities (null where not usable) and label is a
+    class number that is known `horizon` rows later. Losses of both are averaged
+    over the same matured rows: log loss for one gate over all classes, squared
+    error for one gate a class. A gate opens if its gain passes the margin; its
+    weight is then most x sigmoid((gain - margin) / temperature).
+    """
+    from tidemark.functions import scalars as S
+
+    b, o = [F.col(c) for c in base], [F.col(c) for c in other]
+    b_ok, o_ok, y = b[0].isNotNull(), o[0].isNotNull(), F.col(label)
+    both = b_ok & o_ok
+    known = both & y.isNotNull()
+    spec = past(by, order, window, horizon)
+    if classwise:
+        pairs_ = [(F.pow(p - F.when(y == k, 1.0).otherwise(0.0), 2), F.pow(q - F.when(y == k, 1.0).otherwise(0.0), 2)) for k, (p, q) in enumerate(zip(b, o))]
+    else:
+        pairs_ = [(S.log_loss(b, y), S.log_loss(o, y))]
+    put = {}
+    for k, (p, q) in enumerate(pairs_):
+        n = F.count(F.when(known, p)).over(spec)
+        gain = F.when(n >= least, F.avg(F.when(known, p)).over(spec) - F.avg(F.when(known, q)).over(spec))
+        put |= {f"count_{k}": n, f"gain_{k}": gain}
+    out = rows.withColumns(put)
+    weight = lambda k: F.when(both & (F.col(f"gain_{k}") > margin), most * S.sigmoid((F.col(f"gain_{k}") - margin) / temperature)).otherwise(0.0)
+    out = out.withColumns({f"weight_{k}": weight(k) for k in range(len(pairs_))})
+    raw = [(1 - F.col(f"weight_{k if classwise else 0}")) * p + F.col(f"weight_{k if classwise else 0}") * q for k, (p, q) in enumerate(zip(b, o))]
+    total = sum(raw[1:], raw[0])
+    out = out.withColumns({f"mix_{k}": F.when(both, x / total).otherwise(F.coalesce(p, q)) for k, (x, p, q) in enumerate(zip(raw, b, o))})
+    return out.withColumn("source", F.when(both, "none").when(b_ok, "incumbent_only").when(o_ok, "challenger_only").otherwise("unavailable"))
+
+
+def ar_forecast(rho: Column, last: Column, steps: Column, bound: float | None = None) -> Column:
+    """rho^steps x last, kept within +- bound."""
+    from tidemark.functions import scalars as S
+
+    out = F.pow(rho, steps) * last
+    return out if bound is None else S.clip(out, -bound, bound)
+
+
+def lifecycle(rows: DataFrame, by: list[str], revision: str, status: str, allowed: list[tuple[str, str]], fixed: list[str], final: list[str]) -> DataFrame:
+    """by, revision and code of each violation: revisions start at 0 and have no gaps, only allowed changes
+    of status happen, `fixed` columns never change and `final` ones not once they are set."""
+    from tidemark.functions import scalars as S
+
+    w = Window.partitionBy(*by).orderBy(revision)
+    before = lambda c: F.lag(c).over(w)
+    first = F.row_number().over(w) == 1
+    r = rows.withColumns({"_first": first, "_rev": before(revision), "_status": before(status)} | {f"_{c}": before(c) for c in [*fixed, *final]})
+    ok = F.concat_ws(">", "_status", status).isin(*[f"{a}>{b}" for a, b in allowed])
+    rules = [(F.col("_first") & (F.col(revision) != 0), "START"), (~F.col("_first") & (F.col(revision) != F.col("_rev") + 1), "GAP"), (~F.col("_first") & ~ok, "TRANSITION")]
+    rules += [(~F.col("_first") & ~F.col(c).eqNullSafe(F.col(f"_{c}")), f"CHANGED_{c}") for c in fixed]
+    rules += [(F.col(f"_{c}").isNotNull() & ~F.col(c).eqNullSafe(F.col(f"_{c}")), f"REVISED_{c}") for c in final]
+    return r.select(*by, revision, F.explode(S.codes(*rules)).alias("code"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import asof, folds, metrics, windows
+from tidemark.operators.quantiles import exact_quantiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,9 +62,9 @@ def scalars(spark, d):
 )
 def winsor(spark, d):
     s = series(spark, d)
-    q = s.filter(F.col("ts") < F.lit("2024-01-20").cast("timestamp")).groupBy("event_type").agg(F.percentile("x", F.lit(0.01)).alias("lo"), F.percentile("x", F.lit(0.99)).alias("hi"))
+    q = exact_quantiles(s.filter(F.col("ts") < F.lit("2024-01-20").cast("timestamp")), ["event_type"], "x", [0.01, 0.99])
     x = F.col("x")
-    return s.join(q, "event_type").select("event_id", r6(F.when(x.isNotNull(), F.least(F.greatest(x, "lo"), "hi"))).alias("w"))
+    return s.join(q, "event_type").select("event_id", r6(F.when(x.isNotNull(), F.least(F.greatest(x, F.col("q")[0]), F.col("q")[1]))).alias("w"))
 
 
 _PROB = "p AS (SELECT o_orderkey, (o_orderkey % 7)::DOUBLE AS a, (o_custkey % 5)::DOUBLE AS b, (o_orderkey % 3)::DOUBLE AS c, (o_orderkey % 3)::INT AS t FROM orders), n AS (SELECT *, CASE WHEN a + b + c > 0 THEN greatest(a, 0.01) / (greatest(a, 0.01) + greatest(b, 0.01) + greatest(c, 0.01)) END AS pa, CASE WHEN a + b + c > 0 THEN greatest(b, 0.01) / (greatest(a, 0.01) + greatest(b, 0.01) + greatest(c, 0.01)) END AS pb, CASE WHEN a + b + c > 0 THEN greatest(c, 0.01) / (greatest(a, 0.01) + greatest(b, 0.01) + greatest(c, 0.01)) END AS pc FROM p)"
@@ -335,16 +336,16 @@ def keep_first(spark, d):
 
 @query(
     "c7_c10_causal_fill_and_age",
-    f"""WITH RECURSIVE {SERIES}, p AS (SELECT event_type, event_id, x, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS pos FROM s),
-    seed AS (SELECT *, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS so_far, max(CASE WHEN x IS NOT NULL THEN pos END) OVER (PARTITION BY event_type ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_pos FROM p)
-    SELECT event_id, coalesce(last_value(CASE WHEN pos < 4 THEN so_far ELSE x END IGNORE NULLS) OVER (PARTITION BY event_type, pos % 4 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS filled, least(coalesce(pos - last_pos, 32), 32) AS age FROM seed""",
+    f"""WITH RECURSIVE {SERIES}, p AS (SELECT user_id, event_id, x, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS pos FROM s),
+    seed AS (SELECT *, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS so_far, max(CASE WHEN x IS NOT NULL THEN pos END) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_pos FROM p)
+    SELECT event_id, coalesce(last_value(CASE WHEN pos < 4 THEN so_far ELSE x END IGNORE NULLS) OVER (PARTITION BY user_id, pos % 4 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS filled, least(coalesce(pos - last_pos, 32), 32) AS age FROM seed""",
 )
 def causal_fill(spark, d):
-    w = Window.partitionBy("event_type").orderBy("ts")
+    w = Window.partitionBy("user_id").orderBy("ts")
     p = series(spark, d).withColumn("pos", F.row_number().over(w) - 1)
-    last = F.max(F.when(F.col("x").isNotNull(), F.col("pos"))).over(Window.partitionBy("event_type").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    last = F.max(F.when(F.col("x").isNotNull(), F.col("pos"))).over(Window.partitionBy("user_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     p = p.withColumn("age", F.least(F.coalesce(F.col("pos") - last, F.lit(32)), F.lit(32)))
-    return windows.filled(p, "x", ["event_type"], ["pos"], "pos", "filled").select("event_id", "filled", "age")
+    return windows.filled(p, "x", ["user_id"], ["pos"], "pos", "filled").select("event_id", "filled", "age")
 
 
 @query(
@@ -372,23 +373,23 @@ def lag_features(spark, d):
 
 @query(
     "w1_shifted_median",
-    f"""WITH {SERIES} SELECT event_id, CASE WHEN count(x) OVER w >= 20 THEN round(quantile_cont(CASE WHEN x > 0 THEN ln(x) END, 0.5) OVER w, 6) END AS expected FROM s WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)""",
+    f"""WITH {SERIES} SELECT event_id, CASE WHEN count(x) OVER w >= 20 THEN round(quantile_cont(CASE WHEN x > 0 THEN ln(x) END, 0.5) OVER w, 6) END AS expected FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)""",
 )
 def shifted_median(spark, d):
-    spec = windows.past(["event_type"], ["ts"], 60)
+    spec = windows.past(["user_id"], ["ts"], 60)
     s = series(spark, d).withColumn("l", S.safe_log(F.col("x")))
     return s.select("event_id", r6(F.when(F.count("x").over(spec) >= 20, F.percentile("l", F.lit(0.5)).over(spec))).alias("expected"))
 
 
-_GATE = f"""{SERIES}, g AS (SELECT event_id, event_type, ts, x AS t, lag(x, 1) OVER (PARTITION BY event_type ORDER BY ts) AS a, avg(x) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS b FROM s),
+_GATE = f"""{SERIES}, g AS (SELECT event_id, user_id, ts, x AS t, lag(x, 1) OVER (PARTITION BY user_id ORDER BY ts) AS a, avg(x) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS b FROM s),
     l AS (SELECT *, CASE WHEN t IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL THEN abs(a - t) END AS la, CASE WHEN t IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL THEN abs(b - t) END AS lb FROM g),
-    m AS (SELECT *, count(la) OVER w AS n, CASE WHEN count(la) OVER w >= 15 THEN avg(la) OVER w END AS ma, CASE WHEN count(la) OVER w >= 15 THEN avg(lb) OVER w END AS mb FROM l WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 31 PRECEDING AND 2 PRECEDING))"""
+    m AS (SELECT *, count(la) OVER w AS n, CASE WHEN count(la) OVER w >= 15 THEN avg(la) OVER w END AS ma, CASE WHEN count(la) OVER w >= 15 THEN avg(lb) OVER w END AS mb FROM l WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 31 PRECEDING AND 2 PRECEDING))"""
 
 
 def _gate(spark, d):
-    w = Window.partitionBy("event_type").orderBy("ts")
-    g = series(spark, d).select("event_id", "event_type", "ts", F.col("x").alias("t"), F.lag("x").over(w).alias("a"), F.avg("x").over(windows.past(["event_type"], ["ts"], 5)).alias("b"))
-    n, la, lb = windows.paired_losses(F.col("t"), F.col("a"), F.col("b"), windows.past(["event_type"], ["ts"], 30, 2), 15)
+    w = Window.partitionBy("user_id").orderBy("ts")
+    g = series(spark, d).select("event_id", "user_id", "ts", F.col("x").alias("t"), F.lag("x").over(w).alias("a"), F.avg("x").over(windows.past(["user_id"], ["ts"], 5)).alias("b"))
+    n, la, lb = windows.paired_losses(F.col("t"), F.col("a"), F.col("b"), windows.past(["user_id"], ["ts"], 30, 2), 15)
     return g.withColumn("n", n).withColumn("ma", la).withColumn("mb", lb)
 
 
@@ -411,35 +412,35 @@ def prior_blend(spark, d):
 
 @query(
     "w5_matured_forward_median",
-    f"""WITH {SERIES}, f AS (SELECT *, CASE WHEN count(x) OVER w = 5 THEN quantile_cont(x, 0.5) OVER w END AS y FROM s WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))
-    SELECT event_id, round(y, 6) AS forward_median, count(y) OVER v AS matured, round(avg(abs(y - x)) OVER v, 9) AS past_loss FROM f WINDOW v AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 45 PRECEDING AND 6 PRECEDING)""",
+    f"""WITH {SERIES}, f AS (SELECT *, CASE WHEN count(x) OVER w = 5 THEN quantile_cont(x, 0.5) OVER w END AS y FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))
+    SELECT event_id, round(y, 6) AS forward_median, count(y) OVER v AS matured, round(avg(abs(y - x)) OVER v, 9) AS past_loss FROM f WINDOW v AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 45 PRECEDING AND 6 PRECEDING)""",
 )
 def forward_median(spark, d):
-    ahead = Window.partitionBy("event_type").orderBy("ts").rowsBetween(1, 5)
+    ahead = Window.partitionBy("user_id").orderBy("ts").rowsBetween(1, 5)
     f = series(spark, d).withColumn("y", F.when(F.count("x").over(ahead) == 5, F.percentile("x", F.lit(0.5)).over(ahead)))
-    v = windows.past(["event_type"], ["ts"], 40, 6)
+    v = windows.past(["user_id"], ["ts"], 40, 6)
     return f.select("event_id", r6(F.col("y")).alias("forward_median"), F.count("y").over(v).alias("matured"), F.round(F.avg(F.abs(F.col("y") - F.col("x"))).over(v), 9).alias("past_loss"))
 
 
 @query(
     "w9_causal_rank",
-    f"""WITH {SERIES}, h AS (SELECT event_id, x, list(x) FILTER (x IS NOT NULL) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS h FROM s), m AS (SELECT *, list_aggregate(h, 'quantile_cont', 0.5) AS mid FROM h)
+    f"""WITH {SERIES}, h AS (SELECT event_id, x, list(x) FILTER (x IS NOT NULL) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS h FROM s), m AS (SELECT *, list_aggregate(h, 'quantile_cont', 0.5) AS mid FROM h)
     SELECT event_id, round(CASE WHEN len(h) >= 10 AND x IS NOT NULL THEN 100.0 * len(list_filter(h, lambda v: v <= x)) / len(h) END, 6) AS pct, round(CASE WHEN len(h) >= 10 AND x IS NOT NULL THEN (x - mid) / greatest(1.4826 * list_aggregate(list_transform(h, lambda v: abs(v - mid)), 'quantile_cont', 0.5), 1e-8) END, 5) AS z FROM m""",
 )
 def causal_rank(spark, d):
-    pct, z = windows.causal_rank(F.col("x"), windows.past(["event_type"], ["ts"], 30), 10)
+    pct, z = windows.causal_rank(F.col("x"), windows.past(["user_id"], ["ts"], 30), 10)
     return series(spark, d).select("event_id", r6(pct).alias("pct"), F.round(z, 5).alias("z"))
 
 
 @query(
     "w12_weekly_median_shrinkage",
-    f"""WITH {SERIES}, g AS (SELECT *, sum(CASE WHEN x IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM s)
-    SELECT event_id, CASE WHEN x IS NULL THEN 0 ELSE count(x) OVER w END AS n, round(CASE WHEN x > 0 THEN CASE WHEN count(x) OVER w < 5 THEN x ELSE exp(0.75 * ln(x) + 0.25 * quantile_cont(ln(x), 0.5) OVER w) END END, 5) AS smooth FROM g WINDOW w AS (PARTITION BY event_type, island ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
+    f"""WITH {SERIES}, g AS (SELECT *, sum(CASE WHEN x IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM s)
+    SELECT event_id, CASE WHEN x IS NULL THEN 0 ELSE count(x) OVER w END AS n, round(CASE WHEN x > 0 THEN CASE WHEN count(x) OVER w < 5 THEN x ELSE exp(0.75 * ln(x) + 0.25 * quantile_cont(ln(x), 0.5) OVER w) END END, 5) AS smooth FROM g WINDOW w AS (PARTITION BY user_id, island ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
 )
 def shrinkage(spark, d):
     x = F.col("x")
-    g = windows.islands(series(spark, d), ["event_type"], ["ts"], x.isNull())
-    w = Window.partitionBy("event_type", "island").orderBy("ts").rowsBetween(-4, 0)
+    g = windows.islands(series(spark, d), ["user_id"], ["ts"], x.isNull())
+    w = Window.partitionBy("user_id", "island").orderBy("ts").rowsBetween(-4, 0)
     n = F.count("x").over(w)
     smooth = F.when(n < 5, x).otherwise(F.exp(0.75 * S.safe_log(x) + 0.25 * F.percentile(S.safe_log(x), F.lit(0.5)).over(w)))
     return g.select("event_id", F.when(x.isNull(), 0).otherwise(n).alias("n"), F.round(F.when(x > 0, smooth), 5).alias("smooth"))
@@ -447,12 +448,12 @@ def shrinkage(spark, d):
 
 @query(
     "w15_ar1",
-    f"""WITH {SERIES}, p AS (SELECT event_type, ts, x, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS pos FROM s), l AS (SELECT *, lag(x) OVER (PARTITION BY event_type ORDER BY pos) AS px FROM p)
-    SELECT event_type, count(*) FILTER (px IS NOT NULL AND x IS NOT NULL) AS pairs, round(least(greatest(sum(px * x) / sum(CASE WHEN x IS NOT NULL THEN px * px END), -0.95), 0.95), 6) AS rho FROM l GROUP BY event_type""",
+    f"""WITH {SERIES}, p AS (SELECT user_id, ts, x, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS pos FROM s), l AS (SELECT *, lag(x) OVER (PARTITION BY user_id ORDER BY pos) AS px FROM p)
+    SELECT user_id, count(*) FILTER (px IS NOT NULL AND x IS NOT NULL) AS pairs, round(least(greatest(sum(px * x) / sum(CASE WHEN x IS NOT NULL THEN px * px END), -0.95), 0.95), 6) AS rho FROM l GROUP BY user_id""",
 )
 def ar1(spark, d):
-    p = series(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("event_type").orderBy("ts")))
-    return windows.ar1(p, ["event_type"], "ts", "pos", "x").select("event_type", "pairs", r6(F.col("rho")).alias("rho"))
+    p = series(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("ts")))
+    return windows.ar1(p, ["user_id"], "ts", "pos", "x", least=10).select("user_id", "pairs", r6(F.col("rho")).alias("rho"))
 
 
 @query(
@@ -530,14 +531,14 @@ def weighted_median(spark, d):
 
 @query(
     "a17_interval_weighted_mean",
-    """WITH g AS (SELECT event_type, value, epoch(lead(ts) OVER (PARTITION BY event_type ORDER BY ts)) - epoch(ts) AS g FROM events), h AS (SELECT event_type, value, least(g, 3600) AS w FROM g WHERE g IS NOT NULL)
-    SELECT event_type, round(sum(value * w) / sum(w), 6) AS mean, count(*) FILTER (w = 3600) AS long_gaps FROM h GROUP BY event_type""",
+    """WITH g AS (SELECT user_id, value, epoch(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch(ts) AS g FROM events), h AS (SELECT user_id, value, least(g, 3600) AS w FROM g WHERE g IS NOT NULL)
+    SELECT user_id, round(sum(value * w) / sum(w), 6) AS mean, count(*) FILTER (w = 3600) AS long_gaps FROM h GROUP BY user_id""",
 )
 def interval_mean(spark, d):
     seconds = lambda c: c.cast("timestamp").cast("double")
-    gap = seconds(F.lead("ts").over(Window.partitionBy("event_type").orderBy("ts"))) - seconds(F.col("ts"))
+    gap = seconds(F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts"))) - seconds(F.col("ts"))
     g = table(spark, d, "events").withColumn("w", F.when(gap.isNotNull(), F.least(gap, F.lit(3600.0)))).filter("w is not null")
-    return g.groupBy("event_type").agg(r6(F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("mean"), F.count_if(F.col("w") == 3600).alias("long_gaps"))
+    return g.groupBy("user_id").agg(r6(F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("mean"), F.count_if(F.col("w") == 3600).alias("long_gaps"))
 
 
 @query(

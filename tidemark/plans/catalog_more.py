@@ -124,20 +124,27 @@ def baselines(spark, d):
 
 @query(
     "w17_rolling_reference_quantiles",
-    f"""WITH {SERIES} SELECT event_id, quantile_disc(x, 0.1) OVER w AS q10, quantile_disc(x, 0.5) OVER w AS q50, quantile_disc(x, 0.9) OVER w AS q90 FROM s WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)""",
+    f"""WITH {SERIES} SELECT event_id, quantile_disc(x, 0.1) OVER w AS q10, quantile_disc(x, 0.25) OVER w AS q25, quantile_disc(x, 0.5) OVER w AS q50, quantile_disc(x, 0.75) OVER w AS q75, quantile_disc(x, 0.9) OVER w AS q90 FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)""",
 )
 def reference_quantiles(spark, d):
-    h = F.array_sort(F.filter(F.collect_list("x").over(windows.past(["event_type"], ["ts"], 40)), lambda v: v.isNotNull()))
+    h = F.array_sort(F.filter(F.collect_list("x").over(windows.past(["user_id"], ["ts"], 40)), lambda v: v.isNotNull()))
     s = series(spark, d).withColumn("h", h)
     q = lambda p: F.get("h", (F.greatest(F.ceil(F.round(F.size("h") * p, 9)), F.lit(1)) - 1).cast("int"))
-    return s.select("event_id", q(0.1).alias("q10"), q(0.5).alias("q50"), q(0.9).alias("q90"))
+    return s.select("event_id", *[q(p).alias(f"q{round(100 * p)}") for p in (0.1, 0.25, 0.5, 0.75, 0.9)])
 
 
-@query("w10_local_level_filter")
+_LEVEL = f"""{SERIES}, p AS (SELECT user_id, event_id, x, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS pos FROM s),
+    f AS (SELECT user_id, 0::BIGINT AS pos, NULL::BIGINT AS event_id, NULL::DOUBLE AS x, NULL::DOUBLE AS before, NULL::DOUBLE AS level, 0.0::DOUBLE AS gain, NULL::DOUBLE AS state, 1.0::DOUBLE AS var, []::DOUBLE[] AS past FROM (SELECT DISTINCT user_id FROM p)
+    UNION ALL SELECT user_id, pos, event_id, x, state, CASE WHEN x IS NULL THEN NULL WHEN state IS NULL THEN x ELSE state + (var + 0.05) / (var + 1.05) * innovation END, CASE WHEN x IS NULL THEN 0.0 WHEN state IS NULL THEN 1.0 ELSE (var + 0.05) / (var + 1.05) END,
+    CASE WHEN x IS NULL THEN state WHEN state IS NULL THEN x ELSE state + (var + 0.05) / (var + 1.05) * innovation END, CASE WHEN state IS NULL THEN var WHEN x IS NULL THEN var + 0.05 ELSE (1 - (var + 0.05) / (var + 1.05)) * (var + 0.05) END, CASE WHEN x IS NULL OR state IS NULL THEN past ELSE list_append(past, x - state)[-60:] END
+    FROM (SELECT *, CASE WHEN len(past) >= 20 THEN greatest(-3 * scale, least(3 * scale, x - state)) ELSE x - state END AS innovation FROM (SELECT *, greatest(1.4826 * list_aggregate(list_transform(past, lambda v: abs(v - mid)), 'quantile_cont', 0.5), 0.01) AS scale FROM (SELECT f.state, f.var, f.past, p.user_id, p.pos, p.event_id, p.x, list_aggregate(f.past, 'quantile_cont', 0.5) AS mid FROM f JOIN p ON p.user_id = f.user_id AND p.pos = f.pos + 1))))"""
+
+
+@query("w10_w11_local_level_filter", f"""WITH RECURSIVE {_LEVEL} SELECT event_id, round(before, 5) AS before, round(level, 5) AS level, round(gain, 6) AS gain FROM f WHERE pos > 0""")
 def local_level(spark, d):
-    """A true recurrence: no SQL; tests compare it with the streaming form."""
-    s = series(spark, d).select(F.col("event_type").alias("series"), "ts", "event_id", "x")
-    return recurrent.filtered(s)
+    """level after the row and before it: the second is the forecast that has not seen the row."""
+    s = series(spark, d).select(F.col("user_id").cast("string").alias("series"), "ts", "event_id", "x")
+    return recurrent.filtered(s).select("event_id", F.round("before", 5).alias("before"), F.round("level", 5).alias("level"), r6(F.col("gain")).alias("gain"))
 
 
 @query(

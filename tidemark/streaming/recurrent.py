@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT = "series string, event_id long, x double, level double, gain double"
+OUT = "series string, event_id long, x double, before double, level double, gain double"
 STATE = "level double, variance double, started boolean, past array<double>"
 
 
@@ -58,12 +58,19 @@ def _median(values: list[float]) -> float:
 
 def _rows(filter_: LocalLevel, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["ts", "event_id"])
-    done = [filter_.step(None if pd.isna(x) else float(x)) for x in pdf["x"]]
-    return pd.DataFrame({"series": pdf["series"], "event_id": pdf["event_id"], "x": pdf["x"], "level": [a for a, _ in done], "gain": [b for _, b in done]})
+    before, done = [], []
+    for x in pdf["x"]:
+        before.append(filter_.level if filter_.started else None)
+        done.append(filter_.step(None if pd.isna(x) else float(x)))
+    return pd.DataFrame({"series": pdf["series"], "event_id": pdf["event_id"], "x": pdf["x"], "before": before, "level": [a for a, _ in done], "gain": [b for _, b in done]})
 
 
 def filtered(rows: DataFrame) -> DataFrame:
-    """Batch form over (series, ts, event_id, x): one group a series, in time order."""
+    """Batch form over (series, ts, event_id, x): one group a series, in time order.
+
+    before is the level that was known before the row, for forecasts that must not see it.
+    A series is one entity's history and has to fit a task; a longer one goes through
+    filtered_stream, whose state is a few numbers."""
     return rows.groupBy("series").applyInPandas(lambda pdf: _rows(LocalLevel(), pdf), OUT)
 
 
