@@ -40,8 +40,8 @@ from . import textkit
 from .storage import bounded_batches, written
 
 BUCKETS = 65536
-#: Bound of the broadcast table: about 8 MB, whatever the size of the corpus.
-HOT_WORDS = 1 << 18
+#: Bound of the broadcast table: about 16 MB, whatever the size of the corpus.
+HOT_WORDS = 1 << 19
 NO_RANK = 2147483647
 
 
@@ -327,7 +327,7 @@ def encoded_blocks(docs: DataFrame, ranks: dict[bytes, int], hot_words: int, blo
     return blocks.drop("tail"), hot_value
 
 
-def encode(docs: DataFrame, ranks_path: str, hot_words: int = HOT_WORDS, block_mb: int = 4, long_word: int = 256) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, hot_words: int = HOT_WORDS, block_mb: int = 6, long_word: int = 256) -> DataFrame:
     """doc_id, ids array<int>, decoded binary: one row per document."""
     ranks = load_ranks(ranks_path)
     blocks, hot_value = encoded_blocks(docs, ranks, hot_words, block_mb, long_word)
@@ -345,7 +345,7 @@ def encode(docs: DataFrame, ranks_path: str, hot_words: int = HOT_WORDS, block_m
     return blocks.mapInArrow(emit, "doc_id bigint, ids array<int>, decoded binary")
 
 
-def digests(docs: DataFrame, ranks_path: str, hot_words: int = HOT_WORDS, block_mb: int = 4, long_word: int = 256) -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str, hot_words: int = HOT_WORDS, block_mb: int = 6, long_word: int = 256) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode() with digests in place of the arrays."""
     ranks = load_ranks(ranks_path)
     blocks, hot_value = encoded_blocks(docs, ranks, hot_words, block_mb, long_word)
