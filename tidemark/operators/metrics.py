@@ -43,10 +43,18 @@ def pairs(predictions: DataFrame, key: list[str], model: str, error: str) -> Dat
     )
 
 
-def pareto(rows: DataFrame, key: str, low: list[str], high: list[str]) -> DataFrame:
-    """Rows that no other row beats: as good in every objective and better in one. For small tables of candidates."""
+def pareto(rows: DataFrame, key: str, low: list[str], high: list[str], most: int = 20_000) -> DataFrame:
+    """Rows that no other row beats: as good in every objective and better in one.
+
+    For tables of candidates: every row is compared with those that are best in their
+    own value of the first objective; more than `most` of these are an error."""
     cols = [key, *low, *high]
-    o = rows.select(*[F.col(c).alias(f"o_{c}") for c in cols])
+    # of rows that agree in all but the last objective only the best can beat others
+    *same, last = [*low, *high]
+    best = rows.groupBy(*same).agg((F.min if last in low else F.max)(last).alias(last), F.min(key).alias(key))
+    if best.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} candidates")
+    o = F.broadcast(best.select(*[F.col(c).alias(f"o_{c}") for c in cols]))
     as_good, better = F.lit(True), F.lit(False)
     for c in low:
         as_good, better = as_good & (F.col(f"o_{c}") <= F.col(c)), better | (F.col(f"o_{c}") < F.col(c))

@@ -132,12 +132,12 @@ def ar_forecast(rho: Column, last: Column, steps: Column, bound: float | None =
     return out if bound is None else S.clip(out, -bound, bound)
 
 
-def lifecycle(rows: DataFrame, by: list[str], revision: str, status: str, allowed: list[tuple[str, str]], fixed: list[str], final: list[str]) -> DataFrame:
+def lifecycle(rows: DataFrame, by: list[str], revision: str, status: str, allowed: list[tuple[str, str]], fixed: list[str], final: list[str], order: list[str] | None = None) -> DataFrame:
     """by, revision and code of each violation: revisions start at 0 and have no gaps, only allowed changes
     of status happen, `fixed` columns never change and `final` ones not once they are set."""
     from tidemark.functions import scalars as S
 
-    w = Window.partitionBy(*by).orderBy(revision)
+    w = Window.partitionBy(*by).orderBy(*(order or [revision]))
     before = lambda c: F.lag(c).over(w)
     first = F.row_number().over(w) == 1
     r = rows.withColumns({"_first": first, "_rev": before(revision), "_status": before(status)} | {f"_{c}": before(c) for c in [*fixed, *final]})

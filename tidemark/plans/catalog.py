@@ -483,8 +483,8 @@ def transitions(spark, d):
     SELECT m, g, large, count(ae) AS n, round(avg(ae), 4) AS mae FROM e GROUP BY GROUPING SETS ((m), (m, g), (m, large))""",
 )
 def grouping_sets(spark, d):
-    _predictions(spark, d).select("m", (F.col("o_custkey") % 10).cast("int").alias("g"), (F.col("y") > 100000).alias("large"), F.abs(F.col("f") - F.col("y")).alias("ae")).createOrReplaceTempView("a5_errors")
-    return spark.sql("SELECT m, g, large, count(ae) AS n, round(avg(ae), 4) AS mae FROM a5_errors GROUP BY GROUPING SETS ((m), (m, g), (m, large))")
+    e = _predictions(spark, d).select("m", (F.col("o_custkey") % 10).cast("int").alias("g"), (F.col("y") > 100000).alias("large"), F.abs(F.col("f") - F.col("y")).alias("ae"))
+    return spark.sql("SELECT m, g, large, count(ae) AS n, round(avg(ae), 4) AS mae FROM {e} GROUP BY GROUPING SETS ((m), (m, g), (m, large))", e=e)
 
 
 @query(
@@ -563,8 +563,7 @@ def sign_enumeration(spark, d):
 def purged(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("k")
     rows = _ordered(spark, d).select(F.col("o_orderdate").alias("origin"), F.lead("o_orderdate").over(w).alias("label_asof"))
-    cut = spark.createDataFrame([("1997-01-01",), ("1999-01-01",), ("2001-01-01",)], "c string").select(F.col("c").cast("timestamp").alias("cutoff"))
-    out = folds.purged(rows, cut, "origin", "label_asof")
+    out = folds.purged(rows, ["1997-01-01", "1999-01-01", "2001-01-01"], "origin", "label_asof")
     return out.groupBy(F.to_date("cutoff").alias("cutoff")).agg(F.count(F.lit(1)).alias("rows_used"), F.count_if(F.col("origin") >= F.add_months("cutoff", -12)).alias("last_year"))
 
 
