@@ -84,3 +84,29 @@ def test_query_columns(spark, tmp_path):
     want = f"assign:0:18,access:19:{19 + len(KEY)}"
     assert rows[1, 1].spans == want and rows[1, 1].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
     assert rows[None, 0].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_deep_escapes_are_linear_and_reach_the_end():
+    import time
+
+    value = "hunter2hunter2"
+    for nest in (lambda n: "%" + "25" * n + "61", lambda n: "\\" + "u005c" * n + "u0061", lambda n: "%" + "5Cu0025" * n + "61", lambda n: "\\" + "x5C" * n + "x61"):
+        for n in (0, 1, 2, 3, 4, 5, 50):
+            text = "p" + nest(n) + "ssword=" + value
+            found = {(s[1], s[2]) for s in secrets.find(text) if s[0] == "assign" and s[3]}
+            assert (0, len(text)) in found, (n, text)
+        text = "p" + nest(20_000) + "ssword=" + value
+        began = time.time()
+        assert any(s[0] == "assign" and (s[1], s[2]) == (0, len(text)) for s in secrets.find(text))
+        assert time.time() - began < 5
+    text = "".join(f"%{ord(c):02X}" for c in f"password={value} ") * 6000
+    began = time.time()
+    assert sum(s[0] == "assign" for s in secrets.find(text)) >= 6000
+    assert time.time() - began < 15
+
+
+def test_empty_table_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, f"a {KEY}", "x", 2), (None, None, "y", 3), (1, f"a {KEY}", "x", 2)], "doc_id long, text string, spans string, start int")
+    got = sorted((str(r.doc_id), len(r.spans)) for r in secrets.find_secrets(docs).collect())
+    assert got == [("1", 1), ("1", 1), ("None", 0)]
+    assert secrets.find_secrets(docs.limit(0)).collect() == []

@@ -3,7 +3,9 @@
 A worklist starts with the text. From each layer it unwraps tokens that hold URL
 escapes, Unicode escapes or base64 (and, below base64, gzip, zlib, bzip2 or xz
 data) into new layers, until nothing new comes up; a layer whose content and
-place were seen before is dropped, so cycles end. Each layer is scanned by the
+place were seen before is dropped, so cycles end. Escapes of escapes that are
+nested more than `LEVELS` deep are unwrapped down to that many in one step, so that
+the work is in proportion to a text's length. Each layer is scanned by the
 same rules and its spans are mapped back to the characters of the text that
 they came from: escapes map character by character, base64 to its whole token.
 A layer of escapes holds the tokens with escapes and the two before and behind
@@ -20,8 +22,8 @@ All members of compressed data are read. Data that unpacks to more than
 scanned in pieces that overlap by 4,096 bytes: memory stays bounded. What is
 encoded again in such data is found where it lies within a piece.
 
-Defined results: a null text is empty and has no spans; repeated rows give
-repeated results; a null doc_id is kept; an empty table gives an empty result;
+Defined results: a null text is empty and has no spans; texts of any length are
+scanned whole; repeated rows give repeated results; a null doc_id is kept; an empty table gives an empty result;
 further columns are ignored.
 """
 
@@ -34,6 +36,7 @@ import lzma
 import re
 import unicodedata
 import zlib
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,8 +53,11 @@ _HINTS = ("passw", "secret", "token", "api")
 
 URL = re.compile(r"%[0-9A-Fa-f]{2}")
 UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+URL_REST = re.compile(r"[0-9A-Fa-f]{2}")
+UNICODE_REST = re.compile(r"u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-LINES = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]{2,})+={0,2}")
+#: Starts at the start of a run only and never gives back, so that long runs are read once.
+LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]{2,}+)++={0,2}")
 PIECE, OVERLAP = 1 << 20, 4096
 MOST_UNPACKED = 16 << 20
 
@@ -69,7 +75,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 
 
 class Layer:
-    """A text and, for each of its characters, the span of the document it came from (None: itself)."""
+    """A text and, for each of its characters, the span of the document it came from (None: itself), as int arrays."""
 
     __slots__ = ("text", "starts", "ends", "via", "own")
 
@@ -87,17 +93,25 @@ class Layer:
     def new(self, a: int, b: int) -> bool:
         return self.own is None or any(self.own[a:b])
 
-    def child(self, text: str, cuts: list[tuple[int, int]] | tuple[int, int], name: str, tokens=()) -> "Layer":
-        """cuts: where each character of text stands in this layer, or one span for all of them. tokens: those with escapes."""
-        if isinstance(cuts, tuple):
-            return Layer(text, self.span(*cuts), None, f"{self.via}/{name}" if self.via else name)
-        spans = [self.span(*c) for c in cuts]
+    def below(self, text: str, a: int, b: int, name: str) -> "Layer":
+        """A layer that comes from the characters a to b as a whole."""
+        return Layer(text, self.span(a, b), None, f"{self.via}/{name}" if self.via else name)
+
+    def child(self, text: str, starts: array, ends: array, name: str, tokens) -> "Layer":
+        """starts, ends: where each character of text stands in this layer; tokens: those with escapes."""
         own, k = bytearray(len(text)), 0
-        for i, (c, _) in enumerate(cuts):
+        for i, c in enumerate(starts):
             while k < len(tokens) and tokens[k][1] <= c:
                 k += 1
             own[i] = k < len(tokens) and tokens[k][0] <= c
-        return Layer(text, [s for s, _ in spans], [e for _, e in spans], f"{self.via}/{name}" if self.via else name, own)
+        if isinstance(self.starts, tuple):
+            low, high = self.starts
+            starts, ends = array("i", [low]) * len(text), array("i", [high]) * len(text)
+        elif self.starts is not None:
+            # an escape's characters come from rising places, so its first and last one bound them
+            up, down = self.starts, self.ends
+            starts, ends = array("i", [up[x] for x in starts]), array("i", [down[y - 1] for y in ends])
+        return Layer(text, starts, ends, f"{self.via}/{name}" if self.via else name, own)
 
 
 def _tokens(text: str, pattern: re.Pattern):
@@ -142,9 +156,26 @@ def _regions(text: str, pattern: re.Pattern):
         yield held
 
 
-def _unescape(text: str, a: int, b: int, pattern: re.Pattern, value):
-    """The token with its escapes replaced, and where each character came from. URL escapes are bytes of UTF-8."""
-    chars, cuts, at = [], [], a
+#: Levels of escapes that are unwrapped one by one; deeper ones lead to this many at once.
+LEVELS = 3
+
+
+def _escape(lead: str, text: str, at: int, end: int) -> tuple[str | int, int] | None:
+    """(character, or byte of a URL escape; place behind) of the escape made of lead and what follows at `at`."""
+    pattern = URL_REST if lead == "%" else UNICODE_REST
+    m = pattern.match(text, at, end)
+    if m is None:
+        return None
+    return (int(m[0], 16), m.end()) if lead == "%" else (_unicode(m[0]), m.end())
+
+
+def _unescape(text: str, a: int, b: int, lead: str):
+    """The text from a to b with its escapes replaced, and where each character starts and ends. URL escapes are bytes of UTF-8.
+
+    An escaped escape sign, as in %2525252541, would need a layer a level, each as
+    long as the text. All but its last LEVELS levels are replaced in one step: what
+    lies between is a run of the escapes' own digits and holds nothing else."""
+    chars, starts, ends, at = [], array("i"), array("i"), a
     run: list[tuple[int, int, int]] = []
 
     def flush():
@@ -157,37 +188,54 @@ def _unescape(text: str, a: int, b: int, pattern: re.Pattern, value):
                 except UnicodeDecodeError:
                     continue
                 if c:
-                    chars.append(c)
-                    cuts.append((run[k][1], run[min(k + n, len(run)) - 1][2]))
-                    k += n
                     break
             else:
-                chars.append("�")
-                cuts.append(run[k][1:])
-                k += 1
+                c, n = "\ufffd", 1
+            chars.append(c)
+            starts.append(run[k][1])
+            ends.append(run[min(k + n, len(run)) - 1][2])
+            k += n
         run.clear()
 
-    for m in pattern.finditer(text, a, b):
-        if m.start() > at:
+    def copy(x: int, y: int):
+        chars.append(text[x:y])
+        starts.extend(range(x, y))
+        ends.extend(range(x + 1, y + 1))
+
+    while (i := text.find(lead, at, b)) >= 0:
+        step = _escape(lead, text, i + 1, b)
+        if step is None:
+            if i + 1 > at:
+                flush()
+                copy(at, i + 1)
+            at = i + 1
+            continue
+        chain = [step]
+        while (c := chain[-1][0]) in (0x25, 0x5C, "%", "\\"):
+            again = _escape("%" if c in (0x25, "%") else "\\", text, chain[-1][1], b)
+            if again is None:
+                break
+            chain.append(again)
+        value, end = chain[max(len(chain) - LEVELS, 0)] if len(chain) > LEVELS else step
+        if i > at:
             flush()
-            chars += text[at : m.start()]
-            cuts += [(i, i + 1) for i in range(at, m.start())]
-        code = value(m[0])
-        if isinstance(code, bytes):
-            run.append((code[0], *m.span()))
+            copy(at, i)
+        if isinstance(value, int):
+            run.append((value, i, end))
         else:
             flush()
-            chars.append(code)
-            cuts.append(m.span())
-        at = m.end()
+            chars.append(value)
+            starts.append(i)
+            ends.append(end)
+        at = end
     flush()
-    chars += text[at:b]
-    cuts += [(i, i + 1) for i in range(at, b)]
-    return "".join(chars), cuts
+    copy(at, b)
+    return "".join(chars), starts, ends
 
 
 def _unicode(escape: str) -> str:
-    code = int(escape[2:], 16)
+    """The character of an escape without its backslash: u and four digits or x and two."""
+    code = int(escape[1:], 16)
     return "�" if 0xD800 <= code < 0xE000 else chr(code)
 
 
@@ -275,7 +323,10 @@ def _runs(text: str):
             # the head tells whether a start is aligned
             head = _base64(text[s + 1 : min(b, s + 65, *seps[k + 1 : k + 2])])
             if b - s > 16 and head and (_readable(head) or _unpack(head, 1)[0]):
-                yield s + 1, b, _base64(text[s + 1 : b])
+                # and the first bytes behind it, before a long run is decoded from many starts
+                more = _base64(text[s + 1 : min(b, s + 513)])
+                if _readable(more) or _unpack(more, 1)[0]:
+                    yield s + 1, b, _base64(text[s + 1 : b])
         for s, t in zip([a - 1, *seps], [*seps, b]):
             if t - s > 16 and (s, t) != (a - 1, b):
                 yield s + 1, t, _base64(text[s + 1 : t])
@@ -286,10 +337,10 @@ def unwrap(layer: Layer, most: int = MOST_UNPACKED):
     text = layer.text
     if "%" in text:
         for a, b, tokens in _regions(text, URL):
-            yield layer.child(*_unescape(text, a, b, URL, lambda x: bytes([int(x[1:], 16)])), "url", tokens)
+            yield layer.child(*_unescape(text, a, b, "%"), "url", tokens)
     if "\\" in text:
         for a, b, tokens in _regions(text, UNICODE):
-            yield layer.child(*_unescape(text, a, b, UNICODE, _unicode), "unicode", tokens)
+            yield layer.child(*_unescape(text, a, b, "\\"), "unicode", tokens)
     for a, b, data in _runs(text):
         if not layer.new(a, b):
             continue
@@ -297,7 +348,7 @@ def unwrap(layer: Layer, most: int = MOST_UNPACKED):
             if found is None:
                 yield "oversize", *layer.span(a, b), "/".join(filter(None, [layer.via, *names]))
             else:
-                yield layer.child(found, (a, b), "/".join(names))
+                yield layer.below(found, a, b, "/".join(names))
 
 
 def find(text: str | None, most: int = MOST_UNPACKED) -> list[tuple[str, int, int, str]]:
