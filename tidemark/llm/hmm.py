@@ -280,23 +280,23 @@ class Segments:
         self.steps = [by[a:b] for a, b in zip(cut[:-1], cut[1:])]
         self.n, self.docs = len(order), len(lens)
 
-    def transfer(self, model: Model):
+    def transfer(self, model: Model, kind=np.float64):
         """Each segment's transfer matrix, scaled, and the log of its scale."""
         k = len(model.start)
-        emit = np.ascontiguousarray(model.emit.T)
-        out, scale = np.empty((self.n, k, k)), np.zeros(self.n)
+        emit, step = np.ascontiguousarray(model.emit.T, kind), model.move.astype(kind)
+        out, scale = np.empty((self.n, k, k), kind), np.zeros(self.n)
         for t in range(SEGMENT):
             m = int(self.alive[t])
             if not m:
                 break
             b = emit[self.symbols[t, :m]][:, None, :]
             if t == 0:
-                out[:m] = model.move[None] * b
+                out[:m] = step[None] * b
                 new = self.place[:m] == 0
                 out[:m][new] = model.start[None, None] * b[new]
             else:
-                out[:m] = (out[:m].reshape(-1, k) @ model.move).reshape(m, k, k) * b
-            if t % 16 == 15:
+                out[:m] = (out[:m].reshape(-1, k) @ step).reshape(m, k, k) * b
+            if t % 2:  # rare words soon take single precision to its end
                 s = out[:m].sum((1, 2))
                 out[:m] /= s[:, None, None]
                 scale[:m] += np.log(s)
@@ -317,24 +317,24 @@ class Segments:
         return total, before
 
     def expected(self, model: Model):
-        """Expected starts, moves and emissions (Baum-Welch), and the log-likelihood."""
+        """Expected starts, moves and emissions (Baum-Welch), and the log-likelihood, in single precision."""
         k = len(model.start)
-        matrices, scale = self.transfer(model)
+        matrices, scale = self.transfer(model, np.float32)
         total, before = self.forward(model, matrices, scale)
-        after, now = np.empty((self.n, k)), np.ones((self.docs, k))
+        after, now = np.empty((self.n, k), np.float32), np.ones((self.docs, k))
         for seg in reversed(self.steps):
             d = self.doc[seg]
             after[seg] = now[d]
             b = np.einsum("nij,nj->ni", matrices[seg], now[d])
             now[d] = b / b.sum(1, keepdims=True)
-        emit = np.ascontiguousarray(model.emit.T)
+        emit, move_ = np.ascontiguousarray(model.emit.T, np.float32), model.move.astype(np.float32)
         alpha = np.zeros((SEGMENT, self.n, k), np.float32)
-        a = before
+        a = before = before.astype(np.float32)
         for t in range(SEGMENT):
             m = int(self.alive[t])
             if not m:
                 break
-            step = a[:m] @ model.move
+            step = a[:m] @ move_
             if t == 0:
                 step[self.place == 0] = model.start
             a = step * emit[self.symbols[t, :m]]
@@ -350,13 +350,14 @@ class Segments:
             g /= g.sum(1, keepdims=True)
             alpha[t, :m] = g
             b = beta[:m] * emit[self.symbols[t, :m]]
-            later = np.ones(m, bool) if t else self.place[:m] > 0
-            prev = alpha[t - 1, :m].astype(float) if t else before[:m]
-            z = ((prev @ model.move) * b).sum(1)
-            move += ((prev[later] / z[later, None]).T @ b[later]) * model.move
+            later = self.place[:m] > 0  # of first tokens only those of later segments follow one
+            prev = alpha[t - 1, :m] if t else before[:m]
+            z = ((prev @ move_) * b).sum(1)
+            scaled = prev / z[:, None]
+            move += (scaled.T @ b if t else scaled[later].T @ b[later]) * model.move
             if t == 0:
                 start += g[self.place[:m] == 0].sum(0)
-            nb = b @ model.move.T
+            nb = b @ move_.T
             beta[:m] = nb / nb.sum(1, keepdims=True)
         m = self.alive
         mask = np.arange(self.n)[None, :] < m[:, None]
@@ -415,7 +416,7 @@ def baum_welch(encoded: DataFrame, model: Model, weights: np.ndarray, rounds: in
     return model, seen
 
 
-def train_and_score(docs: DataFrame, states: int = 8, rounds: int = 30, least_gain: float = 0.01, seed: int = 7, bucket_mb: int = 48) -> DataFrame:
+def train_and_score(docs: DataFrame, states: int = 8, rounds: int = 30, least_gain: float = 0.015, seed: int = 7, bucket_mb: int = 48) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     bounded_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
