@@ -69,3 +69,24 @@ def test_loose_forms_that_outnumber_base_ones(spark):
 
 def test_empty(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_long_runs_and_many_matches_are_linear(spark):
+    import time
+
+    long = ["x" * 200_000 + " a@b.cd", "7" * 200_000 + " 1.2.3.4", "x." * 100_000 + " joe (at) site.org", "a@b.cd, " * 20_000, "555 1234567, " * 8000]
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    pii.find_pii(docs.limit(1)).collect()
+    began = time.time()
+    got = {r.doc_id: r.spans for r in pii.find_pii(docs).collect()}
+    assert time.time() - began < 60
+    assert [(s.kind, s.start) for s in got[0]] == [("email", 200_001)] and [(s.kind, s.start) for s in got[1]] == [("ip", 200_001)]
+    assert any(s.added and s.start == 200_001 for s in got[2]) and len(got[3]) == 20_000
+    assert [s.start for s in got[3][:3]] == [0, 8, 16] and got[3][-1].start == 8 * 19_999
+
+
+def test_added_spans_do_not_overlap(spark):
+    rows = [(i, t) for i, t in enumerate(texts()) if t is not None and len(t) < 1000] + [(900, "call 499-555-6503-12-3456 or 123-45-6789 555-6503 (499) 555-6503 joe (at) site.org (at) b.org")]
+    for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        added = [(s.start, s.end) for s in r.spans if s.added]
+        assert all(a[1] <= b[0] for a, b in zip(sorted(added), sorted(added)[1:])), rows[0]

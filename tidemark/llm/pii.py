@@ -14,11 +14,12 @@ DataFrame functions only.
 3. For each family a threshold is calibrated on examples that were not learnt
    from: the lowest score above which at least `precision` of them are real.
    Base spans and what they cover are neither learnt from nor counted. Spans
-   above it that no base span covers are added; base spans always stay. That
-   precision is one of the examples: a corpus has no labels to measure it by.
+   above it that no base span covers are added, of overlapping ones the best;
+   base spans always stay. That precision is one of the examples: a corpus has no
+   labels to measure it by.
 
-Defined results: a null text is empty and has no spans; repeated rows give
-repeated results; a null doc_id is kept; an empty table gives an empty result;
+Defined results: a null text is empty and has no spans; texts of any length are
+read whole; repeated rows give repeated results; a null doc_id is kept; an empty table gives an empty result;
 further columns are ignored.
 """
 
@@ -34,19 +35,23 @@ from .storage import written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns. Loops that nothing follows, or only what they cannot match, are
-#: possessive, which matches the same and never recurses.
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+#: possessive, which matches the same and never recurses. A pattern that opens with
+#: such a loop starts at the loop's first character, or where the match before it
+#: ended: from any later one it would reach the same end, and a long run without a
+#: match would be read from each of its characters.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Looser generators: (family, pattern, what a text must contain).
 LOOSE = (
     (3, r"(?:\([0-9]{3}\)[\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}", None),
     (2, r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-"),
-    (0, r"[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:(?:\x20?(?:\(dot\)|\[dot\])\x20?|\.)[A-Za-z0-9-]++)++", "at"),
+    (0, r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:(?:\x20?(?:\(dot\)|\[dot\])\x20?|\.)[A-Za-z0-9-]++)++", "at"),
 )
 HINTS = r"(?i)(mail|phone|tel|call|fax|card|visa|account|ssn|host|addr|contact|\bip\b)"
 FEATURES = ("family", "digits", "parts", "hint", "joined_left", "joined_right", "uniform", "brackets", "form", "valid")
+CHUNK = 64
 _CAND = "array<struct<family:int,base:boolean,s:int,e:int,t:string,form:int>>"
 
 
@@ -60,11 +65,14 @@ def _matches(text: str, pattern: str, family: int, must: str | None, form: int =
     The text between matches is captured too; running lengths give positions."""
     hits = f"regexp_extract_all({text}, {_sql_text(pattern)}, 0)"
     gaps = rf"regexp_extract_all({text}, {_sql_text('(?s)' + chr(92) + 'G(.*?)(?:' + pattern + ')')}, 1)"
-    item = f"named_struct('family', {family}, 'base', false, 's', a.p + length(g[i]), 'e', a.p + length(g[i]) + length(h[i]), 't', h[i], 'form', {form})"
-    walk = (
-        f"aggregate(sequence(0, size(h) - 1), named_struct('p', 0, 'o', cast(array() as {_CAND})),"
-        f" (a, i) -> named_struct('p', a.p + length(g[i]) + length(h[i]), 'o', concat(a.o, array({item}))), a -> a.o)"
-    )
+    # positions are running sums: within chunks of CHUNK matches, then over the chunks, so that no array grows one by one
+    local = "named_struct('p', 0, 'o', cast(array() as array<struct<s:int,e:int,t:string>>))"
+    walk = "(a, i) -> transform(array(a.p + length(g[i])), s -> named_struct('p', s + length(h[i]), 'o', concat(a.o, array(named_struct('s', s, 'e', s + length(h[i]), 't', h[i])))))[0]"
+    chunk = f"aggregate(sequence(k * {CHUNK}, least(size(h), (k + 1) * {CHUNK}) - 1), {local}, {walk})"
+    chunks = f"transform(sequence(0, (size(h) - 1) div {CHUNK}), k -> {chunk})"
+    bases = "aggregate(c, array(0), (b, x) -> concat(b, array(element_at(b, -1) + x.p)), b -> b)"
+    item = f"named_struct('family', {family}, 'base', false, 's', b[k] + x.s, 'e', b[k] + x.e, 't', x.t, 'form', {form})"
+    walk = f"transform(array({chunks}), c -> transform(array({bases}), b -> flatten(transform(c, (y, k) -> transform(y.o, x -> {item}))))[0])[0]"
     found = f"transform(array({hits}), h -> if(size(h) = 0, cast(array() as {_CAND}), transform(array({gaps}), g -> {walk})[0]))[0]"
     return found if must is None else f"if(instr({text}, {_sql_text(must)}) > 0, {found}, cast(array() as {_CAND}))"
 
@@ -91,16 +99,17 @@ def candidates(docs: DataFrame) -> DataFrame:
     for n, (family, pattern, must) in enumerate(LOOSE):
         rows = rows.withColumn(f"loose{n}", F.expr(_matches("text", pattern, family, must, n + 1)))
     rows = rows.withColumn("cands", F.concat(*KINDS, *[f"loose{n}" for n in range(len(LOOSE))])).select("doc_id", "text", "cands")
-    covered = "exists(cands, b -> b.base and b.s <= c.s and b.e >= c.e)"
+    covered = "c.base or exists(base, b -> b.s <= c.s and b.e >= c.e)"
     digits = f"length({_DIGITS})"
     parts = "size(split(c.t, '[^A-Za-z0-9]+'))"
     values = {
         "family": "c.family",
         "digits": f"case when {digits} = 0 then 0 when {digits} < 9 then 1 when {digits} < 11 then 2 when {digits} < 13 then 3 when {digits} < 17 then 4 else 5 end",
         "parts": f"least({parts}, 6)",
-        "hint": f"cast(substring(text, greatest(c.s - 23, 1), least(24, c.s)) rlike {_sql_text(HINTS)} as int)",
-        "joined_left": "if(c.s > 0, cast(substring(text, c.s, 1) rlike '[A-Za-z0-9]' as int), 0)",
-        "joined_right": "cast(substring(text, c.e + 1, 1) rlike '[A-Za-z0-9]' as int)",
+        # the context of base spans, which stay anyway, is not looked up
+        "hint": f"if(c.base, 0, cast(substring(text, greatest(c.s - 23, 1), least(24, c.s)) rlike {_sql_text(HINTS)} as int))",
+        "joined_left": "if(c.s > 0 and not c.base, cast(substring(text, c.s, 1) rlike '[A-Za-z0-9]' as int), 0)",
+        "joined_right": "if(c.base, 0, cast(substring(text, c.e + 1, 1) rlike '[A-Za-z0-9]' as int))",
         "uniform": f"cast({_DIGITS} rlike '^([0-9])\\\\1+$' as int)",
         "brackets": "cast(c.t rlike '[()]' as int)",
         "form": "c.form",
@@ -108,7 +117,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     }
     made = ", ".join(f"'{k}', {v}" for k, v in values.items())
     item = f"named_struct('base', c.base, 'covered', {covered}, 's', c.s, 'e', c.e, {made})"
-    return rows.select("doc_id", F.expr(f"if(size(cands) = 0, array(), transform(cands, c -> {item}))").alias("cands"))
+    made = f"transform(array(filter(cands, c -> c.base)), base -> transform(cands, c -> {item}))[0]"
+    return rows.select("doc_id", F.expr(f"if(size(cands) = 0, array(), {made})").alias("cands"))
 
 
 def examples(seed: int = 5, n: int = 600) -> list[tuple[str, str, bool]]:
@@ -236,9 +246,12 @@ def find_pii(docs: DataFrame, precision: float = 0.8) -> DataFrame:
     above = " or ".join(f"(c.family = {k} and x >= {t - 1e-9!r}D)" for k, t in enumerate(cut) if t < math.inf) or "false"
     kinds = "array(" + ", ".join(_sql_text(k) for k in KINDS) + ")"
     scored = f"transform(cands, c -> transform(array({score}), x -> named_struct('c', c, 'x', x, 'take', c.base or (not c.covered and ({above}))))[0])"
-    kept = f"filter({scored}, z -> z.take)"
+    # of added spans that overlap, the one of the highest score stays, then the first, then the longest
+    better = "b.x > z.x or (b.x = z.x and (b.c.s < z.c.s or (b.c.s = z.c.s and (b.c.e > z.c.e or (b.c.e = z.c.e and (b.c.family < z.c.family or (b.c.family = z.c.family and b.c.form < z.c.form)))))))"
+    beaten = f"exists(added, b -> b.c.s < z.c.e and z.c.s < b.c.e and ({better}))"
+    kept = f"transform(array(filter({scored}, z -> z.take)), held -> transform(array(filter(held, z -> not z.c.base)), added -> filter(held, z -> z.c.base or not {beaten}))[0])[0]"
     spans = f"transform({kept}, z -> named_struct('family', z.c.family, 'start', z.c.s, 'end', z.c.e, 'added', not z.c.base, 'kind', {kinds}[z.c.family], 'score', 1 / (1 + exp(-z.x))))"
-    return cands.select("doc_id", F.expr(f"if(size(cands) = 0, cast(null as array<struct<family:int,start:int,end:int,added:boolean,kind:string,score:double>>), array_distinct(array_sort({spans})))").alias("spans")).withColumn(
+    return cands.select("doc_id", F.expr(f"if(size(cands) = 0, cast(null as array<struct<family:int,start:int,end:int,added:boolean,kind:string,score:double>>), array_sort({spans}))").alias("spans")).withColumn(
         "spans", F.coalesce("spans", F.expr("cast(array() as array<struct<family:int,start:int,end:int,added:boolean,kind:string,score:double>>)"))
     )
 
