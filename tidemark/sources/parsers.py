@@ -44,11 +44,11 @@ def submissions(docs: DataFrame, arrays: dict[str, str]) -> DataFrame:
     return z.select(*[c for c in docs.columns if c not in arrays], *[F.col(f"z.{c}").alias(n) for c, n in arrays.items()])
 
 
-def curve_points(rows: DataFrame, date: str, tenors: list[str]) -> DataFrame:
+def curve_points(rows: DataFrame, date: str, tenors: list[str], keep: list[str] = ()) -> DataFrame:
     """Wide tenors to (date, tenor, rate): empty cells give no row, dates in either of two formats."""
     day = F.coalesce(F.expr(f"try_to_date({date}, 'MM/dd/yyyy')"), F.expr(f"try_to_date({date}, 'yyyy-MM-dd')"))
     pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("tenor"), F.expr(f"try_cast(`{t}` as decimal(38,10))").alias("rate")) for t in tenors]))
-    return rows.select(day.alias("date"), pairs.alias("p")).select("date", "p.tenor", "p.rate").filter("rate is not null")
+    return rows.select(*keep, day.alias("date"), pairs.alias("p")).select(*keep, "date", "p.tenor", "p.rate").filter("rate is not null")
 
 
 def known_fields(body: Column, allowed: list[str], required: list[str]) -> Column:
@@ -125,3 +125,85 @@ def inline_facts(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in INLINE.split(", ")])
 
     return docs.select("accession", "payload", "identifier").mapInPandas(parse, INLINE)
+
+
+ACCESSION = r"^[0-9]{10}-[0-9]{2}-[0-9]{6}$"
+
+
+def accession_index(docs: DataFrame, body: str = "body") -> DataFrame:
+    """accession, form, filed, items and reason (null if the entry can be used) of index metadata."""
+    m = F.from_json(body, "accession string, form string, filed string, items array<string>")
+    d = docs.select(*[c for c in docs.columns if c != body], m.alias("m"))
+    filed = F.expr("try_cast(m.filed as date)")
+    reason = F.when(~F.coalesce(F.col("m.accession").rlike(ACCESSION), F.lit(False)), "BAD_ACCESSION").when(F.col("m.form").isNull(), "NO_FORM").when(filed.isNull(), "NO_DATE")
+    keep = [c for c in docs.columns if c != body]
+    return d.select(*keep, "m.accession", "m.form", filed.alias("filed"), F.size("m.items").alias("items"), reason.alias("reason"))
+
+
+def xml_rates(docs: DataFrame, fields: dict[str, list[str]], body: str = "body") -> DataFrame:
+    """The columns of docs without body, date and one column for each field, which is the first of its
+    aliases that is there. Documents that declare a type, or are no XML, give nulls."""
+    names = [a for aliases in fields.values() for a in aliases]
+    schema = "date string, " + ", ".join(f"{n} string" for n in names)
+    safe = F.when(~F.col(body).rlike("<!(DOCTYPE|ENTITY)"), F.col(body))
+    d = docs.select(*[c for c in docs.columns if c != body], F.from_xml(safe, schema).alias("x"))
+    pick = lambda aliases: F.coalesce(*[F.col(f"x.{a}").try_cast("double") for a in aliases])
+    return d.select(*[c for c in docs.columns if c != body], F.expr("try_cast(x.date as date)").alias("date"), *[pick(v).alias(k) for k, v in fields.items()])
+
+
+def reference_rates(docs: DataFrame, body: str = "body") -> DataFrame:
+    """The columns of docs without body, date, kind, rate, volume, revised and reason: null, or why the entry is refused."""
+    fields = ["effectiveDate", "type", "percentRate", "volumeInBillions", "revisionIndicator"]
+    r = F.from_json(body, "effectiveDate string, type string, percentRate double, volumeInBillions double, revisionIndicator string")
+    d = docs.withColumn("r", r).withColumn("_why", known_fields(F.col(body), fields, fields[:3]))
+    day = F.expr("try_cast(r.effectiveDate as date)")
+    reason = F.coalesce("_why", F.when(day.isNull(), "BAD_DATE").when(F.col("r.percentRate").isNull() | ~F.col("r.percentRate").between(-10, 100), "RATE_RANGE").when(F.col("r.volumeInBillions") < 0, "VOLUME_RANGE").when(~F.coalesce("r.revisionIndicator", F.lit("")).isin("", "R"), "REVISION"))
+    keep = [c for c in docs.columns if c != body]
+    ok = reason.isNull()
+    return d.select(*keep, F.when(ok, day).alias("date"), F.when(ok, F.col("r.type")).alias("kind"), F.when(ok, F.col("r.percentRate")).alias("rate"), F.when(ok, F.col("r.volumeInBillions")).alias("volume"), (F.col("r.revisionIndicator") == "R").alias("revised"), reason.alias("reason"))
+
+
+def json_lines(spark, path: str, schema: str) -> DataFrame:
+    """Rows of a JSON lines log; lines that are cut off or broken are left out."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def with_lineage(spark, paths: list[str]) -> DataFrame:
+    """The union of Parquet files of one schema, with the name of the file that each row came from."""
+    return spark.read.parquet(*paths).withColumn("file", F.col("_metadata.file_name"))
+
+
+def zip_members(files: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """path, member, size, sha256, status of the members of zip files (path, content binary): UNSAFE names
+    (absolute, or leading out of the folder) and members above `most` bytes (LARGE) are not read."""
+    import pyarrow as pa
+
+    schema = "path string, member string, size long, sha256 string, status string"
+
+    def run(batches):
+        import hashlib
+        import io
+        import zipfile
+
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    members = zipfile.ZipFile(io.BytesIO(content.as_buffer())).infolist() if content.is_valid else []
+                except zipfile.BadZipFile:
+                    rows.append((path, None, None, None, "BROKEN"))
+                    continue
+                for m in members:
+                    parts = m.filename.replace("\\", "/").split("/")
+                    if m.filename.startswith(("/", "\\")) or ".." in parts or ":" in parts[0]:
+                        rows.append((path, m.filename, m.file_size, None, "UNSAFE"))
+                    elif m.file_size > most:
+                        rows.append((path, m.filename, m.file_size, None, "LARGE"))
+                    elif not m.is_dir():
+                        data = zipfile.ZipFile(io.BytesIO(content.as_buffer())).read(m)
+                        rows.append((path, m.filename, len(data), hashlib.sha256(data).hexdigest(), "OK"))
+            cols = list(zip(*rows)) or [()] * 5
+            types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["path", "member", "size", "sha256", "status"])
+
+    return files.select("path", "content").mapInArrow(run, schema)
