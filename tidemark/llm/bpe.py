@@ -51,14 +51,21 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _literals(ranks: dict[bytes, int]) -> tuple[str, str]:
-    buckets: list[dict] = [{} for _ in range(BUCKETS)]
-    pieces = [""] * (max(ranks.values()) + 1)
+def _rank_literal(ranks: dict[bytes, int]) -> str:
+    """JSON array of small maps, by checksum, from piece to rank."""
+    buckets: list[list[str]] = [[] for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
         text = piece.decode("latin-1")
-        buckets[zlib.crc32(text.encode()) % BUCKETS][text] = rank
-        pieces[rank] = text
-    return json.dumps(buckets), json.dumps(pieces)
+        buckets[zlib.crc32(text.encode()) % BUCKETS].append(f"{json.dumps(text)}:{rank}")
+    return "[" + ",".join("{" + ",".join(b) + "}" for b in buckets) + "]"
+
+
+def _piece_literal(ranks: dict[bytes, int]) -> str:
+    """JSON array of the pieces by rank."""
+    pieces = [""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece.decode("latin-1")
+    return json.dumps(pieces)
 
 
 #: Fold of one word w by the rank buckets R. State: p pieces, r ranks of adjacent pairs, j place of the least.
@@ -86,15 +93,13 @@ def _fold_sql() -> str:
 
 def encode_words(df: DataFrame, words: str, out: str, ranks: dict[bytes, int]) -> DataFrame:
     """Add column `out`: array<array<int>>, the ids of each of the Latin-1 words in column `words`."""
-    table, _ = _literals(ranks)
-    sql = f"transform(array(from_json({_quoted(table)}, 'array<map<string,int>>')), R -> transform({words}, w -> {_fold_sql()}))[0]"
+    sql = f"transform(array(from_json({_quoted(_rank_literal(ranks))}, 'array<map<string,int>>')), R -> transform({words}, w -> {_fold_sql()}))[0]"
     return df.withColumn(out, F.expr(sql))
 
 
 def decode_words(df: DataFrame, ids: str, out: str, ranks: dict[bytes, int]) -> DataFrame:
     """Add column `out`: array<string>, the concatenated pieces of each array of ids, as Latin-1."""
-    _, pieces = _literals(ranks)
-    sql = f"transform(array(from_json({_quoted(pieces)}, 'array<string>')), P -> transform({ids}, e -> aggregate(e, '', (a, i) -> concat(a, P[i]))))[0]"
+    sql = f"transform(array(from_json({_quoted(_piece_literal(ranks))}, 'array<string>')), P -> transform({ids}, e -> aggregate(e, '', (a, i) -> concat(a, P[i]))))[0]"
     return df.withColumn(out, F.expr(sql))
 
 
@@ -300,12 +305,17 @@ def hot_table(texts: DataFrame, ranks: dict[bytes, int], most: int, block_mb: in
             text = "".join(dec.to_pylist()).encode("latin-1")
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (*(p.tobytes() for p in parts), text)], names=["h", "lens", "ids", "blens", "raw"])
 
-    packed = made.select("word", "ids", "dec").mapInArrow(pack, "h binary, lens binary, ids binary, blens binary, raw binary").collect()
-    h, lens, ids, blens, raw = (np.frombuffer(b"".join(bytes(r[k]) for r in packed), t) for k, t in enumerate((np.uint64, np.int32, np.int32, np.int32, np.uint8)))
+    packed = made.select("word", "ids", "dec").mapInArrow(pack, "h binary, lens binary, ids binary, blens binary, raw binary").toArrow()
+    h, lens, ids, blens, raw = (np.frombuffer(b"".join(x.as_buffer() for x in packed[k]), t) for k, t in enumerate((np.uint64, np.int32, np.int32, np.int32, np.uint8)))
     del packed
     order = np.argsort(h)
-    at, bat = np.cumsum(lens, dtype=np.int64) - lens, np.cumsum(blens, dtype=np.int64) - blens
-    return h[order], (lens[order], ids[_expand(lens, at, order)], blens[order], raw[_expand(blens, bat, order)])
+    return h[order], (lens[order], _in_order(ids, lens, order), blens[order], _in_order(raw, blens, order))
+
+
+def _in_order(flat: np.ndarray, lens: np.ndarray, order: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """The runs of flat in another order, some at a time, as their indices take eight bytes an element."""
+    at = np.cumsum(lens, dtype=np.int64) - lens
+    return np.concatenate([flat[:0], *[flat[_expand(lens, at, order[k : k + step])] for k in range(0, len(order), step)]])
 
 
 def encoded_blocks(docs: DataFrame, ranks: dict[bytes, int], hot_words: int, block_mb: int, long_word: int):

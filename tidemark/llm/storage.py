@@ -15,15 +15,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, as a path that Spark can read and write."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder, as a path that Spark can read and write. A cluster must name one; a local session without one gets its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
-        try:
-            spark.conf.set("spark.checkpoint.dir", found)
-        except Exception:  # noqa: BLE001 - a static setting in some releases
-            return spark.sparkContext.getCheckpointDir() or found
     return found.rstrip("/")
 
 
