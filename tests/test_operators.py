@@ -64,3 +64,30 @@ def test_scalars_on_missing_values(spark):
     assert [r[0] for r in df.select(S.finite(x)).collect()] == [None, None, None, -1.0, 2.0]
     assert [r[0] for r in df.select(S.positive(x)).collect()] == [None, None, None, None, 2.0]
     assert [r[0] for r in df.select(S.clip(S.finite(x), 0.0, 1.0)).collect()] == [None, None, None, 0.0, 1.0]
+
+
+def test_running_form_equals_the_join(spark):
+    rng = random.Random(4)
+    hist = spark.createDataFrame([(rng.choice("ab"), rng.randint(0, 20), rng.randint(0, 20), rng.randint(0, 20), i, float(i)) for i in range(200)], "e string, session long, observed long, available long, revision long, v double")
+    dec = spark.createDataFrame([(e, d) for e in "abc" for d in range(0, 25, 3)], "e string, d long")
+    seen = (F.col("observed") <= F.col("d")) & (F.col("available") <= F.col("d")) & (F.col("session") <= F.col("d"))
+    a = asof.bitemporal_asof(dec, hist, ["e"], ["e", "d"], seen, ["session", "revision"], ["v"])
+    t = lambda c: F.timestamp_seconds(F.col(c))
+    b = asof.bitemporal_running(dec.withColumn("at", t("d")), hist, ["e"], "at", F.greatest(t("observed"), t("available"), t("session")), ["session", "revision"], ["v"])
+    get = lambda df: sorted(map(str, df.select("e", "d", "v").collect()))
+    assert get(a) == get(b)
+
+
+def test_rescaled_price_and_expected_start(spark):
+    import datetime as dt
+
+    from tidemark.operators import fiscal
+
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    prices = spark.createDataFrame([("a", day(0), 10.0, 1.0), ("a", day(2), None, 2.0), ("a", day(9), None, 3.0)], "k string, at timestamp, price double, ratio double")
+    left = spark.createDataFrame([("a", day(1)), ("a", day(3)), ("a", day(10)), ("b", day(1))], "k string, t timestamp")
+    got = sorted((r.k, r.t, r.price and round(r.price, 6)) for r in asof.asof_rescaled(left, prices, ["k"], "t", "at", "price", "ratio", 7).collect())
+    assert [x[2] for x in got] == [10.0, 20.0, None, None]
+    panel = spark.createDataFrame([("a", day(40).date(), day(0).date()), ("a", day(130).date(), day(91).date()), ("a", day(50).date(), day(200).date())], "k string, asof date, stop date")
+    starts = {r.stop: r.expected_start for r in fiscal.expected_start(panel, "k", "asof", "stop").collect()}
+    assert starts[day(0).date()] is None and starts[day(91).date()] == day(1).date() and starts[day(200).date()] == day(1).date()

@@ -45,3 +45,64 @@ def test_sinks(spark, tmp_path):
     assert sinks.content_hash(back).first() == sinks.content_hash(df.repartition(3)).first()
     assert sinks.content_hash(df.distinct()).first() != sinks.content_hash(df).first()
     assert [r.line for r in sinks.canonical_lines(df, ["k"]).collect()][-1] == '{"k":2,"v":null}'
+
+
+def test_manifests_csv_and_chains(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.1 + 0.2), (2, None), (3, 1e-300)], "k long, v double")
+    path = f"{tmp_path}/p"
+    sinks.write_once(df, path)
+    known = sinks.manifest(spark, path)
+    frozen = spark.createDataFrame(known.collect(), known.schema)
+    assert sinks.verified_scan(spark, path, frozen).count() == 3
+    df.limit(1).write.mode("append").parquet(path)
+    with pytest.raises(ValueError, match="manifest"):
+        sinks.verified_scan(spark, path, frozen)
+    back = sinks.write_csv(df, f"{tmp_path}/c")
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    with pytest.raises(ValueError, match="columns"):
+        sinks.read_csv(spark, f"{tmp_path}/c", df.select("v", "k").schema)
+    assert sinks.write_addressed(df, f"{tmp_path}/a") == sinks.write_addressed(df.repartition(3), f"{tmp_path}/a")
+    assert sinks.cached(df, f"{tmp_path}/cache", "x").count() == 3 and sinks.cached(df.limit(0), f"{tmp_path}/cache", "x").count() == 3
+    assert sinks.published(df, f"{tmp_path}/s", f"{tmp_path}/pub").count() == 3
+    log = spark.createDataFrame([("c", i, p) for i, p in enumerate(["a", None, "b"])], "c string, t int, p string")
+    import hashlib
+
+    head, rows = "", []
+    for i, p in enumerate(["a", "", "b"]):
+        head = hashlib.sha256(f"{head}|{p}".encode()).hexdigest()
+        rows.append(("c", i, ["a", None, "b"][i], head))
+    assert sinks.chained(log, ["c"], ["t"], "p").first().head == head
+    good = spark.createDataFrame(rows, "c string, t int, p string, link string")
+    assert sinks.broken_links(good, ["c"], ["t"], "link", "p").count() == 0
+    assert sinks.broken_links(good.withColumn("p", F.when(F.col("t") == 1, "x").otherwise(F.col("p"))), ["c"], ["t"], "link", "p").count() == 1
+
+
+def test_zip_members(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(f"{tmp_path}/a.zip", "w") as z:
+        z.writestr("ok.txt", "hello")
+        z.writestr("../out.txt", "no")
+        z.writestr("big.txt", "x" * 5000)
+    (tmp_path / "b.zip").write_bytes(b"no zip")
+    files = spark.read.format("binaryFile").load(f"{tmp_path}/*.zip")
+    got = {(r.member, r.status): r.sha256 for r in parsers.zip_members(files, most=1000).collect()}
+    import hashlib
+
+    assert got == {("ok.txt", "OK"): hashlib.sha256(b"hello").hexdigest(), ("../out.txt", "UNSAFE"): None, ("big.txt", "LARGE"): None, (None, "BROKEN"): None}
+
+
+def test_config():
+    from tidemark import config
+
+    base = {"gate": {"window": 252, "margin": 0.005}, "name": "x"}
+    out = config.merged(base, {"gate": {"margin": 0.01}})
+    assert out == {"gate": {"window": 252, "margin": 0.01}, "name": "x"} and base["gate"]["margin"] == 0.005
+    for bad in ({"gates": {}}, {"gate": {"windo": 1}}, {"gate": 3}):
+        with pytest.raises(config.ConfigError):
+            config.merged(base, bad)
+    rules = {"gate.window": (int, 1, None), "gate.margin": (float, 0, 1), "name": (str, None, None)}
+    assert config.checked(out, rules) is out
+    for bad in ({"gate": {"window": 0, "margin": 0.1}, "name": "x"}, {"gate": {"window": True, "margin": 0.1}, "name": "x"}, {"gate": {"window": 5}, "name": "x"}):
+        with pytest.raises(config.ConfigError):
+            config.checked(bad, rules)

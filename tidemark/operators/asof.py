@@ -20,6 +20,21 @@ def bitemporal_asof(decisions: DataFrame, history: DataFrame, by: list[str], key
     return decisions.join(best, key, "left")
 
 
+def bitemporal_running(decisions: DataFrame, history: DataFrame, by: list[str], at: str, known: Column, order: list[str], payload: list[str]) -> DataFrame:
+    """For each decision the row of history with equal `by` that is greatest in `order` among those
+    that were known at its time `at`; null payload if there is none.
+
+    Where a row is visible from one moment on (`known`, the latest of its clocks),
+    a running maximum over one sorted pass serves all decisions: one shuffle on
+    `by`, and the cost does not grow with decisions x history."""
+    best = F.struct(*[F.col(c) for c in order], F.struct(*payload).alias("_p"))
+    h = history.select(*by, known.cast("timestamp").alias("_t"), F.lit(0).alias("_tag"), best.alias("_h"), F.lit(None).cast(_struct_of(decisions)).alias("_d"))
+    q = decisions.select(*by, F.col(at).cast("timestamp").alias("_t"), F.lit(1).alias("_tag"), F.lit(None).cast(h.schema["_h"].dataType).alias("_h"), F.struct(*decisions.columns).alias("_d"))
+    upto = Window.partitionBy(*by).orderBy("_t", "_tag").rowsBetween(Window.unboundedPreceding, 0)
+    out = h.unionByName(q).withColumn("_m", F.max("_h").over(upto)).filter(F.col("_d").isNotNull())
+    return out.select("_d.*", *[F.col(f"_m._p.{c}").alias(c) for c in payload])
+
+
 def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, payload: list[str], strict: bool = False) -> DataFrame:
     """The last row of right at or before (strict: before) each left time.
 

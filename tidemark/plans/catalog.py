@@ -173,8 +173,9 @@ def j1(spark, d):
     h = _history(spark, d)
     days = F.explode(F.array(*[F.lit(x).cast("timestamp") for x in ("1996-06-30", "1998-06-30", "2000-06-30")]))
     dec = h.select("factor", "entity").distinct().withColumn("at", days)
-    seen = (F.col("observed") <= F.col("at")) & (F.col("available") <= F.col("at")) & (F.col("session") <= F.to_date("at"))
-    out = asof.bitemporal_asof(dec, h, ["factor", "entity"], ["factor", "entity", "at"], seen, ["session", "revision"], ["revision", "v"])
+    # a row is visible from the latest of its three clocks on
+    known = F.greatest(F.col("observed").cast("timestamp"), F.col("available").cast("timestamp"), F.col("session").cast("timestamp"))
+    out = asof.bitemporal_running(dec, h, ["factor", "entity"], "at", known, ["session", "revision"], ["revision", "v"])
     return out.select("factor", "entity", F.to_date("at").alias("decision"), "revision", "v")
 
 
