@@ -52,11 +52,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def _rank_literal(ranks: dict[bytes, int]) -> str:
-    """JSON array of small maps, by checksum, from piece to rank."""
+    """JSON array of small maps, by checksum, from piece to rank. The blank keeps SQL from taking the piece ${ for a variable."""
     buckets: list[list[str]] = [[] for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
         text = piece.decode("latin-1")
-        buckets[zlib.crc32(text.encode()) % BUCKETS].append(f"{json.dumps(text)}:{rank}")
+        buckets[zlib.crc32(text.encode()) % BUCKETS].append(f"{json.dumps(text)}: {rank}")
     return "[" + ",".join("{" + ",".join(b) + "}" for b in buckets) + "]"
 
 
