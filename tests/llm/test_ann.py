@@ -78,3 +78,30 @@ def test_recall_holds_without_structure(spark):
     score[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
     want = np.argsort(-score, axis=1)[:, :10]
     assert len(got) == 300 and sum(len(got[20 * i] & set(w.tolist())) for i, w in enumerate(want)) >= 0.9 * want.size
+
+
+def test_every_query_gets_all_its_neighbours_over_many_partitions(spark):
+    x = np.random.default_rng(9).standard_normal((2000, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {}
+        for r in ann.nearest(df).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    score = x[::20].astype(float) @ x.astype(float).T
+    score[np.arange(100), np.arange(0, 2000, 20)] = -np.inf
+    want = np.argsort(-score, axis=1)[:, :20]
+    assert len(got) == 100 and all([n for n, _ in sorted(g)] == list(range(1, 21)) for g in got.values())
+    assert sum(len({v for _, v in got[20 * i]} & set(w.tolist())) for i, w in enumerate(want)) >= 0.9 * want.size
+
+
+def test_an_id_repeated_very_often_leaves_room_for_others(spark):
+    v = [1.0, 0.0, 0.0]
+    rows = [(7, v)] * 60 + [(100 + i, v) for i in range(30)] + [(0, [1.0, 0.1, 0.0])]
+    got = [(r.rank, r.vec_id) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20).filter("query_id = 0").collect()]
+    assert sorted(got) == [(1, 7), *[(k + 2, 100 + k) for k in range(19)]]

@@ -22,8 +22,8 @@ sends its own k nearest.
 
 Defined results: vectors that are null, empty, zero, of another length than most
 or hold null or non-finite components take no part, neither as queries nor as
-candidates; rows that repeat an id are rows of their own but a query never finds
-its own id; ties go to the smaller id; an empty table gives an empty result;
+candidates; repeated rows count once, other rows that repeat an id are rows of
+their own, but a query finds an id once and never its own; ties go to the smaller id; an empty table gives an empty result;
 further columns are ignored.
 """
 
@@ -174,8 +174,10 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 8, le
         return spark.createDataFrame([], result)
     dim, total, longest = lengths.d, lengths.n, lengths.top * (1 + 1e-9)
     rows = written(rows.filter(F.size("v") == dim), "vectors")
+    # repeated rows would fill the places of other ids with the same vector; ids alone tell whether there are any
+    again = rows.groupBy("id").count().filter("count > 1").limit(1).count()
     by = Window.partitionBy("v").orderBy("id")
-    index = written(rows.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k + 1).select("id", "v"), "index")
+    index = written((rows.dropDuplicates(["id", "v"]) if again else rows).withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k + 1).select("id", "v"), "index")
 
     share = min(1.0, sample / total)
     picked = index.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample).toArrow()
