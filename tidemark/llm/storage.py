@@ -29,7 +29,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once and return the reader of what was written: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
