@@ -7,7 +7,8 @@ them, and their winners, at most ``max_heavy`` rows, are broadcast so that the
 copies of hot texts are settled on the map side. All other digests take one
 ordinary shuffle of (digest, id) rows; the texts themselves never move.
 
-Defined results: a null text is an empty text; a null doc_id sorts after all
+Defined results: a null text is an empty text; texts of any length are digested
+whole, row by row; a null doc_id sorts after all
 others; of rows that tie on doc_id exactly one stays; an empty table gives an
 empty result; further input columns are ignored, whatever their names.
 """

@@ -8,7 +8,11 @@ running sum crosses the remainder is found, and only the documents of that
 bucket go on to the next, finer histogram. After the last level the threshold
 is exact, and one filter takes the documents; nothing is sorted.
 
-Defined results: a null text has size 0; the null source comes last; sources
+Sources are names of collections, some thousand at most: a row for each of them
+goes through windows over all sources in one task. A source may hold any share of
+the documents, as these are summed by bucket first.
+
+Defined results: a null text has size 0; texts of any length are counted whole; the null source comes last; sources
 without any words get target 0; equal rows share a hash and are taken together;
 an empty table gives an empty result; further columns are ignored.
 """
