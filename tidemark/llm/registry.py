@@ -11,6 +11,7 @@ from .mixing import MIX_SQL, op5_query
 from .pii import op6_query
 from .secrets import op3_query
 from .suffix_dedup import op1_query
+from .token_cache import op11_query
 from .toxicity import op8_query
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_query,
     "op9_hmm_lm": op9_query,
     "op10_byte_bpe": op10_query,
+    "op11_digest_cache": op11_query,
 }
 
 ORACLES = {
