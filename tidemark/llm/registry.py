@@ -7,6 +7,7 @@ from .bpe import op10_query
 from .exact_dedup import OP2_SQL, op2_query
 from .hmm import op9_query
 from .jaccard import op7_query
+from .lexical import OP12_SQL, op12_query
 from .mixing import MIX_SQL, op5_query
 from .pii import op6_query
 from .secrets import op3_query
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_hmm_lm": op9_query,
     "op10_byte_bpe": op10_query,
     "op11_digest_cache": op11_query,
+    "op12_bag_search": op12_query,
 }
 
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
     "op5_source_mix": MIX_SQL,
+    "op12_bag_search": OP12_SQL,
 }
