@@ -10,6 +10,7 @@ from .jaccard import op7_query
 from .lexical import OP12_SQL, op12_query
 from .mixing import MIX_SQL, op5_query
 from .pii import op6_query
+from .resample import OP13_SQL, op13_query
 from .secrets import op3_query
 from .suffix_dedup import op1_query
 from .token_cache import op11_query
@@ -28,10 +29,12 @@ QUERIES = {
     "op10_byte_bpe": op10_query,
     "op11_digest_cache": op11_query,
     "op12_bag_search": op12_query,
+    "op13_importance_resample": op13_query,
 }
 
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
     "op5_source_mix": MIX_SQL,
     "op12_bag_search": OP12_SQL,
+    "op13_importance_resample": OP13_SQL,
 }

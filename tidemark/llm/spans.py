@@ -43,10 +43,15 @@ def cut_long(raw: np.ndarray, offsets: np.ndarray, most: int = textkit.SLICE) ->
     return new, np.arange(len(new) - 1) - owner
 
 
+def span_places(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of all spans, one after the other."""
+    first = np.cumsum(lens) - lens
+    return np.repeat(starts - first, lens) + np.arange(int(lens.sum()))
+
+
 def bytes_at(raw: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """raw[start : start + len] of all spans, one after the other."""
-    first = np.cumsum(lens) - lens
-    return raw[np.repeat(starts - first, lens) + np.arange(int(lens.sum()))]
+    return raw[span_places(starts, lens)]
 
 
 def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
