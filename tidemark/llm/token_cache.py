@@ -104,20 +104,31 @@ class Counter:
             return [len(x) for x in self._library.encode(texts, num_threads=1)]
         return [len(e) for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def count(self, text: str) -> int:
+    def count(self, texts: list[str]) -> list[int]:
+        """The library's counts of texts of any length."""
         if not self.chunked:
-            return self.plain([text])[0]
-        return sum(self._chunks(piece) for piece in pieces(text.encode()))
-
-    def _chunks(self, piece: bytes, most: int = 32 << 20) -> int:
-        parts = piece.split()
-        new = list(set(parts) - self.memo.keys())
-        if new:
-            if self.held > most:
-                self.memo, self.held, new = {}, 0, list(set(parts))
-            self.memo.update(zip(new, self.plain([w.decode() for w in new])))
-            self.held += sum(map(len, new)) + 100 * len(new)
-        return sum(map(self.memo.__getitem__, parts))
+            return [self.plain([t])[0] for t in texts]
+        out, held, size = [0] * len(texts), [], 0
+        for i, text in enumerate(texts):
+            for piece in pieces(text.encode()):
+                held.append((i, piece.split()))
+                size += len(piece)
+                if size >= PIECE:
+                    self._add(held, out)
+                    held, size = [], 0
+        self._add(held, out)
+        return out
+
+    def _add(self, held: list[tuple[int, list[bytes]]], out: list[int], most: int = 96 << 20) -> None:
+        """Add to out[i] the tokens of the chunks of (i, chunks); each chunk not met before is encoded once."""
+        if self.held > most:
+            self.memo, self.held = {}, 0
+        memo = self.memo
+        new = list({w for _, parts in held for w in parts if w not in memo})
+        memo.update(zip(new, self.plain([w.decode() for w in new]) if new else []))
+        self.held += sum(map(len, new)) + 100 * len(new)
+        for i, parts in held:
+            out[i] += sum(map(memo.__getitem__, parts))
 
 
 _BLANK = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -172,7 +183,7 @@ def _encode_missing(docs: DataFrame, missing: DataFrame, counter: Counter, path:
 
     def run(batches):
         for batch in batches:
-            counts = [value.value.count(t) for t in batch.column(1).to_pylist()]
+            counts = value.value.count(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
     # the texts are not sorted: the narrow side is hashed
