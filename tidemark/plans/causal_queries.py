@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import contracts, folds, selection, vintages, windows
+from tidemark.operators import contracts, folds, nested, selection, vintages, windows
 from tidemark.operators.quantiles import sorted_at
 from tidemark.plans.catalog import _ORD, _ordered, query, r6, table
+from tidemark.sources.scratch import scratch_path
 
 #: The items of a supplier in order: a series of some hundred rows, as many series as suppliers.
 _ITEMS = "i AS (SELECT l_suppkey AS entity, l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_partkey) - 1 AS pos, l_shipdate, CASE WHEN l_partkey % 97 <> 0 THEN l_extendedprice / 1000 END AS x, l_quantity, l_discount, l_linenumber FROM lineitem)"
@@ -234,6 +235,29 @@ def inner_folds(spark, d):
     return folds.inner_folds(rows, outer, "s", "a", 252, 21, 210)
 
 
+_INNER = """z AS (SELECT DISTINCT fold_id, r.s FROM o JOIN r ON r.s >= train_start AND greatest(r.s, r.a) <= train_end), k AS (SELECT fold_id, s, row_number() OVER (PARTITION BY fold_id ORDER BY s) - 1 AS i FROM z), t AS (SELECT fold_id, max(i) AS m FROM k GROUP BY 1 HAVING max(i) >= 272), h AS (SELECT fold_id, unnest(range(252, m - 20 + 1, 210)) AS first FROM t),
+    inn AS (SELECT fold_id, row_number() OVER (PARTITION BY fold_id ORDER BY first)::INT AS k, a.s AS train_end, b.s AS test_start, c.s AS test_end FROM h JOIN k a USING (fold_id) JOIN k b USING (fold_id) JOIN k c USING (fold_id) WHERE a.i = first - 1 AND b.i = first AND c.i = first + 20)"""
+
+
+@query(
+    "f7_nested_forecasts",
+    f"""WITH {_OUTER}, {_INNER}, q AS (SELECT o_orderkey, o_orderdate::DATE AS s, (o_orderdate::DATE + (o_orderkey % 5)::INT) AS a, (o_custkey % 50) / 10 AS x, o_totalprice / 100000 + (o_custkey % 50) / 20 AS y FROM orders),
+    tk AS (SELECT fold_id AS outer_id, 0 AS n, train_start, train_end, test_start, test_end, NULL::DATE AS seen FROM o UNION ALL SELECT fold_id, inn.k, train_start, inn.train_end, inn.test_start, inn.test_end, o.train_end FROM inn JOIN o USING (fold_id)),
+    f AS (SELECT outer_id, n, count(*) AS c, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) * count(*) / (var_pop(x) * count(*) + 5) AS b FROM tk JOIN q ON s >= train_start AND greatest(s, a) <= train_end GROUP BY ALL),
+    e AS (SELECT outer_id, n, c, y, learner, CASE learner WHEN 'mean' THEN my ELSE my + b * (x - mx) END AS p FROM tk JOIN f USING (outer_id, n) JOIN q ON s BETWEEN test_start AND test_end AND (seen IS NULL OR greatest(s, a) <= seen), (SELECT unnest(['mean', 'ridge']) AS learner))
+    SELECT outer_id, n AS "inner", learner, c AS train_rows, count(*) AS n, round(avg(p), 6) AS mean_forecast, round(avg(abs(p - y)), 6) AS mae FROM e GROUP BY ALL""",
+)
+def nested_forecasts(spark, d):
+    """Inner and outer tests of two learners; fits are read from the cache where it has them."""
+    day, x = F.to_date("o_orderdate"), (F.col("o_custkey") % 50) / 10
+    rows = table(spark, d, "orders").select("o_orderkey", day.alias("s"), F.date_add(day, (F.col("o_orderkey") % 5).cast("int")).alias("a"), x.alias("x"), (F.col("o_totalprice") / 100000 + x / 2).alias("y"))
+    outer = folds.session_folds(rows, "s", "a", min_train=252, max_train=1008, test=21, step=210, embargo=0, partial=True)
+    inner = folds.inner_folds(rows, outer, "s", "a", 252, 21, 210)
+    learners = {"mean": nested.Learner((), options={"penalty": 0.0}), "ridge": nested.Learner(("x",), options={"penalty": 5.0})}
+    f, _ = nested.nested_forecasts(rows, outer, inner, learners, "s", "a", "y", scratch_path(spark, "fits"))
+    return f.groupBy("outer_id", "inner", "learner").agg(F.first("train_rows").alias("train_rows"), F.count(F.lit(1)).alias("n"), r6(F.avg("forecast")).alias("mean_forecast"), r6(F.avg(F.abs(F.col("forecast") - F.col("y")))).alias("mae"))
+
+
 @query(
     "f8_f12_refit_schedule",
     f"""WITH {_ITEMS}, p AS (SELECT *, CASE WHEN pos >= 126 THEN 126 + (pos - 126) // 63 * 63 END AS refit FROM i), t AS (SELECT DISTINCT entity, refit FROM p WHERE refit IS NOT NULL), f AS (SELECT t.entity, t.refit, avg(x) AS forecast FROM t JOIN i ON i.entity = t.entity AND i.pos >= t.refit - 252 AND i.pos < t.refit GROUP BY ALL)
