@@ -20,7 +20,8 @@ def test_future_values_do_not_change_the_past(spark):
     def out(d):
         spec = windows.past(["g"], ["t"], 20)
         r = windows.filled(d.withColumn("pos", F.floor(F.col("t") / 2)), "x", ["g"], ["pos"], "pos", "f")
-        r = r.select("t", "f", windows.rolled(F.col("x"), spec, 5).alias("m"), windows.causal_rank(F.col("x"), spec, 5)[0].alias("p"))
+        r = r.withColumn("m", windows.rolled(F.col("x"), spec, 5))
+        r = windows.causal_rank(r, ["g"], ["t"], "x", 20, 5).select("t", "f", "m", "pct")
         return sorted(map(tuple, r.filter("t < 200").collect()))
 
     assert out(df) == out(later)

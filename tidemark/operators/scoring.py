@@ -82,28 +82,6 @@ def classification(p: DataFrame, parts: list[str], truth: str, bins: int = 10) -
     return main.join(gap, F.lit(True)).withColumn("balanced_accuracy", balanced)
 
 
-def draw(a: Column, b: Column) -> Column:
-    """A number from 0 to 32767 that depends on two counters only, so that reruns agree."""
-    x = (a * 7919 + b * 104729 + 12345) % 2147483648
-    x = (x * 1103515245 + 12345) % 2147483648
-    x = ((x + a * 31) * 1103515245 + 12345) % 2147483648
-    return F.floor(x / 65536).cast("long")
-
-
-def cluster_interval(rows: DataFrame, by: list[str], cluster: str, delta: Column, draws: int = 2000, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """by, low, high: percentile interval of the mean delta under resampling of whole clusters.
-
-    Clusters are summed first; each draw takes as many clusters as there are, by
-    number, in tasks over (draw, place); a ratio of sums a draw."""
-    sums = rows.groupBy(*by, cluster).agg(F.sum(delta).alias("_s"), F.count(delta).alias("_c"))
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(cluster)) - 1
-    sums = sums.withColumn("_k", n.cast("long")).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    places = sums.select(*by, F.col("_k").alias("_j"), "_m", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_draw"))
-    picked = places.withColumn("_k", draw(F.col("_draw").cast("long"), F.col("_j")) % F.col("_m"))
-    each = picked.join(sums.select(*by, "_k", "_s", "_c"), [*by, "_k"]).groupBy(*by, "_draw").agg((F.sum("_s") / F.sum("_c")).alias("_r"))
-    return each.groupBy(*by).agg(F.percentile("_r", F.lit(low)).alias("low"), F.percentile("_r", F.lit(high)).alias("high"))
-
-
 def coverage_audit(required: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
     """One row: required, found, missing, extra and repeated identities."""
     a = required.select(*key).distinct().withColumn("_a", F.lit(1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.scoring import draw
+from tidemark.operators.resampling import share
 from tidemark.sources.scratch import written
 
 
@@ -29,13 +29,22 @@ def sampled(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def resampled(rows: DataFrame, by: list[str], order: list[str], weight: Column, draws: int) -> DataFrame:
-    """draws rows of each group, with replacement, each in proportion to its weight: the one whose running weight first reaches a drawn share."""
+    """draws rows of each group, with replacement, each in proportion to its weight: the one whose running weight first reaches a drawn share.
+
+    Drawn places are sorted in among the running weights, so that a row takes those that lie
+    before its own end and after the one before: one sort of rows + draws a group, no pairs."""
     w = Window.partitionBy(*by).orderBy(*order)
-    r = rows.withColumn("_w", weight)
-    r = r.withColumn("_to", F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_w").over(Window.partitionBy(*by)))
-    share = lambda i: (draw(F.xxhash64(*by) % 1000003 if len(by) > 1 else F.col(by[0]).cast("long"), i.cast("long")) + 0.5) / 32768
-    hits = F.filter(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: (share(i) * F.col("_all") > F.col("_to") - F.col("_w")) & (share(i) * F.col("_all") <= F.col("_to")))
-    return r.select(*rows.columns, F.explode(hits).alias("draw"))
+    r = rows.withColumn("_w", weight).filter(F.col("_w") > 0)
+    r = r.withColumn("_to", F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by])
+    drawn = r.groupBy(*by).agg(F.max("_to").alias("_all")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    drawn = drawn.select(*by, (share(key, F.col("draw")) * F.col("_all")).alias("_to"), "draw")
+    here = r.select(*by, "_to", F.struct(*rows.columns).alias("_row"), F.lit(None).cast("int").alias("draw"))
+    both = here.unionByName(drawn.withColumn("_row", F.lit(None).cast(here.schema["_row"].dataType)))
+    # at equal places the row comes first when read backwards, so the draw still finds it
+    back = Window.partitionBy(*by).orderBy(F.desc("_to"), F.col("draw").asc_nulls_first())
+    found = both.withColumn("_row", F.last("_row", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    return found.filter("draw is not null").select("_row.*", "draw")
 
 
 def heads(rows: DataFrame, family: str, order: list[Column], per_family: int, families: int) -> DataFrame:

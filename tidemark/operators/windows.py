@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.operators.order_windows import sliding
+
 
 def past(by: list[str], order: list[str], window: int, shift: int = 1) -> WindowSpec:
     """The `window` rows that end `shift` rows before the current one: shift and roll in one frame."""
@@ -37,17 +39,18 @@ def prior_softmax(loss_a: Column, loss_b: Column, prior_a: float, prior_b: float
     return F.when(loss_a.isNull() | loss_b.isNull(), prior_b / (prior_a + prior_b)).otherwise(1 / (1 + F.exp(score)))
 
 
-def causal_rank(x: Column, spec: WindowSpec, least: int) -> tuple[Column, Column]:
-    """(percentile of x among the frame's values, robust z by median and 1.4826 MAD)."""
-    h = F.filter(F.collect_list(x).over(spec), lambda v: v.isNotNull())
-    ok = (F.size(h) >= least) & x.isNotNull()
-    median = lambda a: F.when(F.size(a) % 2 == 1, F.get(F.array_sort(a), F.floor(F.size(a) / 2).cast("int"))).otherwise(
-        (F.get(F.array_sort(a), F.floor(F.size(a) / 2).cast("int") - 1) + F.get(F.array_sort(a), F.floor(F.size(a) / 2).cast("int"))) / 2
-    )
-    rank = 100.0 * F.size(F.filter(h, lambda v: v <= x)) / F.size(h)
-    mid = median(h)
-    mad = median(F.transform(h, lambda v: F.abs(v - mid)))
-    return F.when(ok, rank), F.when(ok, (x - mid) / F.greatest(1.4826 * mad, F.lit(1e-8)))
+def causal_rank(rows: DataFrame, by: list[str], order: list[str], x: str, window: int, least: int, shift: int = 1) -> DataFrame:
+    """rows with pct (percentile of x among the frame's values) and z (robust, by median and 1.4826 MAD), null below `least` values."""
+    r = sliding(rows, by, order, x, window, shift, count="_n", rank="pct", robust_z="z")
+    ok = F.col("_n") >= least
+    return r.withColumns({c: F.when(ok, F.col(c)) for c in ("pct", "z")}).drop("_n")
+
+
+def forward_median(rows: DataFrame, by: list[str], order: list[str], x: str, ahead: int, name: str) -> DataFrame:
+    """rows with the median of the next `ahead` rows, null unless all of them have a value: the trailing one, read `ahead` rows later."""
+    r = sliding(rows, by, order, x, ahead, 0, linear={"_mid": 0.5}, count="_n")
+    later = F.lead(F.when(F.col("_n") == ahead, F.col("_mid")), ahead).over(Window.partitionBy(*by).orderBy(*order))
+    return r.withColumn(name, later).drop("_mid", "_n")
 
 
 def islands(rows: DataFrame, by: list[str], order: list[str], start: Column, name: str = "island") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import asof, folds, metrics, windows
+from tidemark.operators.order_windows import sliding
 from tidemark.operators.quantiles import exact_quantiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -377,9 +378,9 @@ def lag_features(spark, d):
     f"""WITH {SERIES} SELECT event_id, CASE WHEN count(x) OVER w >= 20 THEN round(quantile_cont(CASE WHEN x > 0 THEN ln(x) END, 0.5) OVER w, 6) END AS expected FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)""",
 )
 def shifted_median(spark, d):
-    spec = windows.past(["user_id"], ["ts"], 60)
-    s = series(spark, d).withColumn("l", S.safe_log(F.col("x")))
-    return s.select("event_id", r6(F.when(F.count("x").over(spec) >= 20, F.percentile("l", F.lit(0.5)).over(spec))).alias("expected"))
+    s = series(spark, d).withColumn("l", S.safe_log(F.col("x"))).withColumn("n", F.count("x").over(windows.past(["user_id"], ["ts"], 60)))
+    s = sliding(s, ["user_id"], ["ts"], "l", 60, linear={"mid": 0.5})
+    return s.select("event_id", r6(F.when(F.col("n") >= 20, F.col("mid"))).alias("expected"))
 
 
 _GATE = f"""{SERIES}, g AS (SELECT event_id, user_id, ts, x AS t, lag(x, 1) OVER (PARTITION BY user_id ORDER BY ts) AS a, avg(x) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS b FROM s),
@@ -417,8 +418,7 @@ def prior_blend(spark, d):
     SELECT event_id, round(y, 6) AS forward_median, count(y) OVER v AS matured, round(avg(abs(y - x)) OVER v, 9) AS past_loss FROM f WINDOW v AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 45 PRECEDING AND 6 PRECEDING)""",
 )
 def forward_median(spark, d):
-    ahead = Window.partitionBy("user_id").orderBy("ts").rowsBetween(1, 5)
-    f = series(spark, d).withColumn("y", F.when(F.count("x").over(ahead) == 5, F.percentile("x", F.lit(0.5)).over(ahead)))
+    f = windows.forward_median(series(spark, d), ["user_id"], ["ts"], "x", 5, "y")
     v = windows.past(["user_id"], ["ts"], 40, 6)
     return f.select("event_id", r6(F.col("y")).alias("forward_median"), F.count("y").over(v).alias("matured"), F.round(F.avg(F.abs(F.col("y") - F.col("x"))).over(v), 9).alias("past_loss"))
 
@@ -429,8 +429,8 @@ def forward_median(spark, d):
     SELECT event_id, round(CASE WHEN len(h) >= 10 AND x IS NOT NULL THEN 100.0 * len(list_filter(h, lambda v: v <= x)) / len(h) END, 6) AS pct, round(CASE WHEN len(h) >= 10 AND x IS NOT NULL THEN (x - mid) / greatest(1.4826 * list_aggregate(list_transform(h, lambda v: abs(v - mid)), 'quantile_cont', 0.5), 1e-8) END, 5) AS z FROM m""",
 )
 def causal_rank(spark, d):
-    pct, z = windows.causal_rank(F.col("x"), windows.past(["user_id"], ["ts"], 30), 10)
-    return series(spark, d).select("event_id", r6(pct).alias("pct"), F.round(z, 5).alias("z"))
+    s = windows.causal_rank(series(spark, d), ["user_id"], ["ts"], "x", 30, 10)
+    return s.select("event_id", r6(F.col("pct")).alias("pct"), F.round("z", 5).alias("z"))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators import fiscal, windows
+from tidemark.operators.order_windows import sliding
 from tidemark.plans.catalog import _ORD, _PRED, SERIES, _ordered, _predictions, query, r6, series, table
 from tidemark.streaming import recurrent
 
@@ -127,10 +128,8 @@ def baselines(spark, d):
     f"""WITH {SERIES} SELECT event_id, quantile_disc(x, 0.1) OVER w AS q10, quantile_disc(x, 0.25) OVER w AS q25, quantile_disc(x, 0.5) OVER w AS q50, quantile_disc(x, 0.75) OVER w AS q75, quantile_disc(x, 0.9) OVER w AS q90 FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING)""",
 )
 def reference_quantiles(spark, d):
-    h = F.array_sort(F.filter(F.collect_list("x").over(windows.past(["user_id"], ["ts"], 40)), lambda v: v.isNotNull()))
-    s = series(spark, d).withColumn("h", h)
-    q = lambda p: F.get("h", (F.greatest(F.ceil(F.round(F.size("h") * p, 9)), F.lit(1)) - 1).cast("int"))
-    return s.select("event_id", *[q(p).alias(f"q{round(100 * p)}") for p in (0.1, 0.25, 0.5, 0.75, 0.9)])
+    levels = {f"q{round(100 * p)}": p for p in (0.1, 0.25, 0.5, 0.75, 0.9)}
+    return sliding(series(spark, d), ["user_id"], ["ts"], "x", 40, inverted=levels).select("event_id", *levels)
 
 
 _LEVEL = f"""{SERIES}, p AS (SELECT user_id, event_id, x, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS pos FROM s),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.operators import contracts, folds, nested, selection, vintages, windows
 from tidemark.operators.quantiles import sorted_at
+from tidemark.operators.resampling import share_sql
 from tidemark.plans.catalog import _ORD, _ordered, query, r6, table
 from tidemark.sources.scratch import scratch_path
 
@@ -29,9 +30,8 @@ def _items(spark, d):
 )
 def forward_gate(spark, d):
     w = Window.partitionBy("entity").orderBy("pos")
-    ahead = w.rowsBetween(1, 21)
-    f = _items(spark, d).withColumn("l", S.safe_log(F.col("x")))
-    f = f.withColumn("t", F.when(F.count("l").over(ahead) == 21, F.percentile("l", F.lit(0.5)).over(ahead))).withColumn("b", F.lag("l").over(w)).withColumn("o", F.avg("l").over(windows.past(["entity"], ["pos"], 5)))
+    f = windows.forward_median(_items(spark, d).withColumn("l", S.safe_log(F.col("x"))), ["entity"], ["pos"], "l", 21, "t")
+    f = f.withColumn("b", F.lag("l").over(w)).withColumn("o", F.avg("l").over(windows.past(["entity"], ["pos"], 5)))
     t = F.when(F.col("l").isNotNull(), F.col("t"))  # the origin's own value must be there too
     n, lb, lo = windows.paired_losses(t, F.col("b"), F.col("o"), windows.past(["entity"], ["pos"], 252, 22), 63)
     f = f.withColumn("n", n).withColumn("lb", lb).withColumn("lo", lo)
@@ -164,12 +164,9 @@ def fixed_sample(spark, d):
     return selection.sampled(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 100, 1729)
 
 
-_DRAW6 = "(((((o_custkey * 7919 + j * 104729 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648 + o_custkey * 31) * 1103515245 + 12345) % 2147483648 // 65536"
-
-
 @query(
     "t6_weighted_resample",
-    f"""WITH {_ORD}, w AS (SELECT o_custkey, o_orderkey, k, pow(2.0, k / 4.0) AS w FROM o), c AS (SELECT *, sum(w) OVER (PARTITION BY o_custkey ORDER BY k ROWS UNBOUNDED PRECEDING) AS hi, sum(w) OVER (PARTITION BY o_custkey) AS total FROM w), d AS (SELECT o_custkey, j, (({_DRAW6}) + 0.5) / 32768 AS u FROM (SELECT DISTINCT o_custkey FROM o) CROSS JOIN (SELECT unnest(range(5)) AS j))
+    f"""WITH {_ORD}, w AS (SELECT o_custkey, o_orderkey, k, pow(2.0, k / 4.0) AS w FROM o), c AS (SELECT *, sum(w) OVER (PARTITION BY o_custkey ORDER BY k ROWS UNBOUNDED PRECEDING) AS hi, sum(w) OVER (PARTITION BY o_custkey) AS total FROM w), d AS (SELECT o_custkey, j, {share_sql('o_custkey', 'j')} AS u FROM (SELECT DISTINCT o_custkey FROM o) CROSS JOIN (SELECT unnest(range(5)) AS j))
     SELECT o_custkey, o_orderkey, j::INT AS draw FROM d JOIN c USING (o_custkey) WHERE u * total > hi - w AND u * total <= hi""",
 )
 def weighted_resample(spark, d):

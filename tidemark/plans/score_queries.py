@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import metrics, scoring
+from tidemark.operators import metrics, resampling, scoring
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.resampling import hash_sql, poisson_sql
 from tidemark.plans.catalog import _PRED, _PROB, _predictions, _probabilities, query, r6, table
 
 #: Predictions of three models with everything that the metric bundle reads.
@@ -151,19 +152,17 @@ def stratified(spark, d):
     return _predictions(spark, d).groupBy("m", method.alias("method")).agg(F.count("f").alias("n"), F.round(F.avg(F.abs(e)), 4).alias("mae"), F.round(F.avg(e), 4).alias("bias"))
 
 
-_DRAW = "(((((d * 7919 + j * 104729 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648 + d * 31) * 1103515245 + 12345) % 2147483648 // 65536"
-
-
 @query(
     "a23_cluster_interval",
-    f"""WITH {_PRED}, c AS (SELECT m, o_custkey % 60 AS cluster, sum(abs(f - y) - 5000) AS s, count(f - y) AS c FROM p GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY cluster) - 1 AS j, count(*) OVER (PARTITION BY m) AS n FROM c),
-    d AS (SELECT k.m, r.d, {_DRAW} % n AS pick FROM k CROSS JOIN (SELECT unnest(range(200)) AS d) r), e AS (SELECT d.m, d.d, sum(k.s) / sum(k.c) AS r FROM d JOIN k ON k.m = d.m AND k.j = d.pick GROUP BY ALL)
-    SELECT m, round(quantile_cont(r, 0.025), 4) AS low, round(quantile_cont(r, 0.975), 4) AS high FROM e GROUP BY m""",
+    f"""WITH p AS (SELECT l_returnflag AS flag, l_orderkey * 8 + l_linenumber AS cluster, l_extendedprice / 1000 - l_quantity AS delta FROM lineitem), k AS (SELECT flag, cluster, sum(delta) AS s, count(delta) AS c FROM p GROUP BY ALL),
+    h AS (SELECT flag, s, c, d, {hash_sql("cluster", "d")} AS h FROM k, (SELECT unnest(range(40)) AS d)), e AS (SELECT flag, d, sum(s * {poisson_sql("h")}) / sum(c * {poisson_sql("h")}) AS r FROM h GROUP BY ALL)
+    SELECT flag, round(quantile_cont(r, 0.025), 5) AS low, round(quantile_cont(r, 0.975), 5) AS high, count(*) AS draws FROM e GROUP BY flag""",
 )
 def cluster_interval(spark, d):
-    p = _predictions(spark, d).withColumn("cluster", F.col("o_custkey") % 60)
-    out = scoring.cluster_interval(p, ["m"], "cluster", F.abs(F.col("f") - F.col("y")) - 5000, draws=200)
-    return out.select("m", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+    """Every line is a cluster, so there are more of them than 16 bits can number."""
+    p = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("cluster"), (F.col("l_extendedprice") / 1000 - F.col("l_quantity")).alias("delta"))
+    out = resampling.cluster_interval(p, ["flag"], F.col("cluster"), F.col("delta"), draws=40)
+    return out.select("flag", F.round("low", 5).alias("low"), F.round("high", 5).alias("high"), "draws")
 
 
 @query(
