@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import metrics, resampling, scoring
+from tidemark.operators import distribution, metrics, resampling, scoring
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.resampling import hash_sql, poisson_sql
-from tidemark.plans.catalog import _PRED, _PROB, _predictions, _probabilities, query, r6, table
+from tidemark.plans.catalog import _PRED, _PROB, _Q5, _predictions, _probabilities, _quantiles, query, r6, table
 
 #: Predictions of three models with everything that the metric bundle reads.
 _FULL = f"{_PRED}, w AS (SELECT p.*, y * 0.85 + o_custkey % 20 * 500 AS base, CASE WHEN o_orderkey % 9 <> 0 THEN y * (1 + (o_custkey % 5 - 2) / 20.0) END AS cur, o_custkey % 50 - 1.0 AS price, f * 0.9 AS q10, f * CASE WHEN o_orderkey % 40 = 0 THEN 0.8 ELSE 1 END AS q50, f * 1.1 AS q90 FROM p)"
@@ -152,6 +152,37 @@ def stratified(spark, d):
     return _predictions(spark, d).groupBy("m", method.alias("method")).agg(F.count("f").alias("n"), F.round(F.avg(F.abs(e)), 4).alias("mae"), F.round(F.avg(e), 4).alias("bias"))
 
 
+_PARTS = "(SELECT unnest([1, 2, 3]) AS set)"
+
+
+@query(
+    "a12_distribution_report",
+    f"""WITH {_Q5}, z AS (SELECT y, q[1] AS q1, q[2] AS q2, q[3] AS q3, q[4] AS q4, q[5] AS q5, seed, flag, c AS m, CASE WHEN w > 2 THEN w * 40 END AS s, CASE WHEN w > 2 THEN CASE WHEN y < c THEN exp((y - c) / (w * 40)) / 2 ELSE 1 - exp(-(y - c) / (w * 40)) / 2 END END AS pit
+      FROM (SELECT q.y, list_sort([a, b, q.c, d, e]) AS q, q.c, l.l_linenumber % 3 AS seed, l.l_returnflag AS flag, l.l_quantity AS w FROM q JOIN lineitem l USING (l_orderkey, l_partkey, l_suppkey) WHERE l.l_extendedprice = q.y)),
+    p AS (SELECT CASE set WHEN 1 THEN 'all' WHEN 2 THEN 'seed' ELSE 'seed_flag' END AS part, CASE set WHEN 1 THEN 'all' WHEN 2 THEN seed::VARCHAR ELSE seed::VARCHAR || '|' || flag END AS key, z.* FROM z, {_PARTS})
+    SELECT part, key, count(*) AS rows,
+      round((0.1 * avg(greatest(y - q1, 0)) + 0.9 * avg(greatest(q1 - y, 0)) + 0.25 * avg(greatest(y - q2, 0)) + 0.75 * avg(greatest(q2 - y, 0)) + 0.5 * avg(abs(y - q3)) + 0.75 * avg(greatest(y - q4, 0)) + 0.25 * avg(greatest(q4 - y, 0)) + 0.9 * avg(greatest(y - q5, 0)) + 0.1 * avg(greatest(q5 - y, 0))) / 5, 4) AS mean_pinball,
+      round(avg(0.5 * abs(y - q3) + 0.1 * (q5 - q1 + 10 * greatest(q1 - y, 0) + 10 * greatest(y - q5, 0)) + 0.25 * (q4 - q2 + 4 * greatest(q2 - y, 0) + 4 * greatest(y - q4, 0))) / 2.5, 4) AS wis,
+      round(avg(0.1 * (q5 - q1) + 0.25 * (q4 - q2)) / 2.5, 4) AS dispersion, round(avg((y <= q1)::INT) - 0.1, 6) AS calibration_10, round(avg((y <= q5)::INT) - 0.9, 6) AS calibration_90,
+      round(greatest(abs(avg((y <= q1)::INT) - 0.1), abs(avg((y <= q2)::INT) - 0.25), abs(avg((y <= q3)::INT) - 0.5), abs(avg((y <= q4)::INT) - 0.75), abs(avg((y <= q5)::INT) - 0.9)), 6) AS worst_calibration_error,
+      round(avg((y BETWEEN q1 AND q5)::INT), 6) AS coverage_80, round(avg(q4 - q2), 4) AS width_50, round(avg((q1 = q5 OR q2 = q4)::INT), 6) AS collapsed, round(sqrt(avg((q3 - y) * (q3 - y))), 4) AS rmse, round(avg(q3 - y), 4) AS bias,
+      round(quantile_cont(q5 - q1, 0.9), 4) AS p90_width_80, round(quantile_cont(abs(q3 - y), 0.5), 4) AS median_ae,
+      round(avg(s * (abs(y - m) / s + exp(-abs(y - m) / s) - 0.75)), 4) AS crps, round(avg(ln(2 * s) + abs(y - m) / s), 6) AS nll, round(avg(pit), 6) AS pit_mean, round(var_pop(pit), 6) AS pit_variance,
+      {", ".join(f"count(*) FILTER (pit IS NOT NULL AND least(floor(pit * 10), 9) = {i}) AS pit_{i}" for i in range(10))}
+    FROM p GROUP BY part, key""",
+)
+def distribution_report(spark, d):
+    """Levels, intervals, sharpness and density for the whole, by seed, and by seed and flag."""
+    q = _quantiles(spark, d)
+    more = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_extendedprice").alias("y"), (F.col("l_linenumber") % 3).alias("seed"), F.col("l_returnflag").alias("flag"), F.when(F.col("l_quantity") > 2, F.col("l_quantity") * 40).alias("s"))
+    ordered = S.rearranged([F.col(c) for c in "abcde"])
+    z = q.withColumn("q", ordered).select("l_orderkey", "l_partkey", "l_suppkey", "y", F.col("c").alias("m"), *[F.col("q")[i].alias(f"q{i + 1}") for i in range(5)]).join(more, ["l_orderkey", "l_partkey", "l_suppkey", "y"])
+    r = distribution.distribution_report(z, "y", [f"q{i}" for i in range(1, 6)], {"all": [], "seed": ["seed"], "seed_flag": ["seed", "flag"]}, "m", "s", "laplace")
+    four = [F.round(c, 4).alias(c) for c in ("mean_pinball", "wis", "dispersion", "width_50", "rmse", "bias", "p90_width_80", "median_ae", "crps")]
+    six = [r6(F.col(c)).alias(c) for c in ("worst_calibration_error", "coverage_80", "collapsed", "nll", "pit_mean", "pit_variance")]
+    return r.select("part", "key", "rows", *four, *six, r6(F.col("calibration")[0]).alias("calibration_10"), r6(F.col("calibration")[4]).alias("calibration_90"), *[F.col("pit_histogram")[i].alias(f"pit_{i}") for i in range(10)])
+
+
 @query(
     "a23_cluster_interval",
     f"""WITH p AS (SELECT l_returnflag AS flag, l_orderkey * 8 + l_linenumber AS cluster, l_extendedprice / 1000 - l_quantity AS delta FROM lineitem), k AS (SELECT flag, cluster, sum(delta) AS s, count(delta) AS c FROM p GROUP BY ALL),
