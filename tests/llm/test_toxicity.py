@@ -150,3 +150,15 @@ def test_sample_bounds_and_repeated_ids(spark):
     got = toxicity.sample_of(docs, labels, 50, 2000).collect()
     assert 18 <= len(got) <= 20 and len({r.doc_id for r in got}) == len(got)
     assert len(toxicity.sample_of(docs, labels, 50, 1 << 20).collect()) == 50
+
+
+def test_one_very_long_text_does_not_empty_the_sample(spark):
+    texts = [(i, "word " * 20) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    small = {r.doc_id for r in toxicity.sample_of(spark.createDataFrame(texts, "doc_id long, text string"), labels, 100, 10_000).collect()}
+    assert len(small) > 30
+    for long in sorted(small)[:3]:
+        docs = spark.createDataFrame([(i, t * 1000 if i == long else t) for i, t in texts], "doc_id long, text string")
+        assert {r.doc_id for r in toxicity.sample_of(docs, labels, 100, 10_000).collect()} == small - {long}
+    with pytest.raises(ValueError, match="no labelled text fits"):
+        toxicity.sample_of(docs, labels, 100, 10)

@@ -7,8 +7,8 @@ embedding of its character trigrams. A bidirectional GRU reads windows of
 window, and a text's score is a logistic function of its highest window logit
 and the number of windows. All of it is trained here, in numpy in one task, on a
 bounded sample: at most `most_docs` labelled rows that may be learnt from and
-`most_bytes` of their texts, taken by hash of the id, with all windows of their
-whole texts; a quarter of the sample is kept from the network to fit the final
+`most_bytes` of their texts, taken by hash of the id (a text that does not fit in
+what is left is passed over), with all windows of their whole texts; a quarter of the sample is kept from the network to fit the final
 function. The driver holds the finished network only (under 1 MB). Scoring reads
 whole texts, all windows, without a shuffle.
 
@@ -32,7 +32,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -313,17 +313,25 @@ class Scorer:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, most_docs: int, most_bytes: int) -> DataFrame:
-    """(doc_id, text, toxic) of the labelled rows of least hash: at most most_docs of them, and most_bytes of text."""
+    """(doc_id, text, toxic) of the labelled rows of least hash: at most most_docs of them, and most_bytes of text.
+
+    Raises if there are labelled rows but none of their texts fits."""
     may = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & may)
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = written(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "sample")
-    # most_docs numbers in one window
-    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    fits = rows.select("doc_id", F.octet_length("text").alias("size")).withColumn("sum", so_far).filter(F.col("sum") <= most_bytes)
-    return rows.join(F.broadcast(fits.select("doc_id")), "doc_id")
+    # at most most_docs pairs; a text that does not fit is passed over, and those behind it still count
+    taken, left = [], most_bytes
+    sizes = rows.select("doc_id", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    for r in sizes:
+        if r.size <= left:
+            taken.append((r.doc_id,))
+            left -= r.size
+    if sizes and not taken:
+        raise ValueError(f"no labelled text fits into most_bytes={most_bytes}")
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(taken, "doc_id bigint")), "doc_id")
 
 
 def fit_on_sample(docs: DataFrame, labels: DataFrame, most_docs: int = 5000, most_bytes: int = 16 << 20, **options) -> Scorer:
