@@ -9,7 +9,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import fiscal, windows
 from tidemark.operators.order_windows import sliding
 from tidemark.plans.catalog import _ORD, _PRED, SERIES, _ordered, _predictions, query, r6, series, table
-from tidemark.streaming import recurrent
+from tidemark.streaming import ordered, recurrent
 
 
 @query(
@@ -146,6 +146,36 @@ def local_level(spark, d):
     return recurrent.filtered(s).select("event_id", F.round("before", 5).alias("before"), F.round("level", 5).alias("level"), r6(F.col("gain")).alias("gain"))
 
 
+@query("stream_local_level", f"""WITH RECURSIVE {_LEVEL} SELECT event_id, round(before, 5) AS before, round(level, 5) AS level, round(gain, 6) AS gain FROM f WHERE pos > 0""")
+def stream_local_level(spark, d):
+    """The events replayed in four micro-batches that overlap by up to six hours: equal to the batch form."""
+    out = ordered.replayed(series(spark, d), "user_id", "ts", "event_id", ["event_id", "x"], ordered.LevelFold(), 4, 8 * 3600, 6 * 3600)
+    return out.select("event_id", F.round("before", 5).alias("before"), F.round("level", 5).alias("level"), r6(F.col("gain")).alias("gain"))
+
+
+@query(
+    "stream_asof",
+    """WITH e AS (SELECT user_id, event_id, ts, event_id % 3 = 0 AS asks, event_id % 50 AS session, event_id % 7 AS revision, value FROM events), m AS (SELECT a.event_id AS decision, b.session, b.revision, b.value, row_number() OVER (PARTITION BY a.event_id ORDER BY b.session DESC, b.revision DESC, b.ts, b.event_id) AS n FROM e a LEFT JOIN e b ON b.user_id = a.user_id AND NOT b.asks AND (b.ts < a.ts OR (b.ts = a.ts AND b.event_id < a.event_id)) WHERE a.asks)
+    SELECT decision, session, revision, value FROM m WHERE n = 1""",
+)
+def stream_asof(spark, d):
+    """Every third event asks for the value of the latest session, highest revision, that was there before it; both sides are streams."""
+    asks, own = F.col("event_id") % 3 == 0, lambda c: F.when(F.col("event_id") % 3 != 0, c)
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", F.when(asks, F.col("event_id")).alias("decision"), own(F.col("event_id") % 50).alias("session"), own(F.col("event_id") % 7).alias("revision"), own(F.col("value")).alias("value"))
+    return ordered.replayed(e, "user_id", "ts", "event_id", ["decision", "session", "revision", "value"], ordered.AsofFold(), 4, 8 * 3600, 6 * 3600).select("decision", "session", "revision", "value")
+
+
+@query(
+    "stream_transitions",
+    """WITH r AS (SELECT user_id, event_id, ts, event_type, lag(event_type) OVER w AS before, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM r), n AS (SELECT user_id, run, count(*) AS n FROM g GROUP BY ALL)
+    SELECT event_id, before AS from_label, event_type AS to_label, coalesce(n.n, 0) AS run FROM g LEFT JOIN n ON n.user_id = g.user_id AND n.run = g.run - 1 WHERE new = 1""",
+)
+def stream_transitions(spark, d):
+    """Changes of a user's event type, with how many events the type before had lasted."""
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    return ordered.replayed(e, "user_id", "ts", "event_id", ["event_id", "event_type"], ordered.TransitionFold(), 4, 8 * 3600, 6 * 3600).select("event_id", "from_label", "to_label", "run")
+
+
 @query(
     "stream_windowed_counts",
     """SELECT time_bucket(INTERVAL 1 HOUR, ts)::VARCHAR AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""",
