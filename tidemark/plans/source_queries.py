@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.sources import parsers, sinks
+from tidemark.sources import parsers, publication, sinks
 from tidemark.sources.scratch import scratch_path, shared_dir
-from tidemark.plans.catalog import query, table
+from tidemark.plans.catalog import _PRED, _predictions, query, table
 
 
 @query("s1_verified_scan", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -170,3 +170,32 @@ def published(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", "c_acctbal")
     sinks.write_addressed(rows, scratch_path(spark, "addressed"))
     return sinks.published(rows, scratch_path(spark, "staging"), scratch_path(spark, "published"))
+
+
+@query(
+    "k3_published_matrices",
+    f"""WITH {_PRED} SELECT o_orderkey, round(max(CASE WHEN m = 'close' THEN f END), 4) AS close, round(max(CASE WHEN m = 'low' THEN f END), 4) AS low, count(DISTINCT m) AS models FROM p GROUP BY o_orderkey""",
+)
+def published_matrices(spark, d):
+    """The long and the wide matrix, published under one manifest, read back and joined."""
+    folder = scratch_path(spark, "matrices")
+    publication.publish(spark, folder, publication.matrices(_predictions(spark, d).select("o_orderkey", "m", "f"), ["o_orderkey"], "m", "f"))
+    t = publication.published_tables(spark, folder)
+    models = t["long"].groupBy("o_orderkey").agg(F.count_distinct("m").alias("models"))
+    return t["wide"].join(models, "o_orderkey").select("o_orderkey", F.round("close", 4).alias("close"), F.round("low", 4).alias("low"), "models")
+
+
+@query(
+    "q9_event_log",
+    """WITH RECURSIVE e AS (SELECT o_orderpriority AS k, '{"n":' || count(*) || '}' AS p, row_number() OVER (ORDER BY o_orderpriority) - 1 AS i FROM orders GROUP BY o_orderpriority),
+    c AS (SELECT i, k, p, sha256('|counts|' || i || '|' || k || '|summary|' || p) AS entry FROM e WHERE i = 0 UNION ALL SELECT e.i, e.k, e.p, sha256(c.entry || '|counts|' || e.i || '|' || e.k || '|summary|' || e.p) FROM c JOIN e ON e.i = c.i + 1)
+    SELECT i AS sequence, k AS event_key, p AS payload, entry FROM c""",
+)
+def event_log(spark, d):
+    """Counts by priority as events of one log; appending them again changes nothing."""
+    log = publication.EventLog(spark, scratch_path(spark, "log"), "counts")
+    counts = table(spark, d, "orders").groupBy("o_orderpriority").count().orderBy("o_orderpriority").collect()  # a few priorities
+    events = [(r.o_orderpriority, "summary", {"n": r["count"]}) for r in counts]
+    for batch in (events[:2], events, events[1:]):
+        log.append(batch)
+    return log.events().select("sequence", "event_key", "payload", "entry")
