@@ -81,7 +81,11 @@ def refits(rows: DataFrame, entity: str, order: list[str], window: int, least: i
     return p.withColumn("refit", F.when(F.col("position") >= least, refit.cast("int")))
 
 
-def row_set_hash(rows: DataFrame, by: list[str], key: str) -> DataFrame:
-    """by, n, digest: SHA-256 over the keys of a group's rows in order, for groups as large as a fold of one series."""
-    keys = F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")), ",")
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sha2(keys, 256).alias("digest"))
+def row_set_hash(rows: DataFrame, by: list[str], key: str, chunk: int = 1000) -> DataFrame:
+    """by, n, digest: SHA-256 over the digests of a group's ordered keys, taken `chunk` keys at a time.
+
+    A task holds one chunk of keys, and then one digest a chunk, however large the group."""
+    at = F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1) / chunk)
+    joined = lambda pairs: F.array_join(F.transform(F.array_sort(F.collect_list(pairs)), lambda s: s["v"]), ",")
+    part = rows.withColumn("_at", at).groupBy(*by, "_at").agg(F.count(F.lit(1)).alias("_n"), F.sha2(joined(F.struct(F.col(key), F.col(key).cast("string").alias("v"))), 256).alias("_d"))
+    return part.groupBy(*by).agg(F.sum("_n").alias("n"), F.sha2(joined(F.struct(F.col("_at"), F.col("_d").alias("v"))), 256).alias("digest"))

@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import exact_quantiles
 
-def point_metrics(actual: Column, forecast: Column) -> list[Column]:
-    """rows, coverage, MAE, RMSE, median, p90, bias of a group; errors over rows with both values."""
-    e = forecast - actual
-    return [
+
+def point_metrics(rows: DataFrame, by: list[str], actual: str, forecast: str) -> DataFrame:
+    """by, rows, coverage, MAE, RMSE, median, p90, bias of each group; errors over rows with both values.
+
+    Median and p90 are exact and need no task to hold a group."""
+    e = F.col(forecast) - F.col(actual)
+    main = rows.groupBy(*by).agg(
         F.count(actual).alias("truth_rows"),
         (F.count(e) / F.count(actual)).alias("coverage"),
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.percentile(F.abs(e), F.lit(0.5)).alias("median_ae"),
-        F.percentile(F.abs(e), F.lit(0.9)).alias("p90_ae"),
         F.avg(e).alias("bias"),
-    ]
+    )
+    tails = exact_quantiles(rows.select(*by, F.abs(e).alias("_ae")), by, "_ae", [0.5, 0.9])
+    return main.join(tails.select(*by, F.col("q")[0].alias("median_ae"), F.col("q")[1].alias("p90_ae")), by, "left")
 
 
 def common_mask(predictions: DataFrame, key: list[str], model: str, value: str) -> DataFrame:
@@ -43,6 +47,22 @@ def pairs(predictions: DataFrame, key: list[str], model: str, error: str) -> Dat
     )
 
 
+def pair_correlations(predictions: DataFrame, key: list[str], model: str, actual: str, forecast: str) -> DataFrame:
+    """For each pair of models over rows that both predict and whose truth is known: n, and the correlations of forecasts, errors and absolute errors.
+
+    Null where a side does not vary."""
+    p = predictions.filter(F.col(actual).isNotNull() & F.col(forecast).isNotNull())
+    side = lambda s: p.select(*key, F.col(model).alias(f"model_{s}"), F.col(forecast).alias(f"f{s}"), (F.col(forecast) - F.col(actual)).alias(f"e{s}"))
+    both = side("a").join(side("b"), key).filter(F.col("model_a") < F.col("model_b"))
+    corr = lambda x, y: F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
+    return both.groupBy("model_a", "model_b").agg(
+        F.count(F.lit(1)).alias("n"),
+        corr(F.col("fa"), F.col("fb")).alias("forecast_corr"),
+        corr(F.col("ea"), F.col("eb")).alias("error_corr"),
+        corr(F.abs("ea"), F.abs("eb")).alias("absolute_error_corr"),
+    )
+
+
 def pareto(rows: DataFrame, key: str, low: list[str], high: list[str], most: int = 20_000) -> DataFrame:
     """Rows that no other row beats: as good in every objective and better in one.
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.metrics import weighted_median
+
 
 def blocks(rows: DataFrame, by: str, order: list[str], key: list[str], bad: Column) -> DataFrame:
     """rows with block (number of the stretch of equal keys) and void: does any row of the series break the rules?
@@ -25,12 +25,6 @@ def blocks(rows: DataFrame, by: str, order: list[str], key: list[str], bad: Colu
     return r.withColumn("void", void).withColumn("block", F.when(F.col("_some"), F.col("block"))).drop("_some", "_k")
 
 
-def weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
-    order = np.argsort(values, kind="stable")
-    run = np.cumsum(weights[order])
-    return float(values[order][min(int(np.searchsorted(run, run[-1] / 2)), len(values) - 1)])
-
-
 def median_line(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float) -> tuple[float, float]:
     """(intercept, slope) of the weighted least-absolute line with penalty x |slope| a unit of weight.
 
@@ -46,43 +40,57 @@ def median_line(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float) ->
     return float(starts[best]), float(slopes[best])
 
 
-def predicted(train: list[tuple[float, float, float]], growth: float, least: int = 4, least_growth: int = 8, penalty: float = 0.01) -> tuple[float | None, str]:
-    """(multiple, way) for a vintage from the ended ones before it: (log multiple, growth, weight) each."""
-    usable = [t for t in train if math.isfinite(t[0]) and t[2] > 0]
-    if len(usable) < least:
-        return None, "TOO_FEW"
-    y, w = np.array([t[0] for t in usable]), np.array([t[2] for t in usable])
-    out, way, seen = weighted_median(y, w), "INTERCEPT", y
-    grown = [t for t in usable if math.isfinite(t[1])]
-    if len(grown) >= least_growth and math.isfinite(growth):
-        g, t, v = (np.array([r[k] for r in grown]) for k in (1, 0, 2))
-        low, high = np.quantile(g, [0.05, 0.95])
-        g = np.clip(g, low, high)
-        mid, scale = np.median(g), max(float(np.subtract(*np.quantile(g, [0.75, 0.25]))), 0.05)
-        a, b = median_line((g - mid) / scale, t, v, penalty)
-        if b > 0:
-            out, way, seen = a + b * (min(max(growth, low), high) - mid) / scale, "CONDITIONAL", t
-    low, high = np.quantile(seen, [0.1, 0.9])
-    return math.exp(min(max(out, low), high)), way
-
-
-def vintage_multiples(rows: DataFrame, by: str, order: list[str], key: list[str], bad: Column, log_value: str, growth: str, weight: str, most: int = 20) -> DataFrame:
-    """rows with expected and way: one forecast a block, from at most `most` blocks that ended before it.
-
-    Rows become blocks by windows; only one row a block (a vintage: a few a year)
-    goes to Python, grouped by series; a series that breaks the rules gets nothing."""
+def _lines(penalty: float):
+    """Column function: struct<a, b> of median_line over an array of (x, y, w)."""
+
+    @F.pandas_udf("a double, b double")
+    def line(points: pd.Series) -> pd.DataFrame:
+        fits = [median_line(*np.array([[p["x"], p["y"], p["w"]] for p in q], np.float64).T, penalty) if q is not None and len(q) else (None, None) for q in points]
+        return pd.DataFrame(fits, columns=["a", "b"]).astype("float64")
+
+    return line
+
+
+def vintage_multiples(rows: DataFrame, by: str, order: list[str], key: list[str], bad: Column, log_value: str, growth: str, weight: str, most: int = 20, least: int = 4, least_growth: int = 8, penalty: float = 0.01) -> DataFrame:
+    """rows with expected and way: one forecast a block, from at most `most` usable blocks that ended before it.
+
+    A block is usable with a finite log multiple (the median of its rows) and a positive weight. With fewer than
+    `least` of them there is no forecast (TOO_FEW). Else it is their weighted median (INTERCEPT) or, with
+    `least_growth` finite growths, a finite own one and a rising median line on growth (scaled by the quartiles and
+    held within the 5 % ends), the line's value (CONDITIONAL); either is held within the 10 % ends of what it was learnt from.
+
+    Rows become blocks by windows (a vintage: a few a year), each block's training rows a window over the
+    blocks before it, and the rule one grouped expression over those; only the median lines are Python,
+    over arrays of at most `most` points. A series that breaks the rules gets nothing (VOID)."""
     b = blocks(rows, by, order, key, bad)
     first = F.min_by(F.struct(F.col(growth).alias("g"), F.col(weight).alias("w")), F.struct(*order))
     per = b.filter(F.col("block").isNotNull() & ~F.col("void")).groupBy(by, "block").agg(F.percentile(log_value, F.lit(0.5)).alias("y"), first.alias("f"))
     per = per.select(by, F.col("block").cast("long").alias("block"), "y", F.col("f.g").cast("double").alias("g"), F.col("f.w").cast("double").alias("w"))
-    schema = f"{by} {dict(rows.dtypes)[by]}, block long, expected double, way string"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        done = [(float(y), float(g), float(w)) for y, g, w in zip(pdf["y"], pdf["g"], pdf["w"])]
-        usable = lambda t: [r for r in t if math.isfinite(r[0]) and r[2] > 0][-most:]
-        out = [predicted(usable(done[:k]), done[k][1]) for k in range(len(done))]
-        return pd.DataFrame({by: pdf[by], "block": pdf["block"], "expected": [a for a, _ in out], "way": [w for _, w in out]})
-
-    found = per.groupBy(by).applyInPandas(run, schema)
+    finite = lambda c: F.col(c).isNotNull() & (F.abs(c) < float("inf"))
+    ended = Window.partitionBy(by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    item = F.when(finite("y") & (F.col("w") > 0), F.struct(F.when(finite("g"), F.col("g")).alias("tg"), F.col("y").alias("ty"), F.col("w").alias("tw")))
+    per = per.withColumn("_h", F.collect_list(item).over(ended)).withColumn("_h", F.slice("_h", F.greatest(F.size("_h") - most, F.lit(0)) + 1, F.lit(most)))
+    train = per.select(by, "block", F.inline("_h"))
+    grown = F.col("tg").isNotNull()
+    ends = lambda v, p: F.percentile(v, F.array(*[F.lit(x) for x in p]))
+    learnt = train.groupBy(by, "block").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("tg").alias("n_grown"),
+        ends(F.col("ty"), (0.1, 0.9)).alias("all_ends"),
+        ends(F.when(grown, F.col("ty")), (0.1, 0.9)).alias("grown_ends"),
+        ends(F.col("tg"), (0.05, 0.25, 0.5, 0.75, 0.95)).alias("q"),
+        F.collect_list(F.when(grown, F.struct("tg", "ty", "tw"))).alias("points"),
+    )
+    q = F.col("q")
+    held = lambda v: (F.least(F.greatest(v, q[0]), q[4]) - q[2]) / F.greatest(q[3] - q[1], F.lit(0.05))
+    # the middle and the quartiles of growth lie within its 5 % ends, so they need no holding
+    points = F.when(F.col("n_grown") >= least_growth, F.transform("points", lambda p: F.struct(held(p["tg"]).alias("x"), p["ty"].alias("y"), p["tw"].alias("w"))))
+    learnt = learnt.withColumn("line", _lines(penalty)(points)).join(weighted_median(train, [by, "block"], "ty", "tw"), [by, "block"], "left")
+    f = per.select(by, "block", "g").join(learnt, [by, "block"], "left")
+    follows = finite("g") & (F.col("line.b") > 0)
+    within = lambda v, e: F.exp(F.least(F.greatest(v, F.col(e)[0]), F.col(e)[1]))
+    expected = F.when(follows, within(F.col("line.a") + F.col("line.b") * held(F.col("g")), "grown_ends")).otherwise(within(F.col("weighted_median"), "all_ends"))
+    enough = F.coalesce(F.col("n"), F.lit(0)) >= least
+    way = F.when(~enough, "TOO_FEW").when(F.coalesce(follows, F.lit(False)), "CONDITIONAL").otherwise("INTERCEPT")
+    found = f.select(by, "block", F.when(enough, expected).alias("expected"), way.alias("way"))
     return b.join(found, [by, "block"], "left").withColumn("way", F.when(F.col("void"), "VOID").otherwise(F.coalesce("way", F.lit("NO_VINTAGE"))))

@@ -134,9 +134,13 @@ def replay_equality(spark, d):
 
 @query(
     "p41_feature_contract",
-    """SELECT feature, code FROM (VALUES ('price', 'NOT_FOR_FIT'), ('truth', 'EVALUATION_ONLY'), ('truth', 'LOOK_AHEAD'), ('restated', 'REVISED_DATA'), ('other', 'UNREGISTERED')) t(feature, code)""",
+    """WITH r AS (SELECT p_partkey AS k, p_size % 2 = 0 AS fit, p_size % 5 = 0 AS evaluation, p_size % 7 = 0 AS ahead, p_size % 11 = 0 AS revised FROM part WHERE p_partkey % 9 <> 0), q AS (SELECT DISTINCT l_partkey AS k FROM lineitem)
+    SELECT 'part_' || q.k AS feature, unnest(list_filter([CASE WHEN r.k IS NULL THEN 'UNREGISTERED' END, CASE WHEN NOT fit THEN 'NOT_FOR_FIT' END, CASE WHEN evaluation THEN 'EVALUATION_ONLY' END, CASE WHEN ahead THEN 'LOOK_AHEAD' END, CASE WHEN revised THEN 'REVISED_DATA' END], lambda x: x IS NOT NULL)) AS code FROM q LEFT JOIN r USING (k)""",
 )
 def feature_contract(spark, d):
-    registry = spark.createDataFrame([("eps", True, True, False, False, False), ("price", False, True, False, False, False), ("truth", True, True, True, True, False), ("restated", True, True, False, False, True)], "feature string, fit_allowed boolean, predict_allowed boolean, evaluation_only boolean, look_ahead boolean, revised boolean")
-    requested = spark.createDataFrame([(f,) for f in ("eps", "price", "truth", "restated", "other")], "feature string")
+    """Parts as features: registered ones with what they are allowed for, and those that lines ask for."""
+    name, size = lambda k: F.concat(F.lit("part_"), F.col(k)), F.col("p_size")
+    flags = {"fit_allowed": size % 2 == 0, "predict_allowed": F.lit(True), "evaluation_only": size % 5 == 0, "look_ahead": size % 7 == 0, "revised": size % 11 == 0}
+    registry = table(spark, d, "part").filter("p_partkey % 9 != 0").select(name("p_partkey").alias("feature"), *[c.alias(k) for k, c in flags.items()])
+    requested = table(spark, d, "lineitem").select(name("l_partkey").alias("feature")).distinct()
     return contracts.feature_violations(registry, requested, "fit")

@@ -279,7 +279,7 @@ def _predictions(spark, d):
 )
 def common_metrics(spark, d):
     z = metrics.common_mask(_predictions(spark, d), ["o_orderkey"], "m", "f")
-    out = z.groupBy("m").agg(*metrics.point_metrics(F.col("y"), F.col("f")))
+    out = metrics.point_metrics(z, ["m"], "y", "f")
     return out.select("m", "truth_rows", "coverage", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "median_ae", "p90_ae", "bias")])
 
 
@@ -295,6 +295,16 @@ def model_pairs(spark, d):
     return out.select("model_a", "model_b", "n", r6(F.col("error_corr")).alias("error_corr"), F.round("oracle_mae", 4).alias("oracle_mae"), F.round("equal_mae", 4).alias("equal_mae"), r6(F.col("win_a")).alias("win_a"))
 
 
+@query(
+    "a10_pair_correlations",
+    f"""WITH {_PRED}, e AS (SELECT o_orderkey, m, f, f - y AS e FROM p WHERE f IS NOT NULL)
+    SELECT a.m AS model_a, b.m AS model_b, count(*) AS n, round(corr(a.f, b.f), 6) AS forecast_corr, round(corr(a.e, b.e), 6) AS error_corr, round(corr(abs(a.e), abs(b.e)), 6) AS absolute_error_corr FROM e a JOIN e b USING (o_orderkey) WHERE a.m < b.m GROUP BY ALL""",
+)
+def pair_correlations(spark, d):
+    out = metrics.pair_correlations(_predictions(spark, d), ["o_orderkey"], "m", "y", "f")
+    return out.select("model_a", "model_b", "n", *[r6(F.col(c)).alias(c) for c in ("forecast_corr", "error_corr", "absolute_error_corr")])
+
+
 @query(
     "j17_u11_frame_diff",
     """WITH a AS (SELECT o_orderkey, o_totalprice AS v, o_orderstatus AS s FROM orders WHERE o_orderkey % 10 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS v, o_orderstatus AS s FROM orders WHERE o_orderkey % 9 <> 0)

@@ -256,8 +256,10 @@ def positions(spark, d):
 
 @query(
     "s18_business_days",
-    """WITH d AS (SELECT unnest(range(DATE '2024-01-01', DATE '2024-03-01', INTERVAL 1 DAY))::DATE AS day) SELECT day FROM d WHERE isodow(day) <= 5""",
+    """WITH d AS (SELECT unnest(range(min(o_orderdate)::DATE, max(o_orderdate)::DATE + 1, INTERVAL 1 DAY))::DATE AS day FROM orders) SELECT day FROM d WHERE isodow(day) <= 5""",
 )
 def business_days(spark, d):
-    days = spark.range(1).select(F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-02-29").cast("date"))).alias("day"))
+    """The weekdays from the first to the last order."""
+    span = table(spark, d, "orders").agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("b"))
+    days = span.select(F.explode(F.sequence("a", "b")).alias("day"))
     return days.filter(F.weekday("day") < 5)
