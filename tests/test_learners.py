@@ -100,7 +100,14 @@ def test_vintages_never_see_themselves(spark):
     for b in range(20):
         want = by_hand(done[:b][-20:], done[b][1])
         assert got[4 * b][1] == want[1] and (want[0] is None or abs(got[4 * b][0] - want[0]) < 1e-9)
-    assert {w for _, w in got.values()} == {"TOO_FEW", "INTERCEPT", "CONDITIONAL"}
+    # a series in which the multiple rises with growth
+    rising = [("r", t, t // 4, 2 + 0.1 * (t // 4 % 5) + 0.01 * ((t * 7) % 13), 0.1 * (t // 4 % 5), float(1 + t // 4 % 3)) for t in range(80)]
+    found = run(rising)
+    done = [(float(np.median([r[3] for r in rising if r[2] == b])), 0.1 * (b % 5), float(1 + b % 3)) for b in range(20)]
+    for b in range(20):
+        want = by_hand(done[:b][-20:], done[b][1])
+        assert found[4 * b][1] == want[1] and (want[0] is None or abs(found[4 * b][0] - want[0]) < 1e-9)
+    assert {w for _, w in [*got.values(), *found.values()]} == {"TOO_FEW", "INTERCEPT", "CONDITIONAL"}
     later = run([r if r[1] < 60 else (*r[:3], 99.0, *r[4:]) for r in rows])
     assert all(later[t] == got[t] for t in range(60))
 

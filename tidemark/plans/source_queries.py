@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from tidemark import config
 from tidemark.sources import parsers, publication, sinks
 from tidemark.sources.scratch import scratch_path, shared_dir
 from tidemark.plans.catalog import _PRED, _predictions, query, table
@@ -199,3 +205,57 @@ def event_log(spark, d):
     for batch in (events[:2], events, events[1:]):
         log.append(batch)
     return log.events().select("sequence", "event_key", "payload", "entry")
+
+
+@query(
+    "k1_k7_written_once",
+    "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS total, 1 AS refused FROM customer GROUP BY c_mktsegment",
+)
+def written_once(spark, d):
+    """Parquet and lines are written once; the second write of either is refused and changes nothing."""
+    rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    path, lines, refused = scratch_path(spark, "once"), scratch_path(spark, "lines"), 0
+    text = sinks.canonical_lines(rows, ["c_custkey"])
+    for _ in range(2):
+        try:
+            sinks.write_once(rows, path)
+            sinks.write_lines(text, lines)
+        except AnalysisException:
+            refused += 1
+    back = spark.read.schema(rows.schema).json(lines)
+    return back.join(spark.read.parquet(path).select("c_custkey"), "c_custkey").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"), F.lit(refused).alias("refused"))
+
+
+@query(
+    "s16_zip_members",
+    """SELECT doc_id, member, CASE WHEN member LIKE '..%' THEN 'UNSAFE' ELSE 'OK' END AS status, octet_length(encode(text)) AS size, CASE WHEN member NOT LIKE '..%' THEN sha256(text) END AS sha256 FROM (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN doc_id % 10 = 3 THEN '../text.txt' ELSE 'text.txt' END AS member FROM documents)""",
+)
+def zip_members(spark, d):
+    """Every document as a zip file, read back with the digest of its member; some members have an unsafe name."""
+
+    @F.pandas_udf("binary")
+    def packed(member: pd.Series, text: pd.Series) -> pd.Series:
+        def one(name: str, value: str) -> bytes:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr(name, value)
+            return out.getvalue()
+
+        return pd.Series([one(m, t) for m, t in zip(member, text)])
+
+    member = F.when(F.col("doc_id") % 10 == 3, "../text.txt").otherwise("text.txt")
+    files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), packed(member, F.coalesce("text", F.lit(""))).alias("content"))
+    found = parsers.zip_members(files)
+    return found.select(F.col("path").cast("long").alias("doc_id"), "member", "status", "size", "sha256")
+
+
+@query(
+    "s15_checked_settings",
+    "SELECT o_custkey, count(*) AS n, round(avg(o_totalprice), 7) AS mean FROM orders WHERE o_totalprice >= 20000 GROUP BY o_custkey HAVING count(*) >= 5",
+)
+def checked_settings(spark, d):
+    """A query whose bounds come from defaults that given settings override, checked before anything runs."""
+    settings = config.merged({"orders": {"least_price": 0.0, "least_rows": 1}, "digits": 7}, {"orders": {"least_price": 20000.0, "least_rows": 5}})
+    config.checked(settings, {"orders.least_price": (float, 0, None), "orders.least_rows": (int, 1, 1000), "digits": (int, 0, 9)})
+    o = table(spark, d, "orders").filter(F.col("o_totalprice") >= settings["orders"]["least_price"])
+    return o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), settings["digits"]).alias("mean")).filter(F.col("n") >= settings["orders"]["least_rows"])

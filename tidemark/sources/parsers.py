@@ -173,9 +173,11 @@ def with_lineage(spark, paths: list[str]) -> DataFrame:
     return spark.read.parquet(*paths).withColumn("file", F.col("_metadata.file_name"))
 
 
-def zip_members(files: DataFrame, most: int = 64 << 20) -> DataFrame:
+def zip_members(files: DataFrame, most: int | None = None, piece: int = 1 << 20) -> DataFrame:
     """path, member, size, sha256, status of the members of zip files (path, content binary): UNSAFE names
-    (absolute, or leading out of the folder) and members above `most` bytes (LARGE) are not read."""
+    (absolute, or leading out of the folder) are not read, nor are members above `most` bytes (LARGE) where
+    a bound is given. Members are unpacked `piece` bytes at a time, so their size does not matter; one
+    whose bytes do not fit its checksum is DAMAGED."""
     import pyarrow as pa
 
     schema = "path string, member string, size long, sha256 string, status string"
@@ -184,24 +186,32 @@ def zip_members(files: DataFrame, most: int = 64 << 20) -> DataFrame:
         import hashlib
         import io
         import zipfile
+        import zlib
 
         for batch in batches:
             rows = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
-                    members = zipfile.ZipFile(io.BytesIO(content.as_buffer())).infolist() if content.is_valid else []
+                    archive = zipfile.ZipFile(io.BytesIO(content.as_buffer())) if content.is_valid else None
                 except zipfile.BadZipFile:
                     rows.append((path, None, None, None, "BROKEN"))
                     continue
-                for m in members:
+                for m in archive.infolist() if archive else []:
                     parts = m.filename.replace("\\", "/").split("/")
                     if m.filename.startswith(("/", "\\")) or ".." in parts or ":" in parts[0]:
                         rows.append((path, m.filename, m.file_size, None, "UNSAFE"))
-                    elif m.file_size > most:
+                    elif most is not None and m.file_size > most:
                         rows.append((path, m.filename, m.file_size, None, "LARGE"))
                     elif not m.is_dir():
-                        data = zipfile.ZipFile(io.BytesIO(content.as_buffer())).read(m)
-                        rows.append((path, m.filename, len(data), hashlib.sha256(data).hexdigest(), "OK"))
+                        digest, size = hashlib.sha256(), 0
+                        try:
+                            with archive.open(m) as f:
+                                while data := f.read(piece):
+                                    digest.update(data)
+                                    size += len(data)
+                            rows.append((path, m.filename, size, digest.hexdigest(), "OK"))
+                        except (zipfile.BadZipFile, zlib.error, EOFError):
+                            rows.append((path, m.filename, m.file_size, None, "DAMAGED"))
             cols = list(zip(*rows)) or [()] * 5
             types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["path", "member", "size", "sha256", "status"])
