@@ -85,6 +85,22 @@ def test_long_runs_and_many_matches_are_linear(spark):
     assert [s.start for s in got[3][:3]] == [0, 8, 16] and got[3][-1].start == 8 * 19_999
 
 
+def test_fifty_thousand_loose_matches_take_time_in_proportion(spark):
+    import time
+
+    def took(n):
+        docs = spark.createDataFrame([(1, "call (499) 555-6503 or a@b.cd; " * n)], "doc_id long, text string")
+        began = time.time()
+        (row,) = pii.find_pii(docs).select("spans").collect()
+        assert sum(s.added for s in row.spans) == n and sum(not s.added for s in row.spans) == n
+        return time.time() - began
+
+    took(10)
+    fixed = took(10)
+    part, whole = took(10_000) - fixed, took(50_000) - fixed
+    assert whole < 12 * max(part, 1.0) and whole < 90
+
+
 def test_added_spans_do_not_overlap(spark):
     rows = [(i, t) for i, t in enumerate(texts()) if t is not None and len(t) < 1000] + [(900, "call 499-555-6503-12-3456 or 123-45-6789 555-6503 (499) 555-6503 joe (at) site.org (at) b.org")]
     for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect():

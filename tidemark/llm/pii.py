@@ -52,6 +52,7 @@ LOOSE = (
 HINTS = r"(?i)(mail|phone|tel|call|fax|card|visa|account|ssn|host|addr|contact|\bip\b)"
 FEATURES = ("family", "digits", "parts", "hint", "joined_left", "joined_right", "uniform", "brackets", "form", "valid")
 CHUNK = 64
+PIECE = 1024
 _CAND = "array<struct<family:int,base:boolean,s:int,e:int,t:string,form:int>>"
 
 
@@ -77,6 +78,17 @@ def _matches(text: str, pattern: str, family: int, must: str | None, form: int =
     return found if must is None else f"if(instr({text}, {_sql_text(must)}) > 0, {found}, cast(array() as {_CAND}))"
 
 
+def _running_max(of: str, value: str) -> str:
+    """SQL: for each place of the array `of` (not empty) the largest `value` (of element x, at least 0) up to it.
+
+    Within chunks first and then over the chunks, so that no array grows one by one."""
+    start = "named_struct('m', 0, 'o', cast(array() as array<int>))"
+    step = f"(a, i) -> transform(array({of}[i]), x -> transform(array(greatest(a.m, {value})), v -> named_struct('m', v, 'o', concat(a.o, array(v))))[0])[0]"
+    chunk = f"aggregate(sequence(k * {CHUNK}, least(size({of}), (k + 1) * {CHUNK}) - 1), {start}, {step})"
+    tops = "aggregate(q, array(0), (b, y) -> concat(b, array(greatest(element_at(b, -1), y.m))))"
+    return f"transform(array(transform(sequence(0, (size({of}) - 1) div {CHUNK}), k -> {chunk})), q -> transform(array({tops}), b -> flatten(transform(q, (y, k) -> transform(y.o, v -> greatest(v, b[k])))))[0])[0]"
+
+
 _DIGITS = "regexp_replace(c.t, '[^0-9]', '')"
 _LUHN = (
     f"transform(array({_DIGITS}), d -> length(d) between 13 and 19 and pmod(aggregate(sequence(1, least(length(d), 19)), 0, (a, i) -> a +"
@@ -99,17 +111,20 @@ def candidates(docs: DataFrame) -> DataFrame:
     for n, (family, pattern, must) in enumerate(LOOSE):
         rows = rows.withColumn(f"loose{n}", F.expr(_matches("text", pattern, family, must, n + 1)))
     rows = rows.withColumn("cands", F.concat(*KINDS, *[f"loose{n}" for n in range(len(LOOSE))])).select("doc_id", "text", "cands")
-    covered = "c.base or exists(base, b -> b.s <= c.s and b.e >= c.e)"
+    # in order of start, base spans first: a candidate is covered if a base span so far reaches its end
+    covered = "c.base or reach[n] >= c.e"
     digits = f"length({_DIGITS})"
+    # substring() counts characters from the start of its text, so the text is read from pieces of PIECE characters
+    at = lambda p, n: f"substring(concat(coalesce(get(pieces, cast(({p}) div {PIECE} as int)), ''), coalesce(get(pieces, cast(({p}) div {PIECE} as int) + 1), '')), ({p}) % {PIECE} + 1, {n})"
     parts = "size(split(c.t, '[^A-Za-z0-9]+'))"
     values = {
         "family": "c.family",
         "digits": f"case when {digits} = 0 then 0 when {digits} < 9 then 1 when {digits} < 11 then 2 when {digits} < 13 then 3 when {digits} < 17 then 4 else 5 end",
         "parts": f"least({parts}, 6)",
         # the context of base spans, which stay anyway, is not looked up
-        "hint": f"if(c.base, 0, cast(substring(text, greatest(c.s - 23, 1), least(24, c.s)) rlike {_sql_text(HINTS)} as int))",
-        "joined_left": "if(c.s > 0 and not c.base, cast(substring(text, c.s, 1) rlike '[A-Za-z0-9]' as int), 0)",
-        "joined_right": "if(c.base, 0, cast(substring(text, c.e + 1, 1) rlike '[A-Za-z0-9]' as int))",
+        "hint": f"if(c.base, 0, cast({at('greatest(c.s - 24, 0)', 'least(24, c.s)')} rlike {_sql_text(HINTS)} as int))",
+        "joined_left": f"if(c.s > 0 and not c.base, cast({at('c.s - 1', 1)} rlike '[A-Za-z0-9]' as int), 0)",
+        "joined_right": f"if(c.base, 0, cast({at('c.e', 1)} rlike '[A-Za-z0-9]' as int))",
         "uniform": f"cast({_DIGITS} rlike '^([0-9])\\\\1+$' as int)",
         "brackets": "cast(c.t rlike '[()]' as int)",
         "form": "c.form",
@@ -117,7 +132,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     }
     made = ", ".join(f"'{k}', {v}" for k, v in values.items())
     item = f"named_struct('base', c.base, 'covered', {covered}, 's', c.s, 'e', c.e, {made})"
-    made = f"transform(array(filter(cands, c -> c.base)), base -> transform(cands, c -> {item}))[0]"
+    ordered = "transform(array_sort(transform(cands, c -> named_struct('s', c.s, 'loose', not c.base, 'c', c))), z -> z.c)"
+    pieces = f"regexp_extract_all(text, '(?s).{{1,{PIECE}}}', 0)"
+    made = f"transform(array({pieces}), pieces -> transform(array({ordered}), o -> transform(array({_running_max('o', 'if(x.base, x.e, 0)')}), reach -> transform(o, (c, n) -> {item}))[0])[0])[0]"
     return rows.select("doc_id", F.expr(f"if(size(cands) = 0, array(), {made})").alias("cands"))
 
 
@@ -248,8 +265,12 @@ def find_pii(docs: DataFrame, precision: float = 0.8) -> DataFrame:
     scored = f"transform(cands, c -> transform(array({score}), x -> named_struct('c', c, 'x', x, 'take', c.base or (not c.covered and ({above}))))[0])"
     # of added spans that overlap, the one of the highest score stays, then the first, then the longest
     better = "b.x > z.x or (b.x = z.x and (b.c.s < z.c.s or (b.c.s = z.c.s and (b.c.e > z.c.e or (b.c.e = z.c.e and (b.c.family < z.c.family or (b.c.family = z.c.family and b.c.form < z.c.form)))))))"
-    beaten = f"exists(added, b -> b.c.s < z.c.e and z.c.s < b.c.e and ({better}))"
-    kept = f"transform(array(filter({scored}, z -> z.take)), held -> transform(array(filter(held, z -> not z.c.base)), added -> filter(held, z -> z.c.base or not {beaten}))[0])[0]"
+    beaten = f"exists(g, b -> b.c.s < z.c.e and z.c.s < b.c.e and ({better}))"
+    # added spans come in order of start; a group ends where no span so far reaches over the next one's start
+    first = f"transform(array({_running_max('added', 'x.c.e')}), r -> filter(sequence(0, size(added) - 1), i -> i = 0 or r[i - 1] <= added[i].c.s))[0]"
+    groups = f"transform(array({first}), f -> transform(f, (i, k) -> slice(added, i + 1, coalesce(get(f, k + 1), size(added)) - i)))[0]"
+    best = f"if(size(added) < 2, added, flatten(transform({groups}, g -> if(size(g) = 1, g, filter(g, z -> not {beaten})))))"
+    kept = f"transform(array(filter({scored}, z -> z.take)), held -> transform(array(filter(held, z -> not z.c.base)), added -> concat(filter(held, z -> z.c.base), {best}))[0])[0]"
     spans = f"transform({kept}, z -> named_struct('family', z.c.family, 'start', z.c.s, 'end', z.c.e, 'added', not z.c.base, 'kind', {kinds}[z.c.family], 'score', 1 / (1 + exp(-z.x))))"
     return cands.select("doc_id", F.expr(f"if(size(cands) = 0, cast(null as array<struct<family:int,start:int,end:int,added:boolean,kind:string,score:double>>), array_sort({spans}))").alias("spans")).withColumn(
         "spans", F.coalesce("spans", F.expr("cast(array() as array<struct<family:int,start:int,end:int,added:boolean,kind:string,score:double>>)"))
