@@ -63,6 +63,28 @@ def pair_correlations(predictions: DataFrame, key: list[str], model: str, actual
     )
 
 
+def bound_leaderboard(predictions: DataFrame, key: list[str], model: str, forecast: str, error: Column) -> DataFrame:
+    """rank, model, identity_bound, mask_bound, coverage, score (mean error) of each model; the rank is null for a model that is not bound.
+
+    identity_bound: it has exactly one row for each identity that any model has; mask_bound: it forecasts
+    exactly those that all models forecast. Scores are over its own forecasts, so only bound ones compare."""
+    ids = predictions.groupBy(*key).agg(F.count_distinct(F.when(F.col(forecast).isNotNull(), F.col(model))).alias("_have"))
+    models = predictions.select(F.count_distinct(model).alias("_models"))
+    total = ids.join(F.broadcast(models), F.lit(True)).agg(F.count(F.lit(1)).alias("_ids"), F.count_if(F.col("_have") == F.col("_models")).alias("_common"))  # one row
+    per = predictions.groupBy(model, *key).agg(F.count(F.lit(1)).alias("_rows"), F.count(forecast).alias("_f"), F.sum(error).alias("_e"), F.count(error).alias("_n"))
+    per = per.groupBy(model).agg(F.count(F.lit(1)).alias("_own"), F.max("_rows").alias("_most"), F.count_if(F.col("_f") > 0).alias("_mask"), F.sum("_e").alias("_e"), F.sum("_n").alias("_n"))
+    out = per.join(F.broadcast(total), F.lit(True)).select(
+        model,
+        ((F.col("_own") == F.col("_ids")) & (F.col("_most") == 1)).alias("identity_bound"),
+        (F.col("_mask") == F.col("_common")).alias("mask_bound"),
+        (F.col("_mask") / F.col("_ids")).alias("coverage"),
+        F.try_divide("_e", "_n").alias("score"),
+    )
+    bound = F.col("identity_bound") & F.col("mask_bound")
+    place = F.row_number().over(Window.orderBy(F.when(bound, 0).otherwise(1), F.col("score").asc_nulls_last(), model))  # one row a model
+    return out.select(F.when(bound, place).alias("rank"), model, "identity_bound", "mask_bound", "coverage", "score")
+
+
 def pareto(rows: DataFrame, key: str, low: list[str], high: list[str], most: int = 20_000) -> DataFrame:
     """Rows that no other row beats: as good in every objective and better in one.
 

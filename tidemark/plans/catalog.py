@@ -634,6 +634,46 @@ def leaderboard(spark, d):
     return s.select(F.row_number().over(Window.orderBy("log_mae", "m")).alias("rank"), "m", "log_mae", "coverage")
 
 
+@query(
+    "m25_bound_leaderboard",
+    f"""WITH {_PRED}, z AS (SELECT o_orderkey, m, y, CASE WHEN o_orderkey % 17 > 2 THEN f END AS f FROM p WHERE (o_orderkey + 4) % 17 > 2 AND (o_orderkey + 3) % 17 > 0 AND (o_orderkey + 7) % 17 > 0 AND (o_orderkey + 5) % 17 > 0 UNION ALL SELECT o_orderkey, 'short', y, y * 0.9 FROM p WHERE m = 'low' AND o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'full', y, y * 0.9 FROM p WHERE m = 'low'),
+    n AS (SELECT count(DISTINCT m) AS models FROM z), i AS (SELECT o_orderkey, count(DISTINCT CASE WHEN f IS NOT NULL THEN m END) AS have FROM z GROUP BY 1), t AS (SELECT count(*) AS ids, count(*) FILTER (have = models) AS common FROM i, n),
+    e AS (SELECT m, count(*) AS own, count(DISTINCT o_orderkey) AS d, count(f) AS mask, avg(abs(f - y)) AS score FROM z GROUP BY m), b AS (SELECT m, own = ids AND d = ids AS identity_bound, mask = common AS mask_bound, mask / ids AS coverage, score FROM e, t)
+    SELECT CASE WHEN identity_bound AND mask_bound THEN row_number() OVER (ORDER BY NOT (identity_bound AND mask_bound), score, m) END::INT AS rank, m, identity_bound, mask_bound, round(coverage, 6) AS coverage, round(score, 4) AS score FROM b""",
+)
+def bound_leaderboard(spark, d):
+    """Models of which some lack identities or forecasts: they have no rank."""
+    p, k = _predictions(spark, d), F.col("o_orderkey")
+    z = p.filter(((k + 4) % 17 > 2) & ((k + 3) % 17 > 0) & ((k + 7) % 17 > 0) & ((k + 5) % 17 > 0)).select("o_orderkey", "m", "y", F.when(k % 17 > 2, F.col("f")).alias("f"))
+    low = p.filter("m = 'low'").select("o_orderkey", "y", (F.col("y") * 0.9).alias("f"))
+    z = z.unionByName(low.filter(k % 3 == 0).withColumn("m", F.lit("short"))).unionByName(low.withColumn("m", F.lit("full")))
+    out = metrics.bound_leaderboard(z, ["o_orderkey"], "m", "f", F.abs(F.col("f") - F.col("y")))
+    return out.select("rank", "m", "identity_bound", "mask_bound", r6(F.col("coverage")).alias("coverage"), F.round("score", 4).alias("score"))
+
+
+@query(
+    "m25_ranked_common_mask",
+    f"""WITH {_PRED}, c AS (SELECT o_orderkey FROM p GROUP BY 1 HAVING count(f) = 3) SELECT row_number() OVER (ORDER BY avg(abs(f - y)), m)::INT AS rank, m, true AS identity_bound, true AS mask_bound, 1.0::DOUBLE AS coverage, round(avg(abs(f - y)), 4) AS score FROM p JOIN c USING (o_orderkey) GROUP BY m""",
+)
+def ranked_common_mask(spark, d):
+    """On the common mask every model is bound and has a rank."""
+    z = metrics.common_mask(_predictions(spark, d), ["o_orderkey"], "m", "f")
+    return metrics.bound_leaderboard(z, ["o_orderkey"], "m", "f", F.abs(F.col("f") - F.col("y"))).withColumn("score", F.round("score", 4))
+
+
+@query(
+    "c11_long_segments",
+    f"""WITH {SERIES}, g AS (SELECT user_id, ts, x, sum(CASE WHEN x IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM s), n AS (SELECT user_id, island, count(x) AS n, min(ts) FILTER (x IS NOT NULL) AS first, max(ts) AS last FROM g GROUP BY ALL)
+    SELECT user_id, island, n, epoch_us(first) AS first_us, epoch_us(last) AS last_us FROM n WHERE n >= 16""",
+)
+def long_segments(spark, d):
+    """Stretches of a user's events without a missing value, of at least 16 rows."""
+    g = windows.islands(series(spark, d), ["user_id"], ["ts", "event_id"], F.col("x").isNull())
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    n = g.groupBy("user_id", "island").agg(F.count("x").alias("n"), us(F.min(F.when(F.col("x").isNotNull(), F.col("ts")))).alias("first_us"), us(F.max("ts")).alias("last_us"))
+    return n.filter("n >= 16").select("user_id", "island", "n", "first_us", "last_us")
+
+
 @query(
     "u4_pivot_u9_ensemble",
     f"""WITH {_PRED}, z AS (SELECT o_orderkey, max(CASE WHEN m = 'low' THEN f END) AS low, max(CASE WHEN m = 'close' THEN f END) AS mid, max(CASE WHEN m = 'highest' THEN f END) AS high FROM p GROUP BY o_orderkey)
