@@ -92,6 +92,19 @@ def test_zip_members(spark, tmp_path):
     assert got == {("ok.txt", "OK"): hashlib.sha256(b"hello").hexdigest(), ("../out.txt", "UNSAFE"): None, ("big.txt", "LARGE"): None, (None, "BROKEN"): None}
 
 
+def test_zip_members_of_any_size_and_damage(spark, tmp_path):
+    import hashlib
+    import zipfile
+
+    with zipfile.ZipFile(f"{tmp_path}/a.zip", "w") as z:
+        z.writestr("long.txt", "x" * 3_000_001)
+        z.writestr("hurt.txt", "untouched")
+    raw = (tmp_path / "a.zip").read_bytes()
+    (tmp_path / "a.zip").write_bytes(raw.replace(b"untouched", b"UNtouched"))
+    got = {r.member: (r.size, r.sha256, r.status) for r in parsers.zip_members(spark.read.format("binaryFile").load(f"{tmp_path}/*.zip")).collect()}
+    assert got == {"long.txt": (3_000_001, hashlib.sha256(b"x" * 3_000_001).hexdigest(), "OK"), "hurt.txt": (9, None, "DAMAGED")}
+
+
 def test_config():
     from tidemark import config
 
