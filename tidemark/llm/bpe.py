@@ -41,7 +41,7 @@ from .storage import bounded_batches, written
 
 BUCKETS = 65536
 #: Bound of the broadcast table: about 16 MB, whatever the size of the corpus.
-HOT_WORDS = 1 << 19
+HOT_WORDS = 1 << 18
 NO_RANK = 2147483647
 
 
@@ -321,6 +321,8 @@ def _in_order(flat: np.ndarray, lens: np.ndarray, order: np.ndarray, step: int =
 def encoded_blocks(docs: DataFrame, ranks: dict[bytes, int], hot_words: int, block_mb: int, long_word: int):
     """(DataFrame of blocks with their words encoded and decoded, broadcast hot table)."""
     bounded_batches(docs.sparkSession)
+    # the driver keeps the text of plans, in which each rank literal is a megabyte
+    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", "100000")
     context = docs.sparkSession.sparkContext
     ranks_value = context.broadcast(ranks)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
