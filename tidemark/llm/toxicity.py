@@ -334,7 +334,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, most_docs: int, most_bytes: in
     return rows.join(F.broadcast(rows.sparkSession.createDataFrame(taken, "doc_id bigint")), "doc_id")
 
 
-def fit_on_sample(docs: DataFrame, labels: DataFrame, most_docs: int = 5000, most_bytes: int = 16 << 20, **options) -> Scorer:
+def fit_on_sample(docs: DataFrame, labels: DataFrame, most_docs: int = 5000, most_bytes: int = 10 << 20, **options) -> Scorer:
     """A scorer trained in one task on a sample of labelled rows; a lost executor only repeats that task."""
 
     def fit(batches):
