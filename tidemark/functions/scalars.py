@@ -43,6 +43,12 @@ def ratio(num: Column, den: Column, least: float = 1.0) -> Column:
     return F.when(F.abs(den) > least, num / den)
 
 
+def ieee_ratio(num: Column, den: Column) -> Column:
+    """num / den as floating point has it: by zero infinite with the sign of num, and NaN for 0 / 0; null stays null."""
+    by_zero = F.when((num == 0) | F.isnan(num), math.nan).otherwise(F.signum(num) * math.inf)
+    return F.when(den == 0, by_zero).otherwise(F.try_divide(num, den))
+
+
 def simplex(parts: list[Column], floor: float = 0.0) -> list[Column]:
     """Parts raised to the floor and divided by their sum; all null unless every part is finite and none negative."""
     raised = [F.greatest(p, F.lit(floor)) for p in parts]

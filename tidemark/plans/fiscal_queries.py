@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars as S
 from tidemark.operators import asof, contracts, fiscal
 from tidemark.plans.catalog import _ORD, SERIES, _ordered, query, r6, series, table
 
@@ -246,7 +247,7 @@ def attached_history(spark, d):
     eps = e.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("seen"), F.col("value").alias("eps"))
     p = asof.asof_backward(e.filter("event_type = 'view'").select("event_id", "user_id", "ts", "value"), eps, ["user_id"], "ts", "seen", ["eps"], strict=True)
     market = e.groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("market"))
-    return p.join(market, F.to_date("ts") == F.col("day"), "left").select("event_id", F.round(F.col("value") / F.col("eps"), 7).alias("multiple"), F.round("market", 4).alias("market"))
+    return p.join(market, F.to_date("ts") == F.col("day"), "left").select("event_id", F.round(S.ieee_ratio(F.col("value"), F.col("eps")), 7).alias("multiple"), F.round("market", 4).alias("market"))
 
 
 @query(
