@@ -1,11 +1,10 @@
 """Registered queries on values that the given tables hold seldom: zeros, gaps, large sums."""
 
 import datetime as dt
-import math
+import random
 
 import pytest
 
-from tidemark.functions import scalars as S  # noqa: F401 - queries need the package
 from tidemark.operators import metrics, windows
 from tidemark.plans import audit_queries, causal_queries, fiscal_queries  # noqa: F401 - these register their queries
 from tidemark.plans.catalog import ORACLES, QUERIES
@@ -33,3 +32,14 @@ def events(*rows) -> str:
 def test_attached_history_divides_by_zero(spark, tmp_path):
     got, want = both(spark, tmp_path, "j20_j21_attached_history", {"events": events(("purchase", 0.0), ("view", 5.0), ("view", 0.0), ("view", None), ("purchase", 2.0), ("view", 3.0))})
     assert got == want and any("inf" in r for r in got) and any("nan" in r for r in got)
+
+
+def test_frame_hash_passes_63_bits(spark, tmp_path):
+    orders = "SELECT range AS o_orderkey, range % 7 AS o_custkey, CASE WHEN range < 100 THEN 'few' ELSE 'many' END AS o_orderstatus FROM range(200000)"
+    duckdb.sql(f"COPY ({orders}) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    got = {r.o_orderstatus: (r.n, r.digest) for r in QUERIES["q8_frame_hash"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS {orders}")
+    exact = {k: (n, s) for k, n, s in con.execute("SELECT o_orderstatus, count(*), sum(('0x' || substr(md5(o_orderkey || ':' || o_custkey), 1, 12))::BIGINT) FROM orders GROUP BY 1").fetchall()}
+    assert got["few"] == exact["few"] and exact["many"][1] >= 1 << 63
+    assert got["many"] == (exact["many"][0], (exact["many"][1] + (1 << 63)) % (1 << 64) - (1 << 63))

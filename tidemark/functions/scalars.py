@@ -49,6 +49,13 @@ def ieee_ratio(num: Column, den: Column) -> Column:
     return F.when(den == 0, by_zero).otherwise(F.try_divide(num, den))
 
 
+def wrapped(x: Column) -> Column:
+    """A whole decimal, not negative, modulo 2^64 as a long (as 64-bit addition wraps)."""
+    whole, half = (F.lit(str(1 << n)).cast("decimal(20,0)") for n in (64, 63))  # text: a literal is a long at most
+    low = x % whole
+    return F.when(low >= half, low - whole).otherwise(low).cast("long")
+
+
 def simplex(parts: list[Column], floor: float = 0.0) -> list[Column]:
     """Parts raised to the floor and divided by their sum; all null unless every part is finite and none negative."""
     raised = [F.greatest(p, F.lit(floor)) for p in parts]
