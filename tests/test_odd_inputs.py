@@ -43,3 +43,14 @@ def test_frame_hash_passes_63_bits(spark, tmp_path):
     exact = {k: (n, s) for k, n, s in con.execute("SELECT o_orderstatus, count(*), sum(('0x' || substr(md5(o_orderkey || ':' || o_custkey), 1, 12))::BIGINT) FROM orders GROUP BY 1").fetchall()}
     assert got["few"] == exact["few"] and exact["many"][1] >= 1 << 63
     assert got["many"] == (exact["many"][0], (exact["many"][1] + (1 << 63)) % (1 << 64) - (1 << 63))
+
+
+def test_pareto_of_any_number_of_candidates(spark):
+    rng = random.Random(3)
+    rows = [(i, i / 300, i / 300 + (0.0 if i % 3 else rng.random()), rng.choice([0.1, 0.2])) for i in range(300)] + [(900, None, 1.0, 1.0), (901, 0.5, 0.5, 0.1), (902, 0.5, 0.5, 0.1)]
+    rows += [(1000 + i, rng.uniform(0.2, 1), rng.uniform(0, 1), rng.uniform(0, 1)) for i in range(2000)]
+    beats = lambda o, r: None not in o + r and o[1] <= r[1] and o[3] <= r[3] and o[2] >= r[2] and o[1:] != r[1:]
+    want = {r[0] for r in rows if not any(beats(o, r) for o in rows)}
+    df = spark.createDataFrame(rows, "k long, cost double, gain double, risk double")
+    for most in (7, 20_000):
+        assert {r.k for r in metrics.pareto(df, "k", ["cost", "risk"], ["gain"], most).collect()} == want

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.sources.scratch import written
 
 
 def point_metrics(rows: DataFrame, by: list[str], actual: str, forecast: str) -> DataFrame:
@@ -86,23 +87,39 @@ def bound_leaderboard(predictions: DataFrame, key: list[str], model: str, foreca
 
 
 def pareto(rows: DataFrame, key: str, low: list[str], high: list[str], most: int = 20_000) -> DataFrame:
-    """Rows that no other row beats: as good in every objective and better in one.
-
-    For tables of candidates: every row is compared with those that are best in their
-    own value of the first objective; more than `most` of these are an error."""
-    cols = [key, *low, *high]
-    # of rows that agree in all but the last objective only the best can beat others
-    *same, last = [*low, *high]
-    best = rows.groupBy(*same).agg((F.min if last in low else F.max)(last).alias(last), F.min(key).alias(key))
-    if best.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} candidates")
-    o = F.broadcast(best.select(*[F.col(c).alias(f"o_{c}") for c in cols]))
+    """Rows that no other row beats: as good in every objective and better in one. A missing objective neither beats nor is beaten.
+
+    Compared are distinct vectors. The thousand with the best sums of scaled objectives
+    drop most of the others; those left are compared with each other, in blocks of
+    `most` that meet every vector in a join, so that no task holds more than a block."""
+    cols = [*low, *high]
+    *same, last = cols
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(c).isNotNull()
+    # of vectors that agree in all but the last objective only the best can stay
+    best = written(rows.filter(whole).groupBy(*same).agg((F.min if last in low else F.max)(last).alias(last)), "pareto")
+    ends = best.agg(*[f(c).cast("double").alias(f"{n}_{c}") for c in cols for n, f in (("min", F.min), ("max", F.max))]).first()
+    place = F.lit(0.0)
+    for c in cols:
+        span = (ends[f"max_{c}"] or 0.0) - (ends[f"min_{c}"] or 0.0)
+        place = place + F.col(c).cast("double") * ((1 if c in low else -1) / span if span > 0 else 0.0)
     as_good, better = F.lit(True), F.lit(False)
-    for c in low:
-        as_good, better = as_good & (F.col(f"o_{c}") <= F.col(c)), better | (F.col(f"o_{c}") < F.col(c))
-    for c in high:
-        as_good, better = as_good & (F.col(f"o_{c}") >= F.col(c)), better | (F.col(f"o_{c}") > F.col(c))
-    return rows.join(o, as_good & better, "left_anti")
+    for c in cols:
+        a, b = (F.col(f"o_{c}"), F.col(c)) if c in low else (F.col(c), F.col(f"o_{c}"))
+        as_good, better = as_good & (a <= b), better | (a < b)
+    other = lambda x: x.select(*[F.col(c).alias(f"o_{c}") for c in cols])
+    left = written(best.join(F.broadcast(other(best.orderBy(place).limit(1000))), as_good & better, "left_anti"), "pareto")
+    blocks = -(-left.count() // most)
+    if blocks <= 1:
+        front = left.join(F.broadcast(other(left)), as_good & better, "left_anti")
+    else:
+        block = F.pmod(F.xxhash64(*cols), F.lit(blocks)).cast("int")
+        against = left.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        o = left.withColumn("_ob", block).select("_ob", *[F.col(c).alias(f"o_{c}") for c in cols])
+        beaten = against.join(o.hint("merge"), (F.col("_b") == F.col("_ob")) & as_good & better, "left_semi").select(*cols).distinct()
+        front = left.join(beaten, cols, "left_anti")
+    return rows.join(front.withColumn("_front", F.lit(True)), cols, "left").filter(~whole | F.col("_front")).select(*rows.columns)
 
 
 def weighted_median(rows: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
