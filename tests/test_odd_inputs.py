@@ -54,3 +54,9 @@ def test_pareto_of_any_number_of_candidates(spark):
     df = spark.createDataFrame(rows, "k long, cost double, gain double, risk double")
     for most in (7, 20_000):
         assert {r.k for r in metrics.pareto(df, "k", ["cost", "risk"], ["gain"], most).collect()} == want
+
+
+def test_shrinkage_counts_zeros(spark, tmp_path):
+    # ids not divisible by seven keep their values
+    got, want = both(spark, tmp_path, "w12_weekly_median_shrinkage", {"events": events(*[("view", v) for v in (3.0, 0.0, 5.0, 2.0, 9.0, 4.0, None, 1.0, 0.0, 0.0, 0.0, 7.0, 8.0)])})
+    assert got == want

@@ -24,6 +24,11 @@ def safe_log(x: Column) -> Column:
     return F.ln(positive(x))
 
 
+def ieee_log(x: Column) -> Column:
+    """ln(x) as floating point has it: minus infinity at zero, NaN below; null stays null."""
+    return F.when(x == 0, -math.inf).when(x < 0, math.nan).otherwise(F.ln(x))
+
+
 def safe_exp(x: Column) -> Column:
     """exp(x), null on overflow."""
     return finite(F.exp(finite(x)))
