@@ -60,3 +60,8 @@ def test_shrinkage_counts_zeros(spark, tmp_path):
     # ids not divisible by seven keep their values
     got, want = both(spark, tmp_path, "w12_weekly_median_shrinkage", {"events": events(*[("view", v) for v in (3.0, 0.0, 5.0, 2.0, 9.0, 4.0, None, 1.0, 0.0, 0.0, 0.0, 7.0, 8.0)])})
     assert got == want
+
+
+def test_ar1_ends_with_the_last_known_value(spark):
+    s = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 0.5), ("a", 2, 0.25), ("a", 3, None)], "k string, t long, x double")
+    assert windows.ar1(s, ["k"], "t", "t", "x", least=1).select("pairs", "rho", "last_value").first() == (2, 0.5, 0.25)

@@ -77,12 +77,12 @@ def filled(rows: DataFrame, x: str, by: list[str], order: list[str], pos: str, o
 
 
 def ar1(rows: DataFrame, by: list[str], order: str, position: str, x: str, bound: float = 0.95, least: int = 63) -> DataFrame:
-    """Zero-intercept AR(1) of each series on pairs of neighbouring positions: rho, pairs and last value."""
+    """Zero-intercept AR(1) of each series on pairs of neighbouring positions: rho, pairs and last value that is not missing."""
     w = Window.partitionBy(*by).orderBy(order)
     p = rows.withColumn("_x", F.lag(x).over(w)).withColumn("_p", F.lag(position).over(w))
     pair = (F.col("_p") + 1 == F.col(position)) & F.col("_x").isNotNull() & F.col(x).isNotNull()
     n, xy, xx = F.count(F.when(pair, 1)), F.sum(F.when(pair, F.col("_x") * F.col(x))), F.sum(F.when(pair, F.col("_x") * F.col("_x")))
-    out = p.groupBy(*by).agg(n.alias("pairs"), xy.alias("xy"), xx.alias("xx"), F.max_by(x, order).alias("last_value"))
+    out = p.groupBy(*by).agg(n.alias("pairs"), xy.alias("xy"), xx.alias("xx"), F.max_by(x, F.when(F.col(x).isNotNull(), F.col(order))).alias("last_value"))
     rho = F.when((F.col("pairs") >= least) & (F.col("xx") > 0), F.least(F.greatest(F.col("xy") / F.col("xx"), F.lit(-bound)), F.lit(bound))).otherwise(0.0)
     return out.select(*by, "pairs", rho.alias("rho"), "last_value")
 
