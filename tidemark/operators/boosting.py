@@ -1,15 +1,19 @@
 """Boosted trees for whole distributions: natural gradients of two parameters, or check losses at several levels.
 
-Training keeps one written table of bin numbers, the target and the current
-parameters. A round grows one tree for each parameter (or level), all trees at
-once and one aggregation a tree level: tasks add up counts and gradient sums by
-(tree, node, feature, bin) in numpy, so that what is shuffled and what the driver
-gets is of that size whatever the number of rows. Trees that were grown since the
-parameters were last written are replayed in the same pass; every `keep` rounds
-the table is written anew, which ends its lineage.
+A round grows one tree for each parameter (or level), all trees at once. Where the
+features have few combinations of bins (`CELLS` at most), training keeps one written
+table of each row's combination and target: parameters are a function of the
+combination, and one aggregation of counts and gradient sums by it gives the
+histograms of all tree levels. Else the table holds bin numbers, the target and the
+current parameters, and each tree level takes one aggregation by (tree, node, feature,
+bin); trees grown since the parameters were last written are replayed in the same pass,
+and every `keep` rounds the table is written anew, which ends its lineage. Tasks add up
+in numpy, so that what is shuffled and what the driver gets is of the size of the sums
+whatever the number of rows.
 
 A leaf of a distribution's tree is the mean natural gradient of its rows. A leaf of a
-check-loss tree is the exact quantile of its rows' residuals. Missing features have a
+check-loss tree is the exact quantile of its rows' residuals, found digit by digit: four
+passes count 16 bits each of the values that still agree with it. Missing features have a
 bin of their own, below all others. Rows without a target are left out of training.
 """
 
@@ -32,6 +36,9 @@ from tidemark.sources.scratch import written
 _STEP, _TOP = 1 / 512, 6.0
 ROOT_PI = math.sqrt(math.pi)
 
+#: Combinations of bins that a table of all of them may have.
+CELLS = 4096
+
 
 @lru_cache(maxsize=1)
 def _erf_table() -> tuple[np.ndarray, np.ndarray]:
@@ -161,6 +168,18 @@ class Boosted:
                 p[:, j] += t.added(bins)
         return p
 
+    def cells(self) -> np.ndarray | None:
+        """The bins of every combination, in the order of `codes`; None for more than CELLS of them."""
+        widths = [len(e) + 2 for e in self.edges]
+        return np.indices(widths).reshape(len(widths), -1).T if 0 < math.prod(widths) <= CELLS and widths else None
+
+    def codes(self, bins: np.ndarray) -> np.ndarray:
+        """The number of each row's combination of bins."""
+        out = np.zeros(len(bins), np.int64)
+        for j, e in enumerate(self.edges):
+            out = out * (len(e) + 2) + bins[:, j]
+        return out
+
     def predict(self, df: DataFrame) -> DataFrame:
         """df with a column for each parameter; quantiles are put in order."""
         schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], *[f"{n} double" for n in self.names]])
@@ -168,8 +187,12 @@ class Boosted:
         places = [df.columns.index(f) for f in self.features]
 
         def run(batches):
+            m = value.value
+            cells = m.cells()
+            known = None if cells is None else m.parameters(cells)
             for batch in batches:
-                p = value.value.parameters(value.value.bins(_matrix([batch.column(i) for i in places])))
+                bins = m.bins(_matrix([batch.column(i) for i in places]))
+                p = m.parameters(bins) if known is None else known[m.codes(bins)]
                 p = np.sort(p, axis=1) if ordered else p
                 yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(p[:, j]) for j in range(p.shape[1])]], names=[*batch.schema.names, *value.value.names])
 
@@ -274,40 +297,148 @@ def best_split(h: np.ndarray, least: int) -> tuple[int, int] | None:
     return int(f), int(b)
 
 
+def _cell_sums(state: DataFrame, model: Boosted, loss) -> np.ndarray:
+    """The count and the gradient sum of each tree, by combination of bins: an array of shape (combinations, 1 + trees)."""
+    value = state.sparkSession.sparkContext.broadcast((model, loss))
+
+    def run(batches):
+        m, score = value.value
+        known = m.parameters(m.cells())
+        total = np.zeros((score.trees + 1, len(known)))
+        for batch in batches:
+            if batch.num_rows:
+                code, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                g = score.gradient(y, known[code])
+                total[0] += np.bincount(code, minlength=len(known))
+                for j in range(score.trees):
+                    total[j + 1] += np.bincount(code, weights=g[:, j], minlength=len(known))
+        some = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(t[some]) for t in total]], names=["i", *[f"s{j}" for j in range(len(total))]])
+
+    sums = [f"s{j}" for j in range(loss.trees + 1)]
+    got = state.mapInArrow(run, ", ".join(["i bigint", *[f"{c} double" for c in sums]])).groupBy("i").agg(*[F.sum(c).alias(c) for c in sums]).toArrow()
+    out = np.zeros((len(model.cells()), len(sums)))
+    out[got["i"].to_numpy()] = np.column_stack([got[c].to_numpy() for c in sums])
+    return out
+
+
+def _cell_histograms(sums: np.ndarray, model: Boosted, grown: list[Tree], level: int) -> np.ndarray:
+    """What `_histograms` gives, from sums by combination of bins."""
+    cells, k, width = model.cells(), len(model.features), max(map(len, model.edges)) + 2
+    out = np.zeros((len(grown), 1 << level, k, width, 2))
+    for j, t in enumerate(grown):
+        node = t.nodes(cells, level) - (1 << level)
+        for f in range(k):
+            np.add.at(out[j, :, f], (node, cells[:, f]), sums[:, [0, j + 1]])
+    return out
+
+
 def _grow(state: DataFrame, model: Boosted, loss, depth: int, least: int, rate: float, first: int) -> list[Tree]:
     """One tree for each parameter; leaves are -rate x the mean gradient of their rows."""
     grown = [Tree.blank(depth) for _ in range(loss.trees)]
+    sums = None if model.cells() is None else _cell_sums(state, model, loss)
     for level in range(depth):
-        h = _histograms(state, model, loss, grown, level, first)
+        h = _histograms(state, model, loss, grown, level, first) if sums is None else _cell_histograms(sums, model, grown, level)
         for j, t in enumerate(grown):
             for i in range(1 << level):
-                node, sums = (1 << level) + i, h[j, i]
-                found = best_split(sums, least)
+                node, at = (1 << level) + i, h[j, i]
+                found = best_split(at, least)
                 if found:
                     t.feature[node], t.bin[node] = found
                 if level == depth - 1:
-                    whole = sums[0].sum(0)
-                    left = sums[found[0], : found[1] + 1].sum(0) if found else whole
+                    whole = at[0].sum(0)
+                    left = at[found[0], : found[1] + 1].sum(0) if found else whole
                     for side, (n, g) in enumerate((left, whole - left)):
                         t.leaf[2 * i + side] = -rate * g / n if n > 0 else 0.0
     return grown
 
 
-def _quantile_leaves(state: DataFrame, model: Boosted, loss: CheckLoss, grown: list[Tree], rate: float, first: int) -> None:
-    """Set the leaves of check-loss trees to rate x the exact quantile of their rows' residuals, all levels in one frame."""
-    value = state.sparkSession.sparkContext.broadcast((model, loss, grown))
+def _ordered_bits(x: np.ndarray) -> np.ndarray:
+    """64 bits that compare as the numbers do."""
+    bits = np.ascontiguousarray(x, np.float64).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def _from_ordered_bits(bits: int) -> float:
+    bits = bits ^ (1 << 63) if bits >> 63 else bits ^ ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+def _digits(state: DataFrame, model: Boosted, loss, grown: list[Tree], first: int, groups: list[tuple[int, int, int]], done: int, step: int) -> np.ndarray:
+    """counts by group and next digit of the residuals in each group: (tree, leaf, the first `done` bits)."""
+    value = state.sparkSession.sparkContext.broadcast((model, loss, grown, groups))
+    size = len(groups) << step
 
     def run(batches):
-        m, score, trees = value.value
+        m, score, trees, asked = value.value
+        cells = m.cells()
+        if cells is not None:
+            known, place = m.parameters(cells), [t.nodes(cells, t.depth) - (1 << t.depth) for t in trees]
+        # the groups of a tree's leaf: one before the first digit, later up to two
+        slots = [[] for _ in trees]
+        for j, t in enumerate(trees):
+            for turn in range(2):
+                of, prefix = np.full(1 << t.depth, -1, np.int64), np.zeros(1 << t.depth, np.uint64)
+                for leaf in range(1 << t.depth):
+                    mine = [i for i, (a, b, _) in enumerate(asked) if (a, b) == (j, leaf)]
+                    if turn < len(mine):
+                        of[leaf], prefix[leaf] = mine[turn], asked[mine[turn]][2]
+                if (of >= 0).any():
+                    slots[j].append((of, prefix))
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            if batch.num_rows:
+            if not batch.num_rows:
+                continue
+            if cells is None:
                 bins, y, p = _read(batch, m, score.trees, first)
-                leaf = np.concatenate([t.nodes(bins, t.depth) - (1 << t.depth) for t in trees])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(score.trees, dtype=np.int32), len(y))), pa.array(leaf.astype(np.int32)), pa.array((y[:, None] - p).T.ravel())], names=["tree", "leaf", "r"])
+            else:
+                code, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for j, t in enumerate(trees):
+                if not slots[j]:
+                    continue
+                leaf = t.nodes(bins, t.depth) - (1 << t.depth) if cells is None else place[j][code]
+                bits = _ordered_bits(y - (p[:, j] if cells is None else known[code, j]))
+                for of, prefix in slots[j]:
+                    g, b = of[leaf], bits
+                    if done:
+                        keep = np.flatnonzero((g >= 0) & (bits >> np.uint64(64 - done) == prefix[leaf]))
+                        g, b = g[keep], bits[keep]
+                    at = (g << step) + ((b >> np.uint64(64 - done - step)) & np.uint64((1 << step) - 1)).astype(np.int64)
+                    np.add.at(total, at, 1)  # not bincount, which would cost the whole table a batch
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["i", "n"])
+
+    got = state.mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[got["i"].to_numpy()] = got["n"].to_numpy()
+    return out.reshape(len(groups), -1)
 
-    rows = state.mapInArrow(run, "tree int, leaf int, r double")
-    for row in exact_quantiles(rows, ["tree", "leaf"], "r", list(loss.levels)).collect():
-        grown[row.tree].leaf[row.leaf] = rate * row.q[row.tree]
+
+def _quantile_leaves(state: DataFrame, model: Boosted, loss: CheckLoss, grown: list[Tree], rate: float, first: int) -> None:
+    """Set the leaves of check-loss trees to rate x the exact quantile (linear interpolation) of their rows' residuals."""
+    leaves = [(j, leaf) for j, t in enumerate(grown) for leaf in range(1 << t.depth)]
+    step = 16 if len(leaves) <= 128 else 8
+    wanted: dict[tuple[int, int, int], list[int]] = {}  # (tree, leaf, which of the two ranks): [rank, bits so far]
+    part: dict[tuple[int, int], float] = {}
+    for done in range(0, 64, step):
+        groups = sorted({(j, leaf, bits) for (j, leaf, _), (_, bits) in wanted.items()}) if done else [(j, leaf, 0) for j, leaf in leaves]
+        counts = _digits(state, model, loss, grown, first, groups, done, step)
+        if not done:
+            for (j, leaf), n in zip(leaves, counts.sum(1)):
+                if n:
+                    at = (int(n) - 1) * loss.levels[j]
+                    low = math.floor(at)
+                    part[j, leaf] = at - low
+                    wanted |= {(j, leaf, 0): [low, 0], (j, leaf, 1): [min(low + 1, int(n) - 1), 0]}
+        upto = dict(zip(groups, np.cumsum(counts, axis=1)))
+        for (j, leaf, _), w in wanted.items():
+            c = upto[j, leaf, w[1]]
+            digit = int(np.searchsorted(c, w[0], "right"))
+            w[:] = [w[0] - (int(c[digit - 1]) if digit else 0), (w[1] << step) + digit]
+    for j, leaf in leaves:
+        if (j, leaf) in part:
+            x, y = (_from_ordered_bits(wanted[j, leaf, side][1]) for side in (0, 1))
+            grown[j].leaf[leaf] = rate * (x + (y - x) * part[j, leaf])
 
 
 def fit(train: DataFrame, features: list[str], y: str, loss, rounds: int = 100, depth: int = 2, rate: float = 0.1, least: int = 20, bins: int = 64, edges: list[list[float]] | None = None, keep: int = 10) -> Boosted:
@@ -321,18 +452,20 @@ def fit(train: DataFrame, features: list[str], y: str, loss, rounds: int = 100,
     model = Boosted(features, edges, loss.names, [float(v) for v in loss.start(rows, y)])
     value = rows.sparkSession.sparkContext.broadcast(model)
 
+    whole = model.cells() is not None
+
     def enter(batches):
         for batch in batches:
-            b = value.value.bins(_matrix(batch.columns[:-1]))
-            yield _state_batch(b, batch.column(len(features)).to_numpy(), value.value.parameters(b))
+            b, target = value.value.bins(_matrix(batch.columns[:-1])), batch.column(len(features)).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(value.value.codes(b).astype(np.int32)), pa.array(target)], names=["code", "y"]) if whole else _state_batch(b, target, value.value.parameters(b))
 
-    state, first = written(rows.mapInArrow(enter, _STATE), "boosting"), 0
+    state, first = written(rows.mapInArrow(enter, "code int, y double" if whole else _STATE), "boosting"), 0
     for r in range(rounds):
         grown = _grow(state, model, loss, depth, least, rate, first)
         if isinstance(loss, CheckLoss):
             _quantile_leaves(state, model, loss, grown, rate, first)
         model.rounds.append(grown)
-        if r + 1 - first >= keep and r + 1 < rounds:
+        if not whole and r + 1 - first >= keep and r + 1 < rounds:
             state, first = written(_advanced(state, model, loss.trees, first), "boosting"), r + 1
     return model
 
