@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import written
+
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, levels: list[float], accuracy: int = 10_000) -> DataFrame:
     """by, q (array, linear interpolation, as numpy does it by default), n. Nulls are left out.
@@ -25,7 +27,8 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, levels: list[float
         return F.when(F.col("_n") * narrow >= 6, at(0)).when(F.col("_n") * wide >= 4, at(2)).otherwise(edge)
 
     low, high = ([end(i, h) for i in range(len(levels))] for h in (0, 1))
-    sketch = sketch.select(*by, "_n", F.array(*low).alias("_l"), F.array(*high).alias("_h"))
+    # written once: the two passes that follow do not sketch again, and its size is known, so that few groups are broadcast and large ones stay in many tasks
+    sketch = written(sketch.select(*by, "_n", F.array(*low).alias("_l"), F.array(*high).alias("_h")), "quantiles")
     j = rows.join(sketch, by)
     below = j.groupBy(*by).agg(F.array(*[F.count_if(F.col("_v") < F.col("_l")[i]) for i in range(len(levels))]).alias("_c"))
     inside = j.select(*by, "_v", "_n", F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(levels) - 1)), lambda i: (F.col("_v") >= F.get("_l", i)) & (F.col("_v") <= F.get("_h", i)))).alias("_i"))
