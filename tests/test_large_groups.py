@@ -22,3 +22,7 @@ def test_quantiles_of_few_groups_broadcast_their_brackets(spark):
     # both passes over the rows meet the brackets
     assert broadcasts(spark, "60k", quantiles) >= 2
     assert {r.g: r.q[0] for r in quantiles().collect()} == {0: 99999.0, 1: 100000.0}
+
+
+def test_annual_equation_broadcasts_its_cuts(spark):
+    assert broadcasts(spark, "-1", lambda: QUERIES["m12_annual_equation"](spark, "/root/testdata/sf0.001")) >= 2

@@ -157,7 +157,7 @@ def annual_equation(spark, d):
     x = _lines(spark, d).select(F.year("t").alias("year"), "q", "y")
     for c in ("q", "y"):
         cut = exact_quantiles(x, ["year"], c, [0.05, 0.95]).select("year", F.col("q").alias("_q"))
-        x = x.join(cut, "year").withColumn(c, F.least(F.greatest(F.col(c), F.col("_q")[0]), F.col("_q")[1])).drop("_q")
+        x = x.join(F.broadcast(cut), "year").withColumn(c, F.least(F.greatest(F.col(c), F.col("_q")[0]), F.col("_q")[1])).drop("_q")
     c = F.col("coef")
     return L.fitted(x, ["year"], ["q"], "y", lambda m: L.ridge_of(m, 0.0)).select("year", "n", r6(c[1]).alias("slope"), F.round(c[0], 5).alias("intercept"), F.round((c[0] + 30 * c[1]) / 12, 5).alias("per_share"))
 
