@@ -1,5 +1,6 @@
 """Few large groups stay in many tasks: their rows are not shuffled by group."""
 
+from tidemark.operators import learners
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.plans import learner_queries  # noqa: F401 - registers its queries
 from tidemark.plans.catalog import QUERIES
@@ -26,3 +27,11 @@ def test_quantiles_of_few_groups_broadcast_their_brackets(spark):
 
 def test_annual_equation_broadcasts_its_cuts(spark):
     assert broadcasts(spark, "-1", lambda: QUERIES["m12_annual_equation"](spark, "/root/testdata/sf0.001")) >= 2
+
+
+def test_stacking_computes_its_rows_once(spark, monkeypatch):
+    names, write = [], learners.written
+    monkeypatch.setattr(learners, "written", lambda df, name: names.append(name) or write(df, name))
+    df = spark.range(50).selectExpr("id * 1D AS a", "id * 2D AS b", "id * 1.4D AS y")
+    w, mae = learners.convex_stack(df, ["a", "b"], "y")
+    assert names == ["stack"] and abs(w[0] - 0.6) < 1e-3 and mae < 0.05

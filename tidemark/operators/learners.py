@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.sources.scratch import written
 
 
 def fit_preprocessor(train: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
@@ -155,7 +156,7 @@ def convex_stack(df: DataFrame, members: list[str], y: str, rounds: int = 40, le
     """(weights, mean absolute error) of the convex combination of members with the least absolute error.
 
     Reweighted least squares on the simplex: a round is one aggregation of members x members sums."""
-    rows = df.dropna(subset=[*members, y])
+    rows = written(df.dropna(subset=[*members, y]).select(*members, y), "stack")  # once: each round reads it again
     cols = [F.col(m).cast("double") for m in members]
     scale = rows.agg(F.avg(F.abs(y))).first()[0] or 1.0
     w, best = np.full(len(members), 1 / len(members)), (math.inf, None)
