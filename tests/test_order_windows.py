@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import windows
-from tidemark.operators.order_windows import Frame, sliding
+from tidemark.operators.order_windows import Frame, sliding, sliding_means
 
 
 def series(n, seed):
@@ -89,3 +89,26 @@ def test_time_is_linear_in_rows_and_nearly_free_of_the_frame():
     one = min(took(20_000, 756) for _ in range(3))
     assert min(took(80_000, 756) for _ in range(2)) < 8 * one
     assert one < 6 * min(took(20_000, 20) for _ in range(3))
+
+
+@pytest.mark.parametrize("segment, window, shift", [(None, 7, 3), (25, 7, 3), (40, 12, 0), (None, 1, 1)])
+def test_means_over_cut_series(spark, segment, window, shift):
+    x, y = series(300, 4), np.arange(300.0) ** 2
+    y[50] = np.nan  # a NaN that is a value stays within its frames
+    rows = [(k, i, None if np.isnan(x[i]) else float(x[i]), float(y[i])) for k in ("a", "b") for i in range(300 if k == "a" else 5)]
+    df = spark.createDataFrame(rows, "k string, i long, x double, y double").repartition(3)
+    got = {(r.k, r.i): r for r in sliding_means(df, ["k"], ["i"], ["x", "y"], window, shift, segment).collect()}
+    assert len(got) == len(rows)
+    for k, i, _, _ in rows:
+        h, g, r = plain(x, i, window, shift), plain(y, i, window, shift), got[k, i]
+        h = h[~np.isnan(h)]
+        assert (r.n_x, r.n_y) == (len(h), len(g))
+        assert r.mean_x is None if not len(h) else math.isclose(r.mean_x, h.mean(), abs_tol=1e-12)
+        assert r.mean_y is None if not len(g) else np.isclose(r.mean_y, g.mean(), rtol=1e-12, equal_nan=True)
+
+
+def test_gates_do_not_add_up_each_frame_row_by_row(spark):
+    df = spark.range(9).selectExpr("1 as k", "id as i", "0.4 as p", "0.6 as q", "0.5 as u", "0.5 as v", "cast(id % 2 as int) as y")
+    for out in (windows.matured_gate(df, ["k"], ["i"], ["p", "q"], ["u", "v"], "y", 2, 252, 3, 0.0, 0.1, 0.5, classwise=True), windows.paired_losses(df, ["k"], ["i"], "y", "p", "u", 252, 3)):
+        assert "RowFrame, -" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 9

@@ -81,6 +81,20 @@ class Frame:
         return up if n % 2 else (self._distance(mid, n // 2 - 1) + up) / 2
 
 
+def _segments(rows: DataFrame, by: list[str], order: list[str], context: int, length: int) -> DataFrame:
+    """rows with _first (is it the first row of its segment?) and _own (or only read ahead of the next one?), each segment in order in one partition."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    at = F.col("_pos").cast("long")
+    own = F.floor((at - 1) / length)
+    r = rows.withColumn("_pos", F.row_number().over(w)).withColumn("_last", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    # the rows at a segment's end are also read ahead of the next one, if there is one
+    follows = (at > (own + 1) * length - context) & (F.col("_last") > (own + 1) * length)
+    r = r.withColumn("_seg", F.explode(F.when(follows, F.array(own, own + 1)).otherwise(F.array(own))))
+    r = r.withColumn("_first", at == F.greatest(F.lit(1), F.col("_seg") * length - context + 1)).withColumn("_own", own == F.col("_seg")).drop("_last")
+    r = r.repartition(*by, "_seg").sortWithinPartitions(*by, "_seg", "_pos")
+    return r
+
+
 def sliding(rows: DataFrame, by: list[str], order: list[str], value: str, window: int, shift: int = 1, linear: dict[str, float] | None = None, inverted: dict[str, float] | None = None, count: str | None = None, rank: str | None = None, robust_z: str | None = None, segment: int | None = None) -> DataFrame:
     """rows with columns for statistics of the frame's non-null values: `linear` and `inverted` name quantiles by
     level, `count` their number, `rank` the percentage of them up to the row's own value, `robust_z` its distance
@@ -92,15 +106,7 @@ def sliding(rows: DataFrame, by: list[str], order: list[str], value: str, window
     context = window + shift
     length = max(segment or 16 * context, context)
     names = [*linear, *inverted, *[n for n in (count, rank, robust_z) if n]]
-    w = Window.partitionBy(*by).orderBy(*order, value)
-    at = F.col("_pos").cast("long")
-    own = F.floor((at - 1) / length)
-    r = rows.withColumn("_pos", F.row_number().over(w)).withColumn("_last", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    # the rows at a segment's end are also read ahead of the next one, if there is one
-    follows = (at > (own + 1) * length - context) & (F.col("_last") > (own + 1) * length)
-    r = r.withColumn("_seg", F.explode(F.when(follows, F.array(own, own + 1)).otherwise(F.array(own))))
-    r = r.withColumn("_first", at == F.greatest(F.lit(1), F.col("_seg") * length - context + 1)).withColumn("_own", own == F.col("_seg")).drop("_last")
-    r = r.repartition(*by, "_seg").sortWithinPartitions(*by, "_seg", "_pos")
+    r = _segments(rows, by, [*order, value], context, length)
     place = {c: r.columns.index(c) for c in ("_first", "_own", value)}
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in r.schema.fields], *[f"`{n}` double" for n in names]])
 
@@ -136,3 +142,44 @@ def sliding(rows: DataFrame, by: list[str], order: list[str], value: str, window
             yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array(table[:, j], from_pandas=True) for j in range(len(names))]], names=[*batch.schema.names, *names])
 
     return r.mapInArrow(run, schema).drop("_pos", "_seg", "_first", "_own")
+
+
+def sliding_means(rows: DataFrame, by: list[str], order: list[str], values: list[str], window: int, shift: int = 1, segment: int | None = None) -> DataFrame:
+    """rows with n_<value> (bigint) and mean_<value> of each value's frame; nulls are left out, an empty frame's mean is null.
+
+    Each frame is added up anew, as differences of running sums lose digits and carry a NaN along; numpy adds the
+    frames of a batch at once. segment: rows of a series that one task reads in a go; at least 16 frames by default."""
+    context = window + shift
+    r = _segments(rows, by, order, context, max(segment or 16 * context, context))
+    place = {c: r.columns.index(c) for c in ("_first", "_own", *values)}
+    names = [f"{a}_{v}" for v in values for a in ("n", "mean")]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in r.schema.fields], *[f"`{n}` {'bigint' if k % 2 == 0 else 'double'}" for k, n in enumerate(names)]])
+    behind = window + shift - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, there = np.zeros((len(values), behind)), np.zeros((len(values), behind), np.int64)  # the rows before the batch
+        for batch in batches:
+            first, mine = (batch.column(place[c]).to_numpy(zero_copy_only=False) for c in ("_first", "_own"))
+            cols = [batch.column(place[v]) for v in values]
+            new = np.array([c.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False) for c in cols])
+            known = np.array([c.is_valid().to_numpy(zero_copy_only=False) for c in cols]).astype(np.int64)
+            cuts = [0, *np.flatnonzero(first)[np.flatnonzero(first) > 0].tolist(), batch.num_rows]
+            n, total = np.empty_like(known), np.empty_like(new)
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a and first[a]:
+                    x, there = np.zeros((len(values), behind)), np.zeros((len(values), behind), np.int64)
+                x, there = np.concatenate([x, new[:, a:b]], 1), np.concatenate([there, known[:, a:b]], 1)
+                count = np.concatenate([np.zeros((len(values), 1), np.int64), there.cumsum(1)], 1)
+                n[:, a:b] = count[:, window : window + b - a] - count[:, : b - a]
+                total[:, a:b] = np.lib.stride_tricks.sliding_window_view(x, window, axis=1)[:, : b - a].sum(-1)
+                x, there = x[:, x.shape[1] - behind :], there[:, there.shape[1] - behind :]
+            keep = mine.astype(bool)
+            kept = batch.filter(pa.array(keep))
+            out = []
+            for k in range(len(values)):
+                count = n[k][keep]
+                with np.errstate(invalid="ignore"):
+                    out += [pa.array(count), pa.array(total[k][keep] / np.maximum(count, 1), mask=count == 0)]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *out], names=[*batch.schema.names, *names])
+
+    return r.mapInArrow(run, schema).drop("_pos", "_seg", "_first", "_own")

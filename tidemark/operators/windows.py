@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.operators.order_windows import sliding
+from tidemark.operators.order_windows import sliding, sliding_means
 
 
 def past(by: list[str], order: list[str], window: int, shift: int = 1) -> WindowSpec:
@@ -19,12 +19,13 @@ def rolled(x: Column, spec: WindowSpec, least: int, how: str = "median") -> Colu
     return F.when(F.count(x).over(spec) >= least, stat.over(spec))
 
 
-def paired_losses(target: Column, a: Column, b: Column, spec: WindowSpec, least: int) -> tuple[Column, Column, Column]:
-    """(count, mean loss of a, mean loss of b) over rows where all three are there; losses null until `least`."""
-    ok = target.isNotNull() & a.isNotNull() & b.isNotNull()
-    n = F.count(F.when(ok, 1)).over(spec)
-    loss = lambda x: F.when(n >= least, F.avg(F.when(ok, F.abs(x - target))).over(spec))
-    return n, loss(a), loss(b)
+def paired_losses(rows: DataFrame, by: list[str], order: list[str], target: str, a: str, b: str, window: int, least: int, shift: int = 1) -> DataFrame:
+    """rows with n, loss_a and loss_b: count and mean losses of a and b over the frame's rows where all three are there; losses null until `least`."""
+    ok = F.col(target).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()
+    r = rows.withColumns({f"_{s}": F.when(ok, F.abs(F.col(c) - F.col(target))) for s, c in (("a", a), ("b", b))})
+    r = sliding_means(r, by, order, ["_a", "_b"], window, shift)
+    enough = F.col("n__a") >= least
+    return r.withColumns({"n": F.col("n__a"), "loss_a": F.when(enough, F.col("mean__a")), "loss_b": F.when(enough, F.col("mean__b"))}).drop("_a", "_b", "n__a", "n__b", "mean__a", "mean__b")
 
 
 def gate_weight(base_loss: Column, other_loss: Column, present: Column, margin: float, temperature: float, most: float) -> Column:
@@ -108,17 +109,16 @@ def matured_gate(rows: DataFrame, by: list[str], order: list[str], base: list[st
     b_ok, o_ok, y = b[0].isNotNull(), o[0].isNotNull(), F.col(label)
     both = b_ok & o_ok
     known = both & y.isNotNull()
-    spec = past(by, order, window, horizon)
     if classwise:
         pairs_ = [(F.pow(p - F.when(y == k, 1.0).otherwise(0.0), 2), F.pow(q - F.when(y == k, 1.0).otherwise(0.0), 2)) for k, (p, q) in enumerate(zip(b, o))]
     else:
         pairs_ = [(S.log_loss(b, y), S.log_loss(o, y))]
-    put = {}
-    for k, (p, q) in enumerate(pairs_):
-        n = F.count(F.when(known, p)).over(spec)
-        gain = F.when(n >= least, F.avg(F.when(known, p)).over(spec) - F.avg(F.when(known, q)).over(spec))
-        put |= {f"count_{k}": n, f"gain_{k}": gain}
-    out = rows.withColumns(put)
+    losses = {f"_{s}{k}": F.when(known, x) for k, pair in enumerate(pairs_) for s, x in zip("pq", pair)}
+    out = sliding_means(rows.withColumns(losses), by, order, list(losses), window, horizon)
+    for k in range(len(pairs_)):
+        gain = F.when(F.col(f"n__p{k}") >= least, F.col(f"mean__p{k}") - F.col(f"mean__q{k}"))
+        out = out.withColumns({f"count_{k}": F.col(f"n__p{k}"), f"gain_{k}": gain})
+    out = out.drop(*losses, *[f"{a}_{c}" for a in ("n", "mean") for c in losses])
     weight = lambda k: F.when(both & (F.col(f"gain_{k}") > margin), most * S.sigmoid((F.col(f"gain_{k}") - margin) / temperature)).otherwise(0.0)
     out = out.withColumns({f"weight_{k}": weight(k) for k in range(len(pairs_))})
     raw = [(1 - F.col(f"weight_{k if classwise else 0}")) * p + F.col(f"weight_{k if classwise else 0}") * q for k, (p, q) in enumerate(zip(b, o))]

@@ -32,9 +32,8 @@ def forward_gate(spark, d):
     w = Window.partitionBy("entity").orderBy("pos")
     f = windows.forward_median(_items(spark, d).withColumn("l", S.safe_log(F.col("x"))), ["entity"], ["pos"], "l", 21, "t")
     f = f.withColumn("b", F.lag("l").over(w)).withColumn("o", F.avg("l").over(windows.past(["entity"], ["pos"], 5)))
-    t = F.when(F.col("l").isNotNull(), F.col("t"))  # the origin's own value must be there too
-    n, lb, lo = windows.paired_losses(t, F.col("b"), F.col("o"), windows.past(["entity"], ["pos"], 252, 22), 63)
-    f = f.withColumn("n", n).withColumn("lb", lb).withColumn("lo", lo)
+    f = f.withColumn("t", F.when(F.col("l").isNotNull(), F.col("t")))  # the origin's own value must be there too
+    f = windows.paired_losses(f, ["entity"], ["pos"], "t", "b", "o", 252, 63, 22).withColumnsRenamed({"loss_a": "lb", "loss_b": "lo"})
     present = F.col("b").isNotNull() & F.col("o").isNotNull()
     return f.select("l_orderkey", "l_partkey", "entity", "n", r6(F.col("lb") - F.col("lo")).alias("gain"), F.round(windows.gate_weight(F.col("lb"), F.col("lo"), present, 0.0, 0.004, 0.5), 5).alias("weight"))
 
