@@ -64,3 +64,18 @@ def test_late_rows_are_left_out_and_nothing_is_changed(spark, tmp_path):
     # the caller's own state store is back
     assert spark.conf.get(O.PROVIDER, "") != O.ROCKSDB
     assert O.replayed(frame(spark, rows).limit(0), "k", "ts", "id", ["id", "x"], O.LevelFold()).collect() == []
+
+
+def test_many_keys_share_few_states(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(f"s{rng.randint(0, 39)}", i, i, None, rng.choice("xy")) for i in range(300)]
+    for part in [rows[:150], rows[150:], [(None, 10**7, 0, None, None)]]:
+        frame(spark, part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    with O.with_rocksdb(spark):
+        stream = spark.readStream.schema(frame(spark, rows).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        q = O.folded(stream, "k", "ts", "id", ["id", "label"], O.TransitionFold(), "5 seconds", buckets=3).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").filter("k is not null").select("k", "event_id", "from_label", "to_label", "run").collect()
+    assert sorted(map(tuple, got), key=str) == plain(rows, O.TransitionFold(), lambda r: (r[2], r[4]))
+    # a timer for each state that waits, not for each key
+    assert 0 < max(s["customMetrics"]["numRegisteredTimers"] for p in q.recentProgress for s in p["stateOperators"]) <= 6

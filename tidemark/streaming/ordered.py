@@ -1,8 +1,8 @@
 """Folds over keyed streams whose rows may come out of order, with typed state and event-time timers.
 
-Rows of a key wait in its state until the watermark has passed them; then they are applied in order of
+Rows of a key wait in the state of its bucket (a hash of the key) until the watermark has passed them; then they are applied in order of
 (time, tie) and leave the state. What stays for a key is the fold's own few numbers and the rows of the
-last watermark delay. A timer at the earliest waiting row wakes a key without new rows. Rows at or before
+last watermark delay. A timer at the earliest waiting row wakes a bucket without new rows. Rows at or before
 the watermark when they arrive are too late: Spark drops them (numRowsDroppedByWatermark counts them), so
 nothing that was given out is ever changed.
 
@@ -13,6 +13,7 @@ for the time of a call.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -87,52 +88,79 @@ class TransitionFold:
 
 
 class InOrder(StatefulProcessor):
-    """Applies a fold to the rows of a key in order of time, once the watermark has passed them."""
+    """Applies a fold to the rows of each key in order of time, once the watermark has passed them.
 
-    def __init__(self, fold: Fold, key: str, payload: list[tuple[str, str]]):
-        self.fold, self.payload = fold, [c for c, _ in payload]
-        self.waiting_schema = ", ".join(["us bigint", "tie bigint", *[f"`{c}` {t}" for c, t in payload]])
+    Each call of the state store costs about a millisecond, as much as some twenty rows, so keys share
+    their state by buckets: a bucket is read and written once a batch, whatever the number of its keys."""
+
+    def __init__(self, fold: Fold, key: str, key_type: str, payload: list[tuple[str, str]]):
+        self.fold, self.columns = fold, [key, "us", "tie", *[c for c, _ in payload]]
+        self.kept_schema = f"every array<struct<k: {key_type}, {_fields(fold.state)}>>"
+        self.waiting_schema = f"every array<struct<k: {key_type}, us: bigint, tie: bigint{''.join(f', `{c}`: {t}' for c, t in payload)}>>"
         self.result = Row(key, *[c.split()[0] for c in fold.out.split(", ")])
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("kept", self.fold.state)
-        self.waiting = handle.getListState("waiting", self.waiting_schema)
+        self.kept = handle.getValueState("kept", self.kept_schema)
+        self.waiting = handle.getValueState("waiting", self.waiting_schema)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [(r["us"], r["tie"], *[r[c] for c in self.payload]) for r in rows]
-        yield from self._advance(key, new, timerValues.getCurrentWatermarkInMs())
+        new, place = [], None
+        for r in rows:
+            place = place or [r.__fields__.index(c) for c in self.columns]
+            new.append(tuple(r[i] for i in place))
+        yield from self._advance(new, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs())
-
-    def _advance(self, key, new: list[tuple], watermark: int) -> Iterator[Row]:
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        every = sorted(held + new, key=lambda r: r[:2])
-        ready = [r for r in every if r[0] <= watermark * 1000]
-        rest = every[len(ready) :]
-        state: Any = tuple(self.kept.get()) if self.kept.exists() else None
-        for r in ready:
-            state, found = self.fold.step(state, r[2:])
-            if found is not None:
-                yield self.result(*key, *found)
-        if ready and state is not None:
-            self.kept.update(state)
+        yield from self._advance([], timerValues.getCurrentWatermarkInMs())
+
+    def _advance(self, new: list[tuple], watermark: int) -> Iterator[Row]:
+        waiting = self.waiting.get()
+        held = [tuple(r) for r in waiting[0]] if waiting is not None else []
+        every = sorted(held + new, key=lambda r: r[1:3])
+        n = bisect_right(every, watermark * 1000, key=lambda r: r[1])
+        if n:
+            kept = self.kept.get()
+            states: dict[Any, tuple] = {_same(r[0]): tuple(r) for r in kept[0]} if kept is not None else {}
+            for r in every[:n]:
+                k = _same(r[0])
+                state, found = self.fold.step(states[k][1:] if k in states else None, r[3:])
+                if state is not None:
+                    states[k] = (r[0], *state)
+                if found is not None:
+                    yield self.result(r[0], *found)
+            self.kept.update((list(states.values()),))
+        rest = every[n:]
         if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(-(-rest[0][0] // 1000) + 1)
+            if n or new:
+                self.waiting.update((rest,))
+            self.handle.registerTimer(-(-rest[0][1] // 1000) + 1)
         elif held:
             self.waiting.clear()
 
 
-def folded(rows: DataFrame, key: str, time: str, tie: str, payload: list[str], fold: Fold, delay: str = "10 minutes") -> DataFrame:
-    """The fold's results over a stream (or a table), rows of a key in order of (time, tie) within the delay."""
+def _same(key):
+    """The key for a dictionary, where NaN is one key as it is for Spark."""
+    return key if key == key else "NaN"
+
+
+def _fields(schema: str) -> str:
+    """Columns as fields of a struct: name: type."""
+    return ", ".join(f"{c.split(' ', 1)[0]}: {c.split(' ', 1)[1]}" for c in schema.split(", "))
+
+
+def folded(rows: DataFrame, key: str, time: str, tie: str, payload: list[str], fold: Fold, delay: str = "10 minutes", buckets: int = 4096) -> DataFrame:
+    """The fold's results over a stream (or a table), rows of a key in order of (time, tie) within the delay.
+
+    buckets: groups of keys that share a state, fixed for the life of a checkpoint; some dozens of keys each are best, and
+    each bucket's state has to fit a task."""
     types = dict(rows.dtypes)
     put = [(c, types[c]) for c in payload]
     at = F.col(time).cast("timestamp")
-    timed = rows.select(F.col(key), at.alias("ts"), F.unix_micros(at).alias("us"), F.col(tie).cast("long").alias("tie"), *payload)
+    own = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    timed = rows.select(own.alias("_bucket"), F.col(key), at.alias("ts"), F.unix_micros(at).alias("us"), F.col(tie).cast("long").alias("tie"), *payload)
     timed = timed.withWatermark("ts", delay)
-    return timed.groupBy(key).transformWithState(InOrder(fold, key, put), f"`{key}` {types[key]}, {fold.out}", "Append", "EventTime")
+    return timed.groupBy("_bucket").transformWithState(InOrder(fold, key, types[key], put), f"`{key}` {types[key]}, {fold.out}", "Append", "EventTime")
 
 
 @contextmanager
@@ -160,21 +188,22 @@ def replayed(rows: DataFrame, key: str, time: str, tie: str, payload: list[str],
     more = [c for c in payload if c not in (key, tie)]
     rows = rows.select(key, F.col(time).cast("timestamp").alias(time), tie, *more).filter(F.col(key).isNotNull() & F.col(time).isNotNull())
     us = F.unix_micros(time)
-    seen = rows.agg(F.min(us).alias("a"), F.max(us).alias("b")).first()
+    seen = rows.agg(F.min(us).alias("a"), F.max(us).alias("b"), F.approx_count_distinct(key).alias("keys")).first()
     if seen.a is None:
         return spark.createDataFrame([], f"`{key}` {kind[key]}, {fold.out}")
     span = seen.b - seen.a + jitter_seconds * 1_000_000 + 1
     moved = us - seen.a + F.pmod(F.xxhash64(key, tie), F.lit(1000)) * (jitter_seconds * 1000)
-    rows.withColumn("_b", F.floor(moved * batches / span).cast("int")).repartition("_b").write.partitionBy("_b").parquet(f"{base}/rows")
+    rows.withColumn("_b", F.floor(moved * batches / span).cast("int")).write.partitionBy("_b").parquet(f"{base}/rows")
     last = F.timestamp_micros(F.lit(seen.b + 366 * 86_400_000_000))
     end = spark.range(1).select(F.lit(None).cast(kind[key]).alias(key), last.alias(time), F.lit(0).cast(kind[tie]).alias(tie), *[F.lit(None).cast(kind[c]).alias(c) for c in more])
     dealt = spark.read.parquet(f"{base}/rows")
-    for b in range(batches + 1):  # one file a batch, in order of arrival
-        part = dealt.filter(F.col("_b") == b).drop("_b") if b < batches else end
-        part.coalesce(1).write.mode("append").parquet(f"{base}/arrived")
+    buckets = max(1, seen.keys // 64)
     with with_rocksdb(spark):
-        stream = spark.readStream.schema(end.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/arrived")
-        out = folded(stream, key, time, tie, payload, fold, f"{delay_seconds} seconds")
-        q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-        q.awaitTermination()
+        for b in range(batches + 1):  # what has arrived since the query ran last is its next micro-batch
+            part = dealt.filter(F.col("_b") == b).drop("_b") if b < batches else end
+            part.write.mode("append").parquet(f"{base}/arrived")
+            stream = spark.readStream.schema(end.schema).parquet(f"{base}/arrived")
+            out = folded(stream, key, time, tie, payload, fold, f"{delay_seconds} seconds", buckets)
+            q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+            q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out").filter(F.col(key).isNotNull())
