@@ -2,7 +2,7 @@
 
 from tidemark.operators import learners
 from tidemark.operators.quantiles import exact_quantiles
-from tidemark.plans import learner_queries  # noqa: F401 - registers its queries
+from tidemark.plans import catalog_more, learner_queries  # noqa: F401 - these register their queries
 from tidemark.plans.catalog import QUERIES
 
 
@@ -35,3 +35,14 @@ def test_stacking_computes_its_rows_once(spark, monkeypatch):
     df = spark.range(50).selectExpr("id * 1D AS a", "id * 2D AS b", "id * 1.4D AS y")
     w, mae = learners.convex_stack(df, ["a", "b"], "y")
     assert names == ["stack"] and abs(w[0] - 0.6) < 1e-3 and mae < 0.05
+
+
+def plan(spark, name: str) -> str:
+    return QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_stability_sorts_no_column_in_one_task(spark):
+    text = plan(spark, "a21_seed_stability")
+    assert "percentile(" not in text
+    r = QUERIES["a21_seed_stability"](spark, "/root/testdata/sf0.001").collect()
+    assert len(r) == 1 and 0 < r[0].median_sd < r[0].p95_sd and 0 <= r[0].disagree <= 1

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.operators import fiscal, windows
 from tidemark.operators.order_windows import sliding
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.plans.catalog import _ORD, _PRED, SERIES, _ordered, _predictions, query, r6, series, table
+from tidemark.sources.scratch import written
 from tidemark.streaming import ordered, recurrent
 
 
@@ -100,8 +102,13 @@ def paths(spark, d):
     f"""WITH {_PRED}, s AS (SELECT o_orderkey, stddev_samp(f) AS sd, count(DISTINCT sign(f - y)) AS signs FROM p GROUP BY o_orderkey) SELECT round(quantile_cont(sd, 0.5), 4) AS median_sd, round(quantile_cont(sd, 0.95), 4) AS p95_sd, round(avg(CASE WHEN signs > 1 THEN 1.0 ELSE 0.0 END), 6) AS disagree FROM s""",
 )
 def seed_stability(spark, d):
-    s = _predictions(spark, d).groupBy("o_orderkey").agg(F.stddev_samp("f").alias("sd"), F.count_distinct(F.signum(F.col("f") - F.col("y"))).alias("signs"))
-    return s.agg(F.round(F.percentile("sd", F.lit(0.5)), 4).alias("median_sd"), F.round(F.percentile("sd", F.lit(0.95)), 4).alias("p95_sd"), r6(F.avg((F.col("signs") > 1).cast("double"))).alias("disagree"))
+    side = F.signum(F.col("f") - F.col("y"))
+    s = _predictions(spark, d).groupBy("o_orderkey").agg(F.stddev_samp("f").alias("sd"), F.coalesce(F.min(side) != F.max(side), F.lit(False)).alias("apart"))
+    # written once, as the quantiles read it three times; no task sorts all orders
+    s = written(s.select(F.lit(0).alias("all"), "sd", "apart"), "stability")
+    q = exact_quantiles(s, ["all"], "sd", [0.5, 0.95]).select(F.col("q")[0].alias("mid"), F.col("q")[1].alias("high"))
+    share = s.agg(r6(F.avg(F.col("apart").cast("double"))).alias("disagree"))
+    return share.join(q, F.lit(True), "left").select(F.round("mid", 4).alias("median_sd"), F.round("high", 4).alias("p95_sd"), "disagree")
 
 
 @query(
