@@ -50,3 +50,11 @@ def test_ids_and_bytes(spark, reference, hot):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.digests(docs, RANKS).collect() == []
+
+
+def test_fold_of_words_up_to_the_longest(spark):
+    rng, ranks = random.Random(3), bpe.load_ranks(RANKS)
+    words = [bytes(rng.choice(b"ab \xc3\xa9the") for _ in range(n)) for n in (1, 2, 3, 9, 40, 256, bpe.LONGEST)]
+    df = spark.createDataFrame([([w.decode("latin-1") for w in words],)], "w array<string>")
+    enc = bpe.encode_words(df, "w", "enc", ranks).first().enc
+    assert [list(e) for e in enc] == [bpe.heap_encode(w, ranks) for w in words]

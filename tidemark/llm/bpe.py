@@ -43,6 +43,8 @@ BUCKETS = 65536
 #: Bound of the broadcast table: about 16 MB, whatever the size of the corpus.
 HOT_WORDS = 1 << 18
 NO_RANK = 2147483647
+#: Places in a word have 10 bits in the fold.
+LONGEST = 1023
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -68,27 +70,38 @@ def _piece_literal(ranks: dict[bytes, int]) -> str:
     return json.dumps(pieces)
 
 
-#: Fold of one word w by the rank buckets R. State: p pieces, r ranks of adjacent pairs, j place of the least.
-_RANK = f"coalesce(element_at(R, cast(pmod(crc32(cast(%s as binary)), {BUCKETS}) as int) + 1)[%s], {NO_RANK})"
-_PLACE = f"if(array_min(%s) < {NO_RANK}, cast(array_position(%s, array_min(%s)) as int), 0)"
+#: Fold of one word w by the rank buckets R. The state is one array of numbers, one for each piece: the rank of the pair that
+#: it begins (32 bits), then where the piece begins, where it ends and where the pair ends (10 bits each). The least number is
+#: thus the leftmost pair of least rank, and a merge looks up its two new pairs and leaves all other numbers as they are.
+_RANK = f"coalesce(R[cast(crc32(cast(%s as binary)) & {BUCKETS - 1} as int)][%s], {NO_RANK})"
 _RANK_OF = lambda x: _RANK % (x, x)
-_STATE = lambda p, r: f"named_struct('p', {p}, 'r', {r}, 'j', {_PLACE % (r, r, r)})"
+_SPAN = lambda a, b: f"substring(w, cast({a} as int) + 1, cast({b} - {a} as int))"
+_BEGIN, _MID, _END = (lambda x, k=k: f"(shiftright({x}, {k}) & 1023)" for k in (20, 10, 0))
 #: Bound names stand in for a let: transform(array(value), name -> body)[0].
 _LET = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
 
 
+def _pair(a: str, b: str, c: str) -> str:
+    """The number of the piece from a to b whose pair ends at c."""
+    rank = _LET("x", _SPAN(a, c), _RANK_OF("x"))
+    return f"(shiftleft(cast({rank} as bigint), 30) | shiftleft(cast({a} as bigint), 20) | shiftleft(cast({b} as bigint), 10) | cast({c} as bigint))"
+
+
+def _last(a: str, b: str) -> str:
+    """The number of the last piece, which begins no pair."""
+    return f"({NO_RANK << 30}L | shiftleft(cast({a} as bigint), 20) | shiftleft(cast({b} as bigint), 10) | cast({b} as bigint))"
+
+
 def _fold_sql() -> str:
-    start = _LET(
-        "c",
-        "split(w, '')",
-        _LET("q", f"if(length(w) > 1, transform(sequence(1, greatest(length(w) - 1, 1)), i -> {_RANK_OF('concat(c[i - 1], c[i])')}), cast(array() as array<int>))", _STATE("c", "q")),
-    )
-    ranks = f"transform(array(concat(get(s.p, s.j - 2), m), concat(m, get(s.p, s.j + 1))), x -> {_RANK_OF('x')})"
-    new_p = "concat(slice(s.p, 1, s.j - 1), array(m), slice(s.p, s.j + 2, size(s.p)))"
-    new_r = "concat(slice(s.r, 1, greatest(s.j - 2, 0)), if(s.j > 1, array(n[0]), cast(array() as array<int>)), if(s.j < size(s.r), array(n[1]), cast(array() as array<int>)), slice(s.r, s.j + 2, size(s.r)))"
-    step = _LET("m", "concat(s.p[s.j - 1], s.p[s.j])", _LET("n", ranks, _LET("v", new_r, _STATE(new_p, "v"))))
-    done = f"transform(s.p, x -> {_RANK_OF('x')})"
-    return f"aggregate(sequence(1, length(w)), {start}, (s, i) -> if(s.j = 0, s, {step}), s -> {done})"
+    start = f"transform(sequence(1, length(w)), i -> if(i < length(w), {_pair('(i - 1)', 'i', '(i + 1)')}, {_last('(i - 1)', 'i')}))"
+    # a merge of the pair m at place j: its neighbour to the right goes, the pair to the left ends later
+    left, right = "s[j - 2]", "s[j]"
+    merged = f"if({_END('m')} < {_END(right)}, {_pair(_BEGIN('m'), _END('m'), _END(right))}, {_last(_BEGIN('m'), _END('m'))})"
+    before = f"if(j > 1, concat(slice(s, 1, j - 2), array({_pair(_BEGIN(left), _MID(left), _END('m'))}, {merged})), array({merged}))"
+    step = _LET("j", "cast(array_position(s, m) as int)", f"concat({before}, slice(s, j + 2, size(s)))")
+    step = _LET("m", "array_min(s)", f"if(m >= {NO_RANK << 30}L, s, {step})")
+    done = f"transform(s, x -> {_LET('y', _SPAN(_BEGIN('x'), _MID('x')), _RANK_OF('y'))})"
+    return f"aggregate(sequence(1, length(w)), {start}, (s, i) -> {step}, s -> {done})"
 
 
 def encode_words(df: DataFrame, words: str, out: str, ranks: dict[bytes, int]) -> DataFrame:
@@ -326,6 +339,7 @@ def encoded_blocks(docs: DataFrame, ranks: dict[bytes, int], hot_words: int, blo
     context = docs.sparkSession.sparkContext
     ranks_value = context.broadcast(ranks)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    long_word = min(long_word, LONGEST)
     hashes, hot = hot_table(texts, ranks, hot_words, block_mb, long_word)
     hashes_value, hot_value = context.broadcast(hashes), context.broadcast(hot)
 
