@@ -58,3 +58,14 @@ def test_fold_of_words_up_to_the_longest(spark):
     df = spark.createDataFrame([([w.decode("latin-1") for w in words],)], "w array<string>")
     enc = bpe.encode_words(df, "w", "enc", ranks).first().enc
     assert [list(e) for e in enc] == [bpe.heap_encode(w, ranks) for w in words]
+
+
+def test_merge_table_holds_every_pair_and_no_other():
+    ranks, rng = bpe.load_ranks(RANKS), random.Random(11)
+    ids, shift, owner, merged = bpe.merge_table(ranks)
+    piece = {v: k for k, v in ranks.items()}
+    join = lambda a, b: merged[shift[a] + b] if owner[shift[a] + b] == a else None
+    assert ids == [ranks[bytes([k])] for k in range(256)]
+    assert all(join(ranks[p[:k]], ranks[p[k:]]) == r for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks)
+    pairs = [(rng.randrange(len(ranks)), rng.randrange(len(ranks))) for _ in range(100_000)]
+    assert all(join(a, b) == ranks.get(piece[a] + piece[b]) for a, b in pairs)

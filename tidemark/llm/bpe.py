@@ -2,9 +2,8 @@
 
 Spark higher-order functions fold the ranked merges over the bytes of distinct
 words: a word is an array of one-byte pieces, each step joins the leftmost
-adjacent pair of least rank, and the rank of a joined piece is looked up in a
-literal map (an array of small maps by checksum, so that a lookup does not walk
-50,000 entries). Decoding concatenates the pieces of the ids. Bytes travel as
+adjacent pair of least rank, and the rank of a joined piece is looked up in literal
+arrays by the ids of its two parts. Decoding concatenates the pieces of the ids. Bytes travel as
 Latin-1 characters, one character a byte.
 
 The first Arrow pass cuts the texts of a block (about `block_mb` of whole
@@ -28,7 +27,6 @@ import base64
 import hashlib
 import heapq
 import json
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +37,13 @@ from pyspark.sql import functions as F
 from . import textkit
 from .storage import bounded_batches, written
 
-BUCKETS = 65536
 #: Bound of the broadcast table: about 16 MB, whatever the size of the corpus.
 HOT_WORDS = 1 << 18
 NO_RANK = 2147483647
-#: Places in a word have 10 bits in the fold.
+#: Places in a word have 10 bits in the fold, ids 21.
 LONGEST = 1023
+ID = (1 << 21) - 1
+NO_PAIR = NO_RANK << 31
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -53,13 +52,35 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _rank_literal(ranks: dict[bytes, int]) -> str:
-    """JSON array of small maps, by checksum, from piece to rank. The blank keeps SQL from taking the piece ${ for a variable."""
-    buckets: list[list[str]] = [[] for _ in range(BUCKETS)]
+def merge_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int], list[int], list[int]]:
+    """(id of each byte, shift of each id, owners, merged ids): pieces a and b join to merged[shift[a] + b] if owners[shift[a] + b] is a.
+
+    All pairs of pieces whose concatenation is a piece: the rows of a sparse table by a, shifted so that no two
+    of their entries meet, and no
+    sum of a shift and an id lies beyond the arrays. A lookup is two reads of arrays."""
+    if len(ranks) < 256 or (most := max(ranks.values())) > ID:
+        raise ValueError("ranks must hold all bytes and lie below 2**21")
+    rows: dict[int, list[tuple[int, int]]] = {}
     for piece, rank in ranks.items():
-        text = piece.decode("latin-1")
-        buckets[zlib.crc32(text.encode()) % BUCKETS].append(f"{json.dumps(text)}: {rank}")
-    return "[" + ",".join("{" + ",".join(b) + "}" for b in buckets) + "]"
+        for k in range(1, len(piece)):
+            if (a := ranks.get(piece[:k])) is not None and (b := ranks.get(piece[k:])) is not None:
+                rows.setdefault(a, []).append((b, rank))
+    shift, rng, size = [0] * (most + 1), np.random.default_rng(0), 2 * sum(map(len, rows.values())) + most + 1
+    owner, merged = np.full(size, -1), np.zeros(size, np.int64)
+    for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):
+        at, to = np.array(row).T
+        for k in range(5, 13):
+            tried = rng.integers(0, len(owner) - most, 1 << k)
+            fits = (owner[tried[:, None] + at] < 0).all(1)
+            if fits.any():
+                shift[a] = int(tried[fits.argmax()])
+                break
+        else:  # a row that fits nowhere gets room of its own
+            shift[a] = len(owner)
+            owner, merged = np.concatenate([owner, np.full(most + 1, -1)]), np.concatenate([merged, np.zeros(most + 1, np.int64)])
+        owner[shift[a] + at], merged[shift[a] + at] = a, to
+    owner, merged = owner.tolist(), merged.tolist()
+    return [ranks[bytes([k])] for k in range(256)], shift, owner, merged
 
 
 def _piece_literal(ranks: dict[bytes, int]) -> str:
@@ -70,43 +91,40 @@ def _piece_literal(ranks: dict[bytes, int]) -> str:
     return json.dumps(pieces)
 
 
-#: Fold of one word w by the rank buckets R. The state is one array of numbers, one for each piece: the rank of the pair that
-#: it begins (32 bits), then where the piece begins, where it ends and where the pair ends (10 bits each). The least number is
-#: thus the leftmost pair of least rank, and a merge looks up its two new pairs and leaves all other numbers as they are.
-_RANK = f"coalesce(R[cast(crc32(cast(%s as binary)) & {BUCKETS - 1} as int)][%s], {NO_RANK})"
-_RANK_OF = lambda x: _RANK % (x, x)
-_SPAN = lambda a, b: f"substring(w, cast({a} as int) + 1, cast({b} - {a} as int))"
-_BEGIN, _MID, _END = (lambda x, k=k: f"(shiftright({x}, {k}) & 1023)" for k in (20, 10, 0))
+#: Fold of one word w by the merge table (B, D, O, G). The state is one array of numbers, one for each piece: the rank of the
+#: pair that it begins (31 bits), its place (10 bits) and its id (21 bits). The least number is thus the leftmost pair of least
+#: rank, whose rank is the id of the joined piece; a merge looks up its two new pairs and leaves all other numbers as they are.
+_ID = lambda x: f"({x} & {ID})"
 #: Bound names stand in for a let: transform(array(value), name -> body)[0].
 _LET = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _pair(a: str, b: str, c: str) -> str:
-    """The number of the piece from a to b whose pair ends at c."""
-    rank = _LET("x", _SPAN(a, c), _RANK_OF("x"))
-    return f"(shiftleft(cast({rank} as bigint), 30) | shiftleft(cast({a} as bigint), 20) | shiftleft(cast({b} as bigint), 10) | cast({c} as bigint))"
-
-
-def _last(a: str, b: str) -> str:
-    """The number of the last piece, which begins no pair."""
-    return f"({NO_RANK << 30}L | shiftleft(cast({a} as bigint), 20) | shiftleft(cast({b} as bigint), 10) | cast({b} as bigint))"
+def _piece(at: str, a: str, b: str) -> str:
+    """The number of piece a, followed by piece b (null: by none); at: its place, shifted."""
+    spot = f"cast(D[{a}] + {b} as int)"
+    rank = f"if(get(O, {spot}) = {a}, shiftleft(cast(G[{spot}] as bigint), 31), {NO_PAIR}L)"
+    return f"({rank} | {at} | {a})"
 
 
 def _fold_sql() -> str:
-    start = f"transform(sequence(1, length(w)), i -> if(i < length(w), {_pair('(i - 1)', 'i', '(i + 1)')}, {_last('(i - 1)', 'i')}))"
+    byte = "transform(sequence(1, length(w)), i -> B[ascii(substring(w, i, 1))])"
+    start = _LET("c", byte, f"transform(c, (a, i) -> {_piece('shiftleft(cast(i as bigint), 21)', 'a', 'get(c, i + 1)')})")
     # a merge of the pair m at place j: its neighbour to the right goes, the pair to the left ends later
-    left, right = "s[j - 2]", "s[j]"
-    merged = f"if({_END('m')} < {_END(right)}, {_pair(_BEGIN('m'), _END('m'), _END(right))}, {_last(_BEGIN('m'), _END('m'))})"
-    before = f"if(j > 1, concat(slice(s, 1, j - 2), array({_pair(_BEGIN(left), _MID(left), _END('m'))}, {merged})), array({merged}))"
-    step = _LET("j", "cast(array_position(s, m) as int)", f"concat({before}, slice(s, j + 2, size(s)))")
-    step = _LET("m", "array_min(s)", f"if(m >= {NO_RANK << 30}L, s, {step})")
-    done = f"transform(s, x -> {_LET('y', _SPAN(_BEGIN('x'), _MID('x')), _RANK_OF('y'))})"
-    return f"aggregate(sequence(1, length(w)), {start}, (s, i) -> {step}, s -> {done})"
+    place = lambda x: f"({x} & {LONGEST << 21})"
+    joined, left = "cast(shiftright(m, 31) as int)", "s[j - 2]"
+    merged = _piece(place("m"), "n", _ID("get(s, j + 1)"))
+    before = f"if(j > 1, concat(slice(s, 1, j - 2), array({_piece(place(left), f'cast({_ID(left)} as int)', 'n')}, {merged})), array({merged}))"
+    step = _LET("n", joined, f"concat({before}, slice(s, j + 2, size(s)))")
+    step = _LET("j", "cast(array_position(s, m) as int)", step)
+    step = _LET("m", "array_min(s)", f"if(m >= {NO_PAIR}L, s, {step})")
+    return f"aggregate(sequence(2, length(w)), {start}, (s, i) -> {step}, s -> transform(s, x -> cast({_ID('x')} as int)))"
 
 
 def encode_words(df: DataFrame, words: str, out: str, ranks: dict[bytes, int]) -> DataFrame:
     """Add column `out`: array<array<int>>, the ids of each of the Latin-1 words in column `words`."""
-    sql = f"transform(array(from_json({_quoted(_rank_literal(ranks))}, 'array<map<string,int>>')), R -> transform({words}, w -> {_fold_sql()}))[0]"
+    sql = f"transform({words}, w -> {_fold_sql()})"
+    for name, values in zip("BDOG", merge_table(ranks)):
+        sql = _LET(name, f"from_json('{json.dumps(values, separators=(',', ':'))}', 'array<int>')", sql)
     return df.withColumn(out, F.expr(sql))
 
 
