@@ -92,6 +92,25 @@ def by_hand(past, own):
     return math.exp(np.clip(guess, *np.percentile(seen, [10, 90]))), name
 
 
+def test_median_lines_of_many_rows():
+    rng = np.random.default_rng(4)
+    x, y, w = rng.integers(0, 6, (40, 9)).astype(float), rng.normal(size=(40, 9)), rng.uniform(0.1, 1, (40, 9))
+    x[0] = 2.0
+    a, b = vintages.median_lines(x, y, w, 0.01)
+    loss = lambda k, a, b: 0.5 * (np.abs(y[k] - a - b * x[k]) * w[k]).sum() / w[k].sum() + 0.01 * abs(b)
+    for k in range(len(x)):
+        i, j = np.triu_indices(9, 1)
+        lines = [(y[k][p] - s * x[k][p], s) for p, q in zip(i, j) if x[k][p] != x[k][q] for s in [(y[k][q] - y[k][p]) / (x[k][q] - x[k][p])]] + [(v, 0.0) for v in y[k]]
+        assert loss(k, a[k], b[k]) == pytest.approx(min(loss(k, *l) for l in lines), abs=1e-11)
+    assert b[0] == 0
+
+
+def test_vintage_rule_deals_no_training_rows(spark):
+    rows = spark.range(40).selectExpr("'s' AS s", "id AS t", "id AS v", "sin(id) AS y", "cos(id) AS g", "1.0D AS w")
+    plan = vintages.vintage_multiples(rows, "s", ["t"], ["v"], F.lit(False), "y", "g", "w")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Generate" not in plan
+
+
 def test_vintages_never_see_themselves(spark):
     rows = [("s", t, t // 4, math.log(10 + (t * 7) % 13), 0.1 * (t // 4 % 5), 1.0) for t in range(80)]
     run = lambda r: {x.t: (x.expected, x.way) for x in vintages.vintage_multiples(spark.createDataFrame(r, "s string, t long, v long, y double, g double, w double"), "s", ["t"], ["v"], F.lit(False), "y", "g", "w").collect()}
