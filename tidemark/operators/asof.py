@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.spread import spread
+
 
 def bitemporal_asof(decisions: DataFrame, history: DataFrame, by: list[str], key: list[str], visible: Column, order: list[str], payload: list[str]) -> DataFrame:
     """For each decision (unique by `key`) the row of history with equal `by` for
@@ -84,8 +86,10 @@ def exact_context(facts: DataFrame, cell: list[str], rank: str, value: str) -> D
 
 def earliest_context(facts: DataFrame, cell: list[str], rank: str, start: str, value: str) -> DataFrame:
     """For each cell the first-ranked tag that has any row, finite or not, and its value at the earliest
-    start, null if that is not unique: the older rule, kept for comparison with exact_context."""
-    per = facts.groupBy(*cell, rank, start).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"), F.count(F.lit(1)).alias("_c"))
+    start, null if that is not unique: the older rule, kept for comparison with exact_context.
+
+    A cell's facts are few, but cells are many: the sort of the second grouping holds what spread() gives a task."""
+    per = spread(facts, cell).groupBy(*cell, rank, start).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"), F.count(F.lit(1)).alias("_c"))
     best = per.groupBy(*cell).agg(F.min_by(F.struct(rank, start, "_lo", "_hi", "_n", "_c"), F.struct(rank, start)).alias("b"))
     one = (F.col("b._lo") == F.col("b._hi")) & (F.col("b._n") == F.col("b._c"))
     return best.select(*cell, F.col(f"b.{rank}").alias(rank), F.col(f"b.{start}").alias(start), F.when(one, F.col("b._lo")).alias(value))
