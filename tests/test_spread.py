@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import asof, spread
 from tidemark.plans import catalog
+from tidemark.sources import sinks
 
 
 def test_spread_makes_more_tasks_for_more_rows(spark):
@@ -27,3 +28,9 @@ def test_audit_groups_and_joins_in_bounded_tasks(spark, monkeypatch):
     monkeypatch.setattr(spread.spread, "__defaults__", (500,))
     assert sorted(run().collect()) == want
     assert "REPARTITION_BY_NUM" in run()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_tables_are_compared_in_one_exchange(spark):
+    a = spark.createDataFrame([(1, 1.0), (1, 1.0), (2, float("nan")), (None, None)], "k int, v double")
+    assert not sinks.differ(a, a.orderBy("k"))
+    assert sinks.differ(a, a.distinct()) and sinks.differ(a.distinct(), a) and sinks.differ(a, a.filter("k = 1"))

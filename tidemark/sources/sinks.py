@@ -15,11 +15,17 @@ def write_verified(df: DataFrame, path: str) -> DataFrame:
     """Write once, read back and compare as multisets; the reader of what was written."""
     write_once(df, path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
-    if back.exceptAll(df).limit(1).count() or df.exceptAll(back).limit(1).count():
+    if differ(back, df):
         raise ValueError(f"what was written to {path} differs from what was to be written")
     return back
 
 
+def differ(a: DataFrame, b: DataFrame) -> bool:
+    """Are the rows of a and b, by position of the columns, other multisets? Both directions in one exchange."""
+    both = a.withColumn("_side", F.lit(1)).unionAll(b.withColumn("_side", F.lit(-1)))
+    return not both.groupBy(*[c for c in both.columns if c != "_side"]).agg(F.sum("_side").alias("_n")).filter("_n != 0").isEmpty()
+
+
 def canonical_lines(df: DataFrame, key: list[str]) -> DataFrame:
     """(line): JSON of each row with its columns in name order, rows in the order of key."""
     return df.orderBy(*key).select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("line"))
