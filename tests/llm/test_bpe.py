@@ -69,3 +69,27 @@ def test_merge_table_holds_every_pair_and_no_other():
     assert all(join(ranks[p[:k]], ranks[p[k:]]) == r for p, r in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks)
     pairs = [(rng.randrange(len(ranks)), rng.randrange(len(ranks))) for _ in range(100_000)]
     assert all(join(a, b) == ranks.get(piece[a] + piece[b]) for a, b in pairs)
+
+
+def test_plans_hold_no_ranks(spark):
+    """The driver keeps plans; literals of ranks in them were megabytes."""
+    df = spark.createDataFrame([(["ab", "the"],), ([],), (None,)], "w array<string>")
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 30))
+    try:
+        ranks = bpe.load_ranks(RANKS)
+        out = bpe.decode_words(bpe.encode_words(df, "w", "enc", ranks), "enc", "dec", ranks)
+        assert len(out._jdf.queryExecution().toString()) < 100_000
+    finally:
+        spark.conf.unset("spark.sql.maxPlanStringLength")
+    assert out.columns == ["w", "enc", "dec"]
+    assert [r.dec for r in out.collect()] == [["ab", "the"], [], None]
+
+
+def test_repeated_words_of_many_batches(spark, reference):
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}q{k % 7}" for k in range(900))) for i in range(3)], "doc_id long, text string")
+    want = [reference.encode_ordinary(r.text) for r in docs.orderBy("doc_id").collect()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert [list(r.ids) for r in bpe.encode(docs, RANKS).orderBy("doc_id").collect()] == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

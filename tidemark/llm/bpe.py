@@ -2,9 +2,10 @@
 
 Spark higher-order functions fold the ranked merges over the bytes of distinct
 words: a word is an array of one-byte pieces, each step joins the leftmost
-adjacent pair of least rank, and the rank of a joined piece is looked up in literal
-arrays by the ids of its two parts. Decoding concatenates the pieces of the ids. Bytes travel as
-Latin-1 characters, one character a byte.
+adjacent pair of least rank, and the rank of a joined piece is looked up in arrays
+by the ids of its two parts. Decoding concatenates the pieces of the ids. Bytes travel as
+Latin-1 characters, one character a byte. The arrays are one row of a written table, which is
+broadcast: literals of a plan would be held by the driver many times over.
 
 The first Arrow pass cuts the texts of a block (about `block_mb` of whole
 documents) into words and numbers the distinct ones; the blocks are written; the
@@ -26,12 +27,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -83,12 +84,18 @@ def merge_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int], list[int
     return [ranks[bytes([k])] for k in range(256)], shift, owner, merged
 
 
-def _piece_literal(ranks: dict[bytes, int]) -> str:
-    """JSON array of the pieces by rank."""
-    pieces = [""] * (max(ranks.values()) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece.decode("latin-1")
-    return json.dumps(pieces)
+def rank_table(spark: SparkSession, ranks: Broadcast) -> DataFrame:
+    """One row: the arrays B, D, O and G of merge_table() and the pieces P by rank, made in a task."""
+
+    def made(batches):
+        for _ in batches:
+            pieces = [""] * (max(ranks.value.values()) + 1)
+            for piece, rank in ranks.value.items():
+                pieces[rank] = piece.decode("latin-1")
+            merges = {n: pa.array([v], pa.list_(pa.int32())) for n, v in zip("BDOG", merge_table(ranks.value))}
+            yield pa.RecordBatch.from_pydict(merges | {"P": [pieces]})
+
+    return written(spark.range(0, 1, 1, 1).mapInArrow(made, "B array<int>, D array<int>, O array<int>, G array<int>, P array<string>"), "ranks")
 
 
 #: Fold of one word w by the merge table (B, D, O, G). The state is one array of numbers, one for each piece: the rank of the
@@ -120,23 +127,25 @@ def _fold_sql() -> str:
     return f"aggregate(sequence(2, length(w)), {start}, (s, i) -> {step}, s -> transform(s, x -> cast({_ID('x')} as int)))"
 
 
-def encode_words(df: DataFrame, words: str, out: str, ranks: dict[bytes, int]) -> DataFrame:
-    """Add column `out`: array<array<int>>, the ids of each of the Latin-1 words in column `words`."""
-    sql = f"transform({words}, w -> {_fold_sql()})"
-    for name, values in zip("BDOG", merge_table(ranks)):
-        sql = _LET(name, f"from_json('{json.dumps(values, separators=(',', ':'))}', 'array<int>')", sql)
-    return df.withColumn(out, F.expr(sql))
+def _with_arrays(df: DataFrame, names: str, out: str, sql: str, ranks: dict[bytes, int], table: DataFrame | None) -> DataFrame:
+    """Add column `out`: sql, in which the arrays `names` of the rank table have their names. Each row is joined to all of them."""
+    table = rank_table(df.sparkSession, df.sparkSession.sparkContext.broadcast(ranks)) if table is None else table
+    for name in names:
+        sql = _LET(name, f"_array_{name}", sql)
+    arrays = F.broadcast(table.select(*[F.col(n).alias(f"_array_{n}") for n in names]))
+    return df.crossJoin(arrays).withColumn(out, F.expr(sql)).drop(*arrays.columns)
 
 
-def decode_words(df: DataFrame, ids: str, out: str, ranks: dict[bytes, int]) -> DataFrame:
-    """Add column `out`: array<string>, the concatenated pieces of each array of ids, as Latin-1."""
-    sql = f"transform(array(from_json({_quoted(_piece_literal(ranks))}, 'array<string>')), P -> transform({ids}, e -> aggregate(e, '', (a, i) -> concat(a, P[i]))))[0]"
-    return df.withColumn(out, F.expr(sql))
+def encode_words(df: DataFrame, words: str, out: str, ranks: dict[bytes, int], table: DataFrame | None = None) -> DataFrame:
+    """Add column `out`: array<array<int>>, the ids of each of the Latin-1 words in column `words`; a row should have many words.
 
+    table: rank_table() of the ranks, if it is there already."""
+    return _with_arrays(df, "BDOG", out, f"transform({words}, w -> {_fold_sql()})", ranks, table)
 
-def _quoted(text: str) -> str:
-    """A string literal of SQL; backslashes are doubled for the parser."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+def decode_words(df: DataFrame, ids: str, out: str, ranks: dict[bytes, int], table: DataFrame | None = None) -> DataFrame:
+    """Add column `out`: array<string>, the concatenated pieces of each array of ids, as Latin-1."""
+    return _with_arrays(df, "P", out, f"transform({ids}, e -> aggregate(e, '', (a, i) -> concat(a, P[i])))", ranks, table)
 
 
 def heap_encode(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -300,7 +309,7 @@ def _documents(batches, hot, most_words: int = 100_000):
                 a = b
 
 
-def hot_table(texts: DataFrame, ranks: dict[bytes, int], most: int, block_mb: int, long_word: int):
+def hot_table(texts: DataFrame, ranks: dict[bytes, int], table: DataFrame, most: int, block_mb: int, long_word: int):
     """(hashes, (lengths, ids, byte lengths, bytes)): encodings of at most `most` repeated words, by hash."""
     schema = "word string, n bigint"
 
@@ -321,12 +330,17 @@ def hot_table(texts: DataFrame, ranks: dict[bytes, int], most: int, block_mb: in
         if left > most:
             break
         least = r.n
-    chosen = counted.filter(F.col("n") >= max(least, 2)).select(F.array("word").alias("w"))
-    made = written(decode_words(encode_words(chosen, "w", "enc", ranks), "enc", "dec", ranks).select(F.col("w")[0].alias("word"), F.col("enc")[0].alias("ids"), F.col("dec")[0].alias("dec")), "hot")
+
+    def lists(batches):
+        for words in (batch.column(0) for batch in batches):
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], names=["w"])
+
+    chosen = counted.filter(F.col("n") >= max(least, 2)).select("word").mapInArrow(lists, "w array<string>")
+    made = written(decode_words(encode_words(chosen, "w", "enc", ranks, table), "enc", "dec", ranks, table), "hot")
 
     def pack(batches):
         for batch in batches:
-            words, ids, dec = batch.column(0), batch.column(1), batch.column(2)
+            words, ids, dec = (batch.column(k).flatten() for k in range(3))
             raw = [w.encode("latin-1") for w in words.to_pylist()]
             ends = np.cumsum([len(w) for w in raw], dtype=np.int64)
             if not len(raw):
@@ -336,7 +350,7 @@ def hot_table(texts: DataFrame, ranks: dict[bytes, int], most: int, block_mb: in
             text = "".join(dec.to_pylist()).encode("latin-1")
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (*(p.tobytes() for p in parts), text)], names=["h", "lens", "ids", "blens", "raw"])
 
-    packed = made.select("word", "ids", "dec").mapInArrow(pack, "h binary, lens binary, ids binary, blens binary, raw binary").toArrow()
+    packed = made.select("w", "enc", "dec").mapInArrow(pack, "h binary, lens binary, ids binary, blens binary, raw binary").toArrow()
     h, lens, ids, blens, raw = (np.frombuffer(b"".join(x.as_buffer() for x in packed[k]), t) for k, t in enumerate((np.uint64, np.int32, np.int32, np.int32, np.uint8)))
     del packed
     order = np.argsort(h)
@@ -352,13 +366,12 @@ def _in_order(flat: np.ndarray, lens: np.ndarray, order: np.ndarray, step: int =
 def encoded_blocks(docs: DataFrame, ranks: dict[bytes, int], hot_words: int, block_mb: int, long_word: int):
     """(DataFrame of blocks with their words encoded and decoded, broadcast hot table)."""
     bounded_batches(docs.sparkSession)
-    # the driver keeps the text of plans, in which each rank literal is a megabyte
-    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", "100000")
     context = docs.sparkSession.sparkContext
     ranks_value = context.broadcast(ranks)
+    table = rank_table(docs.sparkSession, ranks_value)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long_word = min(long_word, LONGEST)
-    hashes, hot = hot_table(texts, ranks, hot_words, block_mb, long_word)
+    hashes, hot = hot_table(texts, ranks, table, hot_words, block_mb, long_word)
     hashes_value, hot_value = context.broadcast(hashes), context.broadcast(hot)
 
     def cut(batches):
@@ -367,7 +380,7 @@ def encoded_blocks(docs: DataFrame, ranks: dict[bytes, int], hot_words: int, blo
             yield pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()}, schema=_ARROW)
 
     # written, so that a task has one Python worker at a time and a lost executor does not cut its texts again
-    blocks = decode_words(encode_words(written(texts.mapInArrow(cut, _BLOCK), "blocks"), "tail", "enc", ranks), "enc", "dec", ranks)
+    blocks = decode_words(encode_words(written(texts.mapInArrow(cut, _BLOCK), "blocks"), "tail", "enc", ranks, table), "enc", "dec", ranks, table)
     return blocks.drop("tail"), hot_value
 
 
